@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from orrery.llm.batches import slices
 
 #: The cached words and chunks of a worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 SPACE = "\x1c\x1d\x1e\x1f"
 
 
