@@ -27,6 +27,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm import substrings
+
+    found = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm import pii
 
