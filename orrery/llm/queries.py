@@ -27,6 +27,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm import warc
+
+    path = warc.archive_folder(spark)
+    warc.write(table(spark, sf_dir, "pages"), path)
+    rows = warc.transactions(warc.read(spark, path))
+    note = lambda k: F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "UTF-8"), f"(?m)^{k}: (-?[0-9]+)", 1)
+    digest = F.when(F.col("capture.type") == "response", F.sha1("capture.payload")).otherwise(F.substring_index("capture.payload_digest", ":", -1))
+    return rows.select(
+        note("page").cast("long").alias("page_id"),
+        F.col("capture.payload_bytes").alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        F.nullif(note("refers-to-page"), F.lit("")).cast("long").alias("refers_to"),
+    )
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm import substrings
 
@@ -51,4 +68,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_warc": """
+            with p as (select page_id, coalesce(html, '') as h from pages),
+            k as (select h, max(page_id) as top from p where octet_length(encode(h)) >= 1000 group by h)
+            select page_id, cast(octet_length(encode(p.h)) as bigint) as payload_bytes, sha1(p.h) as payload_digest,
+                case when top is null or top = page_id then 'response' else 'revisit' end as record_type,
+                case when top <> page_id then top end as refers_to
+            from p left join k on p.h = k.h""",
+        "op9_substrings": """
+            with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+            p as (select doc_id, words, unnest(range(1, len(words) + 1)) as k from w),
+            s as (select doc_id, k, array_to_string(words[k:k + 12], ' ') as s from p where k + 12 <= len(words)),
+            f as (select s, min(doc_id) as first from s group by s having count(distinct doc_id) > 1),
+            g as (select distinct doc_id, k + unnest(range(0, 13)) as k from s join f using (s) where doc_id > first),
+            r as (select p.doc_id, count(g.k) as n_removed, coalesce(string_agg(p.words[p.k], ' ' order by p.k) filter (where g.k is null), '') as kept
+                  from p left join g on p.doc_id = g.doc_id and p.k = g.k group by p.doc_id)
+            select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+            from w left join r on w.doc_id = r.doc_id""",
+    }
