@@ -44,6 +44,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out()))
+    found = langid.predict(docs.select("doc_id", "text"), model, keep_text=False)
+    return found.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm import substrings
 
