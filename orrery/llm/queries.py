@@ -50,6 +50,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm import lines
+
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm import langid
 
