@@ -9,8 +9,8 @@ in it, so windows whose cells don't all reach two start in one document only. Se
 grouped exactly, by a 96-bit key of their words. The filter loses no repeated window whatever its size: if
 a corpus overfills the sketch, more windows are grouped, and the result is the same.
 
-The merged sketch is broadcast as bits (cell reaches two); its size is ``ROWS * 2**CELLS / 8`` bytes whatever
-the corpus. A window that many documents share is reduced to one row a task before it is shuffled for its
+The merged sketch is broadcast as compressed bits (cell reaches two), ``ROWS * 2**CELLS / 8`` bytes at most
+whatever the corpus. A window that many documents share is reduced to one row a task before it is shuffled for its
 smallest document, and the join that returns this to the windows is one that Spark splits where a key is hot.
 
 Defined cases: null and empty texts have no words and keep the empty string; texts shorter than a window
@@ -21,6 +21,8 @@ gives an empty one.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,7 +63,7 @@ def cell(keys, row: int, cells: int):
 
 
 def sketch(df: DataFrame, text: str, size: int = WINDOW, rows: int = ROWS, cells: int = CELLS, shard: int = SHARD) -> DataFrame:
-    """(row, shard, bits): for each shard of the merged sketch a bit for each cell, set if its count is two or more."""
+    """(row, shard, bits): for each shard of the merged sketch a bit for each cell, set if its count is two or more; compressed."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -103,7 +105,7 @@ def sketch(df: DataFrame, text: str, size: int = WINDOW, rows: int = ROWS, cells
 
         def done() -> pa.RecordBatch:
             added()
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], names=["row", "shard", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([zlib.compress(np.packbits(counts > 1, bitorder="little"), 1)], pa.binary())], names=["row", "shard", "bits"])
 
         for x in slices(batches, "low"):
             for row, s, blocks, low in zip(*(c.to_pylist() for c in x.columns)):
@@ -122,19 +124,32 @@ def sketch(df: DataFrame, text: str, size: int = WINDOW, rows: int = ROWS, cells
     return parts.repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(merged, "row int, shard int, bits binary")
 
 
-def repeated(df: DataFrame, text: str, key: str, size: int = WINDOW, rows: int = ROWS, cells: int = CELLS, shard: int = SHARD) -> DataFrame:
-    """(h, g, key, at): the windows whose estimated count is two or more."""
+_HELD: dict = {}
+
+
+def _merged(name: str, shared, rows: int, cells: int, shard: int):
+    """The sketch's bits in a worker, which holds one sketch at a time."""
     import numpy as np
 
+    if name not in _HELD:
+        _HELD.clear()
+        bits = np.zeros((rows, 1 << (cells - 3)), np.uint8)
+        for row, s, packed in shared.value:
+            bits[row, s << (shard - 3) : (s + 1) << (shard - 3)] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        _HELD[name] = bits
+    return _HELD[name]
+
+
+def repeated(df: DataFrame, text: str, key: str, size: int = WINDOW, rows: int = ROWS, cells: int = CELLS, shard: int = SHARD) -> DataFrame:
+    """(h, g, key, at): the windows whose estimated count is two or more."""
     shard = min(shard, cells)
-    bits = np.zeros((rows, 1 << (cells - 3)), np.uint8)
-    for r in sketch(df, text, size, rows, cells, shard).toLocalIterator():
-        bits[r["row"], r["shard"] << (shard - 3) : (r["shard"] + 1) << (shard - 3)] = np.frombuffer(r["bits"], np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(bits)
-    del bits
+    shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in sketch(df, text, size, rows, cells, shard).toLocalIterator()])
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits = _merged(name, shared, rows, cells, shard)
+        import numpy as np
+
         for x in slices(batches, text):
             ids, found = x.column(key).to_numpy(zero_copy_only=False), []
             for i, t in zip(ids, x.column(text).to_pylist()):
