@@ -8,7 +8,7 @@ inequality two fingerprints differ in at least as many bits as any coordinate of
 largest coordinate difference is over three is discarded; survivors are verified. One coordinate discards
 only about half of random pairs, so the tables are compared within bands, never over all pairs: the 64 bits
 are cut into six blocks, of which two linked fingerprints share at least three, and each fingerprint enters
-the twenty bands that three blocks name. A band is walked breadth first and yields a spanning forest of its
+the twenty bands that three blocks name (in general ``blocks`` less ``bits`` of them are shared). A band is walked breadth first and yields a spanning forest of its
 links, so a large group of near copies gives as many rows as members, not their pairs.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; fewer than three words
@@ -113,13 +113,13 @@ def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, pivots: int
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, bits: int = BITS) -> DataFrame:
+def near_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """(key, fingerprint, component_id) for each row; a component is named by its smallest key."""
     prints = saved(fingerprints(df.select(key, text), text, words=words, keep_text=False), "fingerprints")
     classes = saved(prints.groupBy("fingerprint").agg(F.min(key).alias("node")), "classes")
     # conv() yields the unsigned number in decimal; two halves make the signed long with the same bits
     half = lambda k: F.conv(F.substring("fingerprint", k, 8), 16, 10).cast("long")
     nodes = classes.where("node is not null").select("node", F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("value"))
-    found = components(links(nodes, bits))
+    found = components(links(nodes, bits, blocks))
     named = saved(classes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id")), "named")
     return prints.join(named, "fingerprint").select(key, "fingerprint", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
