@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Phrases that mark a refusal, and where sentences end.
-REFUSALS = ("现有资料不足", "无法回答", "未找到", "没有找到", "无法确定", "资料中未", "not enough information", "cannot answer")
-SENTENCE_END, CLAIM_LENGTH = r"[。！？!?\n]", 12
+REFUSALS = ("无法确认", "无法回答", "无法确定", "无法提供", "资料不足", "没有找到", "未检索到", "未找到")
+SENTENCE_END, CLAIM_LENGTH = r"[。！？!?\n]+", 12
 
 
 def evidence(n_hits: Column, best: Column, least: float = 0.35) -> Column:

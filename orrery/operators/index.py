@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from orrery.functions.text import embedding_text, fusion_key, uuid5
 
 #: Fixed value: the namespace that chunk ids are derived in.
-NAMESPACE = "5f3a9c1e-0000-0000-0000-000000000000"
+NAMESPACE = "5f3a9c1e-7b2d-4e8f-9a6c-1d0b4e7f2a83"
 
 
 def payload(drafts: DataFrame, namespace: str = NAMESPACE) -> DataFrame:
