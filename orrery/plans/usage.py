@@ -14,6 +14,11 @@ START, END = datetime(2024, 1, 10), datetime(2024, 1, 20)
 RANGE = "create_time >= timestamp '2024-01-10' and create_time < timestamp '2024-01-20'"
 
 
+def _shown(df):
+    """Dates as text."""
+    return df.withColumn("usage_date", F.col("usage_date").cast("string"))
+
+
 @query(f"select agent, {TOTALS} from {FACTS} group by agent")
 def g1_usage_by_agent(spark, sf):
     return usage.summary(usage.scoped(facts(spark, sf), None), ["agent"])
@@ -39,9 +44,9 @@ def g3_grand_total(spark, sf):
     return facts(spark, sf).agg(*usage.totals())
 
 
-@query(f"select usage_date, {TOTALS} from {FACTS} where {RANGE} group by usage_date")
+@query(f"select cast(usage_date as varchar) as usage_date, {TOTALS} from {FACTS} where {RANGE} group by usage_date")
 def g4_daily_trend(spark, sf):
-    return usage.daily_trend(usage.scoped(facts(spark, sf), None, START, END))
+    return _shown(usage.daily_trend(usage.scoped(facts(spark, sf), None, START, END)))
 
 
 @query(f"select {TOTALS}, cast(round_even(cast(avg(total_tokens) as decimal(20,4)), 0) as bigint) as avg_latency from {FACTS} where {RANGE}")
@@ -88,9 +93,9 @@ def f5_status_filter(spark, sf):
     return table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
 
 
-@query(f"select usage_date, {TOTALS} from {FACTS} where user_id = 3 group by usage_date")
+@query(f"select cast(usage_date as varchar) as usage_date, {TOTALS} from {FACTS} where user_id = 3 group by usage_date")
 def f6_row_scope(spark, sf):
-    return usage.daily_trend(usage.scoped(facts(spark, sf), 3))
+    return _shown(usage.daily_trend(usage.scoped(facts(spark, sf), 3)))
 
 
 @query("""select o_orderkey from orders where o_orderstatus = 'O' and o_orderdate < (select max(o_orderdate) from orders) - interval 15 minute""")
@@ -116,17 +121,16 @@ def w8_period_over_period(spark, sf):
     return usage.period_over_period(facts(spark, sf), datetime(2024, 1, 20), datetime(2024, 1, 25))
 
 
-@query("""select l_orderkey, l_linenumber, cast(cast(round((cast(l_quantity as decimal(18,0)) * cast(l_discount as decimal(18,6)) + cast(l_linenumber as decimal(18,0)) * cast(l_tax as decimal(18,6))) / 1000, 6) as decimal(18,6)) as double) as cost
-    from lineitem where l_orderkey % 100 = 0 and l_orderkey < 0""")
+@query("select l_orderkey, l_linenumber, round((cast(l_quantity as bigint) * l_discount + l_linenumber * l_tax) / 1000.0, 6) as cost from lineitem")
 def x1_cost(spark, sf):
-    # values of three places at most, so every engine's division is exact at six
-    x = table(spark, sf, "lineitem").where("l_orderkey % 100 = 0 and l_orderkey < 0")
+    # prices of two places: every engine's quotient is exact at six
+    x = table(spark, sf, "lineitem")
     return x.select("l_orderkey", "l_linenumber", measures.cost(F.col("l_quantity"), F.col("l_linenumber"), F.col("l_discount"), F.col("l_tax")).cast("double").alias("cost"))
 
 
-@query("select event_id, cast(ts + interval 8 hour as date) as usage_date from events")
+@query("select event_id, cast(cast(ts + interval 8 hour as date) as varchar) as usage_date from events")
 def x2_business_date(spark, sf):
-    return table(spark, sf, "events").select("event_id", measures.business_date(F.col("ts")).alias("usage_date"))
+    return _shown(table(spark, sf, "events").select("event_id", measures.business_date(F.col("ts")).alias("usage_date")))
 
 
 @query("""with d as (select agent, count(*) filter (where usage_date < date '2024-01-15') as p, count(*) filter (where usage_date >= date '2024-01-15') as c from """ + FACTS + """ group by agent)
@@ -146,10 +150,10 @@ def j2_left_outer_organization(spark, sf):
     return by.join(org, F.col("user_id") == F.col("c_custkey"), "left").select("user_id", F.col("c_name").alias("organization"), F.col("n_name").alias("nation"), "calls", "total_cost")
 
 
-@query(f"""select id, user_id, agent, total_tokens, cast(total_cost as double) as total_cost, usage_date, status from {FACTS} where {RANGE}""")
+@query(f"""select id, user_id, agent, total_tokens, cast(total_cost as double) as total_cost, cast(usage_date as varchar) as usage_date, status from {FACTS} where {RANGE}""")
 def s11_fact_rows(spark, sf):
     out = usage.scoped(facts(spark, sf), None, START, END)
-    return out.select("id", "user_id", "agent", "total_tokens", F.col("total_cost").cast("double").alias("total_cost"), "usage_date", "status")
+    return _shown(out.select("id", "user_id", "agent", "total_tokens", F.col("total_cost").cast("double").alias("total_cost"), "usage_date", "status"))
 
 
 @query(f"""with s as (select agent, {TOTALS} from {FACTS} group by agent order by total_tokens desc, agent limit 3)
