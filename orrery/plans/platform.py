@@ -170,7 +170,7 @@ def u7_ordered_dedup(spark, sf):
     return rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), ",").alias("statuses"))
 
 
-@query("select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\\n[ \\t]*\\n(?:[ \\t]*\\n)*'), x -> trim(x, ' \t\n')), lambda x: x <> '')) as paragraph from documents where doc_id < 40")
+@query("select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\\n[ \\t]*\\n(?:[ \\t]*\\n)*'), lambda x: trim(x, ' \t\n')), lambda x: x <> '')) as paragraph from documents where doc_id < 40")
 def p1_paragraphs(spark, sf):
     d = table(spark, sf, "documents").where("doc_id < 40")
     return d.select("doc_id", F.explode(text.paragraphs(F.replace("text", F.lit(". "), F.lit("\n\n")))).alias("paragraph"))
