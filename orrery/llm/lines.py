@@ -86,6 +86,24 @@ def _next(s: Column, d0: Column, i: Column, edits: int, width: int) -> Column:
     return F.struct(s["a"].alias("a"), s["b"].alias("b"), hn.bitwiseOR(flip(d1.bitwiseOR(hp))).alias("vp"), d1.bitwiseAND(hp).alias("vn"), (s["d"] + score).alias("d"))
 
 
+def _shared_start(a: Column, b: Column, steps: int = 20) -> Column:
+    """The length of the longest common beginning, by halving steps."""
+    same = lambda n: (n <= F.least(F.length(a), F.length(b))) & (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(steps, -1, -1))), F.lit(0), lambda n, k: F.when(same(n + k), n + k).otherwise(n))
+
+
+def _ends_fit(a: Column, b: Column, start: Column, end: Column) -> Column:
+    """Whether what lies between the common ends can differ by two edits: one at its first place and one at its last."""
+    inner = lambda t, x, y: F.substring(t, start + 1 + x, F.length(t) - start - end - x - y)
+    moves = ((1, 1), (1, 0), (0, 1))
+    out = F.least(F.length(a), F.length(b)) - start - end <= 1
+    for x, p in moves:
+        for y, q in moves:
+            fits = (F.length(a) - start - end - x - y >= 0) & (F.length(b) - start - end - p - q >= 0)
+            out = out | (fits & (F.length(a) - x - y == F.length(b) - p - q) & (inner(a, x, y) == inner(b, p, q)))
+    return out
+
+
 def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(a, b): hashes of different lines within ``edits`` edits, each pair once."""
     long = lines.where(F.col("n") >= least)
@@ -104,6 +122,13 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     pairs = saved(found.selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "pairs")
     line = lambda name: texts.select(F.col("h").alias(name), F.col("line").alias(f"{name}_line"))
     checked = pairs.join(line("a"), "a").join(line("b"), "b")
+    if edits <= 2:  # most false candidates differ in more than their ends allow; a generated row keeps these lengths from being computed anew at every use
+        x, y = F.col("a_line"), F.col("b_line")
+        start = _shared_start(x, y)
+        checked = checked.withColumn("start", F.explode(F.array(start)))
+        rest = lambda t: F.reverse(F.substring(t, F.col("start") + 1, F.length(t)))
+        checked = checked.withColumn("end", F.explode(F.array(_shared_start(rest(x), rest(y)))))
+        checked = checked.where(_ends_fit(x, y, F.col("start"), F.col("end")))
     return checked.where(bit_parallel(F.col("a_line"), F.col("b_line"), edits) <= edits).select("a", "b")
 
 
