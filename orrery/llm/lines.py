@@ -149,8 +149,9 @@ def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", edits: int =
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least: int = LEAST, out: str = "text", count: str | None = "n_dropped") -> DataFrame:
     """df with ``out``, the text without the lines that go, and how many those are."""
-    gone = dropped(df, text, key, edits, least).withColumnRenamed("key", "gone key")
+    own = "lines that go"  # names that a caller's columns won't have
+    gone = dropped(df, text, key, edits, least).toDF("gone key", own)
     joined = df.join(gone, F.col(key).eqNullSafe(F.col("gone key")), "left").drop("gone key")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    rows = joined.withColumn(out, F.when(F.col("dropped").isNull(), F.col(text)).otherwise(kept))
-    return (rows.withColumn(count, F.coalesce(F.size("dropped"), F.lit(0)).cast("long")) if count else rows).drop("dropped")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(own, i)), "\n")
+    rows = joined.withColumn(out, F.when(F.col(own).isNull(), F.col(text)).otherwise(kept))
+    return (rows.withColumn(count, F.coalesce(F.size(own), F.lit(0)).cast("long")) if count else rows).drop(own)
