@@ -122,14 +122,15 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     pairs = saved(found.selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "pairs")
     line = lambda name: texts.select(F.col("h").alias(name), F.col("line").alias(f"{name}_line"))
     checked = pairs.join(line("a"), "a").join(line("b"), "b")
-    if edits <= 2:  # most false candidates differ in more than their ends allow; a generated row keeps these lengths from being computed anew at every use
-        x, y = F.col("a_line"), F.col("b_line")
-        start = _shared_start(x, y)
-        checked = checked.withColumn("start", F.explode(F.array(start)))
-        rest = lambda t: F.reverse(F.substring(t, F.col("start") + 1, F.length(t)))
-        checked = checked.withColumn("end", F.explode(F.array(_shared_start(rest(x), rest(y)))))
+    # common ends change no distance; a generated row keeps their lengths from being computed anew at every use, and the distance from being computed before them
+    x, y = F.col("a_line"), F.col("b_line")
+    checked = checked.withColumn("start", F.explode(F.array(_shared_start(x, y))))
+    rest = lambda t: F.reverse(F.substring(t, F.col("start") + 1, F.length(t)))
+    checked = checked.withColumn("end", F.explode(F.array(_shared_start(rest(x), rest(y)))))
+    if edits <= 2:  # most false candidates differ in more than their ends allow
         checked = checked.where(_ends_fit(x, y, F.col("start"), F.col("end")))
-    return checked.where(bit_parallel(F.col("a_line"), F.col("b_line"), edits) <= edits).select("a", "b")
+    middle = lambda t: F.substring(t, F.col("start") + 1, F.length(t) - F.col("start") - F.col("end"))
+    return checked.where(bit_parallel(middle(x), middle(y), edits) <= edits).select("a", "b")
 
 
 def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least: int = LEAST) -> DataFrame:
