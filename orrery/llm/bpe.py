@@ -177,6 +177,11 @@ class WordBpe:
             self.chunks[c] = self.special[c].to_bytes(4, "little") if c in self.special else b"".join(map(word, pieces[c]))
         return [b"".join(map(self.chunks.__getitem__, p)) for p in parts]
 
+    def forget(self) -> None:
+        """Empties the caches: a worker that waits for its next task holds the vocabulary only."""
+        for cache in (self.chunks, self.words, self.stable, self.edges):
+            cache.clear()
+
     def decode(self, packed: bytes | None) -> str:
         """Tokens joined by a space, special ones among them; ids outside the vocabulary are left out."""
         import numpy as np
@@ -190,30 +195,37 @@ def _model(spec: str) -> WordBpe:
     return WordBpe(spec)
 
 
-def _mapped(df: DataFrame, by: str, added: dict[str, T.DataType], path: str, make) -> DataFrame:
-    """df with the added columns, made by make(model, values of ``by``) -> arrays."""
+def _mapped(df: DataFrame, by: str, added: dict[str, T.DataType], path: str, make, keep: bool = True) -> DataFrame:
+    """df with the added columns, made by make(model, values of ``by``) -> arrays; ``by`` itself stays if ``keep``."""
     with open(path, encoding="utf-8") as file:  # a vocabulary file: of one size whatever the corpus
         spec = df.sparkSession.sparkContext.broadcast(file.read())
-    schema = T.StructType([f for f in df.schema if f.name not in added] + [T.StructField(k, t) for k, t in added.items()])
+    schema = T.StructType([f for f in df.schema if f.name not in added and (keep or f.name != by)] + [T.StructField(k, t) for k, t in added.items()])
     names = [f.name for f in schema][: -len(added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(spec.value)
-        for x in slices(batches, by):
-            arrays = make(model, x.column(by).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(x.column(n) for n in names), *arrays], names=[*names, *added])
+        try:
+            for x in slices(batches, by):
+                arrays = make(model, x.column(by).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(x.column(n) for n in names), *arrays], names=[*names, *added])
+        finally:
+            model.forget()
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """df with ``out`` (ids as little-endian unsigned 32-bit integers, the form of token shards) and ``n_tokens``."""
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+    """df with ``out`` (ids as little-endian unsigned 32-bit integers, the form of token shards) and ``n_tokens``.
+
+    ``decoded`` names a column for what the ids decode to, in the same pass.
+    """
 
     def make(model: WordBpe, texts: list[str | None]) -> list[pa.Array]:
         packed = model.encode(texts)
-        return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
+        back = [pa.array([model.decode(p) for p in packed], pa.string())] if decoded else []
+        return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), *back]
 
-    return _mapped(df, text, {out: T.BinaryType(), "n_tokens": T.LongType()}, path, make)
+    return _mapped(df, text, {out: T.BinaryType(), "n_tokens": T.LongType()} | ({decoded: T.StringType()} if decoded else {}), path, make, keep_text)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

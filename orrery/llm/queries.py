@@ -27,7 +27,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm import bpe
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded", keep_text=False)
     return docs.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
