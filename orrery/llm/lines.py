@@ -12,7 +12,7 @@ Candidate pairs pass a letter-count filter inside the join, and banded bit-paral
 
 A line that repeats in many documents is one row after the first aggregation; the joins that bring decisions
 back to its occurrences are plain equi-joins of two stored sides, which Spark splits where a key is hot. What
-grows with the corpus is merged at every size, so that a small run's plan is a large run's too.
+grows with the corpus is shuffled at every size, so that a small run's plan is a large run's too.
 
 Defined cases: null text stays null and empty text empty; of repeated lines in one document the first stays;
 rows that share an id share their decisions by line position, so exact repeats of a row keep the same lines;
@@ -110,10 +110,10 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     long = lines.where(F.col("n") >= least)
     keys = long.select("h", segment_keys(edits).alias("s")).select("h", F.col("s.k").alias("k"), F.col("s.own").alias("own"))
     shared = saved(keys.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("own").alias("own")).where("x <> y and own").select("k"), "keys")
-    members = saved(keys.join(shared.hint("merge"), "k", "left_semi").groupBy("k", "h").agg(F.max("own").alias("own")), "members")
+    members = saved(keys.join(shared.hint("shuffle_hash"), "k", "left_semi").groupBy("k", "h").agg(F.max("own").alias("own")), "members")
     wanted = saved(members.select("h").distinct(), "wanted")
     counts = F.array(*(F.col("n") - F.length(F.translate("line", c, "")) for c in CLASSES))
-    texts = long.select("h", "line", "n").join(wanted.hint("merge"), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("n", F.length("line"))
+    texts = long.select("h", "line", "n").join(wanted.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("n", F.length("line"))
     texts = saved(texts.withColumn("c", counts), "texts")
     side = saved(members.join(texts.select("h", "n", "c"), "h"), "sides")
     a = side.where("own").selectExpr("k", "h a", "n an", "c ac")
@@ -145,7 +145,7 @@ def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", edits: int =
     near = both.join(of.withColumnRenamed("h", "b"), "b").groupBy("a").agg(F.min("first").alias("near"))
     decided = first.join(near.withColumnRenamed("a", "h"), "h", "left").select("h", "g", "first", F.coalesce(F.col("near") < F.col("first"), F.lit(False)).alias("too"), "n")
     decided = saved(decided.where("n > 1 or too").select("h", "g", "first", "too"), "decided")
-    gone = lines.select("key", "at", "h", "g").join(decided.hint("merge"), ["h", "g"]).where(F.col("too") | (place != F.col("first")))
+    gone = lines.select("key", "at", "h", "g").join(decided.hint("shuffle_hash"), ["h", "g"]).where(F.col("too") | (place != F.col("first")))
     return saved(gone.groupBy("key").agg(F.collect_set("at").alias("dropped")), "gone")
 
 
