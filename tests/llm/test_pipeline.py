@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline
+from orrery.llm import simhash
 from orrery.llm.shared import saved
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +25,65 @@ def test_odd_rows(spark, odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             df = saved(stage(spark, df, SF), name)
         assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() >= 0
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_against_brute_force(spark):
+    """Pairs planted at 0.80 to 0.90 go, pairs under 0.8 stay, chains count: all as brute force says."""
+    r = random.Random(7)
+    texts, planted = [], []
+    for k in range(1200):
+        w = [f"w{r.randrange(10**6)}" for _ in range((184, 109, 64, 184)[k % 4])]
+        edits = {184: (4, 4, 3, 2, 5), 109: (2, 2, 1, 2, 3), 64: (1, 1, 1, 1, 2)}[len(w)][k % 5]
+        v = list(w)
+        for at in range(edits):
+            v[10 + 6 * at] = f"n{r.randrange(10**6)}"
+        planted.append((2 * k, 2 * k + 1))
+        texts += [" ".join(w), " ".join(v)]
+    for k in range(10):  # chains of which only neighbours are near
+        w = [f"c{r.randrange(10**6)}" for _ in range(184)]
+        for _ in range(6):
+            texts.append(" ".join(w))
+            for at in r.sample(range(20, 160, 7), 3):
+                w[at] = f"d{r.randrange(10**6)}"
+    own = [shingles(t) for t in texts]
+    first, best, pairs = {}, list(range(len(texts))), set()
+    for k, s in enumerate(own):
+        for j in {j for x in s for j in first.get(x, ())}:
+            if len(s & own[j]) >= 0.8 * len(s | own[j]):
+                pairs.add((j, k))
+                a, b = sorted((best[j], best[k]))
+                best = [a if x == b else x for x in best]
+        for x in s:
+            first.setdefault(x, []).append(k)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], kinds).repartition(4)
+    kept = {x.doc_id for x in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()}
+    true = {k for k in range(len(texts)) if best[k] == k}
+    assert true <= kept  # nothing under 0.8 goes
+    low = [b for a, b in planted if (a, b) in pairs and len(own[a] & own[b]) <= 0.9 * len(own[a] | own[b])]
+    missed = sum(b in kept for b in low)
+    print("pairs at 0.80-0.90:", len(low), "missed:", missed, "chains etc. kept beyond brute force:", len(kept - true))
+    assert len(low) > 500 and missed <= 0.02 * len(low) and len(kept - true) <= 0.02 * (len(texts) - len(true))
+
+
+def test_exact_links():
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(200):
+        sets = [np.array(sorted(r.sample(range(14), r.randint(0, 12))), np.uint64) for _ in range(r.randint(1, 12))]
+
+        def groups(edges):
+            best = list(range(len(sets)))
+            for a, b in edges:
+                lo, hi = sorted((best[a], best[b]))
+                best = [lo if x == hi else x for x in best]
+            return best
+
+        true = [(a, b) for a in range(len(sets)) for b in range(a) if (c := len(np.intersect1d(sets[a], sets[b]))) and 5 * c >= 4 * (len(sets[a]) + len(sets[b]) - c)]
+        assert groups(simhash._similar(range(len(sets)), sets, 0.8)) == groups(true)
