@@ -7,8 +7,11 @@ Lists that are full of links are enlarged to twice their length for the next rou
 close enough to lie on a path of two links are worth keeping, so vectors without near neighbours drop out.
 
 The graph's links give the components; within each of them all links are counted exactly, by pairs of
-hashed blocks of bounded size, so lists never cap a count. An audit compares a bounded set of vectors with
-all others by brute force; while its recall is below the target, more random orders and rounds are added.
+hashed blocks of bounded size, so lists never cap a count. Lists stop at ``FULL`` times their length; what a
+list that is full then may lack is sought exactly: a component that holds such a vector is compared with every
+vector near enough to its centre, given its radius, to link with a member. An audit compares a bounded set of
+vectors with all others by brute force; while its recall is below the target, more random orders and rounds are
+added, and after ``ATTEMPTS`` of them the job fails.
 
 Defined cases: null, empty and zero vectors, and vectors with null or non-finite components, link with
 nothing and are kept; so do vectors whose length differs from the table's commonest (ties: the longest);
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from orrery.llm.components import components
 from orrery.llm.shared import saved
 
-LINK, LIST, ORDERS, ROUNDS, RUN, BLOCK = 0.95, 12, 6, 3, 96, 256
+LINK, LIST, ORDERS, ROUNDS, RUN, BLOCK, FULL, ATTEMPTS = 0.95, 12, 6, 3, 96, 256, 4, 8
 #: The audit: so many vectors against all, and the share of their links that must be found.
 AUDIT, RECALL = 128, 0.98
 
@@ -154,12 +157,43 @@ def _round(nodes: DataFrame, graph: DataFrame, floor: float) -> DataFrame:
     return rows.repartition("a").sortWithinPartitions("a").mapInArrow(run, "a long, b long, sim double")
 
 
+def _across(nodes: DataFrame, parts: DataFrame, full: DataFrame, link: float) -> DataFrame:
+    """Pairs (a, b) of components, one of them with a node of ``full``, that may have a link. A node outside all parts is its own."""
+    import numpy as np
+
+    dense = parts.join(parts.join(full, "node").select("component").distinct(), "component").join(nodes.select("node", "u"), "node")
+    sums = dense.select("component", F.posexplode("u").alias("k", "x")).groupBy("component", "k").agg(F.avg("x").alias("x"))
+    centres = saved(sums.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c")), "centres")
+    gap = F.sqrt(F.aggregate(F.zip_with("u", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    found = dense.join(centres, "component").groupBy("component").agg(F.first("c").alias("c"), F.max(gap).alias("radius")).collect()
+    if not found:
+        return parts.selectExpr("node a", "component b").limit(0)
+    # linked unit vectors are at most so far apart, so one that links with a member is no farther from its centre than that and the radius
+    reach = math.sqrt(2 - 2 * link) + np.array([r["radius"] for r in found]) + 1e-9
+    shared = nodes.sparkSession.sparkContext.broadcast((np.array([r["component"] for r in found]), np.array([r["c"] for r in found]), reach))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c, reach = shared.value
+        for batch in batches:
+            for x in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                v, own = _matrix(x.column("u")), x.column("component").to_numpy()
+                square = (v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (v @ c.T)
+                i, j = np.nonzero((square <= (reach * reach)[None, :] + 1e-9) & (own[:, None] != ids[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j])], names=["a", "b"])
+
+    rows = nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "u")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _counts(nodes: DataFrame, parts: DataFrame, link: float) -> DataFrame:
-    """(node, links): the vectors linked to each node of a component, its own class aside."""
+    """(node, links, other): the vectors linked to each node of a component, its own class aside; and, with no count, links from its part to another part.
+
+    parts has (node, component, part): nodes of a component are compared, whatever their parts.
+    """
     sizes = saved(parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    rows = parts.join(nodes, "node").select("node", "component", "size", "u").join(sizes, "component")
+    rows = parts.join(nodes, "node").select("node", "component", "part", "size", "u").join(sizes, "component")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "component", "own", "node", "size", "u")
+    rows = rows.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "component", "part", "own", "node", "size", "u")
     keys = ["component", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +203,7 @@ def _counts(nodes: DataFrame, parts: DataFrame, link: float) -> DataFrame:
             g = g.combine_chunks()
             ids, size, v = g.column("node").to_numpy(), g.column("size").to_numpy(), _matrix(g.column("u").combine_chunks())
             own, lo, hi = g.column("own").to_numpy(), g.column("lo")[0].as_py(), g.column("hi")[0].as_py()
+            part, pairs = g.column("part").to_numpy(), set()
             out = np.zeros(len(ids), np.int64)
             for k in range(0, len(ids), 512):  # blocks are hashed, so a few are larger than planned
                 near = v[k : k + 512] @ v.T >= link
@@ -176,10 +211,14 @@ def _counts(nodes: DataFrame, parts: DataFrame, link: float) -> DataFrame:
                     near &= own[k : k + 512, None] != own[None, :]
                 near &= ids[k : k + 512, None] != ids[None, :]
                 out[k : k + 512] = near @ size
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out)], names=["node", "n"])
+                i, j = np.nonzero(near & (part[k : k + 512, None] < part[None, :]))
+                pairs.update(zip(part[i + k].tolist(), part[j].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out), pa.nulls(len(ids), pa.int64())], names=["node", "n", "other"])
+            pairs = sorted(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.nulls(len(pairs), pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["node", "n", "other"])
 
-    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, n long")
-    return found.groupBy("node").agg(F.sum("n").alias("links"))
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, n long, other long")
+    return found.groupBy("node", "other").agg(F.sum("n").alias("links"))
 
 
 def _audit(nodes: DataFrame, counts: DataFrame, link: float, size: int) -> float:
@@ -208,21 +247,35 @@ def near_groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     rows = usable(df, key, vector)
     nodes = saved(classes(rows), "vectors")
     graph = None
-    for attempt in range(3):
+    lists = lambda: graph.groupBy(F.col("a").alias("node")).agg(F.max("room").alias("room"), F.count("*").alias("n"), F.min("sim").alias("least"))
+    is_full = (F.col("n") >= F.col("room")) & (F.col("least") >= link)
+    for attempt in range(ATTEMPTS):
         found = _from_orders(nodes, attempt, orders, length, floor)
-        graph = saved(_best(found if graph is None else found.unionAll(graph.select("a", "b", "sim")), None, length), "graph")
+        graph = saved(_best(found, None, length) if graph is None else _best(found.unionAll(graph.select("a", "b", "sim")), lists().select("node", "room"), length), "graph")
         for _ in range(rounds):
-            full = graph.groupBy(F.col("a").alias("node")).agg(F.max("room").alias("room"), F.count("*").alias("n"), F.min("sim").alias("least"))
-            room = full.select("node", F.when((F.col("n") >= F.col("room")) & (F.col("least") >= link), F.least(2 * F.col("room"), F.lit(4 * length))).otherwise(F.col("room")).alias("room"))
+            room = lists().select("node", F.when(is_full, F.least(2 * F.col("room"), F.lit(FULL * length))).otherwise(F.col("room")).alias("room"))
             better = saved(_best(_round(nodes, graph, floor).unionAll(graph.select("a", "b", "sim")), room, length), "graph")
             new = better.where(F.col("sim") >= link).join(graph, ["a", "b"], "left_anti").count()
             graph = better
             if not new:
                 break
-        parts = saved(components(graph.where(F.col("sim") >= link).select("a", "b")), "parts")
-        counts = saved(_counts(nodes, parts, link), "counts")
-        if _audit(nodes, counts, link, AUDIT) >= recall:
+        links = graph.where(F.col("sim") >= link).select("a", "b")
+        parts = saved(components(links), "parts")
+        across = saved(_across(nodes, parts, saved(lists().where(is_full).select("node"), "full"), link), "across")
+        # components that may be linked are compared as one; then links found between them join them
+        joined = components(across).toDF("part", "wider")
+        wider = nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part")).join(joined, "part", "left")
+        wider = saved(wider.select("node", F.coalesce("wider", "part").alias("component"), "part").join(parts.select("node").union(joined.select("part")).distinct(), "node"), "wider")
+        both = saved(_counts(nodes, wider, link), "counts")
+        counts = both.where("other is null").select("node", "links")
+        met = both.where("other is not null").selectExpr("node a", "other b")
+        if not met.isEmpty():
+            parts = saved(components(links.unionAll(met)), "parts")
+        reached = _audit(nodes, counts, link, AUDIT)
+        if reached >= recall:
             break
+    else:
+        raise RuntimeError(f"the audit found {reached:.3f} of the links after {ATTEMPTS} attempts, under {recall}")
     named = nodes.select("node", "size").join(counts, "node", "left").join(parts, "node", "left")
     named = named.select("node", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     named = saved(named.join(nodes.select("node", "v"), "node").drop("node"), "named")

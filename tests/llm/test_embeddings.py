@@ -33,3 +33,20 @@ def test_odd_vectors(spark):
     assert [out[k].n_links for k in range(1, 11)] == [0] * 6 + [2, 2, 2, 0]
     assert out[9].component_id == 7 and out[1].kept and not out[8].kept
     assert embeddings.near_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_dense_groups_joined_by_far_pairs(spark):
+    """Every member has more closer neighbours than a list holds; the links between the groups count all the same."""
+    rng = np.random.default_rng(8)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    b = 0.966 * a + np.sqrt(1 - 0.966**2) * b
+    rows = np.concatenate([c + 0.1 / np.sqrt(32) * rng.standard_normal((150, 32)) for c in (a, b)])
+    u = rows / np.linalg.norm(rows, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    inner, cross = [np.sort((u @ u.T)[k, lo : lo + 150])[::-1] for k in range(300) for lo in [150 * (k // 150)]], (u @ u.T)[:150, 150:]
+    assert all(x[49] > c for x, c in zip(inner, [*cross.max(1), *cross.max(0)])) and near[:150, 150:].sum() > 5000
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r for r in embeddings.near_groups(df).collect()}
+    assert [out[k].n_links for k in range(300)] == near.sum(1).tolist()
+    assert {r.component_id for r in out.values()} == {0}
