@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,3 +30,13 @@ def slices(batches: Iterable[pa.RecordBatch], by: str, rows: int = SLICE_ROWS, m
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers outlive their tasks, and another job's may need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

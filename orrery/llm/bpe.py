@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from orrery.llm.batches import slices
+from orrery.llm.batches import give_back, slices
 
 #: The cached words and chunks of a worker; beyond it the cache starts anew.
 CACHE_ENTRIES = 250_000
@@ -110,7 +110,7 @@ class WordBpe:
         """The packed ids of each distinct word (in byte letters), by one walk over the words' trie."""
         ids, packed, edges, stable, end = self.ids, self.packed, self.edges, self.stable, self.end
         out, prefix, longest = {}, "", self.longest
-        states, codes = [""], [b""]  # of the first d letters: the last token of their encoding, and the encoding
+        states, begins = [""], [0]  # of the first d letters: the last token of their encoding, and where it starts
         for word in sorted(set(words)):
             n, keep, most = len(word), 0, min(len(word) - 1, len(prefix))
             if word[:most] == prefix[:most]:
@@ -118,7 +118,7 @@ class WordBpe:
             else:
                 while word[keep] == prefix[keep]:
                     keep += 1
-            del states[keep + 1 :], codes[keep + 1 :]
+            del states[keep + 1 :], begins[keep + 1 :]
             for d in range(keep + 1, n + 1):
                 for start in range(max(0, d - longest), d):
                     token = word[start:d] if d < n else word[start:] + end
@@ -133,9 +133,16 @@ class WordBpe:
                     raise ValueError(f"the vocabulary lacks a letter of {word!r}")
                 if d < n:
                     states.append(token)
-                    codes.append(codes[start] + packed[token])
+                    begins.append(start)
+                elif start:
+                    parts = [packed[token]]
+                    while start:
+                        parts.append(packed[states[start]])
+                        start = begins[start]
+                    parts.reverse()
+                    out[word] = b"".join(parts)
                 else:
-                    out[word] = codes[start] + packed[token]
+                    out[word] = packed[token]
             prefix = word[: n - 1]
         return out
 
@@ -210,6 +217,7 @@ def _mapped(df: DataFrame, by: str, added: dict[str, T.DataType], path: str, mak
                 yield pa.RecordBatch.from_arrays([*(x.column(n) for n in names), *arrays], names=[*names, *added])
         finally:
             model.forget()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

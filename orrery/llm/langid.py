@@ -6,9 +6,10 @@ languages are learned together by maximum likelihood; forward-backward gives eac
 each language in its line, so switches within a text are seen. A document's language is the one with the
 largest mean probability over its words, which is its score.
 
-Training takes at most ``DOCS`` labelled documents of each language, the first by a hash of their id, and
-``RUNS`` runs of words from random places of each; they are spliced so that some sequences switch language.
-Prediction reads every word of every line of every whole text, and nothing but the text.
+Training takes at most ``DOCS`` labelled documents of each language, the first by a hash of their id, of each of
+them ``CHARS`` characters from a place that the hash draws, and ``RUNS`` runs of words from random places of
+those; they are spliced so that some sequences switch language. Prediction reads every word of every line of
+every whole text, and nothing but the text; a line is one sequence, a longer one than ``SEQUENCE`` words several.
 
 Defined cases: null, empty and letterless texts get ``und`` and score 0; ties go to the language that sorts
 first; repeated rows give one row each; without labelled rows every document gets ``und``; further columns
@@ -17,21 +18,23 @@ pass through (new ones replace columns with the same name); an empty table gives
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
+import regex as re
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from orrery.llm.batches import slices
+from orrery.llm.batches import give_back, slices
 
-DOCS, RUNS, RUN = 300, 6, 24
-#: Weights per language; lexicon words per language; words that a worker keeps scores of.
-BUCKETS, LEXICON, CACHED = 1 << 17, 200, 200_000
+DOCS, CHARS, RUNS, RUN = 300, 8000, 6, 24
+#: Weights per language; lexicon words per language; words that a worker keeps scores of; words of a sequence.
+BUCKETS, LEXICON, CACHED, SEQUENCE = 1 << 17, 200, 50_000, 400
+#: Bytes of text that are scored at once.
+READ = 1 << 20
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"\p{L}+")
 
 
 def features(word: str, lexicons: dict[str, list[int]]) -> list[int]:
@@ -78,7 +81,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     chosen = labelled.where(F.col(lang).isNotNull()).select(lang, key, F.xxhash64(key).alias("h")).withColumn("n", F.row_number().over(by)).where(F.col("n") <= docs).select(key, lang)
     rng = np.random.default_rng(seed)
     runs: dict[str, list[list[str]]] = {}
-    for r in labelled.where(F.col(lang).isNotNull()).select(key, lang, text).join(F.broadcast(chosen), [key, lang], "left_semi").orderBy(lang, key).toLocalIterator():
+    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.greatest(F.lit(1), F.length(text) - CHARS + 1)).cast("int") + 1
+    for r in labelled.where(F.col(lang).isNotNull()).select(key, lang, F.substring(text, place, F.lit(CHARS)).alias(text)).join(F.broadcast(chosen), [key, lang], "left_semi").orderBy(lang, key).toLocalIterator():
         words = WORD.findall((r[text] or "").lower())
         for a in rng.integers(0, max(1, len(words) - RUN // 2), RUNS) if words else ():
             runs.setdefault(r[lang], []).append(words[a : a + RUN])
@@ -165,7 +169,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", out: str = "lang_pre
         import numpy as np
 
         scorer, langs = _Scorer(shared.value), shared.value["langs"]
-        for x in slices(batches, text, 2000, 8 << 20):
+        for x in slices(batches, text, 2000, READ):
             flat, lengths, sizes = [], [], []
             for t in x.column(text).to_pylist() if langs else [None] * x.num_rows:
                 before = len(flat)
@@ -173,7 +177,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", out: str = "lang_pre
                     found = WORD.findall(line)
                     if found:
                         flat += found
-                        lengths.append(len(found))
+                        lengths += [SEQUENCE] * (len(found) // SEQUENCE) + [len(found) % SEQUENCE] * (len(found) % SEQUENCE > 0)
                 sizes.append(len(flat) - before)
             best, value, labels = [UNKNOWN] * x.num_rows, [0.0] * x.num_rows, [[] for _ in sizes]
             if flat:
@@ -190,6 +194,8 @@ def predict(df: DataFrame, model: dict, text: str = "text", out: str = "lang_pre
                         labels[k] = [langs[v] for v in top[a : a + n]]
             arrays = [pa.array(best, pa.string()), pa.array(value, pa.float64())] + ([pa.array(labels, pa.list_(pa.string()))] if words else [])
             yield pa.RecordBatch.from_arrays([*(x.column(f.name) for f in left), *arrays], names=[*(f.name for f in left), *(a.name for a in added)])
+        del scorer
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*left, *added]))
 
