@@ -2,15 +2,20 @@
 
 Texts are lower-cased sequences of letters-and-digits words. The CGK embedding reads a window by a random
 walk: at each step it notes the word it stands on and moves on or stays, by a random bit of that step and
-word. Windows at a small edit distance soon walk in step again, so their walks differ in few places. Each of
-several tables samples a few places of the walk as a key; an item's window in a document meets the item in
-some table with high probability (``tests/llm`` measures it; ``TABLES`` and ``WALKS`` set it). Windows are item
-sized: items are classed by powers of two of their length, a class samples as many steps as its shortest
-item's walk needs, and one walk from every word serves all classes. Exact word-level edit distance, with both
-ends of the window free, verifies every candidate; nothing else is reported.
+word. Windows at a small edit distance soon walk in step again, so their walks differ in few places. A table
+samples a few places of a walk as a key; an item's window in a document meets the item in some table with high
+probability. Windows are item sized: items are classed by length, the longest of a class a quarter longer than
+the shortest, and every class has walks of its own, forward from a window's first word and backward from its
+last, so that edits crowded into either half leave the other walk in step. Every class gets as many walks as it
+takes for the target recall in a trial with random words and as many edits as are allowed, spread or crowded.
+Exact word-level edit distance, with both ends of the window free, verifies every candidate.
 
-Items of fewer than ``SHORT`` words have too few steps to sample; they are found by equality of the whole
-item. Items are held by tasks in blocks of at most ``ITEMS``; a larger benchmark takes one pass a block.
+Walks start only where they can succeed, which loses nothing: k edits leave at least n - g + 1 - g k of an item's
+runs of g words whole, so a window without so many of its class's runs holds no item of the class.
+
+Items of fewer than ``SHORT`` words have too few steps to sample; of their edits + 1 pieces one is left whole, so
+windows that hold a piece are the candidates, all of them. Items are held by tasks in blocks of at most ``ITEMS``
+and of at most ``HELD`` words; a larger benchmark takes one pass a block.
 
 Defined cases: null and empty texts hold nothing; items without words match nothing; repeated items and rows
 are reported each; rows whose key is null are reported under null; an empty table on either side gives no matches.
@@ -20,65 +25,82 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from orrery.llm.batches import slices
+from orrery.llm.batches import give_back, slices
 
 WORD = re.compile(r"\w+")
-#: Shortest item that is sampled, share of edits, walks, tables for each walk and class, places for each table, items of a block.
-SHORT, EDITS, WALKS, TABLES, PLACES, ITEMS = 8, 0.2, 2, 7, 3, 50_000
-#: Bytes of text read at once, so that a walk's arrays stay in a core's cache.
-READ = 1 << 18
+#: Shortest item that is sampled, share of edits, tables of a walk, places of a table, items and words of a block.
+SHORT, EDITS, TABLES, PLACES, ITEMS, HELD = 8, 0.2, 6, 3, 50_000, 4_000_000
+#: The recall of candidates that each class's walks are to reach in trials, and the most walks.
+TARGET, WALKS = 0.97, 64
+#: Words of a run, for telling where walks can succeed; bits of the map of runs.
+GRAM, MAP = 3, 22
+#: Bytes of text read at once, and words whose hashes a task keeps.
+READ, KEPT = 2 << 20, 200_000
+
+
+class _Hashes(dict):
+    """The hash of each word, kept while there is room."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        h = xxh64_intdigest(word)
+        if len(self) < KEPT:
+            self[word] = h
+        return h
 
 
-def word_hashes(text: str | None):
+def word_hashes(text: str | None, known: _Hashes | None = None):
     import numpy as np
-    from xxhash import xxh64_intdigest
 
     words = WORD.findall((text or "").lower())
-    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map((_Hashes() if known is None else known).__getitem__, words), np.uint64, len(words))
 
 
-def plan(classes: list[int], walks: int = WALKS, tables: int = TABLES, places: int = PLACES, seed: int = 6) -> list[dict[int, list[tuple[int, int]]]]:
-    """For each walk and step, the (class, table) pairs that sample it. A class is its shortest length; its samples lie within twice that many steps, two apart."""
+def allowed(n: int, edits: float = EDITS) -> int:
+    return int(n * edits + 1e-9)
+
+
+def _windows(h, n: int):
+    """A hash of each run of n words."""
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(walks):
-        steps: dict[int, list[tuple[int, int]]] = {}
-        for c in classes:
-            for t in range(tables):
-                for s in 2 * rng.choice(c, places, replace=False):
-                    steps.setdefault(int(s), []).append((c, t))
-        out.append(steps)
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out += h[k : k + len(out)]
     return out
 
 
-def walk_keys(hashes, steps: dict[int, list[tuple[int, int]]], walk: int) -> dict[tuple[int, int], object]:
-    """The key of each (class, table) for the walks that start at every word."""
+def walk_keys(h, starts, walk: int, tables: list[list[int]]) -> list:
+    """For each table the keys of the walks from ``starts`` along the words h."""
     import numpy as np
 
-    n, last = len(hashes), max(steps)
-    h = np.concatenate([hashes, np.zeros(last + 1, np.uint64)])
-    keys: dict = {}
-    at, bits = np.arange(n), None
+    last = max(max(t) for t in tables)
+    cover = np.zeros(len(h) + last + 2, np.int32)  # only words that a walk may reach are looked at
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, np.minimum(starts + last + 1, len(cover) - 1), -1)
+    cover = np.cumsum(cover)[:-1] > 0
+    place = np.cumsum(cover) - 1
+    own = np.concatenate([h, np.zeros(last + 1, np.uint64)])[cover]
+    at, bits, keys = place[starts], None, [np.zeros(len(starts), np.uint64) for _ in tables]
+    sampled = {s: [k for k, t in enumerate(tables) if s in t] for t in tables for s in t}
     for s in range(last + 1):
         if s % 64 == 0:  # the random bits of the next 64 steps
-            bits = (h ^ np.uint64(0x9E3779B97F4A7C15 * (2 * walk + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * (s // 64))
+            bits = (own ^ np.uint64(0x9E3779B97F4A7C15 * (2 * walk + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * (s // 64))
             bits ^= bits >> np.uint64(31)
             bits *= np.uint64(0x94D049BB133111EB)
             bits ^= bits >> np.uint64(29)
-        if s in steps:
-            here = h.take(at)
-            for k in steps[s]:
-                if k in keys:
-                    keys[k] *= np.uint64(0xD6E8FEB86659FD93)
-                    keys[k] += here
-                else:
-                    keys[k] = here.copy()
+        if s in sampled:
+            here = own.take(at)
+            for k in sampled[s]:
+                keys[k] *= np.uint64(0xD6E8FEB86659FD93)
+                keys[k] += here
         if s < last:
             move = bits.take(at)
             move >>= np.uint64(s % 64)
@@ -87,6 +109,66 @@ def walk_keys(hashes, steps: dict[int, list[tuple[int, int]]], walk: int) -> dic
     return keys
 
 
+def _varied(rng, n: int, count: int, crowded: int, edits: float):
+    """count random items of n words and a copy of each with as many edits as are allowed: spread, or in one half."""
+    import numpy as np
+
+    items, copies = [], []
+    for _ in range(count):
+        item = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+        copy, half = item.tolist(), n // 2
+        for _ in range(allowed(n, edits)):
+            lo, hi = ((0, len(copy)), (0, min(half, len(copy))), (min(half, len(copy) - 1), len(copy)))[crowded]
+            k, how, word = int(rng.integers(lo, max(hi, lo + 1))), int(rng.integers(3)), int(rng.integers(1, 1 << 63))
+            if how == 0:
+                copy.insert(k, word)
+            else:
+                copy[k : k + 1] = [word] if how == 1 else []
+        items.append(item)
+        copies.append(np.array(copy, np.uint64))
+    return items, copies
+
+
+def _laid_out(parts, gap: int):
+    """The parts one after another with random words between, and the places of each's first and last word."""
+    import numpy as np
+
+    rng, out, first, last, n = np.random.default_rng(1), [], [], [], 0
+    for p in parts:
+        out += [rng.integers(1, 1 << 63, gap, dtype=np.uint64), p]
+        first.append(n + gap)
+        n += gap + len(p)
+        last.append(n - 1)
+    return np.concatenate([*out, rng.integers(1, 1 << 63, gap, dtype=np.uint64)]), np.array(first), np.array(last)
+
+
+@lru_cache(256)
+def walks_of(low: int, high: int, edits: float, target: float, tables: int, places: int, seed: int = 6) -> tuple:
+    """((walk, backward, tables), ...) for items of low to high words, as many as the target takes; and the recall they reach in trials."""
+    import numpy as np
+
+    rng, trials, sizes = np.random.default_rng((seed, low)), [], sorted({low, high})
+    for n in sizes:
+        for crowded in range(3):
+            items, copies = _varied(rng, n, 300, crowded, edits)
+            trials.append((_laid_out(items, 2 * high), _laid_out(copies, 2 * high)))
+    met = [np.zeros(300, bool) for _ in trials]
+    out, places = [], min(places, max(1, low // 4))
+    for w in range(WALKS):
+        backward = w % 2 == 1
+        # every other pair of tables keeps to the first half of the walk
+        own = [sorted(rng.choice(low if t % 3 == 2 else 2 * low, places, replace=False).tolist()) for t in range(tables)]
+        out.append((w, backward, own))
+        for m, pair in zip(met, trials):
+            a, b = (walk_keys(h[::-1] if backward else h, len(h) - 1 - last if backward else first, w, own) for h, first, last in pair)
+            for x, y in zip(a, b):
+                m |= x == y
+        reached = min(m.mean() for m in met)
+        if reached >= target:
+            break
+    return out, float(reached)
+
+
 def edits_within(item, words) -> int:
     """The least edit distance between the item and any run of the words."""
     import numpy as np
@@ -101,109 +183,165 @@ def edits_within(item, words) -> int:
     return int(before.min())
 
 
-class Block:
-    """Items with their keys, for tasks."""
+class _Table:
+    """Keys and what has them, sorted, behind a bit map of the keys' upper bits."""
 
-    def __init__(self, items: list[tuple[object, object]], edits: float = EDITS, **planned):
+    def __init__(self, keys, owners):
         import numpy as np
 
-        self.items, self.edits = items, edits
-        self.classes = sorted({1 << (len(h).bit_length() - 1) for _, h in items if len(h) >= SHORT})
-        self.plan = plan(self.classes, **planned) if self.classes else []
-        self.tables: list[dict] = []
-        for w, steps in enumerate(self.plan):
-            found: dict = {}
-            for k, (_, h) in enumerate(items):
-                if len(h) >= SHORT:
-                    for name, keys in walk_keys(h, steps, w).items():
-                        if name[0] <= len(h) < 2 * name[0]:
-                            found.setdefault(name, []).append((int(keys[0]), k))
-            self.tables.append({name: self._table(rows) for name, rows in found.items()})
-        short: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, h) in enumerate(items):
-            if 0 < len(h) < SHORT:
-                short.setdefault(len(h), []).append((int(self._whole(h, len(h))[0]), k))
-        self.short = {n: self._table(rows) for n, rows in short.items()}
-        self.none = np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], owners[order]
+        self.there = np.zeros(1 << 16, bool)
+        self.there[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
-    @staticmethod
-    def _table(rows: list[tuple[int, int]]) -> tuple:
-        """A bit map of the keys' upper bits, the sorted keys, and the items of each."""
+    def probe(self, keys):
+        """(places in keys, owners) of all that are equal."""
         import numpy as np
 
-        by: dict[int, list[int]] = {}
-        for key, k in rows:
-            by.setdefault(key, []).append(k)
-        keys = np.array(sorted(by), np.uint64)
-        there = np.zeros(1 << 16, bool)
-        there[(keys >> np.uint64(48)).astype(np.int64)] = True
-        return there, keys, [by[int(k)] for k in keys]
+        at = np.flatnonzero(self.there.take((keys >> np.uint64(48)).view(np.int64)))
+        lo, hi = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
+        n = hi - lo
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.owners[np.repeat(lo, n) + within]
 
-    @staticmethod
-    def _whole(h, n: int):
+
+class _Class:
+    """The items of about one length: their runs, walks and tables."""
+
+    def __init__(self, low: int, high: int, members: list[tuple[int, object]], edits: float, target: float, tables: int, places: int):
         import numpy as np
 
-        out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-        for k in range(n):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(out)]
-        return out
+        sizes = {len(h) for _, h in members}
+        self.longest = max(sizes)
+        self.most = allowed(self.longest, edits)
+        self.gram = max(1, min([GRAM] + [-(-(n - allowed(n, edits)) // (allowed(n, edits) + 1)) for n in sizes]))
+        self.least = max(1, min(n - self.gram + 1 - self.gram * allowed(n, edits) for n in sizes))
+        self.runs = np.zeros(1 << MAP, bool)
+        for _, h in members:
+            self.runs[self._spot(_windows(h, self.gram))] = True
+        self.walks, self.reached = walks_of(low, high, edits, target, tables, places)
+        flat, first, last = _laid_out([h for _, h in members], 1)
+        owners = np.array([k for k, _ in members])
+        gap = np.zeros(len(flat), bool)  # between items nothing stands, as beyond a text's end
+        gap[np.concatenate([first - 1, [len(flat) - 1]])] = True
+        flat = np.where(gap, np.uint64(0), flat)
+        self.tables = []
+        for w, backward, own in self.walks:
+            keys = walk_keys(flat[::-1] if backward else flat, len(flat) - 1 - last if backward else first, w, own)
+            self.tables.append([_Table(k, owners) for k in keys])
 
     @staticmethod
-    def _probe(table: tuple, keys) -> list[tuple[int, int]]:
+    def _spot(grams):
+        import numpy as np
+
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MAP)).astype(np.int64)
+
+    def candidates(self, flat, sizes) -> Iterator[tuple]:
+        """(items, places where they may start)."""
         import numpy as np
 
-        there, known, items = table
-        at = np.flatnonzero(there.take((keys >> np.uint64(48)).view(np.int64)))
-        place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-        hit = known[place] == keys[at]
-        return [(int(a), k) for a, p in zip(at[hit], place[hit]) for k in items[p]]
+        spots = self.runs.take(self._spot(_windows(flat, self.gram)))
+        if int(spots.sum()) < self.least:
+            return
+        span = self.longest + self.most - self.gram + 1
+        total = np.concatenate([np.zeros(span, np.int32), np.cumsum(np.concatenate([[0], spots]), dtype=np.int32)])
+        total = np.concatenate([total, np.full(span + self.gram, total[-1], np.int32)])  # total[span + k]: runs that start before word k
+        at = np.arange(len(flat))
+        forward = np.flatnonzero(total[2 * span + at] - total[span + at] >= self.least)
+        end = at - self.gram + 2  # runs that end at this word or before it start before that word
+        ends = np.flatnonzero(total[np.maximum(span + end, span)] - total[np.maximum(end, 0)] >= self.least)
+        for (w, backward, own), tables in zip(self.walks, self.tables):
+            some = ends if backward else forward
+            if len(some):
+                for table, keys in zip(tables, walk_keys(flat[::-1] if backward else flat, len(flat) - 1 - some if backward else some, w, own)):
+                    place, items = table.probe(keys)
+                    if len(items):
+                        yield items, some[place] - sizes[items] + 1 if backward else some[place]
 
-    def matches(self, texts: list[str | None]) -> list[list[tuple[object, int, int]]]:
+
+class Block:
+    """Items with their keys, for tasks."""
+
+    def __init__(self, items: list[tuple[object, object]], edits: float = EDITS, target: float = TARGET, tables: int = TABLES, places: int = PLACES):
+        import numpy as np
+
+        self.items, self.edits = items, edits
+        self.sizes = np.array([len(h) for _, h in items], np.int64)
+        self.classes, low = [], SHORT
+        while len(items) and low <= self.sizes.max():
+            high = max(low, low * 5 // 4)
+            members = [(k, h) for k, (_, h) in enumerate(items) if low <= len(h) <= high]
+            if members:
+                self.classes.append(_Class(low, high, members, edits, target, tables, places))
+            low = high + 1
+        short: dict[int, list] = {}  # pieces by length: (hash, item, the piece's place in it)
+        for k, (_, h) in enumerate(items):
+            if 0 < len(h) < SHORT:
+                n = allowed(len(h), edits) + 1
+                cuts = [len(h) * j // n for j in range(n + 1)]
+                for a, b in zip(cuts, cuts[1:]):
+                    short.setdefault(b - a, []).append((int(_windows(h[a:b], b - a)[0]), k, a))
+        self.short = {n: (_Table(np.array([r[0] for r in rows], np.uint64), np.arange(len(rows))), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])) for n, rows in short.items()}
+
+    def _candidates(self, flat) -> Iterator[tuple]:
+        for n, (table, items, offsets) in self.short.items():
+            place, rows = table.probe(_windows(flat, n))
+            yield items[rows], place - offsets[rows]
+        for c in self.classes:
+            yield from c.candidates(flat, self.sizes)
+
+    def matches(self, texts: list[str | None], known: _Hashes | None = None) -> list[list[tuple[object, int, int]]]:
         """For each text the items it holds: (item, edits, the word near which it starts)."""
         import numpy as np
 
-        own = [word_hashes(t) for t in texts]
+        known = _Hashes() if known is None else known
+        own = [word_hashes(t, known) for t in texts]
         starts = np.cumsum([0, *map(len, own)])
         flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
         out: list[list] = [[] for _ in texts]
-        if not len(flat) or not self.items:
+        found = [x for x in self._candidates(flat) if len(x[0])] if len(flat) and self.items else []
+        if not found:
             return out
-        candidates: dict[tuple[int, int], list[int]] = {}
-        hits = [x for n, table in self.short.items() if len(flat) >= n for x in self._probe(table, self._whole(flat, n))]
-        for w, (steps, tables) in enumerate(zip(self.plan, self.tables)):
-            keys = walk_keys(flat, steps, w)
-            hits += [x for name, table in tables.items() for x in self._probe(table, keys[name])]
-        if hits:
-            docs = np.searchsorted(starts, [a for a, _ in hits], side="right") - 1
-            for d, (a, k) in zip(docs.tolist(), hits):
-                candidates.setdefault((d, k), []).append(a)
-        for (d, k), places in sorted(candidates.items()):
+        items, places = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        most = (self.sizes[items] * self.edits + 1e-9).astype(np.int64)
+        low, high = np.clip(places - most, 0, len(flat) - 1), np.clip(places + self.sizes[items] + most - 1, 0, len(flat) - 1)
+        low, high = np.searchsorted(starts, low, side="right") - 1, np.searchsorted(starts, high, side="right") - 1
+        n = high - low + 1  # a window may start before its document where its first words are lost
+        docs = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+        now, best, seen = None, None, 0
+        for d, k, a in [*np.unique(np.stack([docs, np.repeat(items, n), np.repeat(places, n)], axis=1), axis=0).tolist(), (-1, -1, 0)]:
+            if now != (d, k):
+                if best:
+                    out[now[0]].append((self.items[now[1]][0], *best))
+                now, best, seen = (d, k), None, -(1 << 60)
+            if d < 0 or a <= seen:
+                continue
             name, h = self.items[k]
-            n, most, best, seen = len(h), int(len(h) * self.edits) if len(h) >= SHORT else 0, None, -1
-            for a in sorted(set(places)):
-                if a <= seen:
-                    continue
-                lo, hi = max(int(starts[d]), a - most), min(int(starts[d + 1]), a + n + 2 * most)
-                same = a + n <= int(starts[d + 1]) and np.array_equal(flat[a : a + n], h)
-                found = 0 if same else edits_within(h, flat[lo:hi])
-                seen = a + most // 2  # starts this near lie in the window just read
-                if found <= most and (best is None or found < best[0]):
-                    best = (found, a - int(starts[d]))
-            if best:
-                out[d].append((name, *best))
+            n, most = len(h), allowed(len(h), self.edits)
+            lo, hi = max(int(starts[d]), a - most), min(int(starts[d + 1]), a + n + 2 * most)
+            if hi - lo < n - most or np.isin(h, flat[lo:hi]).sum() < n - most:
+                continue
+            seen = a + most // 2  # starts this near lie in the window that is read here
+            same = a >= lo and a + n <= hi and np.array_equal(flat[a : a + n], h)
+            edits = 0 if same else edits_within(h, flat[lo:hi])
+            if edits <= most and (best is None or edits < best[0]):
+                best = (edits, max(0, a - int(starts[d])))
         return out
 
 
-def blocks(items: DataFrame, key: str = "item_id", text: str = "text", size: int = ITEMS, **planned) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size."""
-    held: list = []
+def blocks(items: DataFrame, key: str = "item_id", text: str = "text", size: int = ITEMS, held: int = HELD, **planned) -> Iterator[Block]:
+    """The benchmark in blocks of bounded size; an item of more than ``held`` words is a block of its own."""
+    now: list = []
+    words = 0
     for r in items.select(key, text).orderBy(key, text).toLocalIterator():
-        held.append((r[key], word_hashes(r[text])))
-        if len(held) == size:
-            yield Block(held, **planned)
-            held = []
-    if held:
-        yield Block(held, **planned)
+        h = word_hashes(r[text])
+        if now and (len(now) == size or words + len(h) > held):
+            yield Block(now, **planned)
+            now, words = [], 0
+        now.append((r[key], h))
+        words += len(h)
+    if now:
+        yield Block(now, **planned)
 
 
 def matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", **planned) -> DataFrame:
@@ -214,10 +352,13 @@ def matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = _Hashes()
             for x in slices(batches, text, most=READ):
-                found = [(k, *m) for k, ms in zip(x.column(key).to_pylist(), shared.value.matches(x.column(text).to_pylist())) for m in ms]
+                found = [(k, *m) for k, ms in zip(x.column(key).to_pylist(), shared.value.matches(x.column(text).to_pylist(), known)) for m in ms]
                 if found:
                     yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, f)) for f in found], schema=_arrow(kinds))
+            known.clear()
+            give_back()
 
         out = out.unionAll(df.select(key, text).mapInArrow(run, kinds))
     return out
@@ -235,8 +376,11 @@ def clean(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = _Hashes()
             for x in slices(batches, text, most=READ):
-                yield x.filter(pa.array([not m for m in shared.value.matches(x.column(text).to_pylist())], pa.bool_()))
+                yield x.filter(pa.array([not m for m in shared.value.matches(x.column(text).to_pylist(), known)], pa.bool_()))
+            known.clear()
+            give_back()
 
         df = df.mapInArrow(run, df.schema)
     return df

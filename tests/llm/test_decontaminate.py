@@ -57,6 +57,37 @@ def test_recall_and_precision(spark):
     assert exact <= found
 
 
+def test_recall_at_the_limit():
+    """Items of every length with as many edits as are allowed, spread or crowded into one half."""
+    r = random.Random(7)
+    for lo, hi in ((1, 4), (5, 7), (8, 11), (12, 15), (16, 31), (32, 63), (64, 127), (128, 200)):
+        items = [[f"w{r.randrange(3000)}" for _ in range(r.randint(lo, hi))] for _ in range(120)]
+        block = d.Block([(k, d.word_hashes(" ".join(t))) for k, t in enumerate(items)])
+        for crowded in (None, 0, 1):
+            found = 0
+            for k, t in enumerate(items):
+                cut = len(t) // 2
+                n = d.allowed(len(t))
+                near = vary(r, t, n) if crowded is None else vary(r, t[:cut], n) + t[cut:] if crowded == 0 else t[:cut] + vary(r, t[cut:], n)
+                w = [f"w{r.randrange(3000)}" for _ in range(40)]
+                w[20:20] = near
+                found += any(m[0] == k for m in block.matches(["", " ".join(w), None])[1])
+            assert found >= 0.95 * len(items), (lo, hi, crowded, found)
+
+
+def test_starts_that_are_left_out_hold_nothing():
+    """Every window within the limit has enough of its item's runs, whatever the edits."""
+    r = random.Random(8)
+    for _ in range(2000):
+        n = r.randint(d.SHORT, 90)
+        item = list(range(n))
+        k = d.allowed(n)
+        near = vary(r, item, k)
+        g = d.GRAM
+        runs = {tuple(item[a : a + g]) for a in range(n - g + 1)}
+        assert sum(tuple(near[a : a + g]) in runs for a in range(len(near) - g + 1)) >= max(1, n - g + 1 - g * k)
+
+
 def test_clean_and_blocks(spark, odd, none):
     items = spark.createDataFrame([(1, "the same words stand in this line of text twice"), (2, ""), (3, None), (4, "1 2 3")], "item_id long, text string")
     kept = sorted((x.doc_id for x in d.clean(odd("edits"), items).collect()), key=str)
