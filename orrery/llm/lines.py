@@ -1,22 +1,25 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations throughout.
 
-A line goes if an equal line, or one within ``EDITS`` edits, comes earlier (by document id, then position);
-lines are judged on the input, not on what is left. Lines shorter than ``LEAST`` characters are compared for
-equality only, and blank lines stay.
-
-The join: a line is cut into threshold-plus-one segments. One of them is left whole by that many edits, so
-near lines share a segment at a place that their lengths and the segment's number bound. Index rows carry a
-line's own segments by (length, number, text), probe rows the substrings that a longer or equally long line
-can match them with. Keys that several lines share give the candidate lines; only these fetch their text.
-Candidate pairs pass a letter-count filter inside the join, and banded bit-parallel edit distance decides.
-
-A line that repeats in many documents is one row after the first aggregation; the joins that bring decisions
-back to its occurrences are plain equi-joins of two stored sides, which Spark splits where a key is hot. What
-grows with the corpus is shuffled at every size, so that a small run's plan is a large run's too.
+A line goes if an equal line, or one within the edits allowed, comes earlier (by document id, then the text's
+hash, then position); lines are judged on the input, not on what is left. ``EDITS`` edits are allowed where the
+shorter line has ``LEAST`` characters or more, one from ``ONE`` characters on, none below; blank lines stay.
+
+The join: all occurrences of a line are first one row. A line is cut into threshold-plus-one segments. One of
+them is left whole by that many edits, so near lines share a segment at a place that their lengths and the
+segment's number bound. Index rows carry a line's own segments by (length, number, text), probe rows the
+substrings that a longer or equally long line can match them with. Keys that several lines share give the
+candidate lines; only these fetch their text. Lines of a key that more than ``HOT`` lines share are cut once more:
+of threshold-plus-two segments two are left whole, and pairs of those are the keys. Candidate pairs pass a
+letter-count filter inside the join, and banded bit-parallel edit distance decides.
+
+Decisions go back to a line's occurrences by an equi-join. Lines with over a ``SHARE``-th of all occurrences
+(at most ``SHARE`` of them, so they may be broadcast) are joined apart, so no task gets more than that share of one
+line. What grows with the corpus is shuffled at every size, so that a small run's plan is a large run's too.
 
 Defined cases: null text stays null and empty text empty; of repeated lines in one document the first stays;
-rows that share an id share their decisions by line position, so exact repeats of a row keep the same lines;
-rows whose id is null come after all others; an empty table gives an empty one; further columns pass through.
+rows that share an id are told apart by their text, so each keeps or loses its own lines, and exact repeats of a
+row keep the same lines; rows whose id is null come after all others; an empty table gives an empty one; further
+columns pass through.
 """
 
 from __future__ import annotations
@@ -25,33 +28,58 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.llm.shared import saved
 
-EDITS, LEAST = 2, 30
+EDITS, LEAST, ONE = 2, 30, 15
+#: Lines of a key from which it is cut once more; the share of all occurrences from which a line's are joined apart.
+HOT, SHARE = 50, 10_000
 #: Letters that the count filter tells apart.
 CLASSES = ("aA", "bBcC", "dD", "eE", "fFgG", "hH", "iIjJ", "kKlL", "mM", "nN", "oO", "pPqQ", "rR", "sS", "tT", "uUvVwWxXyYzZ")
 
 
+def _identity(text: str, key: str) -> Column:
+    """What tells rows apart: the id, whether it is null, and the text's hash."""
+    return F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.xxhash64(text).alias("t"))
+
+
 def occurrences(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, at, line, n, h, g): the lines of all documents, with their length and two hashes that stand for their text."""
-    lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"\S"))
-    return lines.select("key", "at", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"))
+    """(row, at, line, h, g): the lines of all documents, with two hashes that stand for their text."""
+    lines = df.select(_identity(text, key).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"\S"))
+    return lines.select("row", "at", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"))
+
+
+def _cut(n: Column, i: int, pieces: int) -> Column:
+    return F.floor(n * i / pieces).cast("int")
 
 
-def _cut(n: Column, i: int, edits: int) -> Column:
-    return F.floor(n * i / (edits + 1)).cast("int")
+def _segment(n: Column, i: int, pieces: int, shift: int) -> Column:
+    start = _cut(n, i, pieces)
+    return F.substring("line", start + 1 + shift, _cut(n, i + 1, pieces) - start)
 
 
 def segment_keys(edits: int = EDITS) -> Column:
-    """Keys of a line's index and probe rows. A line of length n looks for lines of length n - d."""
+    """Keys of a line's index and probe rows, an array of (k, own). A line of length n looks for lines of length n - d."""
     out = []
     for d in range(edits + 1):
+        n = F.col("n") - d
         for i in range(edits + 1):
-            n = F.col("n") - d
-            start = _cut(n, i, edits)
-            size = _cut(n, i + 1, edits) - start
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                key = F.xxhash64(n, F.lit(i), F.substring("line", start + 1 + shift, size))
+                key = F.xxhash64(n, F.lit(i), F.lit(edits), _segment(n, i, edits + 1, shift))
                 out.append(F.struct(key.alias("k"), F.lit(d == 0 and shift == 0).alias("own")))
-    return F.explode(F.array(*out))
+    return F.array(*out)
+
+
+def pair_keys(edits: int = EDITS) -> Column:
+    """As segment_keys, by two of threshold-plus-two segments: edits move the second no further than they may."""
+    out, pieces = [], edits + 2
+    for d in range(edits + 1):
+        n = F.col("n") - d
+        for i in range(pieces):
+            for j in range(i + 1, pieces):
+                for x in range(-edits, edits + 1) if i else (0,):
+                    for y in range(-edits, edits + 1) if j < pieces - 1 else (d,):
+                        if abs(x) + abs(y - x) + abs(d - y) <= edits:
+                            key = F.xxhash64(n, F.lit(i), F.lit(j), _segment(n, i, pieces, x), _segment(n, j, pieces, y))
+                            out.append(F.struct(key.alias("k"), F.lit(d == 0 and x == y == 0).alias("own")))
+    return F.array(*out)
 
 
 def bit_parallel(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -87,7 +115,7 @@ def _next(s: Column, d0: Column, i: Column, edits: int, width: int) -> Column:
     return F.struct(s["a"].alias("a"), s["b"].alias("b"), hn.bitwiseOR(flip(d1.bitwiseOR(hp))).alias("vp"), d1.bitwiseAND(hp).alias("vn"), (s["d"] + score).alias("d"))
 
 
-def _shared_start(a: Column, b: Column, steps: int = 20) -> Column:
+def _shared_start(a: Column, b: Column, steps: int = 30) -> Column:
     """The length of the longest common beginning, by halving steps."""
     same = lambda n: (n <= F.least(F.length(a), F.length(b))) & (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
     return F.aggregate(F.array(*(F.lit(1 << k) for k in range(steps, -1, -1))), F.lit(0), lambda n, k: F.when(same(n + k), n + k).otherwise(n))
@@ -105,23 +133,36 @@ def _ends_fit(a: Column, b: Column, start: Column, end: Column) -> Column:
     return out
 
 
-def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a, b): hashes of different lines within ``edits`` edits, each pair once."""
-    long = lines.where(F.col("n") >= least)
-    keys = long.select("h", segment_keys(edits).alias("s")).select("h", F.col("s.k").alias("k"), F.col("s.own").alias("own"))
-    shared = saved(keys.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("own").alias("own")).where("x <> y and own").select("k"), "keys")
-    members = saved(keys.join(shared.hint("shuffle_hash"), "k", "left_semi").groupBy("k", "h").agg(F.max("own").alias("own")), "members")
-    wanted = saved(members.select("h").distinct(), "wanted")
-    counts = F.array(*(F.col("n") - F.length(F.translate("line", c, "")) for c in CLASSES))
-    texts = long.select("h", "line", "n").join(wanted.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("n", F.length("line"))
-    texts = saved(texts.withColumn("c", counts), "texts")
-    side = saved(members.join(texts.select("h", "n", "c"), "h"), "sides")
+def _joined(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(a, b): hashes of different lines that share a key, one of them as its own, and have nearly the same letters."""
+    side = members.join(texts.select("h", "n", "c"), "h")
     a = side.where("own").selectExpr("k", "h a", "n an", "c ac")
     b = side.selectExpr("k", "h b", "n bn", "c bc")
     apart = F.aggregate(F.zip_with("ac", "bc", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     found = a.join(b, (a["k"] == b["k"]) & (F.col("a") != F.col("b")) & (F.abs(F.col("an") - F.col("bn")) <= edits) & (apart <= 2 * edits))
-    pairs = saved(found.selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "pairs")
-    line = lambda name: texts.select(F.col("h").alias(name), F.col("line").alias(f"{name}_line"))
+    return found.selectExpr("least(a, b) a", "greatest(a, b) b")
+
+
+def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST, one: int = ONE, hot: int = HOT) -> DataFrame:
+    """(a, ag, b, bg): the hashes of different lines within the edits allowed, each pair once. ``lines`` has (h, g, line), each line once."""
+    lines = lines.withColumn("n", F.length("line")).where(F.col("n") >= min(one, least))
+    none = F.array().cast("array<struct<k:bigint,own:boolean>>")
+    own = F.when(F.col("n") >= least, segment_keys(edits)).otherwise(none)
+    if one < least:  # lines of just ``least`` characters also look for shorter ones
+        own = F.concat(own, F.when(F.col("n") <= least, segment_keys(1)).otherwise(none))
+    # one shuffle by key, read twice: for the keys that lines share, then for these keys' lines
+    keys = lines.select("h", F.explode(own).alias("s")).select("h", F.col("s.k").alias("k"), F.col("s.own").alias("own")).repartition("k")
+    shared = keys.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("own").alias("own"), F.count("*").alias("m")).where("x <> y and own").select("k", "m")
+    members = saved(keys.join(shared.hint("shuffle_hash"), "k").groupBy("k", "h").agg(F.max("own").alias("own"), F.max("m").alias("m")), "members")
+    wanted = saved(members.groupBy("h").agg(F.max("m").alias("m")), "wanted")
+    counts = F.array(*(F.col("n") - F.length(F.translate("line", c, "")) for c in CLASSES))
+    # a hash that two lines have brings both along: the distance tells them apart
+    texts = saved(lines.join(wanted.hint("shuffle_hash"), "h").withColumn("c", counts), "texts")
+    crowd = texts.where((F.col("m") > hot) & (F.col("n") >= least)).select("h", F.explode(pair_keys(edits)).alias("s")).select("h", F.col("s.k").alias("k"), F.col("s.own").alias("own")).groupBy("k", "h").agg(F.max("own").alias("own"))
+    # lines under ``least`` characters are few per key: their segments are half of them
+    some = members.where(F.col("m") <= hot).unionByName(members.where(F.col("m") > hot).join(texts.where(F.col("n") <= least).select("h"), "h", "left_semi")).select("k", "h", "own")
+    pairs = saved(_joined(some, texts, edits).unionAll(_joined(crowd, texts, edits)).distinct(), "pairs")
+    line = lambda name: texts.select(F.col("h").alias(name), F.col("g").alias(f"{name}g"), F.col("line").alias(f"{name}_line"))
     checked = pairs.join(line("a"), "a").join(line("b"), "b")
     # common ends change no distance; a generated row keeps their lengths from being computed anew at every use, and the distance from being computed before them
     x, y = F.col("a_line"), F.col("b_line")
@@ -131,29 +172,36 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     if edits <= 2:  # most false candidates differ in more than their ends allow
         checked = checked.where(_ends_fit(x, y, F.col("start"), F.col("end")))
     middle = lambda t: F.substring(t, F.col("start") + 1, F.length(t) - F.col("start") - F.col("end"))
-    return checked.where(bit_parallel(middle(x), middle(y), edits) <= edits).select("a", "b")
+    most = F.when(F.least(F.length(x), F.length(y)) >= least, edits).otherwise(1)
+    return checked.where(bit_parallel(middle(x), middle(y), edits) <= most).select("a", "ag", "b", "bg")
 
 
-def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(key, dropped): the positions of the lines that go, for the documents that lose any; null keys included."""
+def dropped(df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least: int = LEAST, one: int = ONE) -> DataFrame:
+    """(row, dropped): the positions of the lines that go, for the rows that lose any."""
     lines = occurrences(df, text, key)
-    place = F.struct(F.col("key").isNull().alias("last"), F.col("key").alias("key"), F.col("at").alias("at"))
-    first = saved(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
-    pairs = saved(near_pairs(lines, edits, least), "near")
-    both = pairs.unionAll(pairs.selectExpr("b a", "a b"))
-    of = first.groupBy("h").agg(F.min("first").alias("first"))  # a hash with two texts is as good as impossible; then the earlier counts
-    near = both.join(of.withColumnRenamed("h", "b"), "b").groupBy("a").agg(F.min("first").alias("near"))
-    decided = first.join(near.withColumnRenamed("a", "h"), "h", "left").select("h", "g", "first", F.coalesce(F.col("near") < F.col("first"), F.lit(False)).alias("too"), "n")
-    decided = saved(decided.where("n > 1 or too").select("h", "g", "first", "too"), "decided")
-    gone = lines.select("key", "at", "h", "g").join(decided.hint("shuffle_hash"), ["h", "g"]).where(F.col("too") | (place != F.col("first")))
-    return saved(gone.groupBy("key").agg(F.collect_set("at").alias("dropped")), "gone")
-
-
-def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least: int = LEAST, out: str = "text", count: str | None = "n_dropped") -> DataFrame:
+    place = F.struct("row", "at")
+    distinct = saved(lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("line").alias("line")), "distinct")
+    first = distinct.select("h", "g", "first", "n")
+    pairs = saved(near_pairs(distinct.select("h", "g", "line"), edits, least, one), "near")
+    both = pairs.unionAll(pairs.selectExpr("b a", "bg ag", "a b", "ag bg"))
+    near = both.join(first.selectExpr("h b", "g bg", "first"), ["b", "bg"]).groupBy("a", "ag").agg(F.min("first").alias("near")).toDF("h", "g", "near")
+    decided = first.join(near.hint("shuffle_hash"), ["h", "g"], "left").select("h", "g", "first", F.coalesce(F.col("near") < F.col("first"), F.lit(False)).alias("too"), "n")
+    decided = saved(decided.where("n > 1 or too"), "decided")
+    most = (first.agg(F.sum("n")).first()[0] or 0) / SHARE
+    slim = lines.select("row", "at", "h", "g")
+    hot = F.broadcast(decided.where(F.col("n") > most).select("h", "g", "first", "too"))  # SHARE rows at most
+    cold = slim.join(hot, ["h", "g"], "left_anti").join(decided.where(F.col("n") <= most).hint("shuffle_hash"), ["h", "g"])
+    goes = F.col("too") | (place != F.col("first"))
+    gone = slim.join(hot, ["h", "g"]).where(goes).select("row", "at").unionAll(cold.where(goes).select("row", "at"))
+    return saved(gone.groupBy("row").agg(F.collect_set("at").alias("dropped")), "gone")
+
+
+def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least: int = LEAST, one: int = ONE, out: str = "text", count: str | None = "n_dropped") -> DataFrame:
     """df with ``out``, the text without the lines that go, and how many those are."""
-    own = "lines that go"  # names that a caller's columns won't have
-    gone = dropped(df, text, key, edits, least).toDF("gone key", own)
-    joined = df.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("gone key")), "left").drop("gone key")
+    own, row = "lines that go", "row that loses them"  # names that a caller's columns won't have
+    gone = dropped(df, text, key, edits, least, one).toDF(row, own)
+    same = F.xxhash64(text) == F.col(f"{row}.t")
+    joined = df.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(f"{row}.key")) & same, "left").drop(row)
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(own, i)), "\n")
     rows = joined.withColumn(out, F.when(F.col(own).isNull(), F.col(text)).otherwise(kept))
     return (rows.withColumn(count, F.coalesce(F.size(own), F.lit(0)).cast("long")) if count else rows).drop(own)

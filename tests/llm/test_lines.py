@@ -30,7 +30,7 @@ def test_bit_parallel_distance(spark):
 
 def test_against_brute_force(spark):
     r = random.Random(7)
-    base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(28, 60))) for _ in range(25)]
+    base = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(12, 60))) for _ in range(40)]
     docs = [(k, "\n".join(r.choice(["", "x", r.choice(base), edited(r, r.choice(base), r.randint(1, 3))]) for _ in range(r.randint(0, 8)))) for k in range(60)]
     every = [(i, k, s) for i, t in docs for k, s in enumerate(t.split("\n")) if s.strip()]
 
@@ -44,13 +44,31 @@ def test_against_brute_force(spark):
         return row[-1]
 
     distinct = sorted({s for _, _, s in every})
-    near = {(a, b) for a in distinct for b in distinct if a == b or (min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2)}
+    most = lambda n: 2 if n >= 30 else 1 if n >= 15 else 0
+    near = {(a, b) for a in distinct for b in distinct if a == b or (abs(len(a) - len(b)) <= 2 and edit(a, b) <= most(min(len(a), len(b))))}
     gone = {(i, k) for n, (i, k, s) in enumerate(every) if any((s, t) in near for _, _, t in every[:n])}
     expected = {i: "\n".join(s for k, s in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs}
     out = lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {x.doc_id: x.text for x in out} == expected
 
 
+def test_hot_keys_against_brute_force(spark):
+    """Lines that share much: pairs found by two segments of four are those that one of three finds."""
+    r = random.Random(9)
+    texts = sorted({edited(r, "a common beginning of many lines " + "".join(r.choice("ab") for _ in range(r.randint(4, 7))) + " and their common end", r.randint(0, 2)) for _ in range(300)})
+    df = spark.createDataFrame([(t,) for t in texts], "line string").select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), "line")
+    a, b = ({(x.a, x.b) for x in lines.near_pairs(df, hot=n).collect()} for n in (3, 10**6))
+    true = df.alias("x").join(df.alias("y"), F.expr("x.h < y.h and levenshtein(x.line, y.line) <= 2")).select("x.h", "y.h").collect()
+    assert a == b == {tuple(x) for x in true} and len(a) > 300
+
+
+def test_rows_without_their_own_id(spark):
+    """Rows with a null or repeated id lose only lines that stand elsewhere too."""
+    rows = [(None, "shared by the two of them, a long line\nkeep A"), (None, "only here and nowhere else at all\nkeep B"), (7, "shared by the two of them, a long line\nx"), (7, "another text with that id altogether\ny")]
+    out = {x.text for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {"keep A", rows[1][1], rows[2][1], rows[3][1]}
+
+
 def test_plan_is_native(spark, odd):
     plan = lines.dedup(odd())._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
