@@ -5,9 +5,9 @@ shingles, repeats included. Two documents link if their fingerprints differ in a
 
 Pivots: a table holds each fingerprint's Hamming distances to many reference fingerprints. By the triangle
 inequality two fingerprints differ in at least as many bits as any coordinate of theirs does, so a pair whose
-largest coordinate difference is over three is discarded; survivors are verified. One coordinate discards
-only about half of random pairs, so the tables are compared within bands, never over all pairs: the 64 bits
-are cut into six blocks, of which two linked fingerprints share at least three, and each fingerprint enters
+largest coordinate difference is over three is discarded; only survivors are verified. Tables are sorted by their
+first coordinate, which leaves out what is farther than three there. One coordinate discards only about half of
+random pairs, so tables are made within bands, never over all fingerprints: the 64 bits are cut into six blocks, of which two linked fingerprints share at least three, and each fingerprint enters
 the twenty bands that three blocks name (in general ``blocks`` less ``bits`` of them are shared). A band is walked breadth first and yields a spanning forest of its
 links, so a large group of near copies gives as many rows as members, not their pairs.
 
@@ -17,13 +17,17 @@ links are sought; rows whose id is null get their fingerprint and no component;
 
 ``similar_groups`` links by shingle similarity (Jaccard) instead: fingerprints only propose. They have 256 bits and
 are made of the distinct shingles, so that a bit differs with probability acos(2J / (1 + J)) / pi at most. Each enters
-bands of a few random bits; those of a band that differ in few of their first 128 bits are put in one group of
-candidates. Within a group the sets of shingles are compared exactly, and only those comparisons make links.
-A group is held by one task.
+bands of random bits; a band holds a few unrelated texts whatever the number of texts, and there are as many bands as
+it takes to find a pair at the threshold with probability ``FOUND``. A band is walked in an order of its own, and a
+text is proposed together with the one that it was reached from, if they differ in few of their first 128 bits. Sets
+of shingles are compared exactly, pair by pair, and only those comparisons make links: first a text's nearest
+proposal, then all proposals between groups that are still apart. No task holds a group; the texts proposed for one
+text are split into blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,9 +39,11 @@ from orrery.llm.components import components
 from orrery.llm.shared import saved
 
 WORDS, BITS, BLOCKS, PIVOTS = 3, 3, 6, 24
-#: For similarity of 0.8: 64-bit lanes, bits of a band, orders of all bits that are cut into bands, and the bits of the
-#: first two lanes in which candidates may differ (19 expected at 0.8, standard deviation 4). ``tests/llm`` measures recall.
-LEAST, LANES, BAND, ORDERS, WITHIN = 0.8, 4, 16, 5, 32
+#: For similarity of 0.8: 64-bit lanes, the least bits of a band, the share of pairs to find, and the bits of the first
+#: two lanes in which candidates may differ (19 expected at 0.8, standard deviation 4). ``tests/llm`` measures recall.
+LEAST, LANES, BAND, FOUND, WITHIN = 0.8, 4, 16, 0.997, 32
+#: Texts that are compared with one text by one task.
+BLOCK = 256
 
 
 def shingles(text: str | None, words: int = WORDS):
@@ -83,52 +89,85 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", wo
     return df.mapInArrow(run, T.StructType([*left, T.StructField(out, T.StringType())]))
 
 
-def _forest(ids, values, bits: int, refs) -> list[tuple[int, int]]:
-    """A spanning forest of the links among one band's fingerprints."""
+def _forest(ids, values, bits: int, refs, tally: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among one band's fingerprints.
+
+    The table is sorted by its first coordinate, so a fingerprint meets only those that may lie within ``bits`` of it
+    there; the other coordinates discard of these, and only survivors are compared bit by bit. ``tally`` counts the
+    pairs met, the pairs left by the table, and the links.
+    """
     import numpy as np
 
     table = np.bitwise_count(values[:, None] ^ refs[None, :]).astype(np.int8)
-    rest, found = np.arange(len(ids)), []
-    while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
+    order = np.argsort(table[:, 0], kind="stable")
+    ids, values, table = ids[order], values[order], table[order]
+    low, high = np.searchsorted(table[:, 0], table[:, 0] - bits), np.searchsorted(table[:, 0], table[:, 0] + bits, side="right")
+    rest, found = np.ones(len(ids), bool), []
+    for first in range(len(ids)):
+        if not rest[first]:
+            continue
+        rest[first], front = False, [first]
+        while front:
             i = front.pop()
-            near = (np.abs(table[rest] - table[i]).max(1) <= bits) & (np.bitwise_count(values[rest] ^ values[i]) <= bits)
-            if near.any():
-                found += [(int(ids[i]), int(ids[j])) for j in rest[near]]
-                front += rest[near].tolist()
-                rest = rest[~near]
+            met = low[i] + np.flatnonzero(rest[low[i] : high[i]])
+            if len(met):
+                left = met[(np.abs(table[met] - table[i]) <= bits).all(1)]
+                near = left[np.bitwise_count(values[left] ^ values[i]) <= bits]
+                rest[near] = False
+                found += [(int(ids[i]), int(ids[j])) for j in near]
+                front += near.tolist()
+                if tally is not None:
+                    tally[0], tally[1], tally[2] = tally[0] + len(met), tally[1] + len(left), tally[2] + len(near)
     return found
 
 
+def _together(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list]:
+    """The columns of sorted batches, cut where ``by`` changes, so that equal values come together."""
+    import numpy as np
+
+    held: list[list] = []
+    at = None
+    for x in batches:
+        if not x.num_rows:
+            continue
+        at = x.schema.get_field_index(by)
+        cols = [c.to_numpy() for c in x.columns]
+        cut = int(np.searchsorted(cols[at], cols[at][-1]))
+        if cut:
+            held.append([c[:cut] for c in cols])
+        if held and (cut or held[-1][at][-1] != cols[at][-1]):
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _banded(batches: Iterator[pa.RecordBatch], links, names: tuple[str, ...] = ("a", "b")) -> Iterator[pa.RecordBatch]:
+    """What links(columns) finds in each band of several rows."""
+    import numpy as np
+
+    for bands, *cols in _together(batches, "band"):
+        at = np.flatnonzero(np.diff(bands, prepend=bands[:1] - 1))
+        ends, edges = np.append(at[1:], len(bands)), []
+        for a, b in zip(at[ends - at > 1], ends[ends - at > 1]):
+            edges += links(*(c[a:b] for c in cols))
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(len(names))], names=names)
+
+
 def links(nodes: DataFrame, bits: int = BITS, blocks: int = BLOCKS, pivots: int = PIVOTS) -> DataFrame:
     """Links (a, b) that connect the same nodes as all pairs of (node, value) within ``bits`` differing bits do."""
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
     masks = [sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in some) for some in combinations(range(blocks), blocks - bits)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     band = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("value").bitwiseAND(F.lit(m))) for k, m in enumerate(signed))))
-    rows = nodes.select("node", "value", band.alias("band")).repartition("band").sortWithinPartitions("band")
+    rows = nodes.select(band.alias("band"), "node", "value").repartition("band").sortWithinPartitions("band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         refs = np.random.default_rng(64).integers(0, 1 << 64, pivots, dtype=np.uint64, endpoint=False)
-        held = [np.zeros(0, np.int64)] * 3
-
-        def found(ids, values, bands) -> pa.RecordBatch:
-            edges, at = [], np.flatnonzero(np.diff(bands, prepend=bands[:1] - 1)) if len(bands) else np.zeros(0, np.int64)
-            ends = np.append(at[1:], len(bands))
-            for a, b in zip(at[ends - at > 1], ends[ends - at > 1]):
-                edges += _forest(ids[a:b], values[a:b].view(np.uint64), bits, refs)
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        for x in batches:
-            held = [np.concatenate([h, x.column(k).to_numpy()]) for k, h in enumerate(held)]
-            done = int(np.searchsorted(held[2], held[2][-1])) if len(held[2]) else 0  # the last band may go on
-            if done:
-                yield found(*(h[:done] for h in held))
-                held = [h[done:] for h in held]
-        yield found(*held)
+        return _banded(batches, lambda ids, values: _forest(ids, values.view(np.uint64), bits, refs))
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -169,52 +208,31 @@ def _same(found) -> bytes:
     return xxh3_128_digest(found.tobytes())
 
 
-def _similar(ids, sets, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets, sorted and without repeats, of similarity ``least`` or more."""
-    import numpy as np
+def bands(n: int, least: float = LEAST, found: float = FOUND, low: int = BAND) -> tuple[int, int]:
+    """The bits of a band, so that unrelated texts are few in it, and how many bands find a pair of similarity ``least``."""
+    bits = max(low, math.ceil(math.log2(max(2, n))) - 4)
+    agree = (1 - math.acos(2 * least / (1 + least)) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - found) / math.log(1 - agree))
 
-    sizes = np.array([len(s) for s in sets])
-    starts = np.cumsum([0, *sizes])
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    rest, found, front, held = np.ones(len(sets), bool), [], [], None
-    for first in range(len(sets)):
-        if not rest[first]:
-            continue
-        rest[first], front = False, [first]
-        while front and rest.any():
-            if held is None or 2 * rest.sum() < held:  # who holds each shingle, of those that are left
-                held = rest.sum()
-                kept = np.flatnonzero(rest[owner])
-                kept = kept[np.argsort(flat[kept], kind="stable")]
-                holders, cuts = owner[kept], np.searchsorted(flat[kept], np.arange(flat.max(initial=-1) + 2))
-            i = front.pop()
-            own = flat[starts[i] : starts[i + 1]]
-            common = np.bincount(np.concatenate([holders[cuts[k] : cuts[k + 1]] for k in own]), minlength=len(sets)) if len(own) else np.zeros(len(sets), int)
-            near = np.flatnonzero(rest & (common > 0) & (common >= least * (sizes[i] + sizes - common) - 1e-9))
-            found += [(int(ids[i]), int(ids[j])) for j in near]
-            front += near.tolist()
-            rest[near] = False
-    return found
 
-
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect nodes (node, f0, f1, ...) whose fingerprints share a band and are close."""
+def _candidates(nodes: DataFrame, bits: int, count: int) -> DataFrame:
+    """Proposals (a, b, apart) that connect nodes (node, f0, f1, ...) whose fingerprints share a band and are close."""
+    each = 64 * LANES // bits
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         rng = np.random.default_rng(80)
-        places = np.concatenate([rng.permutation(64 * LANES).reshape(-1, BAND) for _ in range(ORDERS)])
+        places = np.concatenate([rng.permutation(64 * LANES)[: each * bits].reshape(-1, bits) for _ in range(-(-count // each))])[:count]
         for batch in batches:
             for x in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
                 lanes = np.stack([x.column(f"f{k}").to_numpy() for k in range(LANES)], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little").astype(np.int64)
+                ones = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little").astype(np.int64)
                 for k, some in enumerate(places):
-                    band = bits[:, some] @ (1 << np.arange(BAND)) | k << BAND
+                    band = ones[:, some] @ (1 << np.arange(bits)) | k << bits
                     yield pa.RecordBatch.from_arrays([pa.array(band), x.column("node"), x.column("f0"), x.column("f1")], names=["band", "node", "f0", "f1"])
 
-    def near(ids, a, b) -> list[tuple[int, int]]:
+    def near(ids, a, b) -> list[tuple[int, int, int]]:
         import numpy as np
 
         rest, found = np.arange(len(ids)), []
@@ -222,9 +240,10 @@ def _candidates(nodes: DataFrame) -> DataFrame:
             front, rest = [rest[0]], rest[1:]
             while front and len(rest):
                 i = front.pop()
-                hit = np.bitwise_count(a[rest] ^ a[i]).astype(np.int16) + np.bitwise_count(b[rest] ^ b[i]) <= WITHIN
+                apart = np.bitwise_count(a[rest] ^ a[i]).astype(np.int16) + np.bitwise_count(b[rest] ^ b[i])
+                hit = apart <= WITHIN
                 if hit.any():
-                    found += [(int(ids[i]), int(ids[j])) for j in rest[hit]]
+                    found += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])), int(d)) for j, d in zip(rest[hit], apart[hit])]
                     front += rest[hit].tolist()
                     rest = rest[~hit]
         return found
@@ -232,24 +251,37 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        def linked(bands, ids, a, b) -> pa.RecordBatch:
-            at = np.flatnonzero(np.diff(bands, prepend=bands[:1] - 1)) if len(bands) else np.zeros(0, np.int64)
-            ends, edges = np.append(at[1:], len(bands)), []
-            for lo, hi in zip(at[ends - at > 1], ends[ends - at > 1]):
-                edges += near(ids[lo:hi], a[lo:hi].view(np.uint64), b[lo:hi].view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        held = [np.zeros(0, np.int64)] * 4
-        for x in batches:
-            held = [np.concatenate([h, x.column(k).to_numpy()]) for k, h in enumerate(held)]
-            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last band may go on
-            if done:
-                yield linked(*(h[:done] for h in held))
-                held = [h[done:] for h in held]
-        yield linked(*held)
+        return _banded(batches, lambda ids, a, b: near(ids, a.view(np.uint64), b.view(np.uint64)), ("a", "b", "apart"))
 
     rows = nodes.mapInArrow(banded, "band long, node long, f0 long, f1 long")
-    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long")
+    found = rows.repartition("band").sortWithinPartitions("band", F.xxhash64("node", "band")).mapInArrow(run, "a long, b long, apart long")
+    return found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) are ``least`` similar. Those of one a are compared in blocks."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    heads = rows.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = heads.unionByName(rows.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "shingles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        own = None
+        for batch in batches:
+            found = []
+            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles")):
+                s = np.frombuffer(s.as_buffer(), "<u8")
+                if b is None:
+                    own = s
+                else:
+                    common = len(np.intersect1d(own, s, assume_unique=True)) if 5 * min(len(s), len(own)) >= 5 * least * max(len(s), len(own)) - 1e-9 else 0
+                    if common and common >= least * (len(own) + len(s) - common) - 1e-9:
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -268,37 +300,27 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words
             yield pa.RecordBatch.from_arrays([x.column(key), pa.array(map(_same, sets), pa.binary()), *found], names=[key, "same", *lanes])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in slices(batches, text):
+        for x in slices(batches, text, most=1 << 20):
             sets = [_distinct(t, words) for t in x.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([x.column("component"), x.column("node"), pa.array(map(_same, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["component", "node", "same", "shingles"])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        def linked(rows: list) -> pa.RecordBatch:
-            edges = _similar([n for n, _ in rows], [s for _, s in rows], least)
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        now, held = None, []
-        for x in batches:
-            for c, n, s in zip(x.column("component").to_pylist(), x.column("node").to_pylist(), x.column("shingles")):
-                if c != now and held:
-                    yield linked(held)
-                    held = []
-                now = c
-                held.append((n, np.frombuffer(s.as_buffer(), "<u8")))
-        if held:
-            yield linked(held)
+            yield pa.RecordBatch.from_arrays([x.column("node"), pa.array(map(_same, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "same", "shingles"])
 
     kinds = T.StructType([df.schema[key], T.StructField("same", T.BinaryType()), *(T.StructField(f, T.LongType()) for f in lanes)])
     prints = saved(df.select(key, text).mapInArrow(printed, kinds), "fingerprints")
     classes = saved(prints.groupBy("same").agg(F.min(key).cast("long").alias("node"), *(F.min(f).alias(f) for f in lanes)), "classes")
     nodes = classes.where("node is not null")
-    found = saved(components(_candidates(nodes.select("node", *lanes))), "candidates")
-    texts = df.select(F.col(key).cast("long").alias("node"), F.col(text)).join(found, "node")
-    sets = texts.select("component", "node", text).mapInArrow(listed, "component long, node long, same binary, shingles binary")
+    pairs = saved(_candidates(nodes.select("node", *lanes), *bands(nodes.count(), least)), "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = df.select(F.col(key).cast("long").alias("node"), F.col(text)).join(ends.hint("shuffle_hash"), "node")
+    sets = texts.mapInArrow(listed, "node long, same binary, shingles binary")
     # an id that has several texts names the class of one of them at least, and may name more
-    sets = sets.join(nodes.select("node", "same"), ["node", "same"], "left_semi").dropDuplicates(["node", "same"])
-    links = sets.repartition("component").sortWithinPartitions("component").mapInArrow(verified, "a long, b long")
+    sets = saved(sets.join(nodes.select("node", "same"), ["node", "same"]).dropDuplicates(["node", "same"]).select("node", "shingles"), "sets")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    nearest = both.groupBy("a").agg(F.min(F.struct("apart", F.xxhash64("a", "b").alias("h"), "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    first = saved(_verified(nearest, sets, least), "links")
+    parts = saved(components(first), "parts")
+    part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c} part"))
+    apart = pairs.join(nearest, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    apart = apart.where(F.coalesce("a part", "a") != F.coalesce("b part", "b")).select("a", "b")
+    links = first.unionByName(saved(_verified(saved(apart, "apart"), sets, least), "links"))
     named = classes.join(components(links), "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return prints.join(saved(named, "named"), "same").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))

@@ -71,19 +71,17 @@ def test_near_copies_against_brute_force(spark):
     assert len(low) > 500 and missed <= 0.02 * len(low) and len(kept - true) <= 0.02 * (len(texts) - len(true))
 
 
-def test_exact_links():
+def test_exact_links(spark):
     import numpy as np
 
     r = random.Random(3)
-    for _ in range(200):
-        sets = [np.array(sorted(r.sample(range(14), r.randint(0, 12))), np.uint64) for _ in range(r.randint(1, 12))]
+    sets = [np.array(sorted(r.sample(range(14), r.randint(0, 12))), np.uint64) for _ in range(120)]
+    nodes = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, shingles binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(120) for b in range(a + 1, 120)], "a long, b long")
+    true = {(a, b) for a in range(120) for b in range(a + 1, 120) if (c := len(np.intersect1d(sets[a], sets[b]))) and 5 * c >= 4 * (len(sets[a]) + len(sets[b]) - c)}
+    assert {tuple(x) for x in simhash._verified(pairs, nodes, 0.8).collect()} == true and true
 
-        def groups(edges):
-            best = list(range(len(sets)))
-            for a, b in edges:
-                lo, hi = sorted((best[a], best[b]))
-                best = [lo if x == hi else x for x in best]
-            return best
 
-        true = [(a, b) for a in range(len(sets)) for b in range(a) if (c := len(np.intersect1d(sets[a], sets[b]))) and 5 * c >= 4 * (len(sets[a]) + len(sets[b]) - c)]
-        assert groups(simhash._similar(range(len(sets)), sets, 0.8)) == groups(true)
+def test_bands_grow_with_the_texts():
+    (b, n), (c, m) = simhash.bands(50_000), simhash.bands(10**9)
+    assert b < c and n < m and 10**9 / 2**c <= 32

@@ -52,6 +52,19 @@ def test_links_of_random_values_lose_none(spark):
     assert {k: found.get(k, k) for k in expected} == expected
 
 
+def test_pivots_discard_pairs_before_they_are_compared():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = values[:100] ^ np.uint64(0b101)
+    values, refs = np.concatenate([values, near]), np.random.default_rng(64).integers(0, 1 << 64, simhash.PIVOTS, dtype=np.uint64, endpoint=False)
+    tally = [0, 0, 0]
+    found = simhash._forest(np.arange(500), values, 3, refs, tally)
+    assert len(found) == tally[2] == 100
+    assert tally[0] < 0.7 * 500 * 499 / 2 and tally[1] < 0.01 * tally[0]
+
+
 def test_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5), (7, 6)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
