@@ -69,17 +69,23 @@ def segment_keys(edits: int = EDITS) -> Column:
 
 def pair_keys(edits: int = EDITS) -> Column:
     """As segment_keys, by two of threshold-plus-two segments: edits move the second no further than they may."""
-    out, pieces = [], edits + 2
+    pieces, cases = edits + 2, []
     for d in range(edits + 1):
-        n = F.col("n") - d
         for i in range(pieces):
             for j in range(i + 1, pieces):
                 for x in range(-edits, edits + 1) if i else (0,):
                     for y in range(-edits, edits + 1) if j < pieces - 1 else (d,):
                         if abs(x) + abs(y - x) + abs(d - y) <= edits:
-                            key = F.xxhash64(n, F.lit(i), F.lit(j), _segment(n, i, pieces, x), _segment(n, j, pieces, y))
-                            out.append(F.struct(key.alias("k"), F.lit(d == 0 and x == y == 0).alias("own")))
-    return F.array(*out)
+                            cases.append(F.struct(*(F.lit(v).alias(k) for k, v in zip("dijxy", (d, i, j, x, y)))))
+
+    def key(c: Column) -> Column:
+        n = F.col("n") - c["d"]
+        cut = lambda k: F.floor(n * k / pieces).cast("int")
+        segment = lambda k, shift: F.substring("line", cut(k) + 1 + shift, cut(k + 1) - cut(k))
+        own = (c["d"] == 0) & (c["x"] == 0) & (c["y"] == 0)
+        return F.struct(F.xxhash64(n, c["i"], c["j"], segment(c["i"], c["x"]), segment(c["j"], c["y"])).alias("k"), own.alias("own"))
+
+    return F.transform(F.array(*cases), key)
 
 
 def bit_parallel(a: Column, b: Column, edits: int = EDITS) -> Column:
