@@ -31,10 +31,6 @@ class RagConfig:
     stale_minutes: int = 15
 
 
-#: The domains of enumerated columns.
-DOCUMENT_STATUS = ("pending", "parsing", "parsed", "failed")
-CHUNK_TYPE = ("text", "table", "mixed")
-DIMENSIONS = ("user", "agent", "model", "provider", "organization")
-EVIDENCE_REASONS = ("ok", "no_hits", "low_relevance", "no_score")
+#: Which changes of an agent's status are allowed, and the longest range of a report.
 AGENT_TRANSITIONS = (("draft", "running"), ("running", "paused"), ("paused", "running"), ("paused", "stopped"), ("pending", "stopped"))
 MAX_RANGE_DAYS = 366

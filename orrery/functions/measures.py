@@ -16,6 +16,12 @@ def business_date(ts: Column, zone: str = "Asia/Shanghai") -> Column:
     return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), zone))
 
 
+def to_utc(ts: Column, zone: str | None = None) -> Column:
+    """The UTC wall clock of a time; one without a zone is UTC already."""
+    plain = ts.cast("timestamp_ntz")
+    return plain if zone is None else F.to_utc_timestamp(plain.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
 def percent_change(now: Column, before: Column, places: int = 2) -> Column:
     """Null where there was nothing before."""
     return F.when(before > 0, F.round((now - before).cast("decimal(28,8)") / before.cast("decimal(28,8)") * 100, places))

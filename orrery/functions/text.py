@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: What counts as an identifier, a word, a number.
-IDENTIFIER = r"[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)+"
+IDENTIFIER = r"[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+"
 LATIN, DIGITS, CJK = r"[A-Za-z]{2,}", r"[0-9]{2,}", r"[一-鿿]{2,}"
 
 

@@ -16,8 +16,8 @@ from orrery.config import RagConfig
 from orrery.functions.text import paragraphs
 
 #: Line forms of Markdown, and separators for texts that are too long, coarse to fine.
-FENCE, HEADING, LIST = re.compile(r"^\s*(```|~~~)"), re.compile(r"^(#{1,6})\s*(.*?)\s*#*\s*$"), re.compile(r"^\s*(?:[-*+]|[0-9]+[.)])\s+")
-RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+FENCE, HEADING, LIST = re.compile(r"^\s*(```|~~~)"), re.compile(r"^(#{1,6})\s+(.*)$"), re.compile(r"^\s*(?:[-*+]|[0-9]+[.)])\s+")
+ROW, RULE = re.compile(r"^\s*\|.*\|\s*$"), re.compile(r"^\s*\|(?:\s*:?-{2,}:?\s*\|)+\s*$")
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
 BLOCKS = "array<struct<text:string,kind:string,level:int,page_no:int>>"
 DRAFTS = "array<struct<content:string,section_path:string,page_no:int,chunk_type:string>>"
@@ -26,9 +26,9 @@ DRAFTS = "array<struct<content:string,section_path:string,page_no:int,chunk_type
 def _kind(line: str, following: str) -> str:
     if FENCE.match(line):
         return "code"
-    if re.match(r"^#{1,6}(\s|$)", line):
+    if HEADING.match(line):
         return "heading"
-    if "|" in line and "|" in following and RULE.match(following):
+    if ROW.match(line) and RULE.match(following):
         return "table"
     if LIST.match(line):
         return "list"
@@ -43,8 +43,8 @@ def markdown_blocks(text: str | None) -> list[dict]:
         kind, end = _kind(lines[at], lines[at + 1] if at + 1 < len(lines) else ""), at + 1
         if kind == "heading":
             m = HEADING.match(lines[at])
-            if m[2]:
-                out.append({"text": m[2], "kind": kind, "level": len(m[1])})
+            if m[2].strip():
+                out.append({"text": m[2].strip(), "kind": kind, "level": len(m[1])})
             at = end
             continue
         if kind == "code":
@@ -53,7 +53,7 @@ def markdown_blocks(text: str | None) -> list[dict]:
                 end += 1
             end += 1
         elif kind == "table":
-            while end < len(lines) and "|" in lines[end]:
+            while end < len(lines) and ROW.match(lines[end]):
                 end += 1
         elif kind != "blank":
             while end < len(lines):
@@ -148,17 +148,11 @@ def _drafts(held: list[dict], path: str, size: int, overlap: int) -> list[dict]:
         return [draft(whole, kind)]
     if kind == "text":
         return [draft(p, kind) for p in split_text(whole, size, overlap)]
-    out, before = [], []
-    for b in held:
-        if b["kind"] != "table":
-            before.append(b["text"])
-            continue
-        lead = "\n\n".join(before)
-        pieces = split_table(b["text"], max(1, size))
-        out.append(draft(f"{lead}\n\n{pieces[0]}" if lead else pieces[0], kind))
-        out += [draft(p, "table") for p in pieces[1:]]
-        before = []
-    return out + [draft(p, "text") for p in split_text("\n\n".join(before), size, overlap)] if before else out
+    # all tables are one, behind all that isn't a table
+    lead = "\n\n".join(b["text"] for b in held if b["kind"] != "table").strip()
+    pieces = split_table("\n".join(b["text"] for b in held if b["kind"] == "table"), max(1, size))
+    first = f"{lead}\n\n{pieces[0]}" if lead else pieces[0]
+    return [draft(first, kind), *(draft(p, "table") for p in pieces[1:])]
 
 
 def blocks(df: DataFrame, text: str = "text", form: str = "md") -> DataFrame:

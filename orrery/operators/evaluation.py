@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Metrics that are better when lower.
@@ -82,9 +80,19 @@ def question_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("question_id", change.alias("change")).where("change is not null")
 
 
+def threshold_metric(key: Column) -> Column:
+    """The metric that a threshold's key names: hit_at_5 is hit@5, others are themselves."""
+    return F.regexp_replace(key, "_at_([0-9]+)$", "@$1")
+
+
+def unknown_keys(row: Column, known: list[str]) -> Column:
+    """The keys of a JSON object that aren't among the known ones."""
+    return F.array_except(F.json_object_keys(row), F.array(*map(F.lit, known)))
+
+
 def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Thresholds (metric, floor) that fail: measured below, or not at all."""
-    named = thresholds.withColumn("metric", F.regexp_replace("metric", "_at_([0-9]+)$", "@$1"))
+    named = thresholds.withColumn("metric", threshold_metric(F.col("metric")))
     return named.join(metrics.select("metric", "value"), "metric", "left").where(F.col("value").isNull() | (F.col("value") < F.col("floor")))
 
 
@@ -98,11 +106,8 @@ def violations(questions: DataFrame, categories: list[str], behaviours: list[str
         "missing evidence": answers & (evidence == 0),
         "evidence on abstain": ~answers & (evidence > 0),
         "missing history": F.col("category").isin("multi_turn", "anaphora") & (history == 0),
-        "duplicate id": F.count("*").over(Window.partitionBy("question_id")) > 1,
+        "duplicate id": F.col("copies") > 1,
     }
     problems = F.filter(F.array(*(F.when(F.coalesce(r, F.lit(True)), F.lit(n)) for n, r in rules.items())), lambda p: p.isNotNull())
-    return questions.select("question_id", F.explode(problems).alias("problem")).distinct()
-
-
-def any_of(predicates: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, predicates, F.lit(False))
+    counted = questions.withColumn("copies", F.count("*").over(Window.partitionBy("question_id")))
+    return counted.withColumn("problems", problems).select("question_id", F.explode("problems").alias("problem")).distinct()

@@ -2,41 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from orrery.operators.lineage import cut
 
-def _closure(start: DataFrame, step: DataFrame, most: int) -> DataFrame:
-    """What start (root, id) reaches along step (id, next), itself included; cycles end it, ``most`` bounds the depth."""
-    spark = start.sparkSession
-    start.createOrReplaceTempView("closure_start")
-    step.createOrReplaceTempView("closure_step")
-    return spark.sql(f"""
-        with recursive reach(root, id, depth) as (
-            select root, id, 0 from closure_start
-            union all
-            select r.root, s.next, r.depth + 1 from reach r join closure_step s on r.id = s.id where r.depth < {most} and s.next is not null
-        ) select root, id, min(depth) depth from reach group by root, id""")
 
+def _closure(start: DataFrame, step: DataFrame) -> DataFrame:
+    """(root, id, depth): what start (root, id) reaches along step (id, next), itself included, each once at its least depth; cycles end there.
 
-def ancestors(tree: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
+    A loop of joins, one for each level: only the last level's new rows go on, and every level is a table of its own.
+    """
+    step = cut(step.where("next is not null").distinct())
+    level = cut(start.where("id is not null").select("root", "id", F.lit(0).alias("depth")).distinct())
+    seen = level
+    while not level.isEmpty():
+        further = level.join(step, "id").select("root", F.col("next").alias("id"), (F.col("depth") + 1).alias("depth")).dropDuplicates(["root", "id"])
+        level = cut(further.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
+        seen = seen.unionAll(level)
+    return seen
+
+
+def ancestors(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     """(root, id, depth): each node (id), and all above it; unknown ids stay."""
-    return _closure(nodes.selectExpr("id root", "id"), tree.selectExpr("id", "parent_id next"), most)
+    return _closure(nodes.selectExpr("id root", "id"), tree.selectExpr("id", "parent_id next"))
 
 
-def descendants(tree: DataFrame, nodes: DataFrame, most: int = 64) -> DataFrame:
+def descendants(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     """(root, id, depth): each node (id), and all below it."""
-    return _closure(nodes.selectExpr("id root", "id"), tree.selectExpr("parent_id id", "id next").where("id is not null"), most)
-
-
-def paths(tree: DataFrame, most: int = 64) -> DataFrame:
-    """tree with the path of names from its root. Nodes whose parent is missing are roots; nodes on a cycle don't appear."""
-    tree.createOrReplaceTempView("paths_tree")
-    return tree.sparkSession.sql(f"""
-        with recursive p(id, path, depth) as (
-            select t.id, t.name, 0 from paths_tree t left anti join paths_tree u on t.parent_id = u.id
-            union all
-            select t.id, concat(p.path, ' > ', t.name), p.depth + 1 from p join paths_tree t on t.parent_id = p.id where p.depth < {most}
-        ) select id, path, depth from p""")
+    return _closure(nodes.selectExpr("id root", "id"), tree.selectExpr("parent_id id", "id next").where("id is not null"))
+
+
+def paths(tree: DataFrame) -> DataFrame:
+    """(id, path, depth): the names from a node's root to it. Nodes whose parent is missing are roots; nodes on a cycle don't appear."""
+    tree = cut(tree.select("id", "parent_id", "name"))
+    rows = tree.join(tree.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
+    level = cut(rows)
+    found = level
+    while not level.isEmpty():
+        up = level.select(F.col("id").alias("parent_id"), "path", "depth")
+        level = cut(tree.join(up, "parent_id").select("id", F.concat("path", F.lit(" > "), "name").alias("path"), (F.col("depth") + 1).alias("depth")))
+        found = found.unionAll(level)
+    return found
+
+
+def ordered(tree: DataFrame) -> DataFrame:
+    """(id, depth, pos) of tree (id, parent_id, name, type): depth-first, siblings by type and name; nodes whose parent is missing are roots."""
+    key = F.concat_ws("\u0001", F.coalesce(F.col("type").cast("string"), F.lit("")), "name", F.col("id").cast("string"))
+    laid = paths(tree.select("id", "parent_id", F.concat(key, F.lit("\u0002")).alias("name")))
+    return laid.select("id", "depth", F.row_number().over(Window.orderBy(F.replace("path", F.lit("\u0002 > "), F.lit("\u0002")))).alias("pos"))
 
 
 def effective(user_roles: DataFrame, roles: DataFrame, role_permissions: DataFrame, permissions: DataFrame) -> DataFrame:

@@ -40,6 +40,30 @@ def replace(index: DataFrame, fresh: DataFrame, by: str = "document_id") -> Data
     return index.join(fresh.select(by).distinct(), by, "left_anti").unionByName(fresh)
 
 
+def points(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Index rows with their vectors (id, embedding); raises if a row has none or several."""
+    counted = rows.join(vectors.groupBy("id").agg(F.count("*").alias("n"), F.first("embedding").alias("embedding")), "id", "left")
+    wrong = counted.where("n is null or n <> 1").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0]['id']} has {wrong[0]['n'] or 0} vectors")
+    return counted.drop("n")
+
+
+def delete(index: DataFrame, by: str, *values: object) -> DataFrame:
+    """The index without the points whose payload equals one of the values; points without that field stay."""
+    return index.where(~F.coalesce(F.col(by).isin(*values), F.lit(False)))
+
+
+def rebuilt(index: DataFrame, documents: DataFrame, drafts: DataFrame, vectors: DataFrame, longest: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(index, documents) after indexing the documents (document_id, error) that have drafts: those without an error replace
+    their old points and are parsed, those with one keep them and are failed, with the error's first ``longest`` characters."""
+    fine = documents.where("error is null").select("document_id")
+    fresh = points(payload(drafts.join(fine, "document_id", "left_semi")), vectors)
+    done = documents.withColumn("status", F.when(F.col("error").isNull(), "parsed").otherwise("failed")).withColumn("error", F.substring("error", 1, longest))
+    kept = index.join(fine, "document_id", "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True), done
+
+
 def check_dimension(vectors: DataFrame, vector: str = "embedding") -> int:
     """The one dimension of all vectors."""
     sizes = [r[0] for r in vectors.select(F.size(vector).alias("n")).distinct().limit(2).collect()]

@@ -55,14 +55,15 @@ def rrf(lists: list[tuple[DataFrame, str, float]], k: int = 60, top: int = 0) ->
     for n, (df, name, weight) in enumerate(lists):
         part = df.select("query_id", "doc_id", "rank", (F.col("score") if "score" in df.columns else F.lit(None)).cast("double").alias("score"), F.lit(n).alias("list_no"), F.lit(name).alias("retriever"), F.lit(float(weight)).alias("weight"))
         rows = part if rows is None else rows.unionAll(part)
-    place = F.col("list_no") * 1_000_000 + F.col("rank")
+    place = F.struct("list_no", F.col("rank").cast("long").alias("rank"))
     fused = rows.where("doc_id is not null").groupBy("query_id", "doc_id").agg(
         F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 12).alias("rrf_score"),
         F.min(place).alias("first_seen"),
         F.min_by("score", F.when(F.col("score").isNotNull(), place)).alias("score"),
         F.array_join(F.sort_array(F.collect_set("retriever")), ",").alias("retrievers"),
     )
-    return ranked(fused, top if top > 0 else 1_000_000_000, F.desc("rrf_score"), F.col("first_seen"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "first_seen")
+    return ranked(fused, top, F.desc("rrf_score"), F.col("first_seen")) if top > 0 else fused.withColumn("rank", F.row_number().over(order))
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataFrame, config: RagConfig) -> DataFrame:
@@ -87,6 +88,31 @@ def sanitized(results: DataFrame, n_hits: Column, threshold: float) -> DataFrame
     return first.where(F.col("s") >= threshold).select("query_id", F.col("i").alias("index"), F.col("s").alias("rerank_score"))
 
 
+def noop_reranked(hits: DataFrame) -> DataFrame:
+    """The hits as they are, in their order, none cut."""
+    return hits.withColumn("new_rank", F.col("rank"))
+
+
+def containment(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
+    """(key, item): documents that hold an item's text literally.
+
+    An item's words, its first and last aside, stand in the document between the same white space. Documents give the
+    hash of each two neighbouring words, once; an item is sought by its longest two, and only documents that hold these are searched.
+    Items of fewer than four words have no two inner ones: they meet all documents.
+    """
+    words = lambda c: F.split(c, r"[ \t\n\r\f\u000b]", -1)
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.struct(F.length(a) + F.length(b), F.xxhash64(a, b).alias("h")))
+    inner = lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    wanted = items.select(F.col(item), F.col(text).alias("wanted"), words(F.col(text)).alias("w")).where(F.col("wanted").isNotNull())
+    anchored = wanted.where(F.size("w") >= 4).select(item, F.array_max(pairs(inner(F.col("w"))))["h"].alias("h"))
+    keys = docs.select(key, F.explode(F.array_distinct(F.transform(pairs(words(F.col(text))), lambda p: p["h"]))).alias("h"))
+    found = keys.join(anchored, "h").select(key, item)
+    hit = F.expr(f"contains({text}, wanted)")
+    long = found.join(docs.select(key, text), key).join(wanted.select(item, "wanted"), item).where(hit).select(key, item)
+    short = docs.select(key, text).join(wanted.where(F.size("w") < 4).select(item, "wanted"), hit).select(key, item)
+    return long.unionByName(short)
+
+
 def reranked(hits: DataFrame, scores: DataFrame, top: int) -> DataFrame:
     """Hits (query_id, rank) by the scores of their ordinals; those without a score go."""
     joined = hits.join(scores.withColumn("rank", F.col("index") + 1).drop("index"), ["query_id", "rank"])

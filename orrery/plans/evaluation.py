@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from orrery.functions import text
-from orrery.operators import evaluation, grounding, retrieval
+from orrery.operators import answers, evaluation, grounding, reports, retrieval, steps
 from orrery.plans.base import query, table
 
 #: Hits of a question: documents that hold its text come with others of the same source, longest first.
@@ -27,9 +27,11 @@ def _questions(spark, sf):
 def _hits(spark, sf):
     docs = table(spark, sf, "documents")
     q = _questions(spark, sf).select("question_id", F.col("evidence")[0].alias("evidence"))
-    own = docs.join(q, F.expr("contains(text, evidence)")).select("question_id", "source").distinct()
-    rows = own.join(docs.select("source", "doc_id", F.length("text").alias("n")), "source")
-    top = retrieval.ranked(rows, 10, F.desc("n"), F.col("doc_id"), by="question_id")
+    held = retrieval.containment(docs, q.toDF("item_id", "text")).withColumnRenamed("item_id", "question_id")
+    own = held.join(docs.select("doc_id", "source"), "doc_id").select("question_id", "source").distinct()
+    # ten documents of a source serve all questions about it
+    slim = retrieval.ranked(docs.select("source", "doc_id", F.length("text").alias("n")), 10, F.desc("n"), F.col("doc_id"), by="source").drop("rank")
+    top = retrieval.ranked(own.join(slim, "source"), 10, F.desc("n"), F.col("doc_id"), by="question_id")
     return top.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").select("question_id", "doc_id", "rank", "content")
 
 
@@ -75,12 +77,12 @@ POINTS = "['the', 'und', 'que']"
 
 
 @query(f"""select conv_id, turn, len(list_filter({POINTS}, lambda p: contains(text, p)))::double / 3 as correctness,
-    case when len(list_filter({POINTS}, lambda p: contains(text, p))) > 0 then len(list_filter({POINTS}, lambda p: contains(text, p) and contains(substr(text, 1, 60), p)))::double / len(list_filter({POINTS}, lambda p: contains(text, p))) end as supported
+    case when len(list_filter({POINTS}, lambda p: contains(text, p))) > 0 then len(list_filter({POINTS}, lambda p: contains(text, p) and contains(reverse(text), p)))::double / len(list_filter({POINTS}, lambda p: contains(text, p))) end as supported
     from conversations where role = 'assistant'""")
 def e5_e6_answer_points(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
     points, answer = F.array(*map(F.lit, ("the", "und", "que"))), F.col("text")
-    return c.select("conv_id", "turn", evaluation.points_matched(answer, points).alias("correctness"), evaluation.points_supported(answer, F.substring("text", 1, 60), points).alias("supported"))
+    return c.select("conv_id", "turn", evaluation.points_matched(answer, points).alias("correctness"), evaluation.points_supported(answer, F.reverse("text"), points).alias("supported"))
 
 
 @query(f"select metric, avg(value) as value from {LONG} group by metric")
@@ -93,10 +95,25 @@ def g9_category_average(spark, sf):
     return evaluation.by_category(_long(spark, sf))
 
 
-@query("""select avg(case when role = 'system' then 1.0e0 when role = 'user' then 0 end) as abstain_accuracy, cast(sum(turn) as bigint) as uncited_claims_total, count(*) filter (where role = 'assistant') as answers from conversations""")
-def g10_answer_rollup(spark, sf):
+ANSWERED = f"""(select conv_id, turn, role as category, regexp_extract_all(t, '\\[([0-9]{{1,3}})\\]', 1) as c, conv_id % 5 = 0 as abstain_expected, turn % 4 = 0 as abstained, length(text) as latency_ms,
+    len(list_filter(regexp_split_to_array(t, '[。！？!?\\n]+'), lambda x: length(trim(x)) >= 12 and not regexp_matches(x, '\\[[0-9]{{1,3}}\\]'))) as uncited, contains(t, 'the')::int::double as correctness from (select *, text || ' [' || (turn % 4) || ']' as t from conversations))"""
+ROLLED = """avg(correctness) as answer_correctness, avg(case when len(list_filter(c, lambda x: x not in ('1', '2', '3'))) > 0 then 0.0e0 else 1 end) as citation_valid_rate,
+    avg(case when abstain_expected then abstained::int::double end) as abstain_accuracy, avg(case when not abstain_expected then abstained::int::double end) as false_abstain_rate, sum(uncited)::double as uncited_claims_total, avg(latency_ms) as latency_ms"""
+
+
+def _answered(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.agg(F.avg(F.when(F.col("role") == "system", 1.0).when(F.col("role") == "user", 0.0)).alias("abstain_accuracy"), F.sum("turn").alias("uncited_claims_total"), F.count_if(F.col("role") == "assistant").alias("answers"))
+    answer = F.concat("text", F.lit(" ["), F.col("turn") % 4, F.lit("]"))
+    rows = c.withColumn("m", answers.citation_metrics(answer, F.array(*map(F.lit, (1, 2, 3))))).withColumn("abstained", F.col("turn") % 4 == 0)
+    return rows.select(
+        F.col("role").alias("category"), evaluation.points_matched(answer, F.array(F.lit("the"))).alias("correctness"), F.lit(None).cast("double").alias("supported"), "m.invalid", "m.has_citation", (F.col("conv_id") % 5 == 0).alias("abstain_expected"),
+        "abstained", answers.abstain_pass(F.lit(""), F.col("abstained")).alias("abstain_pass"), F.length("text").alias("latency_ms"), F.col("m.uncited_claims").alias("uncited_claims"),
+    )
+
+
+@query(f"select category, {ROLLED} from {ANSWERED} group by rollup(category)")
+def g10_answer_rollup(spark, sf):
+    return answers.rollup(_answered(spark, sf)).select("category", "answer_correctness", "citation_valid_rate", "abstain_accuracy", "false_abstain_rate", "uncited_claims_total", "latency_ms")
 
 
 @query(f"select count(*) as n, avg(case when mrr = 0 then 1.0e0 else 0 end) as no_hits_rate, avg(case when mrr < 0.5 then 1.0e0 else 0 end) as low_relevance_rate from {SCORES} where category = 'b'")
@@ -105,10 +122,12 @@ def g11_no_answer_stats(spark, sf):
     return s.agg(F.count("*").alias("n"), F.avg((F.col("mrr") == 0).cast("double")).alias("no_hits_rate"), F.avg((F.col("mrr") < 0.5).cast("double")).alias("low_relevance_rate"))
 
 
-@query("select count(*) filter (where quality = 1) as passed, count(*) filter (where quality = 0) as failed, count(*) filter (where quality = 1)::double / nullif(count(quality), 0) as pass_rate from labels")
+@query("""with v as (select case when quality = 1 and toxic = 0 then '通过' when quality = 1 then '存疑' when toxic = 1 then '不通过' else '' end as verdict from labels)
+    select count(*) filter (where verdict <> '') as filled, count(*) filter (where verdict = '通过') as passed, count(*) filter (where verdict = '不通过') as failed, count(*) filter (where verdict = '存疑') as unsure, count(*) filter (where verdict = '通过')::double / nullif(count(*) filter (where verdict <> ''), 0) as pass_rate from v""")
 def g12_review_summary(spark, sf):
-    ok, bad = F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)
-    return table(spark, sf, "labels").agg(ok.alias("passed"), bad.alias("failed"), (ok / F.nullif(F.count("quality"), F.lit(0))).alias("pass_rate"))
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    verdict = F.when(good & ~toxic, answers.PASS).when(good, answers.UNSURE).when(toxic, answers.FAIL).otherwise("")
+    return answers.review_summary(table(spark, sf, "labels").select(verdict.alias("verdict")))
 
 
 BEFORE = f"(select metric, avg(value) as value from {LONG} where category <> 'b' and metric <> 'hit@1' group by metric)"
@@ -140,9 +159,9 @@ def e11_gate(spark, sf):
     return evaluation.gate(evaluation.macro(_long(spark, sf)), floors).select("metric", "floor", "value")
 
 
-@query("select doc_id from documents where doc_id % 3 = 0 and doc_id not in (select doc_id from labels)")
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def u2_set_difference(spark, sf):
-    return table(spark, sf, "documents").where("doc_id % 3 = 0").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
 @query("select doc_id, n_chars, quality from documents join labels using (doc_id) where n_chars % 2 <> quality")
@@ -172,7 +191,7 @@ def c2_citation_audit(spark, sf):
     return out.select("conv_id", "turn", F.array_join("a.cited", ",").alias("cited"), F.array_join(F.array_sort("a.invalid"), ",").alias("invalid"), F.col("a.uncited_claims").cast("long").alias("uncited"))
 
 
-@query("select conv_id, turn, contains(text, 'sorry') or contains(text, '未找到') as refusal from conversations")
+@query("select conv_id, turn, trim(text) <> '' and regexp_matches(text, 'sorry|无法确认|无法回答|无法确定|无法提供|资料不足|没有找到|未检索到|未找到') as refusal from conversations")
 def c3_refusal(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", grounding.is_refusal(F.col("text"), "sorry").alias("refusal"))
 
@@ -213,7 +232,97 @@ def x7_title(spark, sf):
     return table(spark, sf, "conversations").where("turn = 0").select("conv_id", text.title(F.col("text")).alias("title"))
 
 
-@query("""with d as (select conv_id, turn, row_number() over (partition by conv_id, role order by turn) as n, length(text) as tokens from conversations) select conv_id, cast(sum(tokens) as bigint) as tokens from d where n = 1 group by conv_id""")
+@query("""with d as (select conv_id, turn, nullif(role, 'system') as id, row_number() over (partition by conv_id, role order by turn) as n, length(text) as tokens from conversations where text is not null) select conv_id, cast(sum(tokens) as bigint) as tokens from d where n = 1 or id is null group by conv_id""")
 def g15_token_dedup(spark, sf):
-    c = table(spark, sf, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")))
-    return c.where("n = 1").groupBy("conv_id").agg(F.sum(F.length("text")).alias("tokens"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.nullif("role", F.lit("system")).alias("id"), F.length("text").alias("n_tokens"))
+    return answers.token_totals(c, "conv_id", "id", "turn", "n_tokens")
+
+
+KNOWN = "(select conv_id, count(*) filter (where role = 'assistant') as n_hits, max(case when role = 'assistant' and turn % 3 > 0 then turn / 10.0e0 end) as best, conv_id % 3 = 0 as bound, conv_id % 4 = 0 as web from conversations group by conv_id)"
+SUFFICIENT = "(n_hits > 0 and (best is null or best >= 0.35))"
+
+
+def _known(spark, sf):
+    c = table(spark, sf, "conversations").withColumnRenamed("conv_id", "query_id")
+    hits = c.where("role = 'assistant'").select("query_id", F.when(F.col("turn") % 3 > 0, F.col("turn") / 10.0).alias("rerank_score"))
+    found = grounding.assess(c.select("query_id").distinct(), hits)
+    none = F.array().cast("array<string>")
+    ids = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("kb"))).otherwise(none)
+    tools = F.when(F.col("query_id") % 4 == 0, F.array(F.lit(answers.KNOWLEDGE_TOOL), F.lit("web_search"))).otherwise(F.array(F.lit(answers.KNOWLEDGE_TOOL)))
+    return found.withColumn("ids", ids).withColumn("tools", tools)
+
+
+@query(f"select conv_id as query_id, bound and not web and not {SUFFICIENT} as abstains, bound and web and not {SUFFICIENT} as noted from {KNOWN}")
+def f12_abstain(spark, sf):
+    args = F.col("sufficient"), F.col("ids"), F.col("tools")
+    return _known(spark, sf).select("query_id", answers.should_abstain(*args).alias("abstains"), answers.needs_note(*args).alias("noted"))
+
+
+@query(f"""select conv_id as query_id, case when n_hits = 0 then 'no_hits' when best is null then 'no_score' when best >= 0.35 then 'ok' else 'low_relevance' end as reason, bound and not web and not {SUFFICIENT} as abstained, n_hits as hit_count, best as best_score, 2 as source_count, '1,7' as cited, '7' as invalid_cited from {KNOWN}""")
+def c4_grounding_record(spark, sf):
+    k = _known(spark, sf)
+    abstained = answers.should_abstain(F.col("sufficient"), F.col("ids"), F.col("tools"))
+    g = answers.grounding_record(F.lit("short [1] [7]"), F.array(F.lit(1), F.lit(2)), F.col("reason"), F.col("n_hits"), F.col("best_score"), abstained)
+    out = k.select("query_id", g.alias("g")).select("query_id", "g.*")
+    return out.select("query_id", "reason", "abstained", "hit_count", "best_score", "source_count", F.array_join("cited", ",").alias("cited"), F.array_join("invalid_cited", ",").alias("invalid_cited"))
+
+
+@query(f"select conv_id, turn, len(c) > 0 as has_citation, uncited from {ANSWERED}")
+def e7_citation_metrics(spark, sf):
+    c = table(spark, sf, "conversations")
+    m = answers.citation_metrics(F.concat("text", F.lit(" ["), F.col("turn") % 4, F.lit("]")), F.array(*map(F.lit, (1, 2, 3))))
+    return c.select("conv_id", "turn", m["has_citation"].alias("has_citation"), m["uncited_claims"].cast("long").alias("uncited"))
+
+
+@query("select conv_id, turn, turn % 4 = 0 or contains(text, 'sorry') as passes from conversations")
+def e8_abstain_pass(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", answers.abstain_pass(F.col("text"), F.col("turn") % 4 == 0, "sorry").alias("passes"))
+
+
+@query(f"select 'overall' as scope, null as category, metric, avg(value) as value from {LONG} group by metric union all select 'category', category, metric, avg(value) from {LONG} group by category, metric union all select 'category', category, '_count', cast(count(distinct question_id) as double) from {LONG} group by category")
+def e12_e14_report(spark, sf):
+    q = _questions(spark, sf)
+    long = reports.retrieval_run(q, _hits(spark, sf), [1, 5]).where("metric in ('mrr', 'hit@1', 'hit@5')")
+    return reports.build("run", long, {"top": "10"}).select("scope", "category", "metric", "value")
+
+
+@query(f"select metric, avg(value) as value from {LONG} group by metric")
+def s13_report_round_trip(spark, sf):
+    return reports.from_json(reports.to_json(reports.build("run", _long(spark, sf), {"top": "10"}))).where("scope = 'overall'").select("metric", "value")
+
+
+@query("select cast(doc_id as varchar) as id, case when quality = 1 then '通过' else '不通过' end as verdict from labels where not (quality = 0 and toxic = 0)")
+def s14_review_sheet(spark, sf):
+    rows = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), *(F.lit(f"x|{k}").alias(f"c{k}") for k in range(8)), F.when(F.col("quality") == 1, answers.PASS).when(F.col("toxic") == 1, answers.FAIL).otherwise("?").alias("v"))
+    sheet = answers.review_sheet(rows.drop("v"), "id", *(f"c{k}" for k in range(8)))
+    filled = rows.select("id", "v").join(sheet.select(F.regexp_extract("line", r"^\| ([0-9]+) \|", 1).cast("long").alias("id"), "line"), "id")
+    lines = filled.select("id", F.regexp_replace("line", r"\|  \|  \|$", F.concat(F.lit("| "), F.col("v"), F.lit(" |  |"))).alias("line"))
+    return answers.parsed_sheet(lines, at="id")
+
+
+@query("select conv_id, turn, role = 'assistant' and length(text) > 0 as timeline from conversations")
+def k11_message_history(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("steps", F.array().cast("array<string>"))
+    return steps.timed_history(c, "steps", "text").select("conv_id", "turn", "timeline")
+
+
+@query("select conv_id, turn, 'system:rules' || chr(10) || chr(10) || 'passages|user:' || text as prompt from conversations where role = 'user' and text <> ''")
+def x12_prompt(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'user' and text <> ''")
+    p = steps.prompt(F.lit(""), F.lit("passages"), F.lit(None).cast("array<struct<role:string,content:string>>"), F.col("text"), F.lit("rules"))
+    return c.select("conv_id", "turn", F.array_join(F.transform(p, lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("prompt"))
+
+
+@query("select conv_id, turn, text || role as flat from conversations where not starts_with(text, '{')")
+def x14_flattened(spark, sf):
+    c = table(spark, sf, "conversations").where("not startswith(text, '{')")
+    content = F.to_json(F.array(F.col("text"), F.to_json(F.struct(F.lit("text").alias("type"), F.col("role").alias("text")))))
+    return c.select("conv_id", "turn", steps.flattened(content).alias("flat"))
+
+
+@query()
+def c5_reasoning_segments(spark, sf):
+    """(conv_id, turn, start, end): the segments of every message; tests compare them with literal cases."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(steps.reasoning_segments(F.col("text"))).alias("s"))
+    return c.select("conv_id", "turn", "s.start", "s.end")

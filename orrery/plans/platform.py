@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from orrery.functions import text
-from orrery.operators import hierarchy, index
+from orrery.operators import browse, chunking, evaluation, hierarchy, index
 from orrery.plans.base import query, table
 
 
@@ -105,9 +105,10 @@ def j14_nested_load(spark, sf):
     return table(spark, sf, "region").join(n, "r_regionkey", "left").select("r_name", "nations")
 
 
-@query("select source, lang, count(*) as n from documents where doc_id % 7 = 0 group by source, lang order by source, lang")
+@query("select source, lang, count(*) as n from documents join labels using (doc_id) where quality = 0 group by source, lang order by source, lang")
 def g13_stale_counts(spark, sf):
-    return table(spark, sf, "documents").where("doc_id % 7 = 0").groupBy("source", "lang").agg(F.count("*").alias("n")).orderBy("source", "lang")
+    stale = table(spark, sf, "labels").where("quality = 0").select("doc_id")
+    return table(spark, sf, "documents").join(stale, "doc_id").groupBy("source", "lang").agg(F.count("*").alias("n")).orderBy("source", "lang")
 
 
 @query("select conv_id, max(try_cast(case when turn % 2 = 0 then 'x' else cast(turn as varchar) end as double)) as best from conversations group by conv_id")
@@ -150,10 +151,10 @@ def u1_grant_union(spark, sf):
     return rows.unionAll(table(spark, sf, "nation").select(F.lit("BUILDING"), "n_nationkey")).distinct()
 
 
-@query("select event_id from events where regexp_extract(props, '\"([a-z]+)\"', 1) not in ('k')")
+@query("select event_id, array_to_string(list_filter(json_keys(props), lambda k: k <> 'type'), ',') as unknown from events where json_keys(props) <> ['type']")
 def u4_unknown_keys(spark, sf):
-    e = table(spark, sf, "events").withColumn("keys", F.json_object_keys("props"))
-    return e.where(F.size(F.array_except("keys", F.array(F.lit("k")))) > 0).select("event_id")
+    e = table(spark, sf, "events").withColumn("unknown", evaluation.unknown_keys(F.col("props"), ["type"]))
+    return e.where(F.size("unknown") > 0).select("event_id", F.array_join("unknown", ",").alias("unknown"))
 
 
 @query("""select id, reason from (select *, row_number() over (partition by id order by priority) as n from (
@@ -170,9 +171,9 @@ def u7_ordered_dedup(spark, sf):
     return rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), ",").alias("statuses"))
 
 
-@query("select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\\n[ \\t]*\\n(?:[ \\t]*\\n)*'), lambda x: trim(x, ' \t\n')), lambda x: x <> '')) as paragraph from documents where doc_id < 40")
+@query("select doc_id, unnest(list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\\n[ \\t]*\\n(?:[ \\t]*\\n)*'), lambda x: trim(x, ' \t\n')), lambda x: x <> '')) as paragraph from documents")
 def p1_paragraphs(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 40")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.explode(text.paragraphs(F.replace("text", F.lit(". "), F.lit("\n\n")))).alias("paragraph"))
 
 
@@ -202,9 +203,9 @@ def x5_clip_escape(spark, sf):
     return d.select("doc_id", text.table_cell(text.clipped(F.col("text"), 80)).alias("cell"))
 
 
-@query("select p_partkey, printf('%+.3f', p_retailprice / 7) as shown from part where p_partkey < 500")
+@query("select p_partkey, printf('%+.3f', p_retailprice / 7) as shown from part")
 def x6_number_format(spark, sf):
-    return table(spark, sf, "part").where("p_partkey < 500").select("p_partkey", F.format_string("%+.3f", F.col("p_retailprice") / 7).alias("shown"))
+    return table(spark, sf, "part").select("p_partkey", F.format_string("%+.3f", F.col("p_retailprice") / 7).alias("shown"))
 
 
 @query("select page_id, lower(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) as ext from pages")
@@ -217,10 +218,10 @@ def x9_content_digest(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size"))
 
 
-@query("select unnest(['hit@5', 'evidence_recall@10', 'mrr']) as metric")
+@query("select distinct regexp_replace(lang || '_at_' || (n_chars % 12), '_at_([0-9]+)$', '@\\1') as metric from documents union select 'mrr'")
 def x13_threshold_keys(spark, sf):
-    names = spark.createDataFrame([("hit_at_5",), ("evidence_recall_at_10",), ("mrr",)], "metric string")
-    return names.select(F.regexp_replace("metric", "_at_([0-9]+)$", "@$1").alias("metric"))
+    keys = table(spark, sf, "documents").select(F.concat("lang", F.lit("_at_"), F.col("n_chars") % 12).alias("key")).union(spark.createDataFrame([("mrr",)], "key string"))
+    return keys.select(evaluation.threshold_metric(F.col("key")).alias("metric")).distinct()
 
 
 TREE = """(select 'r' || r_regionkey as id, null as parent_id, r_name as name from region union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name from nation union all select 's' || s_suppkey, 'n' || s_nationkey, s_name from supplier)"""
@@ -250,7 +251,7 @@ def h5_tree_paths(spark, sf):
     return hierarchy.paths(_tree(spark, sf))
 
 
-@query("""with l as (select distinct c_custkey as user_id, s_suppkey from customer join supplier on c_nationkey = s_nationkey and s_suppkey % 10 = c_custkey % 10 where c_custkey < 200 and c_acctbal > 0)
+@query("""with l as (select distinct c_custkey as user_id, s_suppkey from customer join supplier on c_nationkey = s_nationkey and s_suppkey % 10 = c_custkey % 10 where c_acctbal > 0)
     select distinct user_id, code from (select user_id, 's' || s_suppkey as code from l union all select user_id, 'n' || s_nationkey from l join supplier using (s_suppkey)
     union all select user_id, 'r' || n_regionkey from l join supplier using (s_suppkey) join nation on s_nationkey = n_nationkey) where code not like '%7'""")
 def h3_effective_permissions(spark, sf):
@@ -258,7 +259,7 @@ def h3_effective_permissions(spark, sf):
     roles = c.select(F.col("c_custkey").alias("role_id"), (F.col("c_acctbal") > 0).cast("int").alias("status"))
     links = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("s_suppkey") % 10 == F.col("c_custkey") % 10)).select(F.col("c_custkey").alias("role_id"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("permission_id"))
     permissions = _tree(spark, sf).select("id", "parent_id", F.col("id").alias("code"), F.when(F.col("id").like("%7"), 0).otherwise(1).alias("status"))
-    own = c.where("c_custkey < 200").select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("role_id"))
+    own = c.select(F.col("c_custkey").alias("user_id"), F.col("c_custkey").alias("role_id"))
     return hierarchy.effective(own, roles, links, permissions)
 
 
@@ -273,9 +274,9 @@ def k1_chunk_listing(spark, sf):
     return table(spark, sf, "lineitem").where("l_orderkey = 32").orderBy("l_linenumber").select("l_linenumber", "l_partkey")
 
 
-@query("select c_custkey, c_acctbal > 0 as has_balance from customer")
+@query("select page_id, length(coalesce(html, '')) > 0 as has_html, url from pages")
 def k7_masked(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("has_balance"))
+    return browse.masked(table(spark, sf, "pages"), "html", "has_html")
 
 
 @query("select o_orderkey from orders where o_custkey = 10 order by o_orderdate desc, o_orderkey desc limit 10")
@@ -283,10 +284,12 @@ def k10_owner_list(spark, sf):
     return table(spark, sf, "orders").where("o_custkey = 10").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(10).select("o_orderkey")
 
 
-@query("""select conv_id, turn, cast(count(*) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as bigint) as before from conversations where role <> 'system'""")
-def k12_history_before(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "conversations").where("role <> 'system'").select("conv_id", "turn", F.count("*").over(w).alias("before"))
+@query("""with c as (select distinct conv_id, conv_id % 7 as user_id, 1 as agent_id from conversations) select o_orderkey as request_id, c.conv_id is not null as reused, case when c.conv_id is null then 'new-' || o_orderkey else cast(c.conv_id as varchar) end as resolved
+    from orders o left join c on c.conv_id = o_orderkey and c.user_id = o_custkey % 7""")
+def k12_conversation_resolution(spark, sf):
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("conv_id"), (F.col("o_custkey") % 7).alias("user_id"), F.lit(1).alias("agent_id"))
+    there = table(spark, sf, "conversations").select("conv_id").distinct().select("conv_id", (F.col("conv_id") % 7).alias("user_id"), F.lit(1).alias("agent_id"))
+    return browse.resolved_conversations(asked, there)
 
 
 @query("select event_id, user_id from events where event_type = 'error' and cast(user_id as varchar) like '%1%' order by ts desc, event_id desc limit 50")
@@ -299,3 +302,93 @@ def k13_operation_log(spark, sf):
 def f10_permission_check(spark, sf):
     owned = F.array(F.col("c_mktsegment"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey").cast("string")).otherwise("none"))
     return table(spark, sf, "customer").where(F.arrays_overlap(owned, F.array(*map(F.lit, ("BUILDING", "1", "2", "3"))))).select("c_custkey")
+
+
+@query(f"""with recursive t as {TREE}, p as (select id, chr(1) || name || chr(1) || id || chr(2) as path, 0 as depth from t where parent_id is null union all select t.id, p.path || chr(1) || t.name || chr(1) || t.id || chr(2), p.depth + 1 from p join t on t.parent_id = p.id)
+    select id, depth, row_number() over (order by path) as pos from p""")
+def h4_permission_tree(spark, sf):
+    return hierarchy.ordered(_tree(spark, sf).withColumn("type", F.lit("")))
+
+
+@query("select doc_id, source, n_chars from documents where source = 'src5' and lang = 'en' order by n_chars desc, doc_id desc limit 20")
+def k2_document_page(spark, sf):
+    found = browse.listed(table(spark, sf, "documents"), source="src5", lang="en", n_chars=None)
+    return browse.page(found, 1, 20, F.desc("n_chars"), key="doc_id").select("doc_id", "source", "n_chars")
+
+
+@query("select p_partkey, p_name from part where (contains(p_name, 'a') or contains(p_brand, 'a')) and p_size = 7 order by p_partkey desc limit 10 offset 10")
+def k3_agent_page(spark, sf):
+    found = browse.listed(table(spark, sf, "part"), "a", ("p_name", "p_brand"), p_size=7)
+    return browse.page(found, 2, 10, key="p_partkey").select("p_partkey", "p_name")
+
+
+AGENTS = "(select c_custkey as agent_id, case when c_acctbal < 0 then 'paused' else 'running' end as status, case when c_nationkey = 3 then null else cast(c_nationkey as varchar) end as current_version from customer)"
+
+
+@query(f"""select agent_id, case when problem is null then config end as config, problem from (select a.agent_id, n_name as config, case when status = 'paused' then 'not running' when current_version is null then 'not published' when n_name is null then 'no snapshot' end as problem
+    from {AGENTS} a left join nation n on cast(n_nationkey as varchar) = a.current_version and n_regionkey <> 2)""")
+def k4_published_config(spark, sf):
+    c = table(spark, sf, "customer")
+    agents = c.select(F.col("c_custkey").alias("agent_id"), F.when(F.col("c_acctbal") < 0, "paused").otherwise("running").alias("status"), F.when(F.col("c_nationkey") != 3, F.col("c_nationkey").cast("string")).alias("current_version"))
+    snapshots = table(spark, sf, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").cast("string").alias("version"), F.col("n_name").alias("config"))
+    versions = agents.select("agent_id", F.col("current_version").alias("version")).join(snapshots, "version").select("agent_id", "version", "config")
+    return browse.published(agents, versions)
+
+
+@query("select s_suppkey, s_name, n_name from supplier join nation on s_nationkey = n_nationkey where s_acctbal > 0")
+def k5_model_options(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return table(spark, sf, "supplier").where("s_acctbal > 0").join(n, "s_nationkey").select("s_suppkey", "s_name", "n_name")
+
+
+@query("select p_type, p_brand, p_partkey from (select *, row_number() over (partition by p_type, p_brand order by p_retailprice, p_partkey) as n from part where p_size > 5) where n = 1")
+def k6_oldest_enabled(spark, sf):
+    return browse.oldest(table(spark, sf, "part"), ["p_type", "p_brand"], "p_retailprice", "p_partkey", enabled=F.col("p_size") > 5).select("p_type", "p_brand", "p_partkey")
+
+
+@query("select c_nationkey as role, count(*) as users, string_agg(c_name, ',' order by c_name) as names from customer where c_mktsegment = 'BUILDING' group by c_nationkey")
+def k8_users_by_role(spark, sf):
+    c = browse.listed(table(spark, sf, "customer"), c_mktsegment="BUILDING")
+    return c.groupBy(F.col("c_nationkey").alias("role")).agg(F.count("*").alias("users"), F.array_join(F.sort_array(F.collect_list("c_name")), ",").alias("names"))
+
+
+@query("select n_name, r_name from nation join region on n_regionkey = r_regionkey order by r_name, n_name")
+def k9_organizations(spark, sf):
+    r = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return table(spark, sf, "nation").join(r, "n_regionkey").orderBy("r_name", "n_name").select("n_name", "r_name")
+
+
+@query("select page_id, url, '/files/' || page_id as link from pages where length(coalesce(html, '')) > 0")
+def k15_file_lookup(spark, sf):
+    return table(spark, sf, "pages").where(F.length(F.coalesce("html", F.lit(""))) > 0).select("page_id", "url", F.concat(F.lit("/files/"), F.col("page_id")).alias("link"))
+
+
+@query("""with e as (select n_name as code, n_regionkey as parent, n_nationkey % 2 as status from nation where n_regionkey <> 0), w as (select n_name as code, n_regionkey + 10 as parent, 1 as status from nation where n_regionkey <> 1)
+    select coalesce(e.code, w.code) as code, coalesce(w.parent, e.parent) as parent, coalesce(e.status, w.status) as status from e full join w on e.code = w.code""")
+def s17_seed(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("code"), F.col("n_regionkey").alias("parent"), (F.col("n_nationkey") % 2).alias("status"))
+    return browse.seeded(n.where("parent <> 0"), n.where("parent <> 1").select("code", (F.col("parent") + 10).alias("parent"), F.lit(1).alias("status")))
+
+
+@query()
+def p2_p7_chunks(spark, sf):
+    """(doc_id, n_chunks, n_chars, kinds) of whole documents cut by structure; tests compare the parser and splitter with literal cases."""
+    d = chunking.drafts(chunking.blocks(table(spark, sf, "documents").select("doc_id", "text"))).select("doc_id", "drafts")
+    length = F.aggregate("drafts", F.lit(0), lambda s, x: s + F.length(x["content"]))
+    return d.select("doc_id", F.size("drafts").alias("n_chunks"), length.alias("n_chars"), F.array_join(F.array_sort(F.array_distinct("drafts.chunk_type")), ",").alias("kinds"))
+
+
+@query("""with f as (select doc_id from labels where quality = 1) select cast(e.vec_id as varchar) as document_id, 'old' as kind from embeddings e where vec_id not in (select doc_id from f) union all select cast(doc_id as varchar), 'new' from f""")
+def p11_index_lifecycle(spark, sf):
+    f = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("document_id"))
+    old = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("document_id"), F.lit("old").alias("content"))
+    draft = F.array(F.struct(F.lit("new").alias("content"), F.lit(None).cast("string").alias("section_path"), F.lit(None).cast("int").alias("page_no"), F.lit("text").alias("chunk_type")))
+    drafts = f.withColumn("drafts", draft)
+    vectors = index.payload(drafts).select("id", F.array(F.lit(1.0)).alias("embedding"))
+    fresh, _ = index.rebuilt(old, f.withColumn("error", F.lit(None).cast("string")), drafts, vectors)
+    return fresh.select("document_id", F.col("content").alias("kind"))
+
+
+@query("select vec_id, label from embeddings where label <> 3 or label is null")
+def s10_delete_by_payload(spark, sf):
+    return index.delete(table(spark, sf, "embeddings"), "label", 3).select("vec_id", "label")

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from orrery.config import RagConfig
 from orrery.functions import text
 from orrery.functions.measures import cosine
-from orrery.operators import retrieval
+from orrery.operators import retrieval, rewrite
 from orrery.plans.base import query, table
 
-TERMS = [(0, "the"), (0, "ing"), (1, "und"), (1, "sch"), (2, "ent"), (2, "que")]
+TERMS = [(0, "the"), (0, "ing"), (50, "und"), (50, "sch"), (100, "ent"), (100, "que")]
 TERMS_SQL = "(select * from (values " + ",".join(f"({a},'{b}')" for a, b in TERMS) + ") as q(query_id, term))"
 MATCHES = f"""(select q.query_id, d.doc_id, count(*) as match_count, min(length(d.text)) as len
     from documents d join {TERMS_SQL} q on contains(lower(d.text), q.term) group by q.query_id, d.doc_id)"""
 KEYWORD = f"""(select * from (select *, row_number() over (partition by query_id order by match_count desc, len, doc_id) as rank from {MATCHES}) where rank <= 8)"""
 COSINES = """(select a.vec_id as query_id, b.vec_id as doc_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
-    from embeddings a join embeddings b on a.vec_id <> b.vec_id join documents d on d.doc_id = b.vec_id where a.vec_id < 3)"""
+    from embeddings a join embeddings b on a.vec_id <> b.vec_id join documents d on d.doc_id = b.vec_id where a.vec_id % 50 = 0)"""
 VECTOR = f"""(select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from {COSINES}) where rank <= 12 and score >= 0.3)"""
-FUSED = f"""(select query_id, doc_id, round(sum(1.0e0 / (60 + rank)), 12) as rrf_score, min(list_no * 1000000 + rank) as first_seen, max(score) as score,
+FUSED = f"""(select query_id, doc_id, round(sum(1.0e0 / (60 + rank)), 12) as rrf_score, min(struct_pack(l := list_no, r := rank)) as first_seen, max(score) as score,
     string_agg(distinct retriever, ',' order by retriever) as retrievers from (
     select query_id, doc_id, rank, score, 0 as list_no, 'vector' as retriever from {VECTOR} union all select query_id, doc_id, rank, null, 1, 'keyword' from {KEYWORD}) group by query_id, doc_id)"""
 HYBRID = f"(select * from (select *, row_number() over (partition by query_id order by rrf_score desc, first_seen) as rank from {FUSED}) where rank <= 4)"
@@ -31,7 +31,7 @@ def _terms(spark):
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
     docs = e.select(F.col("vec_id").alias("doc_id"), "embedding").join(table(spark, sf, "documents").select("doc_id"), "doc_id", "left_semi")
-    return e.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), docs
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), docs
 
 
 @query(f"select query_id, doc_id, match_count, len from {MATCHES}")
@@ -44,10 +44,10 @@ def w3_keyword_top_k(spark, sf):
     return retrieval.keyword_top(table(spark, sf, "documents"), _terms(spark), 8).select("query_id", "doc_id", "match_count", "rank")
 
 
-@query(f"select query_id, doc_id, score from {COSINES} where doc_id < 50")
+@query(f"select query_id, doc_id, score from {COSINES}")
 def r5_vector_scan(spark, sf):
     queries, docs = _vectors(spark, sf)
-    pairs = docs.where("doc_id < 50").join(queries, F.col("query_id") != F.col("doc_id"))
+    pairs = docs.join(queries, F.col("query_id") != F.col("doc_id"))
     return pairs.select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
@@ -56,9 +56,9 @@ def w4_vector_top_k(spark, sf):
     return retrieval.vector_top(*_vectors(spark, sf), 12, 0.3)
 
 
-@query(f"select query_id, doc_id, score from {VECTOR} where score >= 0.45")
+@query(f"select query_id, doc_id, score from {VECTOR} where score >= 0.32")
 def f8_similarity_threshold(spark, sf):
-    return retrieval.vector_top(*_vectors(spark, sf), 12, 0.45).select("query_id", "doc_id", "score")
+    return retrieval.vector_top(*_vectors(spark, sf), 12, 0.32).select("query_id", "doc_id", "score")
 
 
 @query(f"select query_id, doc_id, rrf_score, score, retrievers, rank from {HYBRID}")
@@ -69,7 +69,7 @@ def r4_hybrid(spark, sf):
 
 
 @query(f"""select query_id, doc_id, rrf_score, retrievers, row_number() over (partition by query_id order by rrf_score desc, first_seen) as rank from (
-    select query_id, doc_id, round(sum(w / (60 + rank)), 12) as rrf_score, min(list_no * 1000000 + rank) as first_seen, string_agg(distinct retriever, ',' order by retriever) as retrievers from (
+    select query_id, doc_id, round(sum(w / (60 + rank)), 12) as rrf_score, min(struct_pack(l := list_no, r := rank)) as first_seen, string_agg(distinct retriever, ',' order by retriever) as retrievers from (
     select query_id, doc_id, rank, 0 as list_no, 0.1e0 as w, 'vector' as retriever from {VECTOR} union all select query_id, doc_id, rank, 1, 10e0, 'keyword' from {KEYWORD}) group by query_id, doc_id)""")
 def r3_rrf_fuse(spark, sf):
     queries, vectors = _vectors(spark, sf)
@@ -91,9 +91,9 @@ def f7_kb_boundary(spark, sf):
     return retrieval.ranked(d.select("doc_id", "source", F.length("text").alias("n")), 5, F.desc("n"), F.col("doc_id"), by="source").select("doc_id", "source", "rank")
 
 
-@query("""with t as (select item_id, text as t, regexp_replace(text, '[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)+', ' ', 'g') as r from benchmark),
-    u as (select item_id, unnest(list_concat(regexp_extract_all(t, '[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)+'), regexp_extract_all(r, '[A-Za-z]{2,}'), regexp_extract_all(r, '[0-9]{2,}'))) as term,
-        generate_subscripts(list_concat(regexp_extract_all(t, '[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)+'), regexp_extract_all(r, '[A-Za-z]{2,}'), regexp_extract_all(r, '[0-9]{2,}')), 1) as k from t),
+@query("""with t as (select item_id, text as t, regexp_replace(text, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+', ' ', 'g') as r from benchmark),
+    u as (select item_id, unnest(list_concat(regexp_extract_all(t, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+'), regexp_extract_all(r, '[A-Za-z]{2,}'), regexp_extract_all(r, '[0-9]{2,}'))) as term,
+        generate_subscripts(list_concat(regexp_extract_all(t, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+'), regexp_extract_all(r, '[A-Za-z]{2,}'), regexp_extract_all(r, '[0-9]{2,}')), 1) as k from t),
     f as (select item_id, term, k from (select *, row_number() over (partition by item_id, lower(term) order by k) as n from u) where n = 1),
     o as (select item_id, term, row_number() over (partition by item_id order by k) as pos from f) select * from o where pos <= 8""")
 def r1_keywords(spark, sf):
@@ -108,14 +108,14 @@ def r6_fusion_key(spark, sf):
 
 
 @query(f"""with h as (select query_id, doc_id, rank, d.text from {KEYWORD} k join documents d using (doc_id)),
-    q as (select * from (values (0, 'the of and'), (1, 'und der die'), (2, 'le de que')) as q(query_id, q)),
+    q as (select * from (values (0, 'the of and'), (50, 'und der die'), (100, 'le de que')) as q(query_id, q)),
     s as (select h.query_id, doc_id, rank, round(len(list_intersect(list_distinct(string_split_regex(lower(trim(q)), '\\s+')), list_distinct(string_split_regex(lower(trim(text)), '\\s+'))))::double
         / len(list_distinct(string_split_regex(lower(trim(q)), '\\s+'))), 6) as rerank_score from h join q on h.query_id = q.query_id),
     r as (select *, row_number() over (partition by query_id order by rerank_score desc, rank) as new_rank from s) select query_id, doc_id, rank, rerank_score, new_rank from r where new_rank <= 4""")
 def r10_rerank(spark, sf):
     docs = table(spark, sf, "documents")
     hits = retrieval.keyword_top(docs, _terms(spark), 8).join(docs.select("doc_id", "text"), "doc_id")
-    q = spark.createDataFrame([(0, "the of and"), (1, "und der die"), (2, "le de que")], "query_id long, q string")
+    q = spark.createDataFrame([(0, "the of and"), (50, "und der die"), (100, "le de que")], "query_id long, q string")
     scores = hits.join(F.broadcast(q), "query_id").select("query_id", (F.col("rank") - 1).alias("index"), retrieval.lexical_score(F.col("q"), F.col("text")).alias("rerank_score"))
     return retrieval.reranked(hits, scores, 4).select("query_id", "doc_id", "rank", "rerank_score", "new_rank")
 
@@ -128,10 +128,10 @@ def r11_enrichment(spark, sf):
     return out.select("query_id", "rank", "doc_id", F.coalesce("source", F.lit("")).alias("document_name"), "quality")
 
 
-@query(f"""select query_id, string_agg('[' || rank || ']（来源：' || coalesce(nullif(source, ''), '未知文档') || '）' || substr(text, 1, 40), chr(10) || chr(10) order by rank) as context from {KEYWORD} k join documents d using (doc_id) group by query_id""")
+@query(f"""select query_id, string_agg('[' || rank || ']（来源：' || coalesce(nullif(source, ''), '未知文档') || '）' || text, chr(10) || chr(10) order by rank) as context from {KEYWORD} k join documents d using (doc_id) group by query_id""")
 def r12_context(spark, sf):
     docs = table(spark, sf, "documents")
-    hits = retrieval.keyword_top(docs, _terms(spark), 8).join(docs.select("doc_id", F.col("source").alias("document_name"), F.substring("text", 1, 40).alias("text")), "doc_id")
+    hits = retrieval.keyword_top(docs, _terms(spark), 8).join(docs.select("doc_id", F.col("source").alias("document_name"), "text"), "doc_id")
     return retrieval.context(hits)
 
 
@@ -156,5 +156,23 @@ def r16_keyword_browse(spark, sf):
 
 @query("""select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)""")
 def j12_containment(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    return table(spark, sf, "documents").join(b, F.expr("contains(text, item)")).select("doc_id", "item_id")
+    return retrieval.containment(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(f"select query_id, doc_id, rank as new_rank from {KEYWORD}")
+def r8_noop_rerank(spark, sf):
+    return retrieval.noop_reranked(retrieval.keyword_top(table(spark, sf, "documents"), _terms(spark), 8)).select("query_id", "doc_id", "new_rank")
+
+
+@query("""with h as (select conv_id, max(turn) filter (where role = 'user') as last, count(*) as n from conversations group by conv_id)
+    select c.conv_id, c.turn, h.n > 1 and (regexp_matches(c.text, '(这个|它|怎么办|呢[？?]?$|^那)')) as needs from conversations c join h on c.conv_id = h.conv_id where role = 'user'""")
+def f11_rewrite_gate(spark, sf):
+    c = table(spark, sf, "conversations")
+    n = c.groupBy("conv_id").agg((F.count("*") - 1).alias("n"))
+    return c.where("role = 'user'").join(n, "conv_id").select("conv_id", "turn", rewrite.needs_rewrite(F.col("text"), F.col("n")).alias("needs"))
+
+
+@query("""select conv_id, turn, case when length(l) <= 200 then l end as line from (select conv_id, turn, nullif(trim(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')[1], ''), '^["'']+|["'']+$', '', 'g')), '') as l from conversations where role = 'assistant')""")
+def x10_sanitized_rewrite(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    return c.select("conv_id", "turn", rewrite.sanitized(F.col("text"), F.lit("a statement")).alias("line"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from orrery.functions import measures, text
-from orrery.operators import usage
+from orrery.operators import browse, steps, usage
 from orrery.plans.base import FACTS, TOTALS, facts, money, query, table
 
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 20)
@@ -105,9 +105,9 @@ def f9_stale_jobs(spark, sf):
     return o.where("o_orderstatus = 'O'").join(F.broadcast(now), F.expr("o_orderdate is null or o_orderdate < now - interval 15 minutes")).select("o_orderkey")  # now is one row
 
 
-@query("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as create_time, printf('%.6f', value) as total_cost, lower(hex(event_type)) as type_hex from events where user_id < 5""")
+@query("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as create_time, printf('%.6f', value) as total_cost, lower(hex(event_type)) as type_hex from events""")
 def f15_formatting(spark, sf):
-    e = table(spark, sf, "events").where("user_id < 5")
+    e = table(spark, sf, "events")
     return e.select("event_id", text.iso_utc(F.col("ts")).alias("create_time"), F.format_string("%.6f", "value").alias("total_cost"), F.lower(F.hex("event_type")).alias("type_hex"))
 
 
@@ -163,12 +163,35 @@ def k14_summary_and_total(spark, sf):
     return usage.summary(f, ["agent"], 3).crossJoin(f.agg(F.count("*").alias("all_calls")))  # the total is one row
 
 
-@query("""with s as (select user_id, event_type as status, lag(event_type) over (partition by user_id order by ts, event_id) as before from events)
-    select before, status, count(*) as n from s where before is not null and (before, status) not in (('view','click'),('click','purchase'),('signup','view')) group by before, status""")
+STATUS = "case event_type when 'view' then 'draft' when 'click' then 'running' when 'purchase' then 'paused' when 'signup' then 'pending' else 'stopped' end"
+
+
+@query(f"""with s as (select user_id, {STATUS} as status, lag({STATUS}) over (partition by user_id order by ts, event_id) as before from events)
+    select before, status, count(*) as n from s where before <> status and before || '>' || status not in ('draft>running', 'running>paused', 'paused>running', 'paused>stopped', 'pending>stopped') group by before, status""")
 def f13_illegal_transitions(spark, sf):
-    from pyspark.sql import Window
+    return browse.illegal_transitions(table(spark, sf, "events").withColumn("status", F.expr(STATUS)), "user_id", "ts", "event_id")
+
+
+@query("select event_id, strftime(ts - interval 8 hour, '%Y-%m-%dT%H:%M:%SZ') as at from events")
+def x3_utc(spark, sf):
+    return table(spark, sf, "events").select("event_id", text.iso_utc(measures.to_utc(F.col("ts"), "Asia/Shanghai")).alias("at"))
+
+
+@query("select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as seq from events")
+def w10_event_numbers(spark, sf):
+    return steps.numbered(table(spark, sf, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "seq")
+
+
+@query("""with s as (select user_id, min((epoch_us(ts) // 1000)) filter (where event_type = 'click') as started from events group by user_id)
+    select s.user_id, started, min((epoch_us(ts) // 1000)) filter (where event_type = 'purchase' and (epoch_us(ts) // 1000) >= started) as finished, min((epoch_us(ts) // 1000)) filter (where event_type = 'purchase' and (epoch_us(ts) // 1000) >= started) - started as cost_ms
+    from s join events e on s.user_id = e.user_id where started is not null group by s.user_id, started""")
+def c8_step_collection(spark, sf):
+    kind = F.when(F.col("event_type") == "click", "start").when(F.col("event_type") == "purchase", "finish")
+    e = table(spark, sf, "events").select("user_id", F.lit("s").alias("step_id"), kind.alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return steps.collected(e, "user_id").select("user_id", "started", "finished", "cost_ms")
+
 
-    e = table(spark, sf, "events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    allowed = spark.createDataFrame([("view", "click"), ("click", "purchase"), ("signup", "view")], "before string, status string")
-    moves = e.where("before is not null").groupBy("before", F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
-    return moves.join(F.broadcast(allowed), ["before", "status"], "left_anti")  # the whitelist is a constant
+@query("select event_id, json_object('type', event_type, 'value', value) as detail from (select event_id, event_type, cast(floor(value) as bigint) as value from events)")
+def s12_audit_rows(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("type"), F.col("value").cast("long").alias("value"))
+    return browse.audit_rows(e.withColumn("value", F.floor("value")), ["type", "value"])

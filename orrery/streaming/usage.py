@@ -43,14 +43,15 @@ SESSION = "session string, message string, n_events long, ttft_ms long, thinking
 STATE = "message string, n_events long, started long, text_at long, thinking_at long"
 
 
-def sessions(rows: DataFrame, timeout: str = "15 minutes") -> DataFrame:
+def sessions(rows: DataFrame, minutes: int = 15) -> DataFrame:
     """One row for each finished session of rows (session, seq, type, payload, ts): its text, and the waits for thought and text.
 
-    A session ends with a done or error event, or when the timeout passes without one.
+    A session ends with a done or error event, or when the events of all sessions have moved on by ``minutes`` without one.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         text, n, started, text_at, thinking_at = state.get if state.exists else ("", 0, -1, -1, -1)
+        last = max(started, text_at, thinking_at, 0)
         done = state.hasTimedOut
         for part in () if done else parts:
             for r in part.sort_values("seq").itertuples():
@@ -61,14 +62,15 @@ def sessions(rows: DataFrame, timeout: str = "15 minutes") -> DataFrame:
                 elif r.type == "reasoning" and thinking_at < 0:
                     thinking_at = at
                 done = done or r.type in ("done", "error")
-                last = at
+                last = max(last, at)
         if not done:
             state.update((text, n, started, text_at, thinking_at))
-            state.setTimeoutDuration(timeout)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + minutes * 60_000)
             return
         state.remove()
         wait = max(0, text_at - started) if text_at >= 0 else None
         thought = max(0, (text_at if text_at >= 0 else last) - thinking_at) if thinking_at >= 0 and (text_at >= 0 or n) else None
         yield pd.DataFrame({"session": [key[0]], "message": [text], "n_events": [n], "ttft_ms": pd.array([wait], "Int64"), "thinking_ms": pd.array([thought], "Int64")})
 
-    return rows.groupBy("session").applyInPandasWithState(step, SESSION, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = rows.withWatermark("ts", f"{minutes} minutes")
+    return timed.groupBy("session").applyInPandasWithState(step, SESSION, STATE, "append", GroupStateTimeout.EventTimeTimeout)

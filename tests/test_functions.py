@@ -102,7 +102,7 @@ def test_evaluation(spark):
 
 def test_hierarchy_cycles(spark):
     tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "id string, parent_id string")
-    up = hierarchy.ancestors(tree, spark.createDataFrame([("c",), ("x",), ("lost",)], "id string"), 8).collect()
+    up = hierarchy.ancestors(tree, spark.createDataFrame([("c",), ("x",), ("lost",)], "id string")).collect()
     assert {(r.root, r.id) for r in up} == {("c", "c"), ("c", "b"), ("c", "a"), ("x", "x"), ("x", "y"), ("lost", "lost")}
     down = hierarchy.descendants(tree, spark.createDataFrame([("a",)], "id string")).collect()
     assert {r.id for r in down} == {"a", "b", "c"}
