@@ -9,14 +9,15 @@ in it, so windows whose cells don't all reach two start in one document only. Se
 grouped exactly, by a 96-bit key of their words. The filter loses no repeated window whatever its size: if
 a corpus overfills the sketch, more windows are grouped, and the result is the same.
 
-The merged sketch is broadcast as compressed bits (cell reaches two), ``ROWS * 2**CELLS / 8`` bytes at most
-whatever the corpus. A window that many documents share is reduced to one row a task before it is shuffled for its
+The sketch has two to four cells for each window, as the corpus' bytes tell, and no more than ``2**CELLS``: the merged
+sketch is broadcast as compressed bits (cell reaches two), ``ROWS * 2**CELLS / 8`` bytes at most whatever the corpus.
+Beyond that it lets more windows through, all of them in the end, and the exact grouping does the work. A window that many documents share is reduced to one row a task before it is shuffled for its
 smallest document, and the join that returns this to the windows is one that Spark splits where a key is hot.
 
 Defined cases: null and empty texts have no words and keep the empty string; texts shorter than a window
 keep everything; repeats within one document stay; rows whose id is null take no part and keep everything;
-rows that share an id count as one document (the places found in any of them go in each); an empty table
-gives an empty one.
+rows that share an id are told apart by their text, and lose only what starts in a document with a smaller id; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,12 +29,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from orrery.llm.batches import slices
+from orrery.llm.batches import give_back, slices
 from orrery.llm.shared import saved
 
 WINDOW = 13
-#: The sketch has ROWS rows of 2**CELLS cells, kept in shards of 2**SHARD cells; a partial sketch is sent on after FLUSH windows.
-ROWS, CELLS, SHARD, FLUSH = 2, 29, 22, 2_000_000
+#: The sketch has ROWS rows of 2**CELLS cells at most, kept in shards of 2**SHARD cells; a partial sketch is sent on after FLUSH windows.
+ROWS, CELLS, SHARD, FLUSH = 2, 29, 20, 2_000_000
+
+
+def cells_for(df: DataFrame, text: str, most: int = CELLS) -> int:
+    """The sketch's size for a corpus: two to four cells for each word, at five bytes and a space each."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return min(most, max(16, int(total // 6).bit_length() + 1))
 
 
 def window_keys(words: list[bytes], size: int):
@@ -140,8 +147,9 @@ def _merged(name: str, shared, rows: int, cells: int, shard: int):
     return _HELD[name]
 
 
-def repeated(df: DataFrame, text: str, key: str, size: int = WINDOW, rows: int = ROWS, cells: int = CELLS, shard: int = SHARD) -> DataFrame:
-    """(h, g, key, at): the windows whose estimated count is two or more."""
+def repeated(df: DataFrame, text: str, key: str, size: int = WINDOW, rows: int = ROWS, cells: int | None = None, shard: int = SHARD, row: bool = False) -> DataFrame:
+    """(h, g, key, at): the windows whose estimated count is two or more; with ``row`` also the row's text as Spark's xxhash64 gives it."""
+    cells = cells or cells_for(df, text)
     shard = min(shard, cells)
     shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in sketch(df, text, size, rows, cells, shard).toLocalIterator()])
     name = uuid.uuid4().hex
@@ -150,45 +158,53 @@ def repeated(df: DataFrame, text: str, key: str, size: int = WINDOW, rows: int =
         bits = _merged(name, shared, rows, cells, shard)
         import numpy as np
 
+        from xxhash import xxh64_intdigest
+
         for x in slices(batches, text):
             ids, found = x.column(key).to_numpy(zero_copy_only=False), []
             for i, t in zip(ids, x.column(text).to_pylist()):
-                h, g = window_keys((t or "").encode().split(), size)
+                t = (t or "").encode()
+                h, g = window_keys(t.split(), size)
                 keep = np.ones(len(h), bool)
                 for r in range(rows):
                     c = cell(h, r, cells)
                     keep &= (bits[r][c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
                 at = np.flatnonzero(keep)
                 if len(at):
-                    found.append((h[at].view(np.int64), g[at], np.full(len(at), i, np.int64), at.astype(np.int32)))
+                    own = (np.full(len(at), xxh64_intdigest(t, 42), np.uint64).view(np.int64),) if row else ()
+                    found.append((h[at].view(np.int64), g[at], np.full(len(at), i, np.int64), at.astype(np.int32), *own))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(4)], names=["h", "g", key, "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(4 + row)], names=["h", "g", key, "at", "row"][: 4 + row])
+        give_back()
 
-    return df.select(key, text).mapInArrow(run, f"h long, g int, `{key}` long, at int")
+    return df.select(key, text).mapInArrow(run, f"h long, g int, `{key}` long, at int" + ", row long" * row)
 
 
 def removed_places(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW, **sketched) -> DataFrame:
-    """(key, places): the starts of each document's windows that also start in a document with a smaller id."""
+    """(key, row, places): the starts of each row's windows that also start in a document with a smaller id; ``row`` is a hash of its text."""
     docs = df.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull())
+    sketched = {"cells": cells_for(docs, text)} | sketched
     windows = repeated(docs, text, key, size, **sketched)
     first = windows.groupBy("h", "g").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last").select("h", "g", "first")
     first = saved(first, "windows")
-    later = windows.join(first, ["h", "g"]).where(F.col(key) > F.col("first"))
-    return saved(later.groupBy(key).agg(F.collect_list("at").alias("places")), "places")
+    later = repeated(docs, text, key, size, row=True, **sketched).join(first, ["h", "g"]).where(F.col(key) > F.col("first"))
+    return saved(later.groupBy(key, "row").agg(F.collect_list("at").alias("places")), "places")
 
 
 def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW, out: str = "kept", **sketched) -> DataFrame:
     """df with ``out`` (the words kept, joined by one space), ``n_words`` and ``n_removed``; the text column goes."""
-    left = [f for f in df.schema if f.name not in (text, out, "n_words", "n_removed", "places")]
-    places = removed_places(df, text, key, size, **sketched)
-    joined = df.select(*(f.name for f in left), text).join(places.withColumnRenamed(key, "places key"), F.col(key) == F.col("places key"), "left").drop("places key")
+    left = [f for f in df.schema if f.name not in (text, out, "n_words", "n_removed")]
+    own = "places that go"  # names that a caller's columns won't have
+    places = removed_places(df, text, key, size, **sketched).toDF("places key", "places row", own)
+    same = (F.col(key) == F.col("places key")) & (F.xxhash64(text) == F.col("places row"))
+    joined = df.select(*(f.name for f in left), text).join(places, same, "left").drop("places key", "places row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for x in slices(batches, text):
             kept, n_words, n_removed = [], [], []
-            for t, at in zip(x.column(text).to_pylist(), x.column("places")):
+            for t, at in zip(x.column(text).to_pylist(), x.column(own)):
                 words = (t or "").encode().split()
                 n_words.append(len(words))
                 if at.is_valid and words:

@@ -44,3 +44,12 @@ def test_odd_rows(odd, none):
     assert len(out) == 9 and by[1].kept == by[2].kept == by[6].kept == "" and by[5].n_removed == 0 and by[5].n_words == 30_000
     assert by[None].n_removed == 0 and by[4].n_words == 10
     assert substrings.dedup(none, cells=16, shard=16).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    """Of two texts under one id only the one that repeats an earlier document's window loses it."""
+    shared, alone = " ".join(f"s{k}" for k in range(13)), " ".join(f"v{k}" for k in range(13))
+    df = spark.createDataFrame([(1, shared, "p"), (2, alone, "q"), (2, shared, "r"), (2, alone, "q"), (None, shared, None)], "doc_id long, text string, places string")
+    out = sorted((str(r.doc_id), r.kept, str(r.places)) for r in substrings.dedup(df).collect())
+    assert out == sorted([("1", shared, "p"), ("2", alone, "q"), ("2", alone, "q"), ("2", "", "r"), ("None", shared, "None")])
+    assert substrings.cells_for(df, "text") == 16 and substrings.cells_for(df, "text", most=12) == 12
