@@ -1,14 +1,15 @@
 """Personal data by candidate gradient boosting.
 
 Base spans follow fixed formats and always stay. Generators with high recall propose further, overlapping
-spans (e-mail addresses written out, telephone numbers without a plus sign, addresses with ports or in the
-sixth version, cards in odd groups); boosted trees score each proposal by its format and its context; those
+spans (e-mail addresses written out, telephone numbers without a plus sign, addresses of the sixth version, in
+full or with a double colon, with or without brackets and port, cards in odd groups); boosted trees score each proposal by its format and its context; those
 whose calibrated probability reaches the threshold of their kind are added, the most probable first, if they
 overlap nothing chosen before. Thresholds come from held-out proposals: the lowest with the precision asked for.
 
 The trees are fitted on made-up personal data and look-alikes (dates, versions, prices, order numbers) set
-into lines of a sample of at most ``SAMPLE`` documents, the first by a hash of their id; that bound is the
-only one. Every whole text is searched.
+into lines of a sample of at most ``SAMPLE`` documents, the first by a hash of their id, of each of them ``CHARS``
+characters of its first line. ``measured`` gives precision and recall on such data made anew with another seed.
+Every whole text is searched.
 
 Defined cases: null text counts as empty; no candidates give zero counts, the empty base list's hash and an
 empty span list; rows repeat as they come; an empty table gives an empty one; a corpus without text trains
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +30,7 @@ from orrery.llm.batches import slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose lines lend the training set its contexts, and the precision that thresholds aim at.
-SAMPLE, PRECISION = 400, 0.98
+SAMPLE, CHARS, PRECISION = 400, 400, 0.98
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -71,7 +73,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 #: Proposals. Each pattern runs in time linear in the text: repeats are bounded and starts anchored.
 _PROPOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[A-Za-z0-9-]{1,63}){1,4}", re.I),
-    "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,39}:[0-9A-Fa-f:]{0,39}:)(?:[0-9A-Fa-f]{1,4})?(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?::{2})?(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20./_-]{1,3}[0-9]{4,6}){2,3}(?:[\x20./_-]{1,3}[0-9]{1,5})?(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,4}(?![0-9A-Za-z])"),
 }
@@ -100,7 +102,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     lengths = [len(g) for g in groups] or [0]
     return [
         KINDS.index(kind), len(s), len(digits), len(groups), max(lengths), min(lengths), lengths[0], lengths[-1],
-        len(set(digits)), s.count("-"), s.count("."), s.count("/"), s.count("("), s.count(":"), float(":" in s and bool(re.search("[a-f]", s, re.I))),
+        len(set(digits)), s.count("-"), s.count("."), s.count("/"), s.count("("), s.count(":"), s.count("::"), float(s[:4] in ("fe80", "2001", "2a00", "2600")), float(":" in s and bool(re.search("[a-f]", s, re.I))),
         float(bool(digits) and luhn(digits)), float(bool(re.search(r"[(\[{](at|dot)[)\]}]", s, re.I))), float(bool(re.search(r"\bdot\b", s, re.I))),
         float(lengths[:1] == [4] and groups[0][:2] in ("19", "20")), float(lengths[-1] == 4 and groups[-1][:2] in ("19", "20") if groups else 0),
         float(any(c in before for c in _CUES[kind])), float(any(c in before for c in _AGAINST)), float(after[:1].isalnum() or before[-1:].isalnum()), float(after[:1] in "%€$"  if after else 0),
@@ -113,6 +115,8 @@ def _made_up(lines: list[str], seed: int = 7) -> list[tuple[str, str, int, int,
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     w = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
 
+    h = lambda: f"{r.randrange(1 << 16):x}"
+
     def card() -> str:
         body = d(15)
         return body + next(c for c in "0123456789" if luhn(body + c))
@@ -122,13 +126,13 @@ def _made_up(lines: list[str], seed: int = 7) -> list[tuple[str, str, int, int,
 
     good = {
         "email": lambda: r.choice([f"{w()}(at){w()}.{w()[:3]}", f"{w()} [at] {w()} [dot] {w()[:3]}", f"{w()}.{w()} (at) {w()}.{w()[:3]}", f"{w()} at {w()} dot {w()[:3]}"]),
-        "ip": lambda: ":".join(f"{r.randrange(1 << 16):x}" for _ in range(8)),
+        "ip": lambda: r.choice([":".join(h() for _ in range(8)), f"fe80::{h()}", f"2001:{h()}::{h()}:{h()}", f"2001:{h()}:{h()}::{h()}", f"2001:db8::{h()}:{h()}:{h()}"]),
         "card": lambda: grouped(card(), r.choice([".", "/", "_", "  ", " - "])),
         "phone": lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)}/{d(4)} {d(3)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}"]),
     }
     bad = {
         "email": lambda: r.choice([f"{w()} at {w()}. {w()}", f"{w()} at {w()}.{w()}", f"look at {w()}. {w()}"]),
-        "ip": lambda: r.choice([f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(1)}:{d(1)}:{d(2)}:{d(2)}"]),
+        "ip": lambda: r.choice([f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(1)}:{d(1)}:{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"a::{w()[:1]}", f"{d(1)}::{d(1)}"]),
         "card": lambda: r.choice([grouped(d(16), r.choice(["-", " ", "/"])), f"{d(4)}-{d(4)}-{d(4)}"]),
         "phone": lambda: r.choice([f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"{d(2)}/{d(2)}/19{d(2)}", f"{d(2)} {d(3)}", f"{d(3)}-{d(2)}", f"{d(2)}.{d(2)}", f"978-{d(1)}{d(2)}-{d(5)}-{d(2)}", f"{d(4)}-{d(4)}", f"20{d(2)}-20{d(2)}"]),
     }
@@ -156,7 +160,7 @@ def train(documents: DataFrame, text: str = "text", key: str = "doc_id", sample:
 
     from orrery.llm.boosting import fit, probability
 
-    lines = [r[0] for r in documents.select(F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, 400), F.xxhash64(key).alias("h"), F.xxhash64(text).alias("t")).orderBy("h", "t").limit(sample).collect() if r[0]]
+    lines = [r[0] for r in documents.select(F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, CHARS), F.xxhash64(key).alias("h"), F.xxhash64(text).alias("t")).orderBy("h", "t").limit(sample).collect() if r[0]]
     made = _made_up(lines)
     x, y = np.array([features(*m[:4]) for m in made]), np.array([m[4] for m in made], float)
     model = fit(x, y)
@@ -179,18 +183,33 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: dict) -> lis
     found = proposals(text)
     if not found:
         return []
-    taken = sorted((a, b) for _, a, b in base)
-    out = []
-    from bisect import bisect_left, insort
+    starts, ends = [], []  # merged, so both ascend: what is taken
+
+    def take(a: int, b: int) -> None:
+        lo, hi = bisect_left(ends, a), bisect_right(starts, b)
+        a, b = min([a, *starts[lo : lo + 1]]) if lo < hi else a, max([b, *ends[hi - 1 : hi]]) if lo < hi else b
+        starts[lo:hi], ends[lo:hi] = [a], [b]
 
+    for _, a, b in base:
+        take(a, b)
+    out = []
     for p, kind, a, b in sorted(((p, *s) for p, s in zip(probability(model, np.array([features(text, *s) for s in found])).tolist(), found)), key=lambda v: (-v[0], v[2], v[1])):
-        k = bisect_left(taken, (b,))  # chosen spans may overlap each other across kinds, so look back a few
-        if p >= model["thresholds"][kind] and not any(s < b and e > a for s, e in taken[max(0, k - 8) : k]):
+        free = bisect_right(ends, a) >= bisect_left(starts, b)  # what ends after a starts at b or later
+        if p >= model["thresholds"][kind] and free:
             out.append((kind, a, b))
-            insort(taken, (a, b))
+            take(a, b)
     return out
 
 
+def measured(model: dict, lines: list[str], seed: int = 70) -> dict[str, tuple[float, float]]:
+    """Precision and recall of each kind's additions on personal data and look-alikes that training didn't see."""
+    counts = {k: [0, 0, 0] for k in KINDS}
+    for text, kind, at, end, label in {m[:1] + m[1:] for m in _made_up(lines, seed)}:
+        hit = (kind, at, end) in added_spans(text, [], model)
+        counts[kind] = [counts[kind][0] + (hit and label), counts[kind][1] + hit, counts[kind][2] + label]
+    return {k: (good / max(1, all_), good / max(1, true)) for k, (good, all_, true) in counts.items()}
+
+
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 

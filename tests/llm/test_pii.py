@@ -45,3 +45,21 @@ def test_odd_rows(odd, none, model):
     assert len(rows) == 9 and all(not r.base for r in rows)
     assert pii.find(none, model).count() == 0
     assert pii.train(none)["trees"]
+
+
+def test_overlaps_of_any_number(spark):
+    """A span inside a long base span is never added, however many others lie before it."""
+    address = "1.2.3.4." * 12 + "555.555.5555@host.example"
+    base = pii.base_spans(address)
+    model = {"thresholds": dict.fromkeys(pii.KINDS, 0.0), **{k: v for k, v in pii.train(spark.createDataFrame([], "doc_id long, text string")).items() if k != "thresholds"}}
+    assert base[0] == ("email", 0, len(address)) and pii.added_spans(address, base, model) == []
+
+
+def test_generators_and_measures(spark):
+    model = pii.train(spark.createDataFrame([(1, "some plain words of a line\nmore")], "doc_id long, text string"))
+    for s in ("fe80::1", "2001:db8::8a2e:370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"):
+        assert ("ip", 5, 5 + len(s)) in pii.proposals(f"host {s} up"), s
+        assert ("ip", 6, 6 + len(s)) in pii.proposals(f"host [{s}]:8080 up"), s
+    found = pii.measured(model, ["other words that stand in lines", "and some more of them"])
+    print(found)
+    assert all(p >= 0.9 and r >= 0.8 for p, r in found.values())
