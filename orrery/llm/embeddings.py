@@ -1,17 +1,19 @@
 """Embedding near-dedup by NN-descent.
 
 The neighbour graph starts from random orders: vectors are sorted by the signs of random projections, and
-each gets its best neighbours among those that lie in the same short run. A round then compares the
-neighbours (and reverse neighbours) of every vector with each other and keeps the best of what it found.
+each gets its best neighbours among those that lie in the same short run. There are as many orders as it takes for a
+pair at the threshold to share a run with probability ``MEET``, which the number of vectors tells: it falls with a
+small power of that. A round then compares the neighbours (and reverse neighbours) of every vector with each other and keeps the best of what it found.
 Lists that are full of links are enlarged to twice their length for the next round. Only pairs that are
 close enough to lie on a path of two links are worth keeping, so vectors without near neighbours drop out.
 
 The graph's links give the components; within each of them all links are counted exactly, by pairs of
 hashed blocks of bounded size, so lists never cap a count. Lists stop at ``FULL`` times their length; what a
 list that is full then may lack is sought exactly: a component that holds such a vector is compared with every
-vector near enough to its centre, given its radius, to link with a member. An audit compares a bounded set of
-vectors with all others by brute force; while its recall is below the target, more random orders and rounds are
-added, and after ``ATTEMPTS`` of them the job fails.
+vector near enough to its centre, given its radius, to link with a member. An audit compares a set of vectors
+with all others by brute force: some that have near neighbours and some of all, four times as many until they have
+``TRUE`` links, all vectors are among them, or they are ``MOST``. While its recall is below the target, more random
+orders and rounds are added, and after ``ATTEMPTS`` of them the job fails.
 
 Defined cases: null, empty and zero vectors, and vectors with null or non-finite components, link with
 nothing and are kept; so do vectors whose length differs from the table's commonest (ties: the longest);
@@ -30,9 +32,17 @@ from pyspark.sql import DataFrame, functions as F
 from orrery.llm.components import components
 from orrery.llm.shared import saved
 
-LINK, LIST, ORDERS, ROUNDS, RUN, BLOCK, FULL, ATTEMPTS = 0.95, 12, 6, 3, 96, 256, 4, 8
-#: The audit: so many vectors against all, and the share of their links that must be found.
-AUDIT, RECALL = 128, 0.98
+LINK, LIST, ORDERS, ROUNDS, RUN, BLOCK, FULL, ATTEMPTS, MEET = 0.95, 12, 6, 3, 96, 256, 4, 8, 0.99
+#: The audit: so many vectors against all at first and at most, the links wanted of them, and the share of these that must be found.
+AUDIT, MOST, TRUE, RECALL = 256, 8192, 200, 0.98
+
+
+def orders_for(n: int, link: float = LINK, meet: float = MEET) -> int:
+    """How many random orders of n vectors bring a pair at the threshold into one run: it has to agree in the bits that tell n / RUN
+    runs apart, and not to lie on two sides of a border."""
+    bits = max(0.0, math.log2(max(1, n / RUN)))
+    share = 0.6 * (1 - math.acos(link) / math.pi) ** bits
+    return math.ceil(math.log(1 - meet) / math.log(1 - share))
 
 
 def _matrix(column: pa.Array):
@@ -77,7 +87,7 @@ def _best(pairs: DataFrame, lists: DataFrame | None, length: int) -> DataFrame:
     return ranked.where("rank <= room").select("a", "b", "sim", "room")
 
 
-def _from_orders(nodes: DataFrame, seed: int, orders: int, length: int, floor: float) -> DataFrame:
+def _from_orders(nodes: DataFrame, seed: int, orders: int, length: int, floor: float, bits: int = 20) -> DataFrame:
     """Pairs (a, b, sim) among the vectors of short runs of random orders, the best of each run's members."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,8 +97,8 @@ def _from_orders(nodes: DataFrame, seed: int, orders: int, length: int, floor: f
             if x.num_rows:
                 v = _matrix(x.column("u"))
                 for r in range(orders):
-                    planes = np.random.default_rng((seed, r)).standard_normal((v.shape[1], 20))
-                    code = ((v @ planes) > 0) @ (1 << np.arange(20))[::-1]
+                    planes = np.random.default_rng((seed, r)).standard_normal((v.shape[1], bits))
+                    code = ((v @ planes) > 0) @ (1 << np.arange(bits))[::-1]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), r, np.int32)), pa.array(code), x.column("node"), x.column("u")], names=["r", "code", "node", "u"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,24 +231,28 @@ def _counts(nodes: DataFrame, parts: DataFrame, link: float) -> DataFrame:
     return found.groupBy("node", "other").agg(F.sum("n").alias("links"))
 
 
-def _audit(nodes: DataFrame, counts: DataFrame, link: float, size: int) -> float:
-    """The share found of the links of at most ``size`` vectors, those that come first by a hash."""
-    some = nodes.select("node", "u", F.xxhash64("node", F.lit(1)).alias("h")).orderBy("h").limit(size).collect()
+def _audit(nodes: DataFrame, counts: DataFrame, near: DataFrame, link: float, size: int) -> tuple[float, int]:
+    """The share found of the links of at most ``size`` vectors, those that come first by a hash, and half as many of ``near``; and how many links these are."""
+    hashed = nodes.select("node", "u", F.xxhash64("node", F.lit(1)).alias("h"))
+    few = hashed.join(near, "node", "left_semi").orderBy("h").limit(size // 2)
+    some = hashed.orderBy("h").limit(size).unionAll(few).dropDuplicates(["node"]).collect()
     ids, queries = [r["node"] for r in some], [list(r["u"]) for r in some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         q, own, total = np.array(queries), np.array(ids), np.zeros(len(ids), np.int64)
-        for x in batches:
-            if x.num_rows:
-                near = (_matrix(x.column("u")) @ q.T >= link) & (x.column("node").to_numpy()[:, None] != own)
-                total += x.column("size").to_numpy() @ near
+        for batch in batches:
+            for x in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                u, node, size = _matrix(x.column("u")), x.column("node").to_numpy(), x.column("size").to_numpy()
+                for k in range(0, len(own), 1024):
+                    part = slice(k, k + 1024)
+                    total[part] += size @ ((u @ q[part].T >= link) & (node[:, None] != own[part]))
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(total)], names=["node", "n"])
 
     true = nodes.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     found = true.join(counts, "node", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return found["found"] / found["n"] if found["n"] else 1.0
+    return (found["found"] / found["n"], found["n"]) if found["n"] else (1.0, 0)
 
 
 def near_groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", link: float = LINK, length: int = LIST, orders: int = ORDERS, rounds: int = ROUNDS, recall: float = RECALL) -> DataFrame:
@@ -249,9 +263,14 @@ def near_groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     graph = None
     lists = lambda: graph.groupBy(F.col("a").alias("node")).agg(F.max("room").alias("room"), F.count("*").alias("n"), F.min("sim").alias("least"))
     is_full = (F.col("n") >= F.col("room")) & (F.col("least") >= link)
+    total = nodes.count()
+    bits = min(62, max(20, math.ceil(math.log2(max(2, total / RUN))) + 8))
+    seed = 0
     for attempt in range(ATTEMPTS):
-        found = _from_orders(nodes, attempt, orders, length, floor)
-        graph = saved(_best(found, None, length) if graph is None else _best(found.unionAll(graph.select("a", "b", "sim")), lists().select("node", "room"), length), "graph")
+        for _ in range(1 if attempt else max(1, -(-orders_for(total, link) // orders))):
+            found = _from_orders(nodes, seed, orders, length, floor, bits)
+            graph = saved(_best(found, None, length) if graph is None else _best(found.unionAll(graph.select("a", "b", "sim")), lists().select("node", "room"), length), "graph")
+            seed += 1
         for _ in range(rounds):
             room = lists().select("node", F.when(is_full, F.least(2 * F.col("room"), F.lit(FULL * length))).otherwise(F.col("room")).alias("room"))
             better = saved(_best(_round(nodes, graph, floor).unionAll(graph.select("a", "b", "sim")), room, length), "graph")
@@ -271,7 +290,11 @@ def near_groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
         met = both.where("other is not null").selectExpr("node a", "other b")
         if not met.isEmpty():
             parts = saved(components(links.unionAll(met)), "parts")
-        reached = _audit(nodes, counts, link, AUDIT)
+        size, near = AUDIT, graph.select(F.col("a").alias("node")).distinct()
+        reached, true = _audit(nodes, counts, near, link, size)
+        while true < TRUE and size < min(total, MOST):
+            size = min(4 * size, MOST)
+            reached, true = _audit(nodes, counts, near, link, size)
         if reached >= recall:
             break
     else:

@@ -50,3 +50,22 @@ def test_dense_groups_joined_by_far_pairs(spark):
     out = {r.vec_id: r for r in embeddings.near_groups(df).collect()}
     assert [out[k].n_links for k in range(300)] == near.sum(1).tolist()
     assert {r.component_id for r in out.values()} == {0}
+
+
+def test_rare_links_among_many_vectors(spark):
+    """Pairs just over the threshold, far from all else, are found whatever the number of vectors."""
+    import math
+
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((20_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w = rng.standard_normal((200, 64))
+    w -= (w * v[:200]).sum(1, keepdims=True) * v[:200]
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    near = 0.952 * v[:200] + math.sqrt(1 - 0.952**2) * w
+    rows = [(k, x.tolist()) for k, x in enumerate(np.concatenate([v, near]))]
+    out = {r.vec_id: r for r in embeddings.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = sum(out[k].n_links == 1 and out[20_000 + k].component_id == k for k in range(200))
+    print("pairs found:", found)
+    assert found >= 190 and sum(r.n_links for r in out.values()) == 2 * found
+    assert embeddings.orders_for(10**9) > embeddings.orders_for(50_000) >= 6
