@@ -37,3 +37,24 @@ def test_native_and_odd_rows(odd, none, model):
     assert out.count() == 9 and out.where("license is not null").count() == 0
     assert licenses.scan(none, model).count() == 0
     assert 0.5 <= licenses.train(none).threshold <= 1.01
+
+
+def test_wrapped_notices(spark):
+    """Every long template is found when it is wrapped at 60 to 76 columns among other lines, bare or behind comment marks."""
+    import textwrap
+
+    prose = "the weather of the day was mild and people walked along the river"
+    rows, true = [], {}
+    for family, texts in licenses.TEMPLATES.items():
+        for text in (x for x in texts if len(x) > 120):
+            for width, mark in ((60, ""), (76, "# "), (70, " * ")):
+                k = len(rows)
+                rows.append((k, "\n".join([prose, *(mark + x for x in textwrap.wrap(text, width)), mark + prose])))
+                true[k] = family
+    rows += [(1000 + k, f"{prose}\nthe licence of line {k} was revoked by the council\n{prose}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.train(spark.createDataFrame([(k, f"{prose} number {k}\nlast line {k} of {prose}") for k in range(300)], "doc_id long, text string"))
+    out = {r.doc_id: r.license for r in licenses.scan(docs, model).collect()}
+    print({k: (f, out[k]) for k, f in true.items() if out[k] != f}, model.threshold, model.slope, model.offset)
+    assert sum(out[k] == f for k, f in true.items()) >= 0.95 * len(true)
+    assert all(out[1000 + k] == licenses.UNKNOWN for k in range(20))
