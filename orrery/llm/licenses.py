@@ -12,8 +12,8 @@ ones that use the cues otherwise, and the last lines, ``CHARS`` characters of ea
 most ``SAMPLE`` documents, the first by a hash of their id. Every line of every whole text is searched for cues; a
 notice none of whose lines holds a cue isn't found.
 
-Defined cases: null and empty texts have no licence; a document with several licences gets the most probable
-confirmed one, ties by name, and lists them all; candidates that no template confirms give ``unknown``;
+Defined cases: null and empty texts have no licence; a document with several licences gets the confirmed
+one that is closest to its template, ties by probability, then name, and lists them all; candidates that no template confirms give ``unknown``;
 repeated rows and ids give one row each; an empty table gives an empty one.
 """
 
@@ -50,7 +50,7 @@ TEMPLATES = {
     "proprietary": ("Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
 #: Words that make a line a candidate, and lines that use them otherwise.
-CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "creative commons", "all rights reserved", "cc by", "cc0", "gnu ")
+CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "creative commons", "all rights reserved", "cc by", "cc0", "gnu ", "is free to copy")
 OTHERWISE = (
     "You need a driving licence to rent the car.", "The licence plate was stolen last night.", "He lost his fishing license in the river.", "A licensed physician must sign the form.",
     "The restaurant got its liquor license last year.", "They asked for permission to leave the room.", "The house was licensed for weddings under a new law.", "Version 2.0 of the report was released under pressure.",
@@ -186,7 +186,7 @@ def find(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -
 def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, license, probability, similarity, licenses, n_candidates) for each row; license is null where no line has a cue."""
     found = find(df, model, key, text)
-    sure = F.when(F.col("confirmed"), F.struct(F.col("probability").alias("p"), F.col("family").alias("family"), F.col("similarity").alias("s")))
+    sure = F.when(F.col("confirmed"), F.struct(F.col("similarity").alias("s"), F.col("probability").alias("p"), F.col("family").alias("family")))
     by = found.groupBy(key).agg(F.max(sure).alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("licenses"), F.count_if(F.col("n_lines") == 1).alias("n_candidates"))
     by = by.withColumnRenamed(key, "found key")
     out = df.select(key).join(by, F.col(key) == F.col("found key"), "left")
