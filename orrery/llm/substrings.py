@@ -147,12 +147,17 @@ def _merged(name: str, shared, rows: int, cells: int, shard: int):
     return _HELD[name]
 
 
-def repeated(df: DataFrame, text: str, key: str, size: int = WINDOW, rows: int = ROWS, cells: int | None = None, shard: int = SHARD, row: bool = False) -> DataFrame:
-    """(h, g, key, at): the windows whose estimated count is two or more; with ``row`` also the row's text as Spark's xxhash64 gives it."""
+def merged_sketch(df: DataFrame, text: str, size: int = WINDOW, rows: int = ROWS, cells: int | None = None, shard: int = SHARD) -> tuple:
+    """The sketch of a corpus for its windows, as tasks take it: its name, its broadcast shards, and its measures."""
     cells = cells or cells_for(df, text)
     shard = min(shard, cells)
-    shared = df.sparkSession.sparkContext.broadcast([tuple(r) for r in sketch(df, text, size, rows, cells, shard).toLocalIterator()])
-    name = uuid.uuid4().hex
+    shards = [tuple(r) for r in sketch(df, text, size, rows, cells, shard).toLocalIterator()]
+    return uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(shards), rows, cells, shard
+
+
+def repeated(df: DataFrame, text: str, key: str, merged: tuple, size: int = WINDOW, row: bool = False) -> DataFrame:
+    """(h, g, key, at): the windows whose estimated count is two or more; with ``row`` also the row's text as Spark's xxhash64 gives it."""
+    name, shared, rows, cells, shard = merged
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _merged(name, shared, rows, cells, shard)
@@ -183,11 +188,11 @@ def repeated(df: DataFrame, text: str, key: str, size: int = WINDOW, rows: int =
 def removed_places(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = WINDOW, **sketched) -> DataFrame:
     """(key, row, places): the starts of each row's windows that also start in a document with a smaller id; ``row`` is a hash of its text."""
     docs = df.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull())
-    sketched = {"cells": cells_for(docs, text)} | sketched
-    windows = repeated(docs, text, key, size, **sketched)
+    merged = merged_sketch(docs, text, size, **sketched)
+    windows = repeated(docs, text, key, merged, size)
     first = windows.groupBy("h", "g").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last").select("h", "g", "first")
     first = saved(first, "windows")
-    later = repeated(docs, text, key, size, row=True, **sketched).join(first, ["h", "g"]).where(F.col(key) > F.col("first"))
+    later = repeated(docs, text, key, merged, size, row=True).join(first, ["h", "g"]).where(F.col(key) > F.col("first"))
     return saved(later.groupBy(key, "row").agg(F.collect_list("at").alias("places")), "places")
 
 
