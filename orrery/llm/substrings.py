@@ -11,8 +11,9 @@ a corpus overfills the sketch, more windows are grouped, and the result is the s
 
 The sketch has two to four cells for each window, as the corpus' bytes tell, and no more than ``2**CELLS``: the merged
 sketch is broadcast as compressed bits (cell reaches two), ``ROWS * 2**CELLS / 8`` bytes at most whatever the corpus.
-Beyond that it lets more windows through, all of them in the end, and the exact grouping does the work. A window that many documents share is reduced to one row a task before it is shuffled for its
-smallest document, and the join that returns this to the windows is one that Spark splits where a key is hot.
+Beyond that it lets more windows through, all of them in the end, and the exact grouping does the work. A window that many
+documents share is reduced to one row a task before it is shuffled for its smallest document, and the join that
+returns this to the windows is one that Spark splits where a key is hot.
 
 Defined cases: null and empty texts have no words and keep the empty string; texts shorter than a window
 keep everything; repeats within one document stay; rows whose id is null take no part and keep everything;
@@ -35,6 +36,8 @@ from orrery.llm.shared import saved
 WINDOW = 13
 #: The sketch has ROWS rows of 2**CELLS cells at most, kept in shards of 2**SHARD cells; a partial sketch is sent on after FLUSH windows.
 ROWS, CELLS, SHARD, FLUSH = 2, 29, 20, 2_000_000
+#: Bytes of text whose words a task holds at once; a longer text is held alone.
+READ = 1 << 20
 
 
 def cells_for(df: DataFrame, text: str, most: int = CELLS) -> int:
@@ -89,7 +92,7 @@ def sketch(df: DataFrame, text: str, size: int = WINDOW, rows: int = ROWS, cells
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["row", "shard", "blocks", "low"])
 
-        for x in slices(batches, text):
+        for x in slices(batches, text, most=READ):
             for t in x.column(text).to_pylist():
                 keys = np.unique(window_keys((t or "").encode().split(), size)[0])
                 if len(keys):
@@ -98,6 +101,7 @@ def sketch(df: DataFrame, text: str, size: int = WINDOW, rows: int = ROWS, cells
                 yield sent()
         if held:
             yield sent()
+        give_back()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -126,6 +130,8 @@ def sketch(df: DataFrame, text: str, size: int = WINDOW, rows: int = ROWS, cells
                     added()
         if now is not None:
             yield done()
+        counts = None
+        give_back()
 
     parts = df.select(text).mapInArrow(partial, "row int, shard int, blocks binary, low binary")
     return parts.repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(merged, "row int, shard int, bits binary")
@@ -165,7 +171,7 @@ def repeated(df: DataFrame, text: str, key: str, merged: tuple, size: int = WIND
 
         from xxhash import xxh64_intdigest
 
-        for x in slices(batches, text):
+        for x in slices(batches, text, most=READ):
             ids, found = x.column(key).to_numpy(zero_copy_only=False), []
             for i, t in zip(ids, x.column(text).to_pylist()):
                 t = (t or "").encode()
@@ -207,7 +213,8 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = WI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for x in slices(batches, text):
+        _HELD.clear()  # a worker that served the passes before needs its sketch no more
+        for x in slices(batches, text, most=READ):
             kept, n_words, n_removed = [], [], []
             for t, at in zip(x.column(text).to_pylist(), x.column(own)):
                 words = (t or "").encode().split()
@@ -224,5 +231,6 @@ def dedup(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = WI
                 kept.append(b" ".join(words).decode())
             arrays = [pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             yield pa.RecordBatch.from_arrays([*(x.column(f.name) for f in left), *arrays], names=[*(f.name for f in left), out, "n_words", "n_removed"])
+        give_back()
 
     return joined.mapInArrow(run, T.StructType([*left, T.StructField(out, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
