@@ -52,7 +52,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = lambda k: F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "UTF-8"), f"(?m)^{k}: (-?[0-9]+)", 1)
     digest = F.when(F.col("capture.type") == "response", F.sha1("capture.payload")).otherwise(F.substring_index("capture.payload_digest", ":", -1))
     return rows.select(
-        note("page").cast("long").alias("page_id"),
+        F.nullif(note("page"), F.lit("")).cast("long").alias("page_id"),
         F.col("capture.payload_bytes").alias("payload_bytes"),
         digest.alias("payload_digest"),
         F.col("capture.type").alias("record_type"),

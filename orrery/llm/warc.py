@@ -9,9 +9,10 @@ Transactions: request and metadata records name the record that they belong to i
 is joined to the response or revisit with that id; one that names a request or metadata record is joined
 through it (one step further). Every capture gives one nested row.
 
-Defined cases: a null payload counts as empty; a capture without request or metadata has null or an empty
-list there; of several requests that name one capture the one with the smallest record id is nested; records
-that lead to no response or revisit give no row; unknown record types are ignored; no pages give no rows.
+Defined cases: a null payload counts as empty; a page without a key is a response, named by its payload, whose
+metadata names no page; a capture without request or metadata has null or an empty list there; of several
+requests that name one capture the one with the smallest record id is nested; records that lead to no response or
+revisit give no row; unknown record types are ignored; no pages give no rows.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     """Three records for each page: request, response or revisit, metadata. Where key repeats, payloads should too."""
     mean = pages.agg(F.avg(F.octet_length(payload))).first()[0] or 0
     rows = decided(pages.select(key, url, payload), key, payload, least)
-    body, k = F.coalesce(F.col(payload), F.lit("")), F.col(key)
+    body = F.coalesce(F.col(payload), F.lit(""))
+    k = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("none-"), F.sha1(F.encode(body, "UTF-8"))))
     digest = F.concat(F.lit("sha1:"), F.sha1(F.encode(body, "UTF-8")))
     safe = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7f]", "")  # a header line holds no line breaks
     host, rest = F.regexp_extract(safe, "^[a-zA-Z]+://([^/?#]*)", 1), F.regexp_extract(safe, "^[a-zA-Z]+://[^/?#]*([^#]*)", 1)
@@ -69,7 +71,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     size = F.concat(F.lit(f"{http}Content-Length: "), F.octet_length(body).cast("string"), F.lit(END))
     response = _record("response", main, own, F.concat(size, body))
     revisit = _record("revisit", main, own | {"WARC-Refers-To": F.concat(F.lit("<"), _name("response", F.col("refers_to")), F.lit(">")), "WARC-Profile": F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")}, size)
-    notes = F.concat(F.lit("page: "), k.cast("string"), F.coalesce(F.concat(F.lit("\r\nrefers-to-page: "), F.col("refers_to").cast("string")), F.lit("")), F.lit("\r\n"))
+    named = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n")), F.lit(""))
+    notes = F.concat(named("page", key), named("refers-to-page", "refers_to"))
     metadata = _record("metadata", _name("metadata", k), at | {"WARC-Concurrent-To": F.concat(F.lit("<"), main, F.lit(">")), "Content-Type": F.lit("application/warc-fields")}, notes)
     records = rows.select(F.concat(request, F.lit(END), F.when(F.col("refers_to").isNull(), response).otherwise(revisit), F.lit(END), metadata).alias("value"))
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1200)))).text(path)
@@ -166,7 +169,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row for each capture: capture, request, metadata (a list)."""
     captures = records.where("type in ('response', 'revisit')")
-    others = records.where("type in ('request', 'metadata') and concurrent_to is not null")
+    # saved, since two sides of the join below read them: archives are parsed once for these and once for captures
+    others = saved(records.where("type in ('request', 'metadata') and concurrent_to is not null"), "others")
     # a record that names a request or a metadata record belongs to what that one names
     via = others.select(F.col("id").alias("via"), F.col("concurrent_to").alias("further"))
     parts = others.join(via, others["concurrent_to"] == via["via"], "left").withColumn("capture_id", F.coalesce("further", "concurrent_to"))

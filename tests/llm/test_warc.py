@@ -45,3 +45,16 @@ def test_foreign_archive(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string, refers_to string"), f"{tmp_path}/w")
     assert warc.transactions(warc.read(spark, f"{tmp_path}/w")).count() == 0
+
+
+def test_query_with_pages_without_key(spark, tmp_path):
+    """The digests of the query itself; rows whose page_id is null are responses, also where the payload repeats."""
+    from orrery.llm import queries
+
+    long = "l" * 1200
+    pages = [(1, "http://h/a", long), (2, "http://h/b", long), (None, "http://h/c", long), (None, None, long), (None, "u", None), (3, None, "short"), (4, "http://h/d", "short")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.op5_warc(spark, str(tmp_path)).collect()
+    sha = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
+    expected = [(i, len(h or ""), sha(h), "revisit" if i == 1 else "response", 2 if i == 1 else None) for i, _, h in pages]
+    assert sorted(map(str, (tuple(r) for r in out))) == sorted(map(str, expected))
