@@ -261,7 +261,8 @@ def _candidates(nodes: DataFrame, bits: int, count: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets (node, shingles) are ``least`` similar. Those of one a are compared in blocks."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    # saved, since heads and partners both start from it
+    rows = saved(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")), "blocks")
     heads = rows.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "shingles")
     rows = heads.unionByName(rows.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "shingles"))
 
