@@ -80,10 +80,12 @@ def _best(pairs: DataFrame, lists: DataFrame | None, length: int) -> DataFrame:
     from pyspark.sql import Window
 
     unique = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    if lists is not None:
-        unique = unique.join(lists.withColumnRenamed("node", "a"), "a", "left")
-    room = F.coalesce("room", F.lit(length)) if lists is not None else F.lit(length)
-    ranked = unique.withColumn("room", room).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")))
+    # no list holds more than FULL times the length, so tasks send no more of a hub's pairs to its window
+    ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= FULL * length)
+    if lists is None:
+        ranked = ranked.withColumn("room", F.lit(length))
+    else:
+        ranked = ranked.join(lists.withColumnRenamed("node", "a"), "a", "left").withColumn("room", F.coalesce("room", F.lit(length)))
     return ranked.where("rank <= room").select("a", "b", "sim", "room")
 
 
@@ -150,12 +152,13 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield held
 
 
-def _round(nodes: DataFrame, graph: DataFrame, floor: float) -> DataFrame:
-    """Pairs among the neighbours and reverse neighbours of each vector."""
+def _round(nodes: DataFrame, graph: DataFrame, length: int, floor: float) -> DataFrame:
+    """Pairs among the neighbours and reverse neighbours of each vector. The literal limit lets tasks cut a hub's rows before the shuffle."""
     from pyspark.sql import Window
 
     back = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "room").withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")))
-    members = graph.select("a", "b", "room").unionAll(back.where("rank <= room").select("a", "b", "room")).groupBy("a", "b").agg(F.max("room").alias("room"))
+    back = back.where(F.col("rank") <= FULL * length).where("rank <= room")
+    members = graph.select("a", "b", "room").unionAll(back.select("a", "b", "room")).groupBy("a", "b").agg(F.max("room").alias("room"))
     members = members.unionAll(graph.groupBy("a").agg(F.max("room").alias("room")).selectExpr("a", "a b", "room"))
     rows = members.join(nodes.select(F.col("node").alias("b"), "u"), "b").select("a", "b", "room", "u")
 
@@ -273,7 +276,7 @@ def near_groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
             seed += 1
         for _ in range(rounds):
             room = lists().select("node", F.when(is_full, F.least(2 * F.col("room"), F.lit(FULL * length))).otherwise(F.col("room")).alias("room"))
-            better = saved(_best(_round(nodes, graph, floor).unionAll(graph.select("a", "b", "sim")), room, length), "graph")
+            better = saved(_best(_round(nodes, graph, length, floor).unionAll(graph.select("a", "b", "sim")), room, length), "graph")
             new = better.where(F.col("sim") >= link).join(graph, ["a", "b"], "left_anti").count()
             graph = better
             if not new:
