@@ -78,7 +78,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     import numpy as np
 
     by = Window.partitionBy(lang).orderBy("h", key)
-    chosen = labelled.where(F.col(lang).isNotNull()).select(lang, key, F.xxhash64(key).alias("h")).withColumn("n", F.row_number().over(by)).where(F.col("n") <= docs).select(key, lang)
+    ids = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(lang, key, F.xxhash64(key).alias("h"))
+    # of a large language only low hashes go to its window, four times as many as it keeps; languages are few, since each has a column of weights
+    many = ids.groupBy(lang).agg(F.least(F.lit(1.0), 4.0 * docs / F.count("*")).alias("share"))
+    low = ids.join(F.broadcast(many), lang).where(F.col("h").cast("double") <= F.col("share") * 2.0**64 - 2.0**63)
+    chosen = low.withColumn("n", F.row_number().over(by)).where(F.col("n") <= docs).select(key, lang)
     rng = np.random.default_rng(seed)
     runs: dict[str, list[list[str]]] = {}
     place = F.pmod(F.xxhash64(key, F.lit(seed)), F.greatest(F.lit(1), F.length(text) - CHARS + 1)).cast("int") + 1
