@@ -109,6 +109,12 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm import prefixes
+
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -122,6 +128,24 @@ def oracle_sql() -> dict[str, str]:
                 case when top is null or top = page_id then 'response' else 'revisit' end as record_type,
                 case when top <> page_id then top end as refers_to
             from p left join k on p.h = k.h""",
+        "op12_prefixes": """
+            with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as k
+                from conversations where conv_id is not null),
+            b as (select distinct conv_id, cast(conv_id as varchar) as s from t),
+            c as (select conv_id, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::ubigint)),
+                lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)::ubigint[]), lambda r, i: case when r & 1 = 1 then xor(r >> 1, 3988292384::ubigint) else r >> 1 end)), 4294967295::ubigint) % 6 as h from b),
+            r as (select c.conv_id, k, role, text from c join t on t.conv_id = c.conv_id - c.conv_id % 100 where k <= h
+                union all select c.conv_id, k, role, text from c join t on t.conv_id = c.conv_id where k > h),
+            s as (select c.conv_id, list({'role': role, 'text': text} order by k) filter (where k is not null) as seq from c left join r on r.conv_id = c.conv_id group by c.conv_id),
+            q as (select conv_id, coalesce(seq, []) as seq from s),
+            p as (select conv_id, len(seq) as n, d, seq[1:d] as node from (select conv_id, seq, unnest(range(0, len(seq) + 1)) as d from q)),
+            g as (select node, d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where n = d), '') as ends,
+                case when d > 0 then (count(*) - 1) * length(node[d].text) else 0 end as own from p group by node, d),
+            e as (select g.*, (select count(*) from g x where x.d = g.d + 1 and x.node[1:g.d] = g.node) as n_children from g),
+            f as (select a.node, a.d, sum(case when e.n_children = 0 then 1 else 0 end) as n_leaves, sum(e.own) as saved_tokens
+                from e, unnest(range(0, e.d + 1)) as u(a_d) join g a on a.d = u.a_d and a.node = e.node[1:u.a_d] group by a.node, a.d)
+            select e.conv_id, e.d as depth, u.conv_id as parent_conv_id, e.n_convs, e.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(e.ends) as ends_sha256
+            from e join f on e.node = f.node and e.d = f.d left join g u on u.d = e.d - 1 and u.node = e.node[1:e.d - 1]""",
         "op9_substrings": """
             with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
             p as (select doc_id, words, unnest(range(1, len(words) + 1)) as k from w),
