@@ -115,6 +115,12 @@ def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm import neighbours
+
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
