@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table below ``spark.checkpoint.dir``; on one machine without that setting, in a folder of our own."""
+    """df as a Parquet table below ``spark.checkpoint.dir``; on one machine without that setting, in a folder of our own. It goes when the application ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -19,5 +19,7 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
         named = sc.getCheckpointDir()
     path = f"{named.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
