@@ -1,16 +1,15 @@
-"""Tables in the shared folder, to cut lineage in loops of joins."""
+"""Tables in the shared folder, to cut lineage in loops of joins, and folders for indexes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table below ``spark.checkpoint.dir``; on one machine without that setting, in a folder of our own. It goes when the application ends."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; on one machine without that setting, in a folder of our own. What is written there goes when the application ends."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
@@ -18,8 +17,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
         named = sc.getCheckpointDir()
-    path = f"{named.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = place(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import base, evaluation, platform, retrieval, temporal, usage  # noqa: F401  they register their queries
+from orrery.plans import base, evaluation, platform, retrieval, search, temporal, usage  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
