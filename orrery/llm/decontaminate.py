@@ -13,6 +13,9 @@ Exact word-level edit distance, with both ends of the window free, verifies ever
 Walks start only where they can succeed, which loses nothing: k edits leave at least n - g + 1 - g k of an item's
 runs of g words whole, so a window without so many of its class's runs holds no item of the class.
 
+An item of more than ``PIECE`` words is sought by its pieces: of pieces that make up an item with edits in a fifth of its words, one
+at least has edits in no more than a fifth of its own. So planning takes no longer for longer items. Where ``WALKS`` don't reach the target recall, the job fails.
+
 Items of fewer than ``SHORT`` words have too few steps to sample; of their edits + 1 pieces one is left whole, so
 windows that hold a piece are the candidates, all of them. Items are held by tasks in blocks of at most ``ITEMS``
 and of at most ``HELD`` words; a larger benchmark takes one pass a block.
@@ -35,6 +38,8 @@ from orrery.llm.batches import give_back, slices
 WORD = re.compile(r"\w+")
 #: Shortest item that is sampled, share of edits, tables of a walk, places of a table, items and words of a block.
 SHORT, EDITS, TABLES, PLACES, ITEMS, HELD = 8, 0.2, 6, 3, 50_000, 4_000_000
+#: The longest piece of an item.
+PIECE = 92
 #: The recall of candidates that each class's walks are to reach in trials, and the most walks.
 TARGET, WALKS = 0.97, 64
 #: Words of a run, for telling where walks can succeed; bits of the map of runs.
@@ -165,8 +170,8 @@ def walks_of(low: int, high: int, edits: float, target: float, tables: int, plac
                 m |= x == y
         reached = min(m.mean() for m in met)
         if reached >= target:
-            break
-    return out, float(reached)
+            return out, float(reached)
+    raise ValueError(f"{WALKS} walks find {reached:.3f} of the items of {low} to {high} words with {edits} of them edited, under {target}")
 
 
 def edits_within(item, words) -> int:
@@ -267,10 +272,13 @@ class Block:
 
         self.items, self.edits = items, edits
         self.sizes = np.array([len(h) for _, h in items], np.int64)
+        #: (item, the piece's place in it, its words) of items that are walked
+        pieces = [(k, n * j // m, h[n * j // m : n * (j + 1) // m]) for k, (_, h) in enumerate(items) if (n := len(h)) >= SHORT for m in [-(-n // PIECE)] for j in range(m)]
+        self.owners, self.offsets, self.lengths = (np.array([f(p) for p in pieces], np.int64) for f in (lambda p: p[0], lambda p: p[1], lambda p: len(p[2])))
         self.classes, low = [], SHORT
-        while len(items) and low <= self.sizes.max():
+        while pieces and low <= self.lengths.max():
             high = max(low, low * 5 // 4)
-            members = [(k, h) for k, (_, h) in enumerate(items) if low <= len(h) <= high]
+            members = [(k, h) for k, (_, _, h) in enumerate(pieces) if low <= len(h) <= high]
             if members:
                 self.classes.append(_Class(low, high, members, edits, target, tables, places))
             low = high + 1
@@ -288,7 +296,8 @@ class Block:
             place, rows = table.probe(_windows(flat, n))
             yield items[rows], place - offsets[rows]
         for c in self.classes:
-            yield from c.candidates(flat, self.sizes)
+            for pieces, place in c.candidates(flat, self.lengths):
+                yield self.owners[pieces], place - self.offsets[pieces]
 
     def matches(self, texts: list[str | None], known: _Hashes | None = None) -> list[list[tuple[object, int, int]]]:
         """For each text the items it holds: (item, edits, the word near which it starts)."""
@@ -318,7 +327,7 @@ class Block:
                 continue
             name, h = self.items[k]
             n, most = len(h), allowed(len(h), self.edits)
-            lo, hi = max(int(starts[d]), a - most), min(int(starts[d + 1]), a + n + 2 * most)
+            lo, hi = max(int(starts[d]), a - most), min(int(starts[d + 1]), a + n + (2 if n <= PIECE else 3) * most)
             if hi - lo < n - most or np.isin(h, flat[lo:hi]).sum() < n - most:
                 continue
             seen = a + most // 2  # starts this near lie in the window that is read here

@@ -75,6 +75,32 @@ def test_recall_at_the_limit():
             assert found >= 0.95 * len(items), (lo, hi, crowded, found)
 
 
+def test_long_items_are_planned_at_once():
+    """Items of thousands of words go by pieces; edits may be spread, or crowd into all pieces but one."""
+    import time
+
+    r = random.Random(9)
+    items = [[f"w{r.randrange(10**6)}" for _ in range(n)] for n in (93, 200, 500, 1000, 2000, 10_000)]
+    d.walks_of.cache_clear()
+    began = time.perf_counter()
+    block = d.Block([(k, d.word_hashes(" ".join(t))) for k, t in enumerate(items)])
+    assert time.perf_counter() - began < 10  # 2 s where nothing else runs
+    for k, t in enumerate(items[:5]):
+        n = d.allowed(len(t))
+        for near in (t, vary(r, t, n), vary(r, t[: len(t) // 2], n) + t[len(t) // 2 :]):
+            text = " ".join([f"x{r.randrange(99)}" for _ in range(300)] + near + ["y"] * 50)
+            assert [m[0] for m in block.matches([text])[0]] == [k]
+        assert block.matches([" ".join(t[: len(t) // 2])])[0] == []
+    assert [m[:2] for m in block.matches([" ".join(items[5])])[0]] == [(5, 0)]
+
+
+def test_an_unmet_target_fails():
+    import pytest
+
+    with pytest.raises(ValueError, match="walks find"):
+        d.Block([(1, d.word_hashes("a b c d e f g h i j"))], target=1.01)
+
+
 def test_starts_that_are_left_out_hold_nothing():
     """Every window within the limit has enough of its item's runs, whatever the edits."""
     r = random.Random(8)
