@@ -5,14 +5,15 @@ archives are gzip files of WARC/1.1 records, written by Spark's text writer, so
 to will do; records are parsed by their Content-Length, so payloads may hold anything. The reader takes
 whole files of bounded size (the writer cuts them by bytes) and also understands archives made elsewhere.
 
-Transactions: request and metadata records name the record that they belong to in WARC-Concurrent-To. Each
-is joined to the response or revisit with that id; one that names a request or metadata record is joined
-through it (one step further). Every capture gives one nested row.
+Transactions: records name others of their transaction in WARC-Concurrent-To, which may stand on either of the two, and more
+than once. A request or metadata record that names a response or revisit, or is named by one, belongs to it; one that does neither
+belongs to what the records belong to that it is linked with by other requests and metadata, however many. Every capture gives one nested row.
 
 Defined cases: a null payload counts as empty; a page without a key is a response, named by its payload, whose
 metadata names no page; a capture without request or metadata has null or an empty list there; of several
-requests that name one capture the one with the smallest record id is nested; records that lead to no response or
-revisit give no row; unknown record types are ignored; no pages give no rows.
+requests of one capture the one with the smallest record id is nested; a record of several captures is nested in each; records
+that lead to no response or revisit give no row; unknown record types are ignored; a record whose length is no number, or
+that ends too early, and the rest of a broken gzip file are skipped and give a row of type ``malformed``, which tells what is lost; no pages give no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from orrery.llm.components import components
 from orrery.llm.shared import folder, saved
 
 #: Payloads from this many bytes on are stored once; archive files hold about FILE_BYTES before compression.
@@ -78,7 +80,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1200)))).text(path)
 
 
-RECORD = "type string, id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>"
+#: ``links`` has all records that a record names as concurrent, ``concurrent_to`` the first; ``fields`` the first value of each field.
+RECORD = "type string, id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary, fields map<string,string>, links array<string>"
 
 
 class _Stream:
@@ -86,7 +89,7 @@ class _Stream:
 
     def __init__(self, data: bytes, step: int = 1 << 20):
         self.source, self.at, self.step, self.member, self.held = memoryview(data), 0, step, None, bytearray()
-        self.packed = data[:2] == b"\x1f\x8b"
+        self.packed, self.broken = data[:2] == b"\x1f\x8b", False
 
     def more(self) -> bool:
         import zlib
@@ -99,7 +102,11 @@ class _Stream:
             self.at += len(part)
             return True
         self.member = self.member or zlib.decompressobj(31)
-        self.held += self.member.decompress(part)
+        try:
+            self.held += self.member.decompress(part)
+        except zlib.error:
+            self.at, self.broken = len(self.source), True
+            return False
         self.at += len(part) - len(self.member.unused_data)
         if self.member.eof:  # one member for each record in many archives, one for the file in ours
             self.member = None
@@ -128,21 +135,29 @@ def _parse(data: bytes) -> Iterator[tuple]:
         stream.take(at)
         if (end := stream.find(b"\r\n\r\n")) < 0:
             return
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in stream.take(end + 4)[:-4].decode("utf-8", "replace").split("\r\n")[1:])}
-        block = stream.take(int(fields.get("content-length", "0")))
+        every = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in stream.take(end + 4)[:-4].decode("utf-8", "replace").split("\r\n")[1:])]
+        fields = dict(reversed(every))
+        size = fields.get("content-length", "0")
+        block = stream.take(int(size)) if size.isascii() and size.isdigit() else b""
+        if str(len(block)) != (size.lstrip("0") or "0"):
+            yield "malformed", fields.get("warc-record-id", "").strip("<>") or None, None, None, None, None, b"", b"", fields, []
+            continue
         payload = block
         if "application/http" in fields.get("content-type", ""):
             payload = block.partition(b"\r\n\r\n")[2]
         bare = lambda k: fields[k].strip("<>") if k in fields else None
-        yield fields.get("warc-type"), bare("warc-record-id"), bare("warc-concurrent-to"), bare("warc-refers-to"), fields.get("warc-target-uri"), fields.get("warc-payload-digest"), block, payload, fields
+        links = [*dict.fromkeys(v.strip("<>") for k, v in every if k == "warc-concurrent-to")]
+        yield fields.get("warc-type"), bare("warc-record-id"), bare("warc-concurrent-to"), bare("warc-refers-to"), fields.get("warc-target-uri"), fields.get("warc-payload-digest"), block, payload, fields, links
+    if stream.broken:
+        yield "malformed", None, None, None, None, None, b"", b"", {}, []
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives below path. payload_bytes of a revisit is that of the payload it stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(),) * 6 + (pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string()))
-        names = ["type", "id", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload", "fields"]
+        kinds = (pa.string(),) * 6 + (pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()))
+        names = ["type", "id", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload", "fields", "links"]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
@@ -150,12 +165,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for x in batches:
             for data in x.column("content"):
                 rows, held = [], 0
-                for kind, rid, to, refers, uri, digest, block, payload, fields in _parse(data.as_py()):
+                for kind, rid, to, refers, uri, digest, block, payload, fields, links in _parse(data.as_py()):
                     n = len(payload)
                     if kind == "revisit":
                         head = block.partition(b"\r\n\r\n")[0].decode("latin-1").lower()
                         n = next((int(v) for k, _, v in (line.partition(":") for line in head.split("\r\n")) if k == "content-length"), n)
-                    rows.append((kind, rid, to, refers, uri, digest, n, payload, [*fields.items()]))
+                    rows.append((kind, rid, to, refers, uri, digest, n, payload, [*fields.items()], links))
                     held += len(payload)
                     if held > 4 << 20 or len(rows) >= 2000:
                         yield batch(rows)
@@ -169,11 +184,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row for each capture: capture, request, metadata (a list)."""
     captures = records.where("type in ('response', 'revisit')")
-    # saved, since two sides of the join below read them: archives are parsed once for these and once for captures
-    others = saved(records.where("type in ('request', 'metadata') and concurrent_to is not null"), "others")
-    # a record that names a request or a metadata record belongs to what that one names
-    via = others.select(F.col("id").alias("via"), F.col("concurrent_to").alias("further"))
-    parts = others.join(via, others["concurrent_to"] == via["via"], "left").withColumn("capture_id", F.coalesce("further", "concurrent_to"))
+    # saved, since several joins below read them: archives are parsed once for these and once for captures
+    is_other = F.col("type").isin("request", "metadata")
+    held = saved(records.where(is_other | (F.size("links") > 0)).withColumn("payload", F.when(is_other, F.col("payload"))), "others")
+    others, naming = held.where(is_other & F.col("id").isNotNull()), held.where(~is_other).select(F.col("id").alias("capture_id"), F.explode("links").alias("id"))
+    linked = others.select("*", F.explode("links").alias("capture_id")).join(others.select(F.col("id").alias("capture_id"), F.lit(True).alias("inner link")).distinct(), "capture_id", "left")
+    parts = linked.where("`inner link` is null").drop("inner link")
+    several = False
+    if not naming.isEmpty():
+        parts, several = parts.unionByName(others.join(naming.where("capture_id is not null").distinct(), "id")), True
+    inner = saved(linked.where("`inner link`").select(F.col("id").alias("a"), F.col("capture_id").alias("b")), "inner")
+    if not inner.isEmpty():
+        sets = saved(components(inner), "sets").withColumnRenamed("node", "id")
+        owned = parts.select("id", "capture_id").distinct()
+        reached = owned.join(sets, "id").select("component", "capture_id").distinct()
+        further = sets.join(owned, "id", "left_anti").join(reached, "component").select("id", "capture_id")
+        parts, several = parts.unionByName(others.join(further, "id")), True
+    if several:
+        parts = parts.dropDuplicates(["capture_id", "id"])
     record = F.struct(*(c for c in records.columns if c != "type"))
     nested = parts.groupBy("capture_id").agg(
         F.min_by(F.when(F.col("type") == "request", record), F.when(F.col("type") == "request", F.col("id"))).alias("request"),

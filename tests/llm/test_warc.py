@@ -42,6 +42,32 @@ def test_foreign_archive(spark, tmp_path):
     assert out["r2"].request is None and out["r2"].metadata == []
 
 
+def _record(kind, rid, *to, length=None, body=b"b"):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{rid}>\r\n" + "".join(f"WARC-Concurrent-To: <{t}>\r\n" for t in to) + f"Content-Length: {len(body) if length is None else length}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def test_links_in_both_directions_and_chains(spark, tmp_path):
+    data = _record("response", "r1", "q1", "m1") + _record("request", "q1") + _record("metadata", "m1") + _record("metadata", "m2", "q1") + _record("metadata", "m3", "m2") + _record("metadata", "m4", "m3")
+    data += _record("revisit", "v1", "q2") + _record("request", "q2", "v1") + _record("metadata", "m5", "r1", "v1") + _record("metadata", "m6", "m7") + _record("metadata", "m7", "m6") + _record("response", "r2")
+    (tmp_path / "a.warc").write_bytes(data)
+    out = {x.capture.id: x for x in warc.transactions(warc.read(spark, str(tmp_path))).collect()}
+    assert sorted(out) == ["r1", "r2", "v1"]
+    assert (out["r1"].request.id, sorted(m.id for m in out["r1"].metadata)) == ("q1", ["m1", "m2", "m3", "m4", "m5"])
+    assert (out["v1"].request.id, [m.id for m in out["v1"].metadata]) == ("q2", ["m5"]) and out["r2"].request is None
+    assert out["r1"].capture.links == ["q1", "m1"] and out["r1"].capture.concurrent_to == "q1"
+
+
+def test_malformed_records_are_told(spark, tmp_path):
+    good = _record("response", "r1") + _record("request", "q1", "r1")
+    (tmp_path / "a.warc").write_bytes(good + _record("metadata", "bad", "r1", length="abc") + _record("metadata", "minus", "r1", length="-4") + _record("metadata", "m1", "r1") + _record("response", "cut", length=999))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(_record("response", "r2")) + gzip.compress(_record("response", "r3") * 50)[:40] + b"\xff" * 300)
+    records = warc.read(spark, str(tmp_path))
+    assert sorted(str(r.id) for r in records.where("type = 'malformed'").collect()) == ["None", "bad", "cut", "minus"]
+    out = {x.capture.id: x for x in warc.transactions(records).collect()}
+    assert {"r1", "r2"} <= set(out) and out["r1"].request.id == "q1" and [m.id for m in out["r1"].metadata] == ["m1"]
+
+
 def test_no_pages(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string, refers_to string"), f"{tmp_path}/w")
     assert warc.transactions(warc.read(spark, f"{tmp_path}/w")).count() == 0
