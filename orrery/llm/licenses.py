@@ -14,7 +14,7 @@ notice none of whose lines holds a cue isn't found.
 
 Defined cases: null and empty texts have no licence; a document with several licences gets the confirmed
 one that is closest to its template, ties by probability, then name, and lists them all; candidates that no template confirms give ``unknown``;
-repeated rows and ids give one row each; an empty table gives an empty one.
+rows that share an id, and rows without one, get what their own texts hold; repeated rows give one row each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -185,10 +185,10 @@ def find(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -
 
 def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, license, probability, similarity, licenses, n_candidates) for each row; license is null where no line has a cue."""
-    found = find(df, model, key, text)
+    digest = "text digest"  # what a text holds depends on nothing else, so rows find it by this, whatever their ids
+    found = find(df.select(F.md5(text).alias(digest), F.col(text)), model, digest, text)
     sure = F.when(F.col("confirmed"), F.struct(F.col("similarity").alias("s"), F.col("probability").alias("p"), F.col("family").alias("family")))
-    by = found.groupBy(key).agg(F.max(sure).alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("licenses"), F.count_if(F.col("n_lines") == 1).alias("n_candidates"))
-    by = by.withColumnRenamed(key, "found key")
-    out = df.select(key).join(by, F.col(key) == F.col("found key"), "left")
+    by = found.groupBy(digest).agg(F.max(sure).alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("licenses"), F.count_distinct(F.when(F.col("n_lines") == 1, F.col("at"))).alias("n_candidates"))
+    out = df.select(key, F.md5(text).alias(digest)).join(by, digest, "left")
     license = F.when(F.col("best").isNotNull(), F.col("best.family")).when(F.col("n_candidates") > 0, F.lit(UNKNOWN))
     return out.select(key, license.alias("license"), F.col("best.p").alias("probability"), F.col("best.s").alias("similarity"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"), F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"))

@@ -58,3 +58,10 @@ def test_wrapped_notices(spark):
     print({k: (f, out[k]) for k, f in true.items() if out[k] != f}, model.threshold, model.slope, model.offset)
     assert sum(out[k] == f for k, f in true.items()) >= 0.95 * len(true)
     assert all(out[1000 + k] == licenses.UNKNOWN for k in range(20))
+
+
+def test_rows_are_told_apart_by_their_texts(spark):
+    rows = [(None, "prose first\nReleased under the MIT License."), (1, "Released under the MIT License."), (1, "plain prose"), (1, "Released under the MIT License."), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = licenses.scan(docs, licenses.train(docs)).collect()
+    assert sorted((str(r.doc_id), str(r.license), r.n_candidates) for r in out) == [("1", "MIT", 1), ("1", "MIT", 1), ("1", "None", 0), ("None", "MIT", 1), ("None", "None", 0)]
