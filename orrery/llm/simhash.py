@@ -288,8 +288,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(key, component_id) for each row: the components of the links between texts whose sets of shingles are ``least`` similar.
 
-    Equal sets form one class before links are sought, empty ones too; rows whose id is null get no component.
+    Equal sets form one class before links are sought, empty ones too; rows whose id is null get no component. Rows that share an id have each the component of their own text.
     """
+    return _grouped(df, text, key, words, least).select(key, "component_id")
+
+
+def copies(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """(key, digest, n_rows, kept) for each id and text (by its MD5): whether it is the one of its component that stays, the smallest id, then digest. Rows without an id aren't listed."""
+    rows = _grouped(df, text, key, words, least).where(F.col(key).isNotNull()).groupBy(key, "digest", "component").agg(F.count("*").alias("n_rows"))
+    rows = saved(rows, "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(key, "digest")).alias("first"))
+    return rows.join(saved(first, "first"), "component").select(key, "digest", "n_rows", (F.struct(key, "digest") == F.col("first")).alias("kept"))
+
+
+def _grouped(df: DataFrame, text: str, key: str, words: int, least: float) -> DataFrame:
+    """(key, digest, component, component_id) for each row."""
     lanes = [f"f{k}" for k in range(LANES)]
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,23 +311,25 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words
         for x in slices(batches, text):
             sets = [_distinct(t, words) for t in x.column(text).to_pylist()]
             found = [pa.array(np.array([_majority(_lane(s, k)) for s in sets], np.uint64).view(np.int64)) for k in range(LANES)]
-            yield pa.RecordBatch.from_arrays([x.column(key), pa.array(map(_same, sets), pa.binary()), *found], names=[key, "same", *lanes])
+            yield pa.RecordBatch.from_arrays([x.column(key), x.column("digest"), pa.array(map(_same, sets), pa.binary()), *found], names=[key, "digest", "same", *lanes])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches, text, most=1 << 20):
             sets = [_distinct(t, words) for t in x.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([x.column("node"), pa.array(map(_same, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "same", "shingles"])
-
-    kinds = T.StructType([df.schema[key], T.StructField("same", T.BinaryType()), *(T.StructField(f, T.LongType()) for f in lanes)])
-    prints = saved(df.select(key, text).mapInArrow(printed, kinds), "fingerprints")
-    classes = saved(prints.groupBy("same").agg(F.min(key).cast("long").alias("node"), *(F.min(f).alias(f) for f in lanes)), "classes")
-    nodes = classes.where("node is not null")
+            yield pa.RecordBatch.from_arrays([x.column("least"), pa.array(map(_same, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["least", "same", "shingles"])
+
+    kinds = T.StructType([df.schema[key], T.StructField("digest", T.StringType()), T.StructField("same", T.BinaryType()), *(T.StructField(f, T.LongType()) for f in lanes)])
+    prints = saved(df.select(key, F.md5(F.coalesce(text, F.lit(""))).alias("digest"), text).mapInArrow(printed, kinds), "fingerprints")
+    # several classes may have the same smallest id, so each has a number of its own
+    classes = prints.groupBy("same").agg(F.min(key).cast("long").alias("least"), *(F.min(f).alias(f) for f in lanes))
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = classes.where("least is not null")
     pairs = saved(_candidates(nodes.select("node", *lanes), *bands(nodes.count(), least)), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = df.select(F.col(key).cast("long").alias("node"), F.col(text)).join(ends.hint("shuffle_hash"), "node")
-    sets = texts.mapInArrow(listed, "node long, same binary, shingles binary")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "least"), "node").select("least").distinct()
+    texts = df.select(F.col(key).cast("long").alias("least"), F.col(text)).join(ends.hint("shuffle_hash"), "least")
+    sets = texts.mapInArrow(listed, "least long, same binary, shingles binary")
     # an id that has several texts names the class of one of them at least, and may name more
-    sets = saved(sets.join(nodes.select("node", "same"), ["node", "same"]).dropDuplicates(["node", "same"]).select("node", "shingles"), "sets")
+    sets = saved(sets.join(nodes.select("node", "least", "same"), ["least", "same"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
     nearest = both.groupBy("a").agg(F.min(F.struct("apart", F.xxhash64("a", "b").alias("h"), "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
     first = saved(_verified(nearest, sets, least), "links")
@@ -323,5 +338,6 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words
     apart = pairs.join(nearest, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
     apart = apart.where(F.coalesce("a part", "a") != F.coalesce("b part", "b")).select("a", "b")
     links = first.unionByName(saved(_verified(saved(apart, "apart"), sets, least), "links"))
-    named = classes.join(components(links), "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(saved(named, "named"), "same").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    named = saved(classes.join(components(links), "node", "left").select("same", "least", F.coalesce("component", "node").alias("component")), "named")
+    named = named.join(saved(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest"), "component")
+    return prints.join(saved(named, "named"), "same").select(key, "digest", "component", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))

@@ -71,6 +71,17 @@ def test_near_copies_against_brute_force(spark):
     assert len(low) > 500 and missed <= 0.02 * len(low) and len(kept - true) <= 0.02 * (len(texts) - len(true))
 
 
+def test_shared_and_missing_ids_keep_every_unique_text(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"{c}{r.randrange(10**6)}" for _ in range(60)) for c in "azby"]
+    rows = [(1, texts[0]), (5, texts[0] + " tail"), (5, texts[1]), (None, texts[2]), (None, texts[0]), (7, texts[3]), (7, texts[3]), (7, texts[3] + " end"), (8, texts[3]), (9, ""), (9, None), (10, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(((x.doc_id is None, x.doc_id or 0, x.text or "") for x in corpus_pipeline.simhash_dedup(spark, docs, SF).collect()))
+    sevens = [t for i, _, t in [(k[1], 0, k[2]) for k in kept] if i == 7]
+    assert len(sevens) == 1 and sevens[0].startswith(texts[3])
+    assert [k for k in kept if k[1] != 7] == [(False, 1, texts[0]), (False, 5, texts[1]), (False, 9, ""), (True, 0, texts[0]), (True, 0, texts[2])]
+
+
 def test_exact_links(spark):
     import numpy as np
 
