@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from orrery.config import RagConfig
 from orrery.functions import text
 from orrery.operators import browse, chunking, evaluation, hierarchy, index
 from orrery.plans.base import query, table
@@ -372,10 +373,39 @@ def s17_seed(spark, sf):
 
 @query()
 def p2_p7_chunks(spark, sf):
-    """(doc_id, n_chunks, n_chars, kinds) of whole documents cut by structure; tests compare the parser and splitter with literal cases."""
-    d = chunking.drafts(chunking.blocks(table(spark, sf, "documents").select("doc_id", "text"))).select("doc_id", "drafts")
-    length = F.aggregate("drafts", F.lit(0), lambda s, x: s + F.length(x["content"]))
-    return d.select("doc_id", F.size("drafts").alias("n_chunks"), length.alias("n_chars"), F.array_join(F.array_sort(F.array_distinct("drafts.chunk_type")), ",").alias("kinds"))
+    """(doc_id, n_chunks, n_chars, kinds) of whole documents cut by structure; tests compare the parser and splitter with plain ones."""
+    rows = chunking.draft_rows(chunking.block_rows(table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
+    kinds = F.array_join(F.array_sort(F.collect_set("chunk_type")), ",").alias("kinds")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"), kinds)
+
+
+def handbooks(spark, sf):
+    """(document_id, text): a Markdown document for each region, with a section for each nation and a table of its suppliers."""
+    row = F.concat(F.lit("| "), "s_name", F.lit(" | "), "s_suppkey", F.lit(" |"))
+    tables = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.struct("s_suppkey", row.alias("row")).alias("r")).groupBy("n_nationkey").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    body = F.concat(F.lit("| supplier | key |\n| --- | --- |\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"))
+    part = F.concat(F.lit("## "), "n_name", F.lit("\n\n"), body)
+    parts = table(spark, sf, "nation").join(tables, "n_nationkey").select("n_regionkey", F.struct("n_nationkey", part.alias("part")).alias("p"))
+    docs = parts.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("p")).alias("ps")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return docs.select(F.col("n_regionkey").alias("document_id"), F.concat(F.lit("# "), "r_name", F.lit("\n\n"), F.array_join(F.transform("ps", lambda p: p["part"]), "\n\n")).alias("text"))
+
+
+SECTIONS = """(select n_regionkey as document_id, r_name, n_name, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) as k, body from nation join region on n_regionkey = r_regionkey
+    join (select s_nationkey, '| supplier | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || s_name || ' | ' || s_suppkey || ' |', chr(10) order by s_suppkey) as body from supplier group by s_nationkey) on s_nationkey = n_nationkey)"""
+
+
+@query(f"""select document_id, 0 as place, 'heading' as kind, 1 as level, r_name as text from {SECTIONS} where k = 1
+    union all select document_id, 2 * k - 1, 'heading', 2, n_name from {SECTIONS} union all select document_id, 2 * k, 'table', null, body from {SECTIONS}""")
+def p2_markdown_blocks(spark, sf):
+    rows = chunking.block_rows(handbooks(spark, sf))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("block_no")) - 1
+    return rows.select("document_id", place.alias("place"), "kind", "level", "text")
+
+
+@query(f"select document_id, k as seq_no, r_name || ' > ' || n_name as section_path, 'mixed' as chunk_type, n_name || chr(10) || chr(10) || body as content from {SECTIONS}")
+def p4_section_chunks(spark, sf):
+    rows = chunking.draft_rows(chunking.block_rows(handbooks(spark, sf)), config=RagConfig(chunk_size=10**9))
+    return rows.select("document_id", "seq_no", "section_path", "chunk_type", "content")
 
 
 @query("""with f as (select doc_id from labels where quality = 1) select cast(e.vec_id as varchar) as document_id, 'old' as kind from embeddings e where vec_id not in (select doc_id from f) union all select cast(doc_id as varchar), 'new' from f""")

@@ -132,20 +132,22 @@ Intro text.
 
 
 def test_markdown(spark):
-    kinds = [(b["kind"], b["level"]) for b in chunking.markdown_blocks(MANUAL)]
+    docs = spark.createDataFrame([("d1", MANUAL), ("d2", None)], "document_id string, text string")
+    kinds = [(b.kind, b.level) for b in chunking.block_rows(docs).orderBy("block_no").collect()]
     assert kinds == [("heading", 1), ("paragraph", None), ("heading", 2), ("list", None), ("heading", 2), ("table", None), ("code", None)]
-    df = chunking.drafts(chunking.blocks(spark.createDataFrame([("d1", MANUAL), ("d2", None)], "document_id string, text string")))
+    df = chunking.drafts(docs)
+    assert {r.document_id: len(r.drafts) for r in df.collect()} == {"d1": 3, "d2": 0}
     rows = index.payload(df.select("document_id", "drafts")).orderBy("document_id", "seq_no").collect()
     assert [(r.seq_no, r.section_path) for r in rows] == [(1, "Handbook"), (2, "Handbook > One"), (3, "Handbook > Two")]
     assert rows[0].content.startswith("Handbook") and rows[2].chunk_type == "mixed" and rows[1].embedding_text.startswith("Handbook > One\nOne")
     assert all(r.char_count == len(r.content) for r in rows)
 
 
-def test_splitting():
+def test_splitting(spark):
     pieces = chunking.split_text("这是一句话。" * 60, 80, 20)
     assert all(len(p) <= 80 for p in pieces) and len(pieces) > 4
     table = "| h | k |\n|---|---|\n" + "\n".join(f"| row{k} | x |" for k in range(20))
-    parts = chunking.split_table(table, 60)
+    parts = spark.range(1).select(chunking.table_pieces(F.lit(table), 60).alias("x")).first().x
     assert all(p.startswith("| h | k |\n|---|---|\n") for p in parts)
     assert [r for p in parts for r in p.split("\n")[2:]] == table.split("\n")[2:]
 

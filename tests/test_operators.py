@@ -30,9 +30,10 @@ def test_identifiers_join_by_slashes(spark):
     assert spark.range(1).select(text.keywords(F.lit("call user/list or HTTP-500")).alias("x")).first().x[:2] == ["user/list", "HTTP-500"]
 
 
-def test_headings_and_tables():
-    b = chunking.markdown_blocks("## C#\ntext | with a pipe\n\n| a | b |\n|---|---|\n| 1 | 2 |\nprose | after\n")
-    assert [(x["kind"], x["text"]) for x in b] == [("heading", "C#"), ("paragraph", "text | with a pipe"), ("table", "| a | b |\n|---|---|\n| 1 | 2 |"), ("paragraph", "prose | after")]
+def test_headings_and_tables(spark):
+    text = "## C#\ntext | with a pipe\n\n| a | b |\n|---|---|\n| 1 | 2 |\nprose | after\n"
+    b = chunking.block_rows(spark.createDataFrame([("d", text)], "document_id string, text string")).orderBy("block_no").collect()
+    assert [(x.kind, x.text) for x in b] == [("heading", "C#"), ("paragraph", "text | with a pipe"), ("table", "| a | b |\n|---|---|\n| 1 | 2 |"), ("paragraph", "prose | after")]
 
 
 def test_abstain(spark):
