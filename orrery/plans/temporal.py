@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import temporal
 from orrery.plans.base import query, table
+from orrery.streaming import sessions
 
 PART_PERIODS = """(select p_partkey, timestamp '1995-01-01' + to_days(cast(p_partkey * 37 % 2400 as int)) as valid_from,
     timestamp '1995-01-01' + to_days(cast(p_partkey * 37 % 2400 + case when p_partkey % 50 = 0 then 1000 else 1 + p_partkey * 13 % 40 end as int)) as valid_to from part)"""
@@ -65,3 +66,19 @@ def j16_orders_in_terms(spark, sf):
 def j17_overlapping_periods(spark, sf):
     met = temporal.overlap_join(supplier_periods(spark, sf), part_periods(spark, sf), ("term_from", "term_to"), ("valid_from", "valid_to"))
     return met.groupBy("s_suppkey").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first_part"))
+
+
+@query("""select cast(conv_id as varchar) as session, coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '') as message, count(*) as n_events, max(turn) + 1 - count(*) as n_missing,
+    1000 * (min(turn) filter (where role = 'assistant') - min(turn)) as ttft_ms, cast(null as bigint) as thinking_ms, 'cancelled' as outcome from conversations group by conv_id""")
+def t1_session_messages(spark, sf):
+    kind = F.when(F.col("role") == "assistant", "delta").otherwise("meta")
+    at = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, cast(turn as int))")
+    c = table(spark, sf, "conversations")
+    return sessions.sessions_batch(c.select(F.col("conv_id").cast("string").alias("session"), (F.col("turn") + 1).alias("seq"), kind.alias("type"), F.col("text").alias("payload"), at.alias("ts")))
+
+
+@query("""with e as (select user_id, ts, cast(json_extract_string(props, '$.k') as bigint) as tokens, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end as opens from events),
+    s as (select *, sum(opens) over (partition by user_id order by ts) as n from e) select user_id, min(ts) as started, count(*) as n_events, cast(sum(tokens) as bigint) as total_tokens from s group by user_id, n""")
+def t2_user_visits(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "ts", F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    return sessions.visits(e, "12 hours")

@@ -1,12 +1,8 @@
-"""Usage events as a stream: daily totals with late data, idempotent appends, and sessions rebuilt from token events."""
+"""Usage events as a stream: daily totals with late data, and idempotent appends."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orrery.functions.measures import business_date
 
@@ -37,40 +33,3 @@ def append_facts(rows: DataFrame, path: str, checkpoint: str):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-SESSION = "session string, message string, n_events long, ttft_ms long, thinking_ms long"
-STATE = "message string, n_events long, started long, text_at long, thinking_at long"
-
-
-def sessions(rows: DataFrame, minutes: int = 15) -> DataFrame:
-    """One row for each finished session of rows (session, seq, type, payload, ts): its text, and the waits for thought and text.
-
-    A session ends with a done or error event, or when the events of all sessions have moved on by ``minutes`` without one.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, n, started, text_at, thinking_at = state.get if state.exists else ("", 0, -1, -1, -1)
-        last = max(started, text_at, thinking_at, 0)
-        done = state.hasTimedOut
-        for part in () if done else parts:
-            for r in part.sort_values("seq").itertuples():
-                at = int(pd.Timestamp(r.ts).timestamp() * 1000)
-                n, started = n + 1, at if started < 0 else started
-                if r.type == "delta":
-                    text, text_at = text + (r.payload or ""), at if text_at < 0 else text_at
-                elif r.type == "reasoning" and thinking_at < 0:
-                    thinking_at = at
-                done = done or r.type in ("done", "error")
-                last = max(last, at)
-        if not done:
-            state.update((text, n, started, text_at, thinking_at))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + minutes * 60_000)
-            return
-        state.remove()
-        wait = max(0, text_at - started) if text_at >= 0 else None
-        thought = max(0, (text_at if text_at >= 0 else last) - thinking_at) if thinking_at >= 0 and (text_at >= 0 or n) else None
-        yield pd.DataFrame({"session": [key[0]], "message": [text], "n_events": [n], "ttft_ms": pd.array([wait], "Int64"), "thinking_ms": pd.array([thought], "Int64")})
-
-    timed = rows.withWatermark("ts", f"{minutes} minutes")
-    return timed.groupBy("session").applyInPandasWithState(step, SESSION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
