@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orrery.config import RagConfig
-from orrery.operators.grounding import audit, is_refusal
+from orrery.operators.evaluation import points_matched, points_supported
+from orrery.operators.grounding import assess, audit, is_refusal
+from orrery.operators.lineage import cut
 
 #: The tool that doesn't count as another one, and a review's verdicts.
 KNOWLEDGE_TOOL = "knowledge_retrieval"
@@ -52,6 +56,32 @@ def abstain_pass(answer: Column, abstained: Column, message: str = "") -> Column
     return F.coalesce(abstained, F.lit(False)) | is_refusal(answer, message)
 
 
+def answer_run(questions: DataFrame, supplied: DataFrame, retrieve: Callable[[DataFrame], DataFrame], contents: DataFrame, config: RagConfig = RagConfig(), message: str = "") -> DataFrame:
+    """One row for each question (query_id, category, abstain_expected, points, knowledge_ids, tools), with what rollup() needs and the grounding.
+
+    ``retrieve`` gives hits (query_id, doc_id, rank, rerank_score) for the questions that are bound to knowledge; no others are searched for. Where
+    the evidence calls for abstaining, the answer is ``message``, and neither texts nor sources are gathered for it; the other
+    answers are the ``supplied`` ones (query_id, answer, latency_ms), audited against their hits' contents (doc_id, text).
+    """
+    bound = questions.where(_bound(F.col("knowledge_ids")))
+    hits = cut(retrieve(bound.select("query_id")))
+    known = assess(questions, hits, config.abstain_min_score).join(questions, "query_id")
+    is_bound = _bound(F.col("knowledge_ids"))
+    known = cut(known.withColumn("abstained", should_abstain(F.col("sufficient"), F.col("knowledge_ids"), F.col("tools"), config)).withColumn("reason", F.when(is_bound, F.col("reason"))))
+    answered = hits.join(known.where("not abstained").select("query_id"), "query_id", "left_semi").join(contents, "doc_id")
+    passages = answered.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"))
+    passages = passages.select("query_id", F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("context"), F.transform("p", lambda p: p["rank"].cast("int")).alias("sources"))
+    rows = known.join(supplied, "query_id", "left").join(passages, "query_id", "left")
+    answer = F.when(F.col("abstained"), F.lit(message)).otherwise(F.coalesce("answer", F.lit("")))
+    rows = rows.withColumn("answer", answer).withColumn("grounding", grounding_record(F.col("answer"), F.col("sources"), F.col("reason"), F.col("n_hits"), F.col("best_score"), F.col("abstained"), config))
+    m = citation_metrics(F.col("answer"), F.col("sources"))
+    return rows.select(
+        "query_id", "category", "abstain_expected", "abstained", "answer", "grounding", "latency_ms", points_matched(F.col("answer"), F.col("points")).alias("correctness"),
+        points_supported(F.col("answer"), F.coalesce("context", F.lit("")), F.col("points")).alias("supported"), m["invalid"].alias("invalid"), m["has_citation"].alias("has_citation"),
+        m["uncited_claims"].alias("uncited_claims"), abstain_pass(F.col("answer"), F.col("abstained"), message).alias("abstain_pass"),
+    )
+
+
 def rollup(answers: DataFrame) -> DataFrame:
     """Means and sums of (category, correctness, supported, invalid, has_citation, abstain_expected, abstained, abstain_pass, latency_ms, uncited_claims), overall (category null) and by category, in one pass.
 

@@ -33,7 +33,7 @@ def descendants(tree: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def paths(tree: DataFrame) -> DataFrame:
-    """(id, path, depth): the names from a node's root to it. Nodes whose parent is missing are roots; nodes on a cycle don't appear."""
+    """(id, path, depth): the names from a node's root to it. Nodes whose parent is missing are roots; nodes on a cycle, and below one, don't appear: see :func:`cycles`."""
     tree = cut(tree.select("id", "parent_id", "name"))
     rows = tree.join(tree.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
     level = cut(rows)
@@ -45,6 +45,46 @@ def paths(tree: DataFrame) -> DataFrame:
     return found
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """(id, cycle) for the nodes of edges (id, parent_id) that lie on a cycle: the strongly connected components of more than one node, and nodes that are their own parents, named by their smallest node.
+
+    Nodes that nothing leads to, or that lead nowhere, are trimmed first, level by level. Of what is left every node takes the
+    largest node that reaches it; those that this node reaches back, among the ones that took it, are its component. That
+    goes on without the components found. Each step is a join, and a table of its own; steps grow with the depth of the graph.
+    """
+    edges = cut(edges.where("id is not null and parent_id is not null").select("id", "parent_id").distinct())
+    found = edges.where("id = parent_id").select("id", F.col("id").alias("cycle"))
+    rest = cut(edges.where("id <> parent_id"))
+    while not rest.isEmpty():
+        n = -1
+        while n != (n := rest.count()):  # trim
+            inner = rest.join(rest.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi")
+            rest = cut(inner.join(rest.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("id", "parent_id"))
+        if not n:
+            break
+        nodes = rest.select("id").union(rest.select("parent_id")).distinct()
+        colour, moved = cut(nodes.select("id", F.col("id").alias("colour"))), True
+        while moved:
+            up = rest.join(colour, "id").select(F.col("parent_id").alias("id"), "colour")
+            wider = cut(colour.unionAll(up).groupBy("id").agg(F.max("colour").alias("colour")))
+            moved = not wider.join(colour, ["id", "colour"], "left_anti").isEmpty()
+            colour = wider
+        # against the edges, from each node that kept its own colour, within the colour
+        back = rest.join(colour.withColumnRenamed("colour", "own"), "id").join(colour.select(F.col("id").alias("parent_id"), "colour"), "parent_id").where("own = colour").select("id", "parent_id", "colour")
+        level = cut(colour.where("id = colour"))
+        members = level
+        while not level.isEmpty():
+            further = back.join(level.select(F.col("id").alias("parent_id"), "colour"), ["parent_id", "colour"]).select("id", "colour").distinct()
+            level = cut(further.join(members, ["id", "colour"], "left_anti"))
+            members = members.unionAll(level)
+        members = cut(members)
+        sizes = members.groupBy("colour").agg(F.count("*").alias("n"), F.min("id").alias("cycle")).where("n > 1")
+        found = found.unionAll(members.join(sizes, "colour").select("id", "cycle"))
+        gone = members.select("id")
+        rest = cut(rest.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "parent_id"), "parent_id", "left_anti").select("id", "parent_id"))
+    return found.groupBy("id").agg(F.min("cycle").alias("cycle"))
+
+
 def ordered(tree: DataFrame) -> DataFrame:
     """(id, depth, pos) of tree (id, parent_id, name, type): depth-first, siblings by type and name; nodes whose parent is missing are roots."""
     key = F.concat_ws("\u0001", F.coalesce(F.col("type").cast("string"), F.lit("")), "name", F.col("id").cast("string"))
@@ -60,6 +100,12 @@ def effective(user_roles: DataFrame, roles: DataFrame, role_permissions: DataFra
     return reach.join(permissions.where("status = 1").select("id", "code"), "id").select("user_id", "code").distinct()
 
 
+def allowed(users: DataFrame, codes: DataFrame, required: list[str]) -> DataFrame:
+    """(user_id) of the users (user_id, is_superuser) that may act: superusers, and those that hold one at least of the required codes, as effective() gives them."""
+    held = codes.where(F.col("code").isin(required)).select("user_id").distinct()
+    return users.join(held.withColumn("held", F.lit(True)), "user_id", "left").where(F.coalesce("is_superuser", F.lit(False)) | F.col("held")).select("user_id")
+
+
 def guarded(tree: DataFrame, bound: DataFrame) -> DataFrame:
     """(id, reason): nodes that must not be deleted: built in, with children, or bound (id) to a role."""
     reasons = [

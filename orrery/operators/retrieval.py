@@ -81,9 +81,23 @@ def lexical_score(query: Column, content: Column) -> Column:
     return F.round(F.size(F.array_intersect(words(query), words(content))) / F.size(words(query)), 6)
 
 
+def parsed_results(responses: DataFrame) -> DataFrame:
+    """(query_id, pos, index, relevance_score) of a rerank service's answers (query_id, body): the items of ``results``, or of ``output.results``, in either of its shapes.
+
+    An index is a whole number and a score a number, as JSON has them: strings, booleans and fractions that stand for an index are dropped.
+    """
+    v = responses.select("query_id", F.try_parse_json("body").alias("v"))
+    at = lambda path: F.try_variant_get("v", path, "array<variant>")
+    items = v.select("query_id", F.posexplode(F.coalesce(at("$.results"), at("$.output.results"))).alias("pos", "item"))
+    kind = lambda k: F.schema_of_variant(F.try_variant_get("item", f"$.{k}", "variant"))
+    whole, number = kind("index") == "BIGINT", kind("relevance_score").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    rows = items.where(whole & number).select("query_id", "pos", F.try_variant_get("item", "$.index", "long").alias("index"), F.try_variant_get("item", "$.relevance_score", "double").alias("relevance_score"))
+    return rows
+
+
 def sanitized(results: DataFrame, n_hits: Column, threshold: float) -> DataFrame:
-    """Rerank results (query_id, pos, index, relevance_score as text) that are usable: the first of each valid index, if it reaches the threshold."""
-    valid = results.withColumn("i", F.expr("try_cast(index as int)")).withColumn("s", F.expr("try_cast(relevance_score as double)")).where(F.col("i").isNotNull() & F.col("s").isNotNull() & (F.col("i") >= 0) & (F.col("i") < n_hits))
+    """Rerank results (query_id, pos, index, relevance_score), as parsed_results() gives them, that are usable: the first of each valid index, if it reaches the threshold."""
+    valid = results.withColumn("i", F.col("index").cast("int")).withColumn("s", F.col("relevance_score").cast("double")).where(F.col("i").isNotNull() & F.col("s").isNotNull() & (F.col("i") >= 0) & (F.col("i") < n_hits))
     first = valid.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "i").orderBy("pos"))).where("n = 1")
     return first.where(F.col("s") >= threshold).select("query_id", F.col("i").alias("index"), F.col("s").alias("rerank_score"))
 
@@ -119,6 +133,18 @@ def reranked(hits: DataFrame, scores: DataFrame, top: int) -> DataFrame:
     return ranked(joined, max(1, top), F.desc("rerank_score"), F.col("rank"), out="new_rank")
 
 
+def sources(hits: DataFrame, start: int = 0, snippet: int = 200) -> DataFrame:
+    """The source rows of hits (query_id, rank, and what is known of the fields below), numbered as context() numbers them after ``start`` others."""
+    known = lambda c, kind: (F.col(c) if c in hits.columns else F.lit(None)).cast(kind)
+    named = lambda c: F.coalesce(known(c, "string"), F.lit("")).alias(c)
+    text = known("content" if "content" in hits.columns else "text", "string")
+    return hits.select(
+        "query_id", (F.col("rank") + start).alias("index"), F.lit("knowledge").alias("type"), known("chunk_id", "string").alias("chunk_id"), known("document_id", "string").alias("document_id"), named("document_name"),
+        known("knowledge_base_id", "string").alias("knowledge_base_id"), named("knowledge_base_name"), known("seq_no", "int").alias("seq_no"), known("score", "double").alias("score"), known("file_id", "string").alias("file_id"),
+        F.substring(F.coalesce(text, F.lit("")), 1, snippet).alias("content"),
+    )
+
+
 def context(hits: DataFrame, content: str = "text", name: str = "document_name") -> DataFrame:
     """(query_id, context): numbered passages in rank order."""
     line = F.concat(F.lit("["), F.col("rank"), F.lit("]（来源："), F.coalesce(F.nullif(name, F.lit("")), F.lit("未知文档")), F.lit("）"), F.col(content))

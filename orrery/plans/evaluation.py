@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from orrery.functions import text
-from orrery.operators import answers, evaluation, grounding, reports, retrieval, steps
+from orrery.operators import answers, contracts, conversations, evaluation, grounding, reports, retrieval, steps
 from orrery.plans.base import query, table
 
 #: Hits of a question: documents that hold its text come with others of the same source, longest first.
@@ -204,20 +204,18 @@ def c7_step_anchors(spark, sf):
 @query("""select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as n from conversations where role <> 'system') where n <= 4""")
 def w6_history(spark, sf):
     c = table(spark, sf, "conversations").where("role <> 'system'")
-    return retrieval.ranked(c, 4, F.desc("turn"), by="conv_id").select("conv_id", "turn", "role")
+    return conversations.history(c, 2).select("conv_id", "turn", "role")
 
 
 @query("""select conv_id, string_agg(case role when 'user' then '用户' when 'assistant' then '助手' else role end || ': ' || text, chr(10) order by turn) as history from conversations where text <> '' group by conv_id""")
 def x11_history_text(spark, sf):
-    role = F.when(F.col("role") == "user", "用户").when(F.col("role") == "assistant", "助手").otherwise(F.col("role"))
-    rows = table(spark, sf, "conversations").where("text <> ''").select("conv_id", F.struct("turn", F.concat(role, F.lit(": "), F.col("text")).alias("line")).alias("m"))
-    return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m")).select("conv_id", F.array_join(F.transform("m", lambda m: m["line"]), "\n").alias("history"))
+    return conversations.history_text(table(spark, sf, "conversations"))
 
 
 @query("select conv_id, turn, row_number() over (partition by conv_id order by turn) + 5 as idx from conversations where role = 'assistant'")
 def w9_citation_numbers(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) + 5).alias("idx"))
+    return conversations.citation_numbers(c, "conv_id", "turn", start=5).select("conv_id", "turn", "idx")
 
 
 @query("""select user_id, min(ts) filter (where event_type = 'click') as first_click, greatest(0, date_sub('second', min(ts), min(ts) filter (where event_type = 'click'))) as ttft_s from events group by user_id""")
@@ -326,3 +324,46 @@ def c5_reasoning_segments(spark, sf):
     """(conv_id, turn, start, end): the segments of every message; tests compare them with literal cases."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(steps.reasoning_segments(F.col("text"))).alias("s"))
     return c.select("conv_id", "turn", "s.start", "s.end")
+
+
+@query("""with m as (select conv_id, turn, string_split(text, chr(10))[1] as r from conversations where role = 'assistant' and text is not null),
+    p as (select conv_id, turn, length(r) as n, least(greatest(turn * 9 - 3, 0), length(r)) as pl, trim(r) <> '' as thought from m),
+    e as (select conv_id, turn, pl, 0 as o, 'act' as step_id, 'tool' as kind, cast(null as int) as "start", cast(null as int) as "end" from p where turn % 2 = 1
+        union all select conv_id, turn, 0, 1, 'reasoning-0', 'thinking', 0, case when turn % 2 = 1 and pl > 0 and pl < n then pl else n end from p where thought
+        union all select conv_id, turn, pl, 1, 'reasoning-' || pl, 'thinking', pl, n from p where thought and turn % 2 = 1 and pl > 0 and pl < n)
+    select conv_id * 1000 + turn as message_id, row_number() over (partition by conv_id, turn order by pl, o, step_id) - 1 as pos, step_id, kind, "start", "end" from e""")
+def k11_timelines(spark, sf):
+    """Reasoning is each answer's first line, an action falls into every second one."""
+    c = table(spark, sf, "conversations").where("text is not null")
+    step = F.struct(F.lit("act").alias("step_id"), F.lit("tool").alias("kind"), (F.col("turn") * 9 - 3).cast("int").alias("reasoning_offset"))
+    acts = F.when(F.col("turn") % 2 == 1, F.array(step))
+    return conversations.timelines(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "role", F.split_part("text", F.lit("\n"), F.lit(1)).alias("reasoning"), acts.alias("steps")))
+
+
+@query("""select conv_id, turn, coalesce(string_agg(h.role || ':' || h.text, '|' order by h.turn), '') as history from (select * from conversations where role = 'user') c left join lateral (select turn, role, text from (select *, row_number() over (order by turn desc) as n
+    from conversations o where o.conv_id = c.conv_id and o.turn < c.turn) where n <= 4) h on true group by conv_id, c.turn""".replace("select conv_id, turn,", "select c.conv_id as conv_id, c.turn as turn,").replace("group by conv_id, c.turn", "group by c.conv_id, c.turn"))
+def k12_history_before(spark, sf):
+    c = conversations.history_before(table(spark, sf, "conversations"), 2).where("role = 'user'")
+    return c.select("conv_id", "turn", F.array_join(F.transform("history", lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("history"))
+
+
+@query("select conv_id, turn, case turn % 4 when 0 then text when 1 then 'r' || turn when 2 then text end as reasoning from conversations where text <> ''")
+def x14_reasoning(spark, sf):
+    """From the first of four keys that is filled."""
+    c, t = table(spark, sf, "conversations").where("text <> ''"), F.col("turn") % 4
+    extras = F.to_json(F.struct(F.when(t == 0, F.col("text")).when(t == 1, "").alias("reasoning_content"), F.when(t == 1, F.concat(F.lit("r"), "turn")).alias("reasoning"), F.when(t < 2, "later").otherwise("").alias("reasoning_details"), F.when(t == 2, F.col("text")).alias("thinking")))
+    return c.select("conv_id", "turn", conversations.reasoning_of(extras).alias("reasoning"))
+
+
+REWRITES = """(select conv_id, turn, case turn % 5 when 0 then text when 1 then '那这个怎么办？' when 2 then '它的期限是多少？' when 3 then '' else '那呢？' end as q, conv_id % 3 as n, case conv_id % 4 when 0 then '改写后：退款期限是多少？' when 1 then '说明：无' when 2 then '它的期限是多少' else null end as raw from conversations)"""
+
+
+@query(f"""with s as (select *, case when trim(q) = '' or n = 0 then 'NO_CONTEXT' when turn % 5 = 0 then 'NOT_NEEDED' when conv_id % 4 in (1, 3) then 'FAILURE' when conv_id % 4 = 2 and turn % 5 = 2 then 'NOT_NEEDED' else 'MODEL' end as source from {REWRITES})
+    select conv_id * 1000 + turn as query_id, case when source = 'MODEL' then case conv_id % 4 when 0 then '退款期限是多少？' else '它的期限是多少' end else q end as rewritten_query, source = 'MODEL' as rewritten, source from s""")
+def f11_rewrites(spark, sf):
+    """Questions that point back, ones that don't, and what a model makes of them."""
+    c, t, k = table(spark, sf, "conversations"), F.col("turn") % 5, F.col("conv_id") % 4
+    q = F.when(t == 0, F.col("text")).when(t == 1, "那这个怎么办？").when(t == 2, "它的期限是多少？").when(t == 3, "").otherwise("那呢？")
+    raw = F.when(k == 0, "改写后：退款期限是多少？").when(k == 1, "说明：无").when(k == 2, "它的期限是多少")
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), q.alias("query"), (F.col("conv_id") % 3).alias("n_history"), raw.alias("raw"))
+    return contracts.rewritten(rows.drop("raw"), rows.select("query_id", "raw")).select("query_id", "rewritten_query", "rewritten", "source")

@@ -422,3 +422,30 @@ def p11_index_lifecycle(spark, sf):
 @query("select vec_id, label from embeddings where label <> 3 or label is null")
 def s10_delete_by_payload(spark, sf):
     return index.delete(table(spark, sf, "embeddings"), "label", 3).select("vec_id", "label")
+
+
+EDGES = """(select s_suppkey as id, case s_suppkey % 10 when 3 then s_suppkey + 4 when 7 then s_suppkey - 4 when 5 then s_suppkey when 0 then null else s_suppkey - 1 end as parent_id from supplier)"""
+
+
+@query(f"""with recursive e as (select id, parent_id from {EDGES} where parent_id is not null), r(a, b) as (select id, parent_id from e union select r.a, e.parent_id from r join e on r.b = e.id)
+    select x.a as id, min(x.b) as cycle from r x join r y on x.a = y.b and x.b = y.a group by x.a""")
+def h7_cycles(spark, sf):
+    k = F.col("s_suppkey")
+    parent = F.when(k % 10 == 3, k + 4).when(k % 10 == 7, k - 4).when(k % 10 == 5, k).when(k % 10 != 0, k - 1)
+    return hierarchy.cycles(table(spark, sf, "supplier").select(k.alias("id"), parent.alias("parent_id")))
+
+
+@query("select c_custkey from customer where c_custkey % 97 = 0 or c_mktsegment = 'BUILDING' or (c_acctbal > 0 and c_nationkey in (1, 2, 3))")
+def f10_superusers(spark, sf):
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "user_id")
+    codes = c.select("user_id", F.col("c_mktsegment").alias("code")).unionAll(c.where("c_acctbal > 0").select("user_id", F.col("c_nationkey").cast("string")))
+    users = c.select("user_id", (F.col("user_id") % 97 == 0).alias("is_superuser"))
+    return hierarchy.allowed(users, codes, ["BUILDING", "1", "2", "3"]).withColumnRenamed("user_id", "c_custkey")
+
+
+@query("""select doc_id, vec, kind from (select vec_id as doc_id, vec_id as vec, 'old' as kind from embeddings where vec_id not in (select doc_id from labels where quality = 1)) union all select doc_id, doc_id * 10, 'new' from labels where quality = 1""")
+def s9_upsert(spark, sf):
+    """Points of documents that come again are replaced, all of them; the others stay."""
+    old = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("vec"), F.lit("old").alias("kind"))
+    fresh = table(spark, sf, "labels").where("quality = 1").select("doc_id", (F.col("doc_id") * 10).alias("vec"), F.lit("new").alias("kind"))
+    return index.replace(old, fresh, "doc_id")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from orrery.config import RagConfig
 from orrery.functions import text
 from orrery.functions.measures import cosine
-from orrery.operators import retrieval, rewrite
+from orrery.operators import contracts, retrieval, rewrite
 from orrery.plans.base import query, table
 
 TERMS = [(0, "the"), (0, "ing"), (50, "und"), (50, "sch"), (100, "ent"), (100, "que")]
@@ -176,3 +176,49 @@ def f11_rewrite_gate(spark, sf):
 def x10_sanitized_rewrite(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
     return c.select("conv_id", "turn", rewrite.sanitized(F.col("text"), F.lit("a statement")).alias("line"))
+
+
+BODIES = """(select doc_id, doc_id % 4 as n_hits, n_chars % 10 / 10.0e0 as score from documents)"""
+
+
+@query(f"""select doc_id as query_id, cast(i as int) as index, s as rerank_score from (
+    select doc_id, n_hits, unnest([0, 2, 0, 9]) as i, unnest([score, 0.9, 0.95, 1.0]) as s, unnest([0, 1, 2, 3]) as pos from {BODIES}) where i < n_hits and pos < 2 and s >= 0.3""")
+def f14_rerank_results(spark, sf):
+    """Answers in both shapes, with strings and booleans where numbers belong, an index that comes twice and one beyond the hits."""
+    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("n_hits"), (F.col("n_chars") % 10 / 10).alias("score"))
+    items = F.concat(F.lit('[{"index": 0, "relevance_score": '), F.col("score").cast("string"), F.lit('}, {"index": "1", "relevance_score": 0.8}, {"index": 2, "relevance_score": 0.9}, {"index": 0, "relevance_score": 0.95}, {"index": true, "relevance_score": 1}, {"index": 1, "relevance_score": "0.7"}, {"index": 1.5, "relevance_score": 0.7}, {"index": 9, "relevance_score": 1}, 7]'))
+    flat, nested = F.concat(F.lit('{"results": '), items, F.lit("}")), F.concat(F.lit('{"output": {"results": '), items, F.lit("}}"))
+    body = F.when(F.col("doc_id") % 3 == 0, flat).otherwise(nested)
+    results = retrieval.parsed_results(d.select(F.col("doc_id").alias("query_id"), body.alias("body"))).join(d.select(F.col("doc_id").alias("query_id"), "n_hits"), "query_id")
+    return retrieval.sanitized(results, F.col("n_hits"), 0.3)
+
+
+@query(f"""select query_id, 10 + rank as index, 'knowledge' as type, cast(doc_id as varchar) as document_id, coalesce(source, '') as document_name, lang as knowledge_base_id, '' as knowledge_base_name, cast(null as int) as seq_no,
+    cast(match_count as double) as score, substr(text, 1, 200) as content from {KEYWORD} k join documents d using (doc_id)""")
+def r13_source_rows(spark, sf):
+    docs = table(spark, sf, "documents")
+    top = retrieval.keyword_top(docs, _terms(spark), 8).join(docs, "doc_id").withColumnRenamed("source", "document_name").withColumnRenamed("lang", "knowledge_base_id").withColumnRenamed("match_count", "score").withColumnRenamed("doc_id", "document_id")
+    return retrieval.sources(top, 10).drop("chunk_id", "file_id")
+
+
+@query("""with t as (select item_id, text as t, regexp_replace(text, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+', ' ', 'g') as r from benchmark),
+    u as (select item_id, list_concat(regexp_extract_all(t, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+'), regexp_extract_all(r, '[A-Za-z]{2,}'), regexp_extract_all(r, '[0-9]{2,}')) as l from t),
+    v as (select item_id, unnest(l) as term, generate_subscripts(l, 1) as k from u),
+    f as (select item_id, term, k from (select *, row_number() over (partition by item_id, lower(term) order by k) as n from v) where n = 1)
+    select item_id, term, pos from (select item_id, term, row_number() over (partition by item_id order by k) as pos from f) where pos <= 6""")
+def u8_lateral_terms(spark, sf):
+    contracts.register(spark)
+    table(spark, sf, "benchmark").createOrReplaceTempView("asked_items")
+    return spark.sql("select item_id, t.term, cast(t.pos as long) as pos from asked_items, lateral query_terms(text, 6) t")
+
+
+@query("""with r as (select lang, doc_id, length(text) as n, row_number() over (partition by lang order by length(text) desc, doc_id) as rank from documents where text is not null),
+    s as (select *, sum(n) over (partition by lang order by rank) as used from r) select 0 as one, lang, doc_id, rank as n, cast(used as bigint) as used from s where rank = 1 or used <= 60000""")
+def u9_context_budget(spark, sf):
+    contracts.register(spark)
+    d = table(spark, sf, "documents").where("text is not null")
+    langs = d.select("lang").distinct().withColumn("query_id", F.xxhash64("lang"))
+    ranks = d.select("doc_id", "text", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.length("text")), "doc_id")).alias("rank"))
+    ranks.join(langs, "lang").select("query_id", "doc_id", "text", "rank").createOrReplaceTempView("ranked_hits")
+    kept = spark.sql("select query_id, doc_id, n, used from within_budget(60000, table(ranked_hits) partition by query_id order by rank)")
+    return kept.join(langs, "query_id").select(F.lit(0).cast("long").alias("one"), "lang", "doc_id", F.col("n").cast("long").alias("n"), "used")

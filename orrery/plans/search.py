@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orrery.config import RagConfig
 from orrery.functions import text
-from orrery.operators import keyword_index, retrieval, vector_index
-from orrery.operators.lineage import place
+from orrery.operators import answers, keyword_index, retrieval, vector_index
+from orrery.operators.lineage import cut, place
 from orrery.plans.base import query, table
 from orrery.plans.retrieval import VECTOR, _vectors
 
@@ -51,3 +52,61 @@ def r2_keyword_index(spark, sf):
 def w3_keyword_index(spark, sf):
     found = keyword_index.matches(table(spark, sf, "documents"), item_terms(spark, sf), words_indexed(spark, sf))
     return retrieval.ranked(found, 8, F.desc("match_count"), F.col("len"), F.col("doc_id")).select("query_id", "doc_id", "match_count", "rank")
+
+
+#: The first question of each conversation is answered by the turn after it; its terms find documents, the share of its words that these hold is their score.
+ASKED = """(select conv_id, text, conv_id % 7 as category, conv_id % 5 = 0 as abstain_expected, conv_id % 3 < 2 as bound, conv_id % 4 = 0 as web, turn from (select *, row_number() over (partition by conv_id order by turn) as n from conversations where role = 'user' and text is not null) where n = 1)"""
+ASKED_TERMS = f"""(select distinct conv_id, lower(term) as term from (
+    with t as (select conv_id, text as t, regexp_replace(text, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+', ' ', 'g') as r from {ASKED} where bound),
+    u as (select conv_id, list_concat(regexp_extract_all(t, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+'), regexp_extract_all(r, '[A-Za-z]{{2,}}'), regexp_extract_all(r, '[0-9]{{2,}}')) as l from t),
+    v as (select conv_id, unnest(l) as term, generate_subscripts(l, 1) as k from u),
+    f as (select conv_id, term, k from (select *, row_number() over (partition by conv_id, lower(term) order by k) as n from v) where n = 1)
+    select conv_id, term from (select *, row_number() over (partition by conv_id order by k) as pos from f) where pos <= 8))"""
+WORDS = "list_distinct(string_split_regex(lower(trim({})), '\\s+'))"
+RUN = f"""(with m as (select q.conv_id, d.doc_id, count(*) as n, min(length(d.text)) as len from documents d join {ASKED_TERMS} q on contains(lower(d.text), q.term) group by q.conv_id, d.doc_id),
+    k as (select conv_id, doc_id, rank from (select *, row_number() over (partition by conv_id order by n desc, len, doc_id) as rank from m) where rank <= 4),
+    h as (select k.conv_id, k.doc_id, rank, d.text, round(len(list_intersect({WORDS.format('a.text')}, {WORDS.format('d.text')}))::double / len({WORDS.format('a.text')}), 6) as score from k join documents d using (doc_id) join {ASKED} a on a.conv_id = k.conv_id),
+    g as (select conv_id, count(*) as n_hits, max(score) as best, string_agg(text, chr(10) || chr(10) order by rank) as context from h group by conv_id),
+    s as (select a.*, coalesce(n_hits, 0) as n_hits, best, coalesce(context, '') as context, n_hits is not null and best >= 0.6 as sufficient from {ASKED} a left join g on g.conv_id = a.conv_id),
+    b as (select s.*, bound and not web and not sufficient as abstained from s),
+    x as (select b.*, case when b.abstained then 'not enough is known' else coalesce(c.text || ' [' || (b.conv_id % 6) || ']', '') end as answer, list_distinct([string_split(b.text, ' ')[1], string_split(b.text, ' ')[2]]) as points from b left join conversations c on c.conv_id = b.conv_id and c.turn = b.turn + 1 and c.role = 'assistant')
+    select *, list_filter(points, lambda p: contains(answer, p)) as own from x)"""
+
+
+@query(f"""select conv_id as query_id, cast(category as varchar) as category, n_hits as hit_count, case when not bound then 'ok' when n_hits = 0 then 'no_hits' when best >= 0.6 then 'ok' else 'low_relevance' end as reason, abstained, abstained or contains(answer, 'not enough is known') as abstain_pass,
+    len(own)::double / len(points) as correctness, case when abstained then 0 when n_hits >= conv_id % 6 and conv_id % 6 > 0 or answer = '' then 0 else 1 end as n_invalid, not abstained and answer <> '' as has_citation,
+    case when len(own) = 0 then null when abstained then 0 else len(list_filter(own, lambda p: contains(context, p)))::double / len(own) end as supported from {RUN}""")
+def e13_answer_run(spark, sf):
+    rows = _answer_run(spark, sf)
+    g = F.col("grounding")
+    return rows.select("query_id", "category", g["hit_count"].alias("hit_count"), g["reason"].alias("reason"), "abstained", "abstain_pass", "correctness", F.size("invalid").alias("n_invalid"), "has_citation", "supported")
+
+
+def _answer_run(spark, sf):
+    c, docs = table(spark, sf, "conversations"), table(spark, sf, "documents").select("doc_id", "text")
+    asked = retrieval.ranked(c.where("role = 'user' and text is not null"), 1, F.col("turn"), by="conv_id")
+    asked = asked.withColumnRenamed("conv_id", "query_id").withColumnRenamed("text", "question")
+    words = F.split("question", " ", -1)
+    none, key = F.array().cast("array<string>"), F.col("query_id")
+    questions = asked.select(
+        "query_id", "turn", "question", (key % 7).cast("string").alias("category"), (key % 5 == 0).alias("abstain_expected"), F.array_compact(F.array_distinct(F.array(F.get(words, F.lit(0)), F.get(words, F.lit(1))))).alias("points"),
+        F.when(key % 3 < 2, F.array(F.lit("kb"))).otherwise(none).alias("knowledge_ids"), F.when(key % 4 == 0, F.array(F.lit("web_search"))).otherwise(none).alias("tools"),
+    )
+    questions = cut(questions)
+    following = c.where("role = 'assistant'").select(F.col("conv_id").alias("query_id"), (F.col("turn") - 1).alias("turn"), F.concat("text", F.lit(" ["), F.col("conv_id") % 6, F.lit("]")).alias("answer"), F.length("text").alias("latency_ms"))
+    supplied = questions.select("query_id", "turn").join(following, ["query_id", "turn"]).drop("turn")
+
+    def retrieve(bound):
+        own = questions.select("query_id", "question").join(bound, "query_id", "left_semi")
+        terms = own.select("query_id", F.explode(text.keywords(F.col("question"))).alias("term"))
+        top = retrieval.ranked(keyword_index.matches(docs, terms, words_indexed(spark, sf)), 4, F.desc("match_count"), F.col("len"), F.col("doc_id"))
+        hits = top.join(docs, "doc_id").join(own, "query_id")
+        return hits.select("query_id", "doc_id", "rank", retrieval.lexical_score(F.col("question"), F.col("text")).alias("rerank_score"))
+
+    return answers.answer_run(questions, supplied, retrieve, docs, RagConfig(abstain_min_score=0.6), "not enough is known")
+
+
+@query()
+def e13_answer_rollup(spark, sf):
+    """Overall and by category."""
+    return answers.rollup(_answer_run(spark, sf))

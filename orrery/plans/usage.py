@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from orrery.functions import measures, text
-from orrery.operators import browse, steps, usage
+from orrery.operators import browse, sketches, steps, usage
 from orrery.plans.base import FACTS, TOTALS, facts, money, query, table
 
 START, END = datetime(2024, 1, 10), datetime(2024, 1, 20)
@@ -195,3 +195,17 @@ def c8_step_collection(spark, sf):
 def s12_audit_rows(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("type"), F.col("value").cast("long").alias("value"))
     return browse.audit_rows(e.withColumn("value", F.floor("value")), ["type", "value"])
+
+
+@query(f"select agent, user_id, cast(usage_date as varchar) as usage_date, grouping(agent, user_id, usage_date) as set_id, {TOTALS}, count(distinct user_id) as users from {FACTS} group by grouping sets ((agent), (user_id), (usage_date), (agent, usage_date), ())")
+def g17_usage_sets(spark, sf):
+    dims = ["agent", "user_id", "usage_date"]
+    return _shown(usage.summary_sets(facts(spark, sf), dims, [["agent"], ["user_id"], ["usage_date"], ["agent", "usage_date"], []]))
+
+
+@query()
+def g18_period_sketches(spark, sf):
+    """Distinct users and median and 95th percentile of cost by week and agent, from daily sketches; tests hold them to exact values."""
+    daily = sketches.sketched(facts(spark, sf), ["usage_date", "agent"])
+    weekly = sketches.rolled_up(daily.withColumn("week", F.date_trunc("week", "usage_date").cast("date").cast("string")), ["week", "agent"])
+    return sketches.estimates(weekly, ["week", "agent"], {"p50": 0.5, "p95": 0.95})

@@ -1,5 +1,6 @@
 """Literal expectations for functions and small operators."""
 
+import json
 import uuid
 from datetime import datetime
 
@@ -65,9 +66,12 @@ def test_fusion(spark):
 
 
 def test_rerank_sanitising(spark):
-    rows = [(1, 0, "0", "0.9"), (1, 1, "7", "0.5"), (1, 2, "0", "0.8"), (1, 3, "x", "0.5"), (1, 4, "1", "junk"), (1, 5, "2", "0.1"), (1, 6, "2", "0.7")]
-    out = retrieval.sanitized(spark.createDataFrame(rows, "query_id int, pos int, index string, relevance_score string"), F.lit(3), 0.3).collect()
-    assert [(r["index"], r.rerank_score) for r in out] == [(0, 0.9)]
+    items = [(0, 0.9), (7, 0.5), (0, 0.8), ("x", 0.5), ("1", 0.5), (True, 0.5), (1, "junk"), (1, True), (2, 0.1), (2, 0.7), (1.0, 0.9), (None, 0.9)]
+    body = [{"index": i, "relevance_score": s} for i, s in items] + ["text", 3, None, {"index": 1}]
+    rows = [(1, json.dumps({"results": body})), (2, json.dumps({"output": {"results": body}})), (3, "no json"), (4, None), (5, json.dumps({"results": "x"})), (6, json.dumps({"results": [{"index": 1, "relevance_score": 1}]}))]
+    found = retrieval.parsed_results(spark.createDataFrame(rows, "query_id int, body string"))
+    out = retrieval.sanitized(found, F.lit(3), 0.3).collect()
+    assert sorted((r.query_id, r["index"], r.rerank_score) for r in out) == [(1, 0, 0.9), (2, 0, 0.9), (6, 1, 1.0)]
 
 
 def test_grounding(spark):
