@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from orrery.functions import text
 from orrery.operators import answers, contracts, conversations, evaluation, grounding, reports, retrieval, steps
+from orrery.operators.lineage import cut
 from orrery.plans.base import query, table
 
 #: Hits of a question: documents that hold its text come with others of the same source, longest first.
@@ -36,7 +37,8 @@ def _hits(spark, sf):
 
 
 def _scores(spark, sf):
-    return evaluation.retrieval_scores(_questions(spark, sf), _hits(spark, sf), [1, 5])
+    # kept as a small table, since averages, differences and gates read it more than once
+    return cut(evaluation.retrieval_scores(_questions(spark, sf), _hits(spark, sf), [1, 5]))
 
 
 def _long(spark, sf):
