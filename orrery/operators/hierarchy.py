@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from orrery.operators.lineage import cut
+from orrery.operators.lineage import cut, positions
 
 
 def _closure(start: DataFrame, step: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def ordered(tree: DataFrame) -> DataFrame:
     """(id, depth, pos) of tree (id, parent_id, name, type): depth-first, siblings by type and name; nodes whose parent is missing are roots."""
     key = F.concat_ws("\u0001", F.coalesce(F.col("type").cast("string"), F.lit("")), "name", F.col("id").cast("string"))
     laid = paths(tree.select("id", "parent_id", F.concat(key, F.lit("\u0002")).alias("name")))
-    return laid.select("id", "depth", F.row_number().over(Window.orderBy(F.replace("path", F.lit("\u0002 > "), F.lit("\u0002")))).alias("pos"))
+    return positions(laid.select("id", "depth", F.replace("path", F.lit("\u0002 > "), F.lit("\u0002")).alias("path")), "path").select("id", "depth", "pos")
 
 
 def effective(user_roles: DataFrame, roles: DataFrame, role_permissions: DataFrame, permissions: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from orrery.config import RagConfig
 from orrery.functions import text
-from orrery.operators import answers, keyword_index, retrieval, vector_index
+from orrery.operators import answers, contracts, keyword_index, retrieval, vector_index
 from orrery.operators.lineage import cut, place
 from orrery.plans.base import query, table
-from orrery.plans.retrieval import VECTOR, _vectors
+from orrery.plans.retrieval import HYBRID, VECTOR, _terms, _vectors
 
 ITEM_TERMS = """(select distinct item_id as query_id, lower(term) as term from (
     with t as (select item_id, text as t, regexp_replace(text, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+', ' ', 'g') as r from benchmark),
@@ -110,3 +110,20 @@ def _answer_run(spark, sf):
 def e13_answer_rollup(spark, sf):
     """Overall and by category."""
     return answers.rollup(_answer_run(spark, sf))
+
+
+@query(f"select query_id, doc_id, rrf_score, score, retrievers, rank from {HYBRID}")
+def r4_hybrid_indexed(spark, sf):
+    """Both retrievers by their index, plugged in as ones from outside would be."""
+    config, known, docs = RagConfig(), contracts.Retrievers(), table(spark, sf, "documents")
+
+    @known.add("vector", config.vector_weight)
+    def near(queries):
+        return vector_index.search(queries, vectors_indexed(spark, sf), config.vector_fetch_k, config.score_threshold, exact=True)
+
+    @known.add("keyword", config.keyword_weight, optional=True)
+    def worded(queries):
+        found = keyword_index.matches(docs, _terms(spark), words_indexed(spark, sf))
+        return retrieval.ranked(found, config.keyword_top_k, F.desc("match_count"), F.col("len"), F.col("doc_id"))
+
+    return known.search(_vectors(spark, sf)[0], config).select("query_id", "doc_id", "rrf_score", "score", "retrievers", "rank")

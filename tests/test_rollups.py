@@ -106,3 +106,11 @@ def test_answer_run(spark):
     assert (out[4].abstained, out[4].invalid) == (False, [3]) and out[5].answer == "" and out[5].latency_ms is None
     total = answers.rollup(spark.createDataFrame([*out.values()], answers.answer_run(questions, supplied, retrieve, contents).schema)).where(F.col("category").isNull()).first()
     assert total.abstain_accuracy == 1.0 and total.false_abstain_rate == 0.0
+
+
+def test_positions_without_one_task(spark):
+    from orrery.operators.lineage import positions
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v")).repartition(7)
+    out = positions(df, "v")
+    assert out.where("pos <> v + 1").count() == 0 and out.count() == 5000 and positions(df.limit(0), "v").count() == 0
