@@ -33,6 +33,8 @@ from orrery.llm.components import components
 from orrery.llm.shared import saved
 
 LINK, LIST, ORDERS, ROUNDS, RUN, BLOCK, FULL, ATTEMPTS, MEET = 0.95, 12, 6, 3, 96, 256, 4, 8, 0.99
+#: Centres of a block that meets a block of vectors, eight times as large.
+CENTRES = 1024
 #: The audit: so many vectors against all at first and at most, the links wanted of them, and the share of these that must be found.
 AUDIT, MOST, TRUE, RECALL = 256, 8192, 200, 0.98
 
@@ -172,30 +174,37 @@ def _round(nodes: DataFrame, graph: DataFrame, length: int, floor: float) -> Dat
 
 def _across(nodes: DataFrame, parts: DataFrame, full: DataFrame, link: float) -> DataFrame:
     """Pairs (a, b) of components, one of them with a node of ``full``, that may have a link. A node outside all parts is its own."""
-    import numpy as np
-
     dense = parts.join(parts.join(full, "node").select("component").distinct(), "component").join(nodes.select("node", "u"), "node")
     sums = dense.select("component", F.posexplode("u").alias("k", "x")).groupBy("component", "k").agg(F.avg("x").alias("x"))
     centres = saved(sums.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c")), "centres")
     gap = F.sqrt(F.aggregate(F.zip_with("u", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
-    found = dense.join(centres, "component").groupBy("component").agg(F.first("c").alias("c"), F.max(gap).alias("radius")).collect()
-    if not found:
-        return parts.selectExpr("node a", "component b").limit(0)
     # linked unit vectors are at most so far apart, so one that links with a member is no farther from its centre than that and the radius
-    reach = math.sqrt(2 - 2 * link) + np.array([r["radius"] for r in found]) + 1e-9
-    shared = nodes.sparkSession.sparkContext.broadcast((np.array([r["component"] for r in found]), np.array([r["c"] for r in found]), reach))
+    reach = F.max(gap) + math.sqrt(2 - 2 * link) + 1e-9
+    centres = saved(dense.join(centres, "component").groupBy("component").agg(F.first("c").alias("u"), reach.alias("reach")), "reach")
+    if not (n := centres.count()):
+        return parts.selectExpr("node a", "component b").limit(0)
+    # blocks of centres meet blocks of vectors; both are dealt by hash
+    blocks, salts = -(-n // CENTRES), -(-nodes.count() // (8 * CENTRES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = centres.select(dealt("component", blocks).alias("block"), every(salts).alias("salt"), F.lit(0).alias("kind"), "component", "u", "reach")
+    rows = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "u")
+    rows = left.unionAll(rows.select(every(blocks).alias("block"), dealt("node", salts).alias("salt"), F.lit(1).alias("kind"), "component", "u", F.lit(0.0).alias("reach")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, c, reach = shared.value
-        for batch in batches:
-            for x in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                v, own = _matrix(x.column("u")), x.column("component").to_numpy()
-                square = (v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (v @ c.T)
-                i, j = np.nonzero((square <= (reach * reach)[None, :] + 1e-9) & (own[:, None] != ids[None, :]))
+        import numpy as np
+
+        for g in _groups(batches, ["block", "salt"]):
+            g = g.combine_chunks()
+            kind, ids, u, far = g.column("kind").to_numpy(), g.column("component").to_numpy(), _matrix(g.column("u").combine_chunks()), g.column("reach").to_numpy()
+            k = int((kind == 0).sum())
+            for at in range(k, len(ids), 512):
+                v, own = u[at : at + 512], ids[at : at + 512]
+                square = (v * v).sum(1)[:, None] + (u[:k] * u[:k]).sum(1)[None, :] - 2 * (v @ u[:k].T)
+                i, j = np.nonzero((square <= (far[:k] * far[:k])[None, :] + 1e-9) & (own[:, None] != ids[None, :k]))
                 yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[j])], names=["a", "b"])
 
-    rows = nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "u")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(run, "a long, b long").distinct()
 
 
 def _counts(nodes: DataFrame, parts: DataFrame, link: float) -> DataFrame:
