@@ -5,7 +5,8 @@ of a wrapped text (``WRAPPED`` characters) also the paragraphs of two, four and
 before it, joined, without comment marks. A candidate's words and word pairs go through a sparse multinomial logistic
 regression over licence families and an unknown class. Its probabilities are calibrated by a logistic curve fitted to
 held-out paragraphs of both kinds, and a family must be more probable than not, and more than all but a set share of
-held-out unknown ones are. A family so found is confirmed if the paragraph holds enough of the word pairs of one of its templates.
+held-out unknown ones are. A family so found is confirmed if the paragraph holds enough of the word pairs of one of its templates
+(``CONFIRM`` of them, ``EXACT`` of those of a short one, which others resemble by chance) and doesn't deny it (``DENIED``).
 
 The model is fitted on the templates below, varied by lost and added words, and on unknown lines: made-up
 ones that use the cues otherwise, and the last lines, ``CHARS`` characters of each and ``NOISE`` words of all, of at
@@ -31,21 +32,24 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UNKNOWN, SAMPLE, CHARS, NOISE, CONFIRM, WRAPPED = "unknown", 300, 400, 5000, 0.6, 120
+#: A template of at most BRIEF word pairs is confirmed by this share of them. Word pairs that deny a licence.
+BRIEF, EXACT = 10, 0.85
+DENIED = ("not released", "not licensed", "not available", "never released", "never licensed", "not distributed", "no longer")
 #: Phrases of public licences and of their usual notices.
 TEMPLATES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "Apache-2.0": ("Apache License Version 2.0, January 2004", "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
+    "BSD": ("BSD 3-Clause License", "BSD 2-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "CC0": ("This work is dedicated to the public domain under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0-only"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "This work is licensed under the GNU General Public License, version 2.", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0-only"),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "This work is licensed under the GNU General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-or-later"),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"),
-    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1 or later.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1-or-later"),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+    "LGPL": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Licensed under the GNU Lesser General Public License, version 2.1 or later.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    "MIT": ("The MIT License (MIT)", "Licensed under the MIT License.", "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "SPDX-License-Identifier: MIT"),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"),
     "proprietary": ("Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
@@ -178,9 +182,10 @@ def find(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -
     templates = known.select("family", grams().alias("t")).groupBy("family").agg(F.collect_list("t").alias("templates"))
     scored = _scored(candidates(df, key, text), model).withColumn("own", grams())
     found = scored.join(F.broadcast(templates), "family")  # as many rows as there are families
-    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t)))
-    found = found.withColumn("similarity", share)
-    return found.select(key, "at", "n_lines", "paragraph", "family", "probability", "similarity", ((F.col("probability") >= model.threshold) & (share >= CONFIRM)).alias("confirmed"))
+    each = F.transform("templates", lambda t: F.struct((F.size(F.array_intersect(t, F.col("own"))) / F.size(t)).alias("share"), F.when(F.size(t) <= BRIEF, EXACT).otherwise(CONFIRM).alias("least")))
+    found = found.withColumn("shares", each).withColumn("similarity", F.array_max("shares.share"))
+    fits = F.exists("shares", lambda s: s["share"] >= s["least"]) & ~F.arrays_overlap("pairs", F.array(*map(F.lit, DENIED)))
+    return found.select(key, "at", "n_lines", "paragraph", "family", "probability", "similarity", ((F.col("probability") >= model.threshold) & fits).alias("confirmed"))
 
 
 def scan(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,3 +65,22 @@ def test_rows_are_told_apart_by_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = licenses.scan(docs, licenses.train(docs)).collect()
     assert sorted((str(r.doc_id), str(r.license), r.n_candidates) for r in out) == [("1", "MIT", 1), ("1", "MIT", 1), ("1", "None", 0), ("None", "MIT", 1), ("None", "None", 0)]
+
+
+def test_real_heads_and_look_alikes(spark, model):
+    """Lines as real files have them, and ones that only look so."""
+    texts = [
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "Apache-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies", "GPL-3.0"),
+        ("\t\t    GNU GENERAL PUBLIC LICENSE\n\t\t       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.", "GPL-2.0"),
+        ("                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "LGPL"), ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n", "AGPL-3.0"),
+        ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", "MPL-2.0"), ("The MIT License (MIT)\n\nCopyright (c) 2015 Some Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal", "MIT"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2020, Some Author\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", "BSD"),
+        ("// Licensed under the MIT License. See LICENSE in the project root for license information.", "MIT"), ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"),
+        ("Not released under the MIT License.", "unknown"), ("Licensed under the Educational Community License, Version 2.0", "unknown"), ("This tool is no longer licensed under the Apache License, Version 2.0.", "unknown"), ("He works under a license of version 2.0 of the harbour rules.", "unknown"),
+        ("A copyright notice hung above the public domain of the square.", "unknown"), ("Her driving licence was released by the council, not the court.", "unknown"), ("The general public license debate went on in the council.", "unknown"), ("They asked permission, free of charge, to use the old mill.", "unknown"),
+    ]
+    out = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string"), model).collect()}
+    wrong = {texts[k][0][:60]: v for k, v in out.items() if v != texts[k][1]}
+    print("WRONG", wrong)
+    assert len(wrong) <= 1
