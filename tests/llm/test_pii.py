@@ -63,3 +63,14 @@ def test_generators_and_measures(spark):
     found = pii.measured(model, ["other words that stand in lines", "and some more of them"])
     print(found)
     assert all(p >= 0.9 and r >= 0.8 for p, r in found.values())
+
+
+def test_lines_written_by_hand(spark, model):
+    """What the base forms and the additions find together in lines that no generator made."""
+    from pii_lines import LINES
+
+    rows = pii.find(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(LINES)], "doc_id long, text string"), model).collect()
+    found = {(r.doc_id, s.kind, LINES[r.doc_id][0][s.start : s.end]) for r in rows for s in [*r.base, *r.added]}
+    true = {(k, *d) for k, (_, ds) in enumerate(LINES) for d in ds}
+    print("RECALL", len(found & true) / len(true), "PRECISION", len(found & true) / len(found), "MISSED", sorted(true - found), "EXTRA", sorted(found - true))
+    assert len(found & true) >= 0.8 * len(true) and len(found & true) >= 0.9 * len(found)
