@@ -43,7 +43,7 @@ def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     blocks = max(1, -(-rows.count() // BLOCK))
     letters, grams = _grams(F.col("low"), (1, 2, 3))
     held = rows.select("doc_id", letters.alias("letters")).select("doc_id", F.explode(grams).alias("gram"))
-    lists = held.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    lists = held.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("doc_id").alias("ids"))
     lists.withColumn("folder", F.pmod("gram", F.lit(FOLDERS))).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
     kind = rows.schema["doc_id"].dataType.simpleString()
     _postings(spark, path, kind).groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
