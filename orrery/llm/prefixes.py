@@ -8,7 +8,7 @@ joins are the nodes on the way. What a chunk can't close is what its first and l
 beside it: the nodes on these two paths. They stay open and are contracted to two sequences, which carry sums of what hangs
 from them; the sequences of all chunks are sorted and merged in the same way, until one chunk holds them all.
 
-A chunk holds at most ``CHUNK`` bytes of digests (or one longer sequence); a common beginning, many copies and frequent
+A chunk holds at most ``CHUNK`` bytes of digests (or eight longer sequences); a common beginning, many copies and frequent
 turns are cut by chunks like all else. A conversation is one row of some 20 bytes a turn. Identifiers that end at a node
 are hashed in their order: by blocks first, then one task for each node goes over its blocks, as SHA-256 asks for.
 
