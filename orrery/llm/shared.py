@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.operators.lineage import ship  # noqa: F401  the operators send the package by it
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names; where none is named, one of our own if all runs on one machine."""
@@ -39,17 +39,3 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, once a session, for clusters where it isn't installed."""
-    sc = spark.sparkContext
-    if getattr(sc, "_orrery_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="orrery-")) / "orrery.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for f in sorted(top.rglob("*.py")):
-            out.write(f, f.relative_to(top.parent))
-    sc.addPyFile(str(path))
-    sc._orrery_shipped = True

@@ -4,16 +4,26 @@ A document that holds a term holds each of the term's trigrams; shorter terms ar
 two-character grams have lists too. Grams are hashed to 32 bits: a collision adds candidates, which verification drops again, and loses none.
 Posting lists are cut into blocks of about ``BLOCK`` documents each, so that a gram that nearly all documents hold is many short lists. A term
 is sought by its ``RAREST`` rarest grams.
+
+``top`` is for batches of queries that grow with the corpus, of which no list of all matches can be kept: documents and queries meet
+in blocks, and of a block only the best documents of each query go on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from orrery.operators.lineage import ship
+from orrery.operators.retrieval import keyword_matches, ranked
+
 #: Documents of a block, grams that a term is sought by, folders of posting lists.
 BLOCK, RAREST, FOLDERS = 4096, 4, 16
+#: Queries and documents that meet in one task, documents and characters that it searches at once, and queries counted at once.
+QUERIES, DOCUMENTS, AT_ONCE, CHARACTERS, COUNTED = 131_072, 32_768, 1024, 1 << 22, 2048
 
 
 @dataclass(frozen=True)
@@ -82,3 +92,172 @@ def matches(docs: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
     read_once = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("low"), F.length("text").alias("len")).join(found, "doc_id")
     held = read_once.select("doc_id", "len", F.explode(F.filter("terms", lambda t: F.expr("low").contains(t))).alias("term"))
     return held.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("match_count"), F.min("len").alias("len"))
+
+
+def top(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, match_count, len, rank): of each query (query_id, term) the k documents (doc_id, text) that hold most of its terms, whatever their case; of equal ones the shorter, then that of the smaller id.
+
+    Queries and documents meet in blocks, each of which a task holds: every block of queries is dealt to every bucket of
+    documents. A task keeps k documents a query. Ids are whole numbers; rows that share one count together, and are searched apart.
+    """
+    ship(docs.sparkSession)
+    wanted = terms.select(F.col("query_id").cast("long").alias("query_id"), F.lower("term").alias("term")).where("query_id is not null and term <> ''").distinct()
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = ids.where("n > 1").select("doc_id")
+    n_docs, shared = ids.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    asked = wanted.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    n_queries = asked.count()
+    chunks, buckets = max(1, -(-n_queries // QUERIES)), max(1, -(-n_docs // DOCUMENTS), min(48, n_docs // AT_ONCE))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    once = rows.join(repeated, "doc_id", "left_anti") if shared else rows
+    left = asked.select(dealt("query_id", chunks).alias("chunk"), every(buckets).alias("bucket"), F.col("query_id").alias("id"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("string").alias("low"), "terms")
+    right = once.select(every(chunks).alias("chunk"), dealt("doc_id", buckets).alias("bucket"), F.col("doc_id").cast("long").alias("id"), F.length("text").alias("len"), F.lower("text").alias("low"), F.lit(None).cast("array<string>").alias("terms"))
+    met = left.unionAll(right).repartition(chunks * buckets, "chunk", "bucket").sortWithinPartitions("chunk", "bucket", F.col("len").asc_nulls_first(), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at = None, None
+        for x in batches:
+            for r in (r for j in range(0, x.num_rows, 256) for r in x.slice(j, 256).to_pylist()):
+                if (r["chunk"], r["bucket"]) != at:
+                    if block:
+                        yield from block.result()
+                    block, at = _Block(k), (r["chunk"], r["bucket"])
+                block.add(r)
+        if block:
+            yield from block.result()
+
+    found = met.mapInArrow(run, "query_id long, doc_id long, match_count long, len int")
+    if shared:
+        found = found.unionByName(ranked(keyword_matches(rows.join(repeated, "doc_id", "left_semi"), wanted), k, F.desc("match_count"), F.col("len"), F.col("doc_id")).select("query_id", "doc_id", "match_count", "len"))
+    return ranked(found, k, F.desc("match_count"), F.col("len"), F.col("doc_id"))
+
+
+class _Block:
+    """Queries, then documents by length and id: the first k of each query by the number of its terms that they hold."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.queries, self.terms, self.ready, self.held, self.characters = k, [], [], False, [], 0
+
+    def add(self, row: dict) -> None:
+        if row["low"] is None:
+            self.queries.append(row["id"])
+            self.terms.append(row["terms"])
+        elif self.queries:
+            self.held.append(row)
+            self.characters += len(row["low"])
+            if len(self.held) >= AT_ONCE or self.characters >= CHARACTERS:
+                self._search()
+
+    def _start(self) -> None:
+        import numpy as np
+
+        known = sorted({t for ts in self.terms for t in ts}, key=lambda t: (len(t), t))
+        number = {t: i for i, t in enumerate(known)}
+        width = max(map(len, self.terms))
+        # queries as rows of numbers of terms; the last number is no term's
+        self.asked = np.full((len(self.terms), width), len(known), np.int32)
+        for i, ts in enumerate(self.terms):
+            self.asked[i, : len(ts)] = [number[t] for t in ts]
+        self.known, self.by_length, self.ready = len(known), [], True
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in known]
+        lengths = np.array([len(c) for c in codes])
+        for n in np.unique(lengths).tolist():
+            numbers = np.flatnonzero(lengths == n)
+            letters = np.stack([codes[i] for i in numbers])
+            keys = np.zeros(len(numbers), np.uint64)
+            for j in range(n):
+                keys = _rolled(keys, letters[:, j])
+            order = np.argsort(keys, kind="stable")
+            sieve = np.zeros(1 << 20, bool)
+            sieve[_slot(keys)] = True
+            self.by_length.append((n, keys[order], numbers[order], letters[order], sieve))
+        shape = (len(self.terms), self.k)
+        self.counts, self.ids, self.lens = np.zeros(shape, np.int32), np.zeros(shape, np.int64), np.zeros(shape, np.int32)
+
+    def _held_terms(self, texts: list[str]):
+        """(term, document) of every term that a text holds."""
+        import numpy as np
+
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+        letters, doc = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        keys, n, found = np.zeros(len(letters), np.uint64), 0, []
+        for size, own, numbers, spelled, sieve in self.by_length:
+            while n < size:
+                n += 1
+                keys = _rolled(keys[: max(0, len(letters) - n + 1)], letters[n - 1 :])
+            at = np.flatnonzero(sieve[_slot(keys)])
+            at = at[doc[at] == doc[at + size - 1]]
+            first, last = np.searchsorted(own, keys[at]), np.searchsorted(own, keys[at], side="right")
+            for step in range(int((last - first).max(initial=0))):  # terms with equal keys, rarely more than one
+                some = first + step < last
+                term, place = (first + step)[some], at[some]
+                pair, where = np.unique(term * len(texts) + doc[place], return_index=True)
+                term, place = term[where], place[where]
+                # equal keys don't prove equal letters; where the first place fails all are tried
+                same = (letters[place[:, None] + np.arange(size)] == spelled[term]).all(1)
+                for m in np.flatnonzero(~same).tolist():
+                    every = at[some][((first + step)[some] == term[m]) & (doc[at[some]] == pair[m] % len(texts))]
+                    same[m] = (letters[every[:, None] + np.arange(size)] == spelled[term[m]]).all(1).any()
+                pair, term = pair[same], term[same]
+                found.append((numbers[term], pair % len(texts)))
+        return np.concatenate([f[0] for f in found]) if found else np.zeros(0, int), np.concatenate([f[1] for f in found]) if found else np.zeros(0, int)
+
+    def _search(self) -> None:
+        import numpy as np
+
+        if not self.ready:
+            self._start()
+        rows, self.held, self.characters = self.held, [], 0
+        ids, lens = np.array([r["id"] for r in rows], np.int64), np.array([r["len"] for r in rows], np.int32)
+        term, doc = self._held_terms([r["low"] for r in rows])
+        # a row for each term that is held at all; row 0 for all others
+        used, row = np.unique(term, return_inverse=True)
+        place = np.zeros(self.known + 1, np.int32)
+        place[used] = np.arange(1, len(used) + 1)
+        holds = np.zeros((len(used) + 1, len(rows)), np.uint8)
+        holds[row + 1, doc] = 1
+        kind = np.uint8 if self.asked.shape[1] < 256 else np.int32
+        for a in range(0, len(self.asked), COUNTED):
+            asked = place[self.asked[a : a + COUNTED]]
+            count = np.zeros((len(asked), len(rows)), kind)
+            for j in range(asked.shape[1]):
+                count += holds[asked[:, j]]
+            # documents come by length and id, so only one with more terms than the k-th so far takes a place
+            better = np.flatnonzero(count.max(axis=1) > self.counts[a : a + COUNTED, -1])
+            if not len(better):
+                continue
+            key = count[better].astype(np.int64) * len(rows) + np.arange(len(rows) - 1, -1, -1)
+            most = min(self.k, len(rows))
+            best = np.argpartition(key, len(rows) - most, axis=1)[:, len(rows) - most :]
+            key = np.take_along_axis(key, best, axis=1)
+            best = np.take_along_axis(best, np.argsort(-key, axis=1), axis=1)
+            both = lambda old, new: np.concatenate([old[a + better], new], axis=1)
+            counts = both(self.counts, np.take_along_axis(count[better], best, axis=1).astype(np.int32))
+            order = np.argsort(-counts, axis=1, kind="stable")[:, : self.k]
+            for name, new in (("ids", ids[best]), ("lens", lens[best])):
+                getattr(self, name)[a + better] = np.take_along_axis(both(getattr(self, name), new), order, axis=1)
+            self.counts[a + better] = np.take_along_axis(counts, order, axis=1)
+
+    def result(self) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        if self.held:
+            self._search()
+        if self.ready:
+            q, j = np.nonzero(self.counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(self.queries, np.int64)[q]), pa.array(self.ids[q, j]), pa.array(self.counts[q, j].astype(np.int64)), pa.array(self.lens[q, j])], names=["query_id", "doc_id", "match_count", "len"])
+
+
+def _rolled(keys, letters):
+    """Keys of texts that are one letter longer."""
+    import numpy as np
+
+    return keys * np.uint64(0x1FFFFFFFFFFFFF7) + letters.astype(np.uint64) + np.uint64(1)
+
+
+def _slot(keys):
+    import numpy as np
+
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)

@@ -82,3 +82,18 @@ def test_odd_texts_and_terms(spark, monkeypatch):
     expected = sorted(map(row, retrieval.keyword_matches(docs.where("doc_id is not null"), asked).collect()))
     assert sorted(map(row, keyword_index.matches(docs, asked, index).collect())) == expected and expected
     assert keyword_index.matches(docs, asked, keyword_index.build(docs.limit(0), place(spark, "test"))).count() == 0
+
+
+def test_best_documents_of_many_queries(spark, monkeypatch):
+    """In blocks of any size, with ties, shared ids, long terms and letters beyond the first plane, as the list of all matches says; no such list is made."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abÄ𝄞") for _ in range(r.randint(1, 5)))
+    docs = spark.createDataFrame([(r.choice([k, k, k, None, 7]), r.choice([None, "", " ".join(word() for _ in range(r.randint(1, 30)))])) for k in range(120)], "doc_id long, text string")
+    terms = spark.createDataFrame([(q, t) for q in range(40) for t in [r.choice(["", "zzz", word().upper(), word() + " " + word()]) for _ in range(r.randint(0, 9))]], "query_id long, term string")
+    expected = sorted(tuple(x) for x in retrieval.keyword_top(docs.where("doc_id is not null"), terms, 4).select("query_id", "doc_id", "match_count", "len", "rank").collect())
+    assert len(expected) > 80
+    for name, n in (("QUERIES", 9), ("DOCUMENTS", 25), ("AT_ONCE", 4), ("COUNTED", 3)):
+        monkeypatch.setattr(keyword_index, name, n)
+    out = keyword_index.top(docs, terms, 4)
+    assert sorted(tuple(x) for x in out.select("query_id", "doc_id", "match_count", "len", "rank").collect()) == expected
+    assert keyword_index.top(docs.limit(0), terms, 4).count() == 0 and keyword_index.top(docs, terms.limit(0), 4).count() == 0
