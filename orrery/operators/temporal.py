@@ -14,6 +14,8 @@ from orrery.operators.lineage import cut
 
 #: A key with more rows than HOT is cut into CUTS buckets of time. A period lies in at most SPREAD + 1 bins of its level, and bins of the next level are SPREAD times as wide.
 HOT, CUTS, SPREAD, SALTS = 1_000_000, 64, 8, 64
+#: Day, hour, minute, second and thousandth in ticks, each a multiple of the next.
+UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1000)
 
 
 def ticks(df: DataFrame, c: str) -> Column:
@@ -121,3 +123,82 @@ def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tu
 
 def _alive(df: DataFrame, span: tuple[str, str]) -> Column:
     return F.col(span[0]).isNotNull() & (F.col(span[1]).isNull() | (F.col(span[0]) < F.col(span[1])))
+
+
+def totals(points: DataFrame, periods: DataFrame, at: str, start: str, end: str, by: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(by, values): what the points with start <= at < end come to, for each ``by`` of the periods that meet any. Pairs are never made.
+
+    ``values`` name a kind (sum, min or max) and a column of the points. Points are added up by bins of widths that are powers of SPREAD, and a period
+    is cut into the fewest such bins, a few dozen; those it meets by an equi-join.
+    """
+    p = points.withColumn("p t", ticks(points, at)).where("`p t` is not null").groupBy("p t").agg(*_merged(values, True))
+    s, unit, levels = _cut_into_bins(periods, start, end, p.agg(F.max("p t")).first()[0], p)
+    return _added(_climbed(p, unit, levels), s, by, values)
+
+
+def stabbed(points: DataFrame, periods: DataFrame, at: str, start: str, end: str, by: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(by, values): as totals(), the other way round: what the periods with start <= at < end come to, for each ``by`` of the points; ``values`` are of the periods."""
+    p = points.withColumn("p t", ticks(points, at)).where("`p t` is not null").select("p t", *by)
+    s = periods.groupBy(start, end).agg(*_merged(values, True))
+    s, unit, levels = _cut_into_bins(s, start, end, p.agg(F.max("p t")).first()[0], p)
+    return _added(s, _climbed(p, unit, levels), by, values)
+
+
+def _climbed(p: DataFrame, unit: int, levels: int) -> DataFrame:
+    """The points, once in a bin of each level."""
+    widths = F.array(*(F.lit(unit * SPREAD**k) for k in range(levels)))
+    bins = p.select("*", F.posexplode(widths).alias("level", "width")).withColumn("bin", F.expr("(`p t` - pmod(`p t`, width)) div width"))
+    return bins.drop("p t", "width")
+
+
+def _cut_into_bins(periods: DataFrame, start: str, end: str, latest: int | None, p: DataFrame) -> tuple[DataFrame, int, int]:
+    """The periods, once for each of the bins (level, bin) that make them up, the least width, and how many levels there are."""
+    last = (latest if latest is not None else 0) + 1
+    s = periods.withColumn("s from", ticks(periods, start)).withColumn("s to", F.when(F.col(end).isNull(), F.lit(last)).otherwise(ticks(periods, end))).where("`s from` < `s to`")
+    # times that are whole days, hours, minutes, seconds or thousandths need no finer bins; the end of time may be any
+    unit, longest = _step(s, F.col("s from"), F.when(F.col(end).isNotNull(), F.col("s to"))), s.agg(F.max(F.col("s to") - F.col("s from"))).first()[0]
+    s = s.withColumn("s to", F.expr(f"(`s to` + pmod(-`s to`, {unit}))"))  # no point lies between the latest and the unit's end
+    levels = 1
+    while unit * SPREAD**levels <= (longest or 0):
+        levels += 1
+    up = lambda c, w: f"(({c} + pmod(-{c}, {w})) div {w})"
+    down = lambda c, w: f"(({c} - pmod({c}, {w})) div {w})"
+    parts = []
+    for k in range(levels):
+        w = f"{unit * SPREAD**k}L"
+        a, b = up("`s from`", w), down("`s to`", w)
+        if k == levels - 1:
+            parts.append(f"if({a} < {b}, sequence({a}, {b} - 1), array())")
+            continue
+        wide = f"{unit * SPREAD ** (k + 1)}L"
+        x, y = f"{up('`s from`', wide)} * {SPREAD}", f"{down('`s to`', wide)} * {SPREAD}"
+        some = lambda a, b: f"if({a} < {b}, sequence({a}, {b} - 1), array())"
+        parts.append(f"if({x} <= {y}, concat({some(a, x)}, {some(y, b)}), {some(a, b)})")
+    s = s.select("*", F.posexplode(F.array(*(F.expr(p).cast("array<bigint>") for p in parts))).alias("level", "bins")).withColumn("bin", F.explode("bins"))
+    return s.drop("bins", "s from", "s to", start, end), unit, levels
+
+
+def _merged(values: dict[str, tuple[str, Column]], raw: bool = False) -> list[Column]:
+    return [getattr(F, kind)(c if raw else n).alias(n) for n, (kind, c) in values.items()]
+
+
+def _step(df: DataFrame, *times: Column) -> int:
+    """The largest of UNITS that all times are multiples of."""
+    found = df.agg(*(F.count_if(F.exists(F.array(*times), lambda t: t % u != 0)).alias(f"u{u}") for u in UNITS)).first()
+    return next((u for u in UNITS if not found[f"u{u}"]), 1)
+
+
+def _added(binned: DataFrame, asked: DataFrame, by: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Values of equal bins together first, then those of all bins that one ``by`` asks for."""
+    bins = binned.groupBy("level", "bin").agg(*_merged(values))
+    return asked.select(*by, "level", "bin").join(bins, ["level", "bin"]).groupBy(*by).agg(*_merged(values))
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str], by: list[str], values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(by, values): what the periods b that have an instant in common with periods a come to, for each ``by`` of a: those that start within a, and those that hold a's start and start before it."""
+    a, b = a.where(_alive(a, a_span)), b.where(_alive(b, b_span))
+    within = totals(b, a, b_span[0], *a_span, by, values)
+    step = min(_step(a, ticks(a, a_span[0])), _step(b, ticks(b, b_span[0])))  # no start of a lies between a start of b and a step later
+    later = b.withColumn("after start", ticks(b, b_span[0]) + step).withColumn("its end", F.when(F.col(b_span[1]).isNotNull(), ticks(b, b_span[1]))).where("`its end` is null or `after start` < `its end`")
+    holding = stabbed(a.withColumn("own start", ticks(a, a_span[0])), later, "own start", "after start", "its end", by, values)
+    return within.unionByName(holding).groupBy(*by).agg(*_merged(values))

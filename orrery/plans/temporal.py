@@ -58,14 +58,14 @@ def j16_usage_in_periods(spark, sf):
 @query(f"""select s_suppkey, count(*) as orders, sum(cast(o_totalprice as decimal(18,2))) as total from orders join {SUPPLIER_PERIODS} on o_orderdate >= term_from and o_orderdate < term_to group by s_suppkey""")
 def j16_orders_in_terms(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
-    met = temporal.period_join(orders, supplier_periods(spark, sf), "o_orderdate", "term_from", "term_to")
-    return met.groupBy("s_suppkey").agg(F.count("*").alias("orders"), F.sum("price").alias("total"))
+    out = temporal.totals(orders, supplier_periods(spark, sf), "o_orderdate", "term_from", "term_to", ["s_suppkey"], {"orders": ("sum", F.lit(1)), "total": ("sum", F.col("price"))})
+    return out.select("s_suppkey", "orders", F.col("total").cast("decimal(28,2)").alias("total"))
 
 
 @query(f"""select s_suppkey, count(*) as parts, min(p_partkey) as first_part from {SUPPLIER_PERIODS} join {PART_PERIODS} on valid_from < term_to and term_from < valid_to group by s_suppkey""")
 def j17_overlapping_periods(spark, sf):
-    met = temporal.overlap_join(supplier_periods(spark, sf), part_periods(spark, sf), ("term_from", "term_to"), ("valid_from", "valid_to"))
-    return met.groupBy("s_suppkey").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first_part"))
+    values = {"parts": ("sum", F.lit(1)), "first_part": ("min", F.col("p_partkey"))}
+    return temporal.overlap_totals(supplier_periods(spark, sf), part_periods(spark, sf), ("term_from", "term_to"), ("valid_from", "valid_to"), ["s_suppkey"], values)
 
 
 @query("""select cast(conv_id as varchar) as session, coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '') as message, count(*) as n_events, max(turn) + 1 - count(*) as n_missing,

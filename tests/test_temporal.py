@@ -84,3 +84,22 @@ def test_overlaps(spark):
     true = {(i, j) for i, s, e in a for j, u, v in b if s < end(e) and u < end(v) and s < end(v) and u < end(e)}
     got = [(x.i, x.j) for x in out.collect()]
     assert len(got) == len(set(got)) and set(got) == true
+
+
+@pytest.mark.parametrize("step", [1, 1000, 86_400_000_000])
+def test_totals_without_pairs(spark, step):
+    """What points in periods and periods that overlap come to is what their pairs come to, and no plan makes the pairs."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(step)
+    spans = lambda n: [(k % (n // 2), s * step, r.choice([None, *[(s + r.choice([0, -2, 1, 2, 9, 70, 900])) * step] * 9])) for k in range(n) for s in [r.choice([None, *[r.randrange(-300, 1500)] * 9])] if s is not None]
+    a, b = spark.createDataFrame(spans(120), "i int, a0 long, a1 long"), spark.createDataFrame(spans(100), "j int, b0 long, b1 long")
+    points = spark.createDataFrame([(k, r.choice([None, *[r.randrange(-400, 1600) * step + r.choice([0, 0, 1])] * 9])) for k in range(300)], "v int, t long")
+    values = lambda c: {"n": ("sum", F.lit(1)), "total": ("sum", F.col(c)), "least": ("min", F.col(c))}
+    pairs = lambda met, c: sorted(map(tuple, met.groupBy("i").agg(F.count("*"), F.sum(c), F.min(c)).collect()))
+    out = temporal.totals(points, a, "t", "a0", "a1", ["i"], values("v"))
+    assert sorted(map(tuple, out.collect())) == pairs(temporal.period_join(points, a, "t", "a0", "a1"), "v")
+    both = temporal.overlap_totals(a, b, ("a0", "a1"), ("b0", "b1"), ["i"], values("j"))
+    assert sorted(map(tuple, both.collect())) == pairs(temporal.overlap_join(a, b, ("a0", "a1"), ("b0", "b1")), "j")
+    assert temporal.totals(points.limit(0), a, "t", "a0", "a1", ["i"], values("v")).count() == 0
+    assert temporal.overlap_totals(a, b.limit(0), ("a0", "a1"), ("b0", "b1"), ["i"], values("j")).count() == 0
