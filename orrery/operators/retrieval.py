@@ -7,9 +7,16 @@ top-k windows keep no more than k rows a query and task before they are shuffled
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.config import RagConfig
+from orrery.operators.lineage import ship
+
+#: Vectors and queries that meet in one task, and vectors and queries that are multiplied at once.
+VECTORS, QUERIES, AT_ONCE, ASKED = 16_384, 8192, 1024, 2048
 
 
 def ranked(df: DataFrame, k: int, *order: Column, by: str = "query_id", out: str = "rank") -> DataFrame:
@@ -38,15 +45,79 @@ def unit(df: DataFrame, vector: str, out: str) -> DataFrame:
     return df.withColumn("norm", F.sqrt(square)).withColumn(out, F.transform(vector, lambda x: x.cast("double") / F.col("norm"))).drop("norm")
 
 
+def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, ud): unit vectors of the rows that have one."""
+    rows = df.where(F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+    width = rows.select(F.min(F.struct(F.col(key).alias("k"), F.size("v").alias("n")))["n"].alias("n")).first()["n"]
+    return unit(rows.where(F.size("v") == (width or 0)), "v", "ud").select(key, "ud")
+
+
+def nearest(queries: DataFrame, docs: DataFrame, on: list[str], k: int, least: float = -2.0) -> DataFrame:
+    """(query_id, doc_id, score, rank): of each query (on, query_id, uq) the k nearest documents (on, doc_id, ud) with equal ``on``, itself aside, from ``least`` on, by cosine with six decimals; ids are whole numbers.
+
+    What is equal in ``on`` meets in one task as products of matrices of bounded size; k documents a query go on from there.
+    """
+    ship(docs.sparkSession)
+    ids = (queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString())
+    side = lambda df, n, key, u: df.select(*on, F.lit(n).alias("side"), F.col(key).cast("long").alias("id"), F.col(u).alias("u"))
+    met = side(queries, 0, "query_id", "uq").unionAll(side(docs, 1, "doc_id", "ud")).repartition(*on).sortWithinPartitions(*on, "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        at, asked, best = None, [], None
+
+        def told():
+            if best is not None:
+                q, j = np.nonzero(best[1] > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(best[0][q]), pa.array(best[2][q, j]), pa.array(best[1][q, j])], names=["query_id", "doc_id", "score"])
+
+        for batch in batches:
+            for x in (batch.slice(j, AT_ONCE) for j in range(0, batch.num_rows, AT_ONCE)):
+                names = list(zip(*(x.column(c).to_pylist() for c in (*on, "side"))))
+                edges = [0, *(j for j in range(1, len(names)) if names[j] != names[j - 1]), len(names)]
+                for a, b in zip(edges, edges[1:]):
+                    group, is_doc = names[a][:-1], names[a][-1]
+                    if group != at:
+                        yield from told()
+                        at, asked, best = group, [], None
+                    ids = x.column("id").to_numpy()[a:b]
+                    u = x.column("u").slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)
+                    if not is_doc:
+                        asked.append((ids, u))
+                        continue
+                    if best is None and asked:
+                        best = [np.concatenate([i for i, _ in asked]), np.full((n := sum(len(i) for i, _ in asked), k), -np.inf), np.zeros((n, k), np.int64)]
+                        vectors, asked = np.concatenate([v for _, v in asked]), []
+                    for c in range(0, len(best[0]) if best else 0, ASKED):
+                        score = np.round(vectors[c : c + ASKED] @ u.T, 6) + 0.0
+                        score[(best[0][c : c + ASKED, None] == ids) | (score < least)] = -np.inf
+                        # vectors come by id, so one that is as near as the k-th so far comes too late
+                        better = np.flatnonzero(score.max(axis=1) > best[1][c : c + ASKED, -1])
+                        both = np.concatenate([best[1][c + better], score[better]], axis=1)
+                        order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                        found = np.concatenate([best[2][c + better], np.broadcast_to(ids, (len(better), len(ids)))], axis=1)
+                        best[1][c + better] = np.take_along_axis(both, order, axis=1)
+                        best[2][c + better] = np.take_along_axis(found, order, axis=1)
+        yield from told()
+
+    found = met.mapInArrow(run, "query_id long, doc_id long, score double")
+    found = found.select(F.col("query_id").cast(ids[0]).alias("query_id"), F.col("doc_id").cast(ids[1]).alias("doc_id"), "score")
+    return ranked(found, k, F.desc("score"), F.col("doc_id"))
+
+
 def vector_top(queries: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """The k documents (doc_id, embedding) nearest to each query (query_id, q) by cosine, those of the threshold and above.
 
-    Every query of the batch meets every document: an exact scan of the stated batch, not a join of the corpus with itself.
+    Every query of the batch meets every document, in blocks: an exact scan of the stated batch, not a join of the corpus with itself. Vectors without a cosine are left out.
     """
-    dot = F.aggregate(F.zip_with("uq", "ud", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = unit(docs, "embedding", "ud").select("doc_id", "ud").join(unit(queries, "q", "uq").select("query_id", "uq"), F.col("query_id") != F.col("doc_id"))
-    scored = pairs.select("query_id", "doc_id", F.round(dot, 6).alias("score"))
-    return ranked(scored, k, F.desc("score"), F.col("doc_id")).where(F.col("score") >= threshold)
+    left, right = usable(queries, "query_id", "q").withColumnRenamed("ud", "uq"), usable(docs, "doc_id", "embedding")
+    chunks, parts = max(1, -(-left.count() // QUERIES)), max(1, -(-right.count() // VECTORS))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = left.withColumn("chunk", dealt("query_id", chunks)).withColumn("part", every(parts))
+    return nearest(asked, right.withColumn("part", dealt("doc_id", parts)).withColumn("chunk", every(chunks)), ["chunk", "part"], k, threshold)
 
 
 def rrf(lists: list[tuple[DataFrame, str, float]], k: int = 60, top: int = 0) -> DataFrame:

@@ -17,7 +17,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.operators.retrieval import ranked, unit
+from orrery.operators.lineage import ship
+from orrery.operators.retrieval import nearest, ranked, usable
 
 #: Vectors of the training sample for each list and in all, lists at most, rows of a part, and rounds of k-means.
 PER_LIST, SAMPLE, LISTS, PART, ROUNDS = 64, 100_000, 4096, 50_000, 10
@@ -31,14 +32,6 @@ class Index:
     centroids: DataFrame
 
 
-def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, ud): unit vectors of the rows that have one."""
-    rows = df.where(F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.where("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    width = rows.select(F.min(F.struct(F.col(key).alias("k"), F.size("v").alias("n")))["n"].alias("n")).first()["n"]
-    return unit(rows.where(F.size("v") == (width or 0)), "v", "ud").select(key, "ud")
-
-
 def _matrix(column: pa.Array):
     import numpy as np
 
@@ -60,6 +53,7 @@ def train(vectors: DataFrame, lists: int, key: str = "doc_id") -> list[tuple[int
 
 def build(df: DataFrame, path: str, key: str = "doc_id", vector: str = "embedding", lists: int | None = None) -> Index:
     """Writes the index of df's vectors below path. As many lists as the square root of the rows by default."""
+    ship(df.sparkSession)
     spark, vectors = df.sparkSession, usable(df, key, vector).withColumnRenamed(key, "doc_id")
     lists = min(LISTS, lists or max(2, math.isqrt(vectors.count())))
     centroids = train(vectors, lists)
@@ -68,7 +62,7 @@ def build(df: DataFrame, path: str, key: str = "doc_id", vector: str = "embeddin
         import numpy as np
 
         c = np.array([x for _, x in centroids])
-        for x in batches:
+        for x in (batch.slice(j, 1024) for batch in batches for j in range(0, batch.num_rows, 1024)):
             if x.num_rows:
                 s = _matrix(x.column("ud")) @ c.T
                 best = s.argmax(axis=1)
@@ -122,9 +116,7 @@ def _routed(queries: DataFrame, index: Index, probes: int, beyond: bool) -> Data
 
 
 def _scored(routed: DataFrame, index: Index, k: int) -> DataFrame:
-    dot = F.aggregate(F.zip_with("uq", "ud", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = index.lists.join(routed, ["list", "part"]).where(F.col("query_id") != F.col("doc_id"))
-    return ranked(pairs.select("query_id", "doc_id", F.round(dot, 6).alias("score")), k, F.desc("score"), F.col("doc_id"))
+    return nearest(routed, index.lists, ["list", "part"], k)
 
 
 def search(queries: DataFrame, index: Index, k: int, threshold: float = -1.0, probes: int = 8, exact: bool = False) -> DataFrame:

@@ -97,3 +97,20 @@ def test_best_documents_of_many_queries(spark, monkeypatch):
     out = keyword_index.top(docs, terms, 4)
     assert sorted(tuple(x) for x in out.select("query_id", "doc_id", "match_count", "len", "rank").collect()) == expected
     assert keyword_index.top(docs.limit(0), terms, 4).count() == 0 and keyword_index.top(docs, terms.limit(0), 4).count() == 0
+
+
+def test_exact_scan_in_blocks(spark, monkeypatch):
+    """Blocks of any size give the nearest vectors, ties to the smaller id; vectors without a cosine are left out; no plan has a nested loop."""
+    r = np.random.default_rng(8)
+    known = [(k, v) for k, v in enumerate(r.normal(size=(90, 5)).round(1).tolist() * 2)] + [(200, None), (201, [0.0] * 5), (202, [1.0, None, 1.0, 1.0, 1.0]), (203, [float("nan")] * 5)]
+    e = spark.createDataFrame(known, "doc_id long, embedding array<double>")
+    for name, n in (("VECTORS", 40), ("QUERIES", 7), ("AT_ONCE", 16), ("ASKED", 3)):
+        monkeypatch.setattr(retrieval, name, n)
+    out = retrieval.vector_top(e.where("doc_id % 5 = 0").selectExpr("doc_id query_id", "embedding q"), e, 12, 0.3)
+    units = {k: np.array(v) / np.linalg.norm(v) for k, v in known[:180]}
+    expected = []
+    for q in range(0, 180, 5):
+        scores = sorted((-round(float(units[q] @ units[d]), 6), d) for d in units if d != q)
+        expected += [(q, j + 1, d, round(-s, 5)) for j, (s, d) in enumerate(scores[:12]) if -s >= 0.3]
+    assert key(out.collect()) == sorted(expected)
+    assert "NestedLoop" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
