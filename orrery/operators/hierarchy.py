@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.operators.lineage import cut, positions
 
+#: Tasks that users with the same roles are dealt to.
+SALTS = 16
+
 
 def _closure(start: DataFrame, step: DataFrame) -> DataFrame:
     """(root, id, depth): what start (root, id) reaches along step (id, next), itself included, each once at its least depth; cycles end there.
@@ -93,11 +96,20 @@ def ordered(tree: DataFrame) -> DataFrame:
 
 
 def effective(user_roles: DataFrame, roles: DataFrame, role_permissions: DataFrame, permissions: DataFrame) -> DataFrame:
-    """(user_id, code): permissions of a user's enabled roles and all above them, the enabled ones among these."""
-    own = user_roles.join(roles.where("status = 1").select("role_id"), "role_id").join(role_permissions, "role_id").select("user_id", "permission_id").distinct()
+    """(user_id, code): permissions of a user's enabled roles and all above them, the enabled ones among these.
+
+    Codes are found once for each role, then for each distinct set of roles, so that no pair of a user and a permission is shuffled.
+    A set that many users have is dealt to ``SALTS`` tasks.
+    """
+    enabled = roles.where("status = 1").select("role_id").distinct()
+    own = role_permissions.join(enabled, "role_id").select("role_id", "permission_id").distinct()
     above = ancestors(permissions, own.select(F.col("permission_id").alias("id")).distinct())
-    reach = own.join(above.withColumnRenamed("root", "permission_id"), "permission_id").select("user_id", "id").distinct()
-    return reach.join(permissions.where("status = 1").select("id", "code"), "id").select("user_id", "code").distinct()
+    codes = permissions.where("status = 1").select("id", "code")
+    held = own.join(above.withColumnRenamed("root", "permission_id"), "permission_id").select("role_id", "id").distinct().join(codes, "id").select("role_id", "code").distinct()
+    sets = cut(user_roles.join(enabled, "role_id").where("user_id is not null").groupBy("user_id").agg(F.array_sort(F.collect_set("role_id")).alias("roles")))
+    opened = sets.select("roles").distinct().select("roles", F.explode("roles").alias("role_id"))
+    reached = opened.join(held, "role_id").select("roles", "code").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return sets.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(SALTS)).cast("int")).join(reached, ["roles", "salt"]).select("user_id", "code")
 
 
 def allowed(users: DataFrame, codes: DataFrame, required: list[str]) -> DataFrame:

@@ -124,3 +124,17 @@ def test_index_lifecycle(spark):
     with pytest.raises(ValueError):
         index.points(index.payload(drafts), vectors.limit(1))
     assert index.delete(old, "document_id", "d1", "d3").count() == 1
+
+
+def test_permissions_are_found_once_for_each_set_of_roles(spark):
+    """Users with several, shared, disabled and unknown roles; the users are joined to codes, no pair of theirs is made distinct."""
+    from orrery.operators import hierarchy
+
+    own = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "b"), (3, "off"), (4, "none"), (5, None), (6, "a"), (6, "off"), (None, "a")], "user_id long, role_id string")
+    roles = spark.createDataFrame([("a", 1), ("b", 1), ("off", 0)], "role_id string, status int")
+    links = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "x"), ("off", "z")], "role_id string, permission_id string")
+    tree = spark.createDataFrame([("top", None, "t", 1), ("x", "top", "cx", 1), ("y", "top", "cy", 0), ("z", "top", "cz", 1)], "id string, parent_id string, code string, status int")
+    out = hierarchy.effective(own, roles, links, tree)
+    assert sorted(map(tuple, out.collect())) == [(1, "cx"), (1, "t"), (2, "cx"), (2, "t"), (6, "cx"), (6, "t")]
+    top = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in top
