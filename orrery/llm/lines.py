@@ -139,9 +139,8 @@ def _ends_fit(a: Column, b: Column, start: Column, end: Column) -> Column:
     return out
 
 
-def _joined(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """(a, b): hashes of different lines that share a key, one of them as its own, and have nearly the same letters."""
-    side = members.join(texts.select("h", "n", "c"), "h")
+def _joined(side: DataFrame, edits: int) -> DataFrame:
+    """(a, b): hashes of different lines (k, h, own, n, c) that share a key, one of them as its own, and have nearly the same letters."""
     a = side.where("own").selectExpr("k", "h a", "n an", "c ac")
     b = side.selectExpr("k", "h b", "n bn", "c bc")
     apart = F.aggregate(F.zip_with("ac", "bc", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
@@ -164,10 +163,11 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST, one: in
     counts = F.array(*(F.col("n") - F.length(F.translate("line", c, "")) for c in CLASSES))
     # a hash that two lines have brings both along: the distance tells them apart
     texts = saved(lines.join(wanted.hint("shuffle_hash"), "h").withColumn("c", counts), "texts")
-    crowd = texts.where((F.col("m") > hot) & (F.col("n") >= least)).select("h", F.explode(pair_keys(edits)).alias("s")).select("h", F.col("s.k").alias("k"), F.col("s.own").alias("own")).groupBy("k", "h").agg(F.max("own").alias("own"))
+    crowd = texts.where((F.col("m") > hot) & (F.col("n") >= least)).select("h", "n", "c", F.explode(pair_keys(edits)).alias("s")).select("h", "n", "c", F.col("s.k").alias("k"), F.col("s.own").alias("own")).groupBy("k", "h", "n", "c").agg(F.max("own").alias("own"))
     # lines under ``least`` characters are few per key: their segments are half of them
     some = members.where(F.col("m") <= hot).unionByName(members.where(F.col("m") > hot).join(texts.where(F.col("n") <= least).select("h"), "h", "left_semi")).select("k", "h", "own")
-    pairs = saved(_joined(some, texts, edits).unionAll(_joined(crowd, texts, edits)).distinct(), "pairs")
+    # lines of crowded keys carry their letters along, since each has dozens of keys
+    pairs = saved(_joined(some.join(texts.select("h", "n", "c"), "h"), edits).unionAll(_joined(crowd, edits)).distinct(), "pairs")
     line = lambda name: texts.select(F.col("h").alias(name), F.col("g").alias(f"{name}g"), F.col("line").alias(f"{name}_line"))
     checked = pairs.join(line("a"), "a").join(line("b"), "b")
     # common ends change no distance; a generated row keeps their lengths from being computed anew at every use, and the distance from being computed before them
