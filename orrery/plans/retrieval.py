@@ -212,12 +212,22 @@ def u8_lateral_terms(spark, sf):
     return spark.sql("select item_id, t.term, cast(t.pos as long) as pos from asked_items, lateral query_terms(text, 6) t")
 
 
+def _within(d, budget):
+    """The rows (lang, n, doc_id, ...) that a budget for the longest of each lang may reach: of each length as many as what the longer ones leave has room for, and one more. No task sees a language."""
+    sizes = d.groupBy("lang", "n").agg(F.count("*").alias("m"))  # a row for each length
+    longer = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    room = sizes.withColumn("room", F.lit(budget) - F.coalesce(F.sum(F.col("n") * F.col("m")).over(longer), F.lit(0))).where("room >= 0").drop("m")
+    some = d.join(room, ["lang", "n"]).withColumn("k", F.row_number().over(Window.partitionBy("lang", "n").orderBy("doc_id")))
+    return some.where("n = 0 or k <= room div n + 1").drop("room", "k")
+
+
 @query("""with r as (select lang, doc_id, length(text) as n, row_number() over (partition by lang order by length(text) desc, doc_id) as rank from documents where text is not null),
     s as (select *, sum(n) over (partition by lang order by rank) as used from r) select 0 as one, lang, doc_id, rank as n, cast(used as bigint) as used from s where rank = 1 or used <= 60000""")
 def u9_context_budget(spark, sf):
     contracts.register(spark)
     d = table(spark, sf, "documents").where("text is not null")
     langs = d.select("lang").distinct().withColumn("query_id", F.xxhash64("lang"))
+    d = _within(d.select("doc_id", "text", "lang", F.length("text").alias("n")), 60000)
     ranks = d.select("doc_id", "text", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.length("text")), "doc_id")).alias("rank"))
     ranks.join(langs, "lang").select("query_id", "doc_id", "text", "rank").createOrReplaceTempView("ranked_hits")
     kept = spark.sql("select query_id, doc_id, n, used from within_budget(60000, table(ranked_hits) partition by query_id order by rank)")

@@ -29,3 +29,15 @@ def test_missing_vectors_where_ids_pass_a_hundred_thousand(compared):
         "j9_missing_by_document", documents="select i::bigint as doc_id, 'src' || (i % 3) as source from range(60) t(i)", embeddings="select i::bigint as vec_id from range(50000, 50030) t(i)"
     )
     assert out == expected and len(out) == 3
+
+
+def test_budget_sees_only_documents_that_may_fit(spark, compared, monkeypatch):
+    """Of 400 long documents, copies and ties among them, a few reach the budget's table function; the rows stay the SQL's."""
+    from orrery.plans import retrieval as plans
+
+    seen, within = [], plans._within
+    monkeypatch.setattr(plans, "_within", lambda *a: (seen.append(out := within(*a)), out)[1])
+    text = "case when i % 50 = 3 then null when i % 50 = 4 then '' when i % 4 = 2 then repeat('x', 70000) else repeat('y', (7000 + 500 * (i % 3))::int) end"
+    out, expected = compared("u9_context_budget", documents=f"select i::bigint as doc_id, {text} as text, 'l' || (i % 4) as lang from range(400) t(i)")
+    assert out == expected and len(out) > 20
+    assert seen[0].count() < 60
