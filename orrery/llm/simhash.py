@@ -19,7 +19,8 @@ links are sought; rows whose id is null get their fingerprint and no component;
 are made of the distinct shingles, so that a bit differs with probability acos(2J / (1 + J)) / pi at most. Each enters
 bands of random bits; a band holds a few unrelated texts whatever the number of texts, and there are as many bands as
 it takes to find a pair at the threshold with probability ``FOUND``. A band is walked in an order of its own, and a
-text is proposed together with the one that it was reached from, if they differ in few of their first 128 bits. Sets
+text is proposed together with the one that it was reached from, if they differ in few of their first 128 bits; the
+pivot table of the band's distances discards first. Sets
 of shingles are compared exactly, pair by pair, and only those comparisons make links: first a text's nearest
 proposal, then all proposals between groups that are still apart. No task holds a group; the texts proposed for one
 text are split into blocks.
@@ -215,6 +216,31 @@ def bands(n: int, least: float = LEAST, found: float = FOUND, low: int = BAND) -
     return bits, math.ceil(math.log(1 - found) / math.log(1 - agree))
 
 
+def _near(ids, a, b, tally: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """Links (a, b, apart) that connect a band's fingerprints within WITHIN bits. The pivot table discards first, as in _forest; ``tally`` counts the pairs met and those left by the table."""
+    import numpy as np
+
+    rest, found = np.arange(len(ids)), []
+    if len(ids) > 2:  # the band's first members are the pivots: unrelated ones are half the bits away from random pivots, and so alike there
+        table = np.bitwise_count(a[:, None] ^ a[None, :PIVOTS]).astype(np.int16) + np.bitwise_count(b[:, None] ^ b[None, :PIVOTS])
+    while len(rest) > 1:
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            i = front.pop()
+            left = (np.abs(table[rest] - table[i]) <= WITHIN).all(1) if len(ids) > 2 else np.ones(len(rest), bool)
+            if tally is not None:
+                tally[0], tally[1] = tally[0] + len(rest), tally[1] + int(left.sum())
+            if left.any():  # what the table discards is never compared
+                some = rest[left]
+                apart = np.bitwise_count(a[some] ^ a[i]).astype(np.int16) + np.bitwise_count(b[some] ^ b[i])
+                hit = apart <= WITHIN
+                found += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])), int(d)) for j, d in zip(some[hit], apart[hit])]
+                front += some[hit].tolist()
+                left[left] = hit
+                rest = rest[~left]
+    return found
+
+
 def _candidates(nodes: DataFrame, bits: int, count: int) -> DataFrame:
     """Proposals (a, b, apart) that connect nodes (node, f0, f1, ...) whose fingerprints share a band and are close."""
     each = 64 * LANES // bits
@@ -232,26 +258,10 @@ def _candidates(nodes: DataFrame, bits: int, count: int) -> DataFrame:
                     band = ones[:, some] @ (1 << np.arange(bits)) | k << bits
                     yield pa.RecordBatch.from_arrays([pa.array(band), x.column("node"), x.column("f0"), x.column("f1")], names=["band", "node", "f0", "f1"])
 
-    def near(ids, a, b) -> list[tuple[int, int, int]]:
-        import numpy as np
-
-        rest, found = np.arange(len(ids)), []
-        while len(rest) > 1:
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                i = front.pop()
-                apart = np.bitwise_count(a[rest] ^ a[i]).astype(np.int16) + np.bitwise_count(b[rest] ^ b[i])
-                hit = apart <= WITHIN
-                if hit.any():
-                    found += [(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])), int(d)) for j, d in zip(rest[hit], apart[hit])]
-                    front += rest[hit].tolist()
-                    rest = rest[~hit]
-        return found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        return _banded(batches, lambda ids, a, b: near(ids, a.view(np.uint64), b.view(np.uint64)), ("a", "b", "apart"))
+        return _banded(batches, lambda ids, a, b: _near(ids, a.view(np.uint64), b.view(np.uint64)), ("a", "b", "apart"))
 
     rows = nodes.mapInArrow(banded, "band long, node long, f0 long, f1 long")
     found = rows.repartition("band").sortWithinPartitions("band", F.xxhash64("node", "band")).mapInArrow(run, "a long, b long, apart long")

@@ -78,3 +78,16 @@ def test_odd_rows(odd, none):
     assert len(out) == 9 and by[1].fingerprint == "0" * 16 and by[2].component_id == by[6].component_id == 1
     assert by[4].component_id == 3 and by[None].component_id is None
     assert simhash.near_groups(none).count() == 0
+
+
+def test_pivots_discard_before_near_copies_are_compared():
+    """The links of a band of near copies and unrelated texts are those of comparing all; most pairs that aren't near go by the table."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+    rows = np.concatenate([base ^ (np.uint64(1) << r.integers(0, 63, base.shape, dtype=np.uint64)) for _ in range(15)])
+    tally = [0, 0]
+    found = simhash._near(np.arange(len(rows)), rows[:, 0], rows[:, 1], tally)
+    assert len(found) == len(rows) - 12 and all(i % 12 == j % 12 and d <= simhash.WITHIN for i, j, d in found)
+    assert tally[1] < 0.2 * tally[0]
