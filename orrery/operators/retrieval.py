@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orrery.config import RagConfig
@@ -17,6 +18,8 @@ from orrery.operators.lineage import ship
 
 #: Vectors and queries that meet in one task, and vectors and queries that are multiplied at once.
 VECTORS, QUERIES, AT_ONCE, ASKED = 16_384, 8192, 1024, 2048
+#: Pairs that one task of a scan of all scores tells, and queries whose scores go into one batch.
+PAIRS, TOLD = 1 << 25, 64
 
 
 def ranked(df: DataFrame, k: int, *order: Column, by: str = "query_id", out: str = "rank") -> DataFrame:
@@ -120,6 +123,81 @@ def vector_top(queries: DataFrame, docs: DataFrame, k: int, threshold: float) ->
     return nearest(asked, right.withColumn("part", dealt("doc_id", parts)).withColumn("chunk", every(chunks)), ["chunk", "part"], k, threshold)
 
 
+def scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score): of each query (query_id, q) and each document (doc_id, embedding) with another id the cosine with six decimals; ids are whole numbers.
+
+    Queries and documents meet in blocks of bounded size, as products of matrices; a block's scores go on in small batches and are never held together.
+    Where a vector is null or empty, holds a null or has another length there is no score; where one is zero or not finite it is NaN.
+    """
+    ship(docs.sparkSession)
+    n_queries, n_docs = queries.count(), docs.count()
+    chunks = max(1, -(-n_queries // QUERIES))
+    parts = max(1, -(-n_docs // VECTORS), min(n_docs // AT_ONCE, -(-n_queries * n_docs // (PAIRS * chunks))))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def side(df: DataFrame, is_doc: bool, key: str, vector: str, chunk: Column, part: Column) -> DataFrame:
+        v = F.col(vector).cast("array<double>")
+        rows = df.select(F.lit(is_doc).alias("is_doc"), F.col(key).cast("long").alias("id"), F.when(~F.exists(v, F.isnull), v).alias("v"))
+        square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+        rows = rows.withColumn("norm", F.sqrt(square)).select("is_doc", "id", F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(float("nan"))).alias("u"))
+        return rows.withColumn("chunk", chunk).withColumn("part", part)
+
+    left = side(queries, False, "query_id", "q", dealt("id", chunks), every(parts))
+    right = side(docs, True, "doc_id", "embedding", every(chunks), dealt("id", parts))
+    met = left.unionAll(right).withColumn("block", F.col("chunk") * parts + F.col("part")).select("block", "is_doc", "id", "u")
+    met = met.repartitionById(chunks * parts, F.col("block")).sortWithinPartitions("block", "is_doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        at, asked, meets = None, [], None
+        for batch in batches:
+            for x in (batch.slice(j, AT_ONCE) for j in range(0, batch.num_rows, AT_ONCE)):
+                kinds = x.column("block").to_numpy().astype(np.int64) * 2 + x.column("is_doc").to_numpy(zero_copy_only=False)
+                edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+                for a, b in zip(edges, edges[1:]):
+                    block, is_doc = divmod(int(kinds[a]), 2)
+                    if block != at:
+                        at, asked, meets = block, [], None
+                    ids, u = x.column("id").to_numpy()[a:b], x.column("u").slice(a, b - a)
+                    if not is_doc:
+                        asked.append((ids, u))
+                    elif asked:
+                        if meets is None:
+                            vectors = pa.concat_arrays([v for _, v in asked])
+                            meets = np.concatenate([i for i, _ in asked]), *_matrix(vectors, pc.max(vectors.value_lengths()).as_py() or 0)
+                        own, m, widths = meets
+                        d, sizes = _matrix(u, m.shape[1])
+                        for c in range(0, len(own), TOLD):
+                            score = m[c : c + TOLD] @ d.T * 1e6
+                            score = np.trunc(score + np.copysign(0.5, score)) / 1e6 + 0.0
+                            none = (widths[c : c + TOLD, None] != sizes) | (sizes <= 0)
+                            told = (own[c : c + TOLD, None] != ids).ravel()
+                            q, e = np.repeat(own[c : c + TOLD], len(ids)), np.tile(ids, len(score))
+                            columns = [q, e, score.ravel(), none.ravel()]
+                            q, e, score, none = columns if told.all() else [v[told] for v in columns]
+                            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(e), pa.array(score, mask=none, from_pandas=False)], names=["query_id", "doc_id", "score"])
+
+    found = met.mapInArrow(run, "query_id long, doc_id long, score double")
+    ids = (queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString())
+    return found.select(F.col("query_id").cast(ids[0]).alias("query_id"), F.col("doc_id").cast(ids[1]).alias("doc_id"), "score")
+
+
+def _matrix(vectors: pa.Array, width: int):
+    """Vectors as rows that are filled up with zeros or cut to the width, and their own lengths, -1 for null."""
+    import numpy as np
+
+    sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, n = vectors.flatten().to_numpy(zero_copy_only=False), np.maximum(sizes, 0)
+    if len(n) and (n == width).all():
+        return flat.reshape(len(n), width), sizes
+    row, place = np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.zeros((len(n), width))
+    out[row[place < width], place[place < width]] = flat[place < width]
+    return out, sizes
+
+
 def rrf(lists: list[tuple[DataFrame, str, float]], k: int = 60, top: int = 0) -> DataFrame:
     """Weighted reciprocal rank fusion of ranked lists (frame, retriever, weight); ties by who is seen first; top 0 cuts nothing."""
     rows = None

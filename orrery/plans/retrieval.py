@@ -6,7 +6,6 @@ from pyspark.sql import Window, functions as F
 
 from orrery.config import RagConfig
 from orrery.functions import text
-from orrery.functions.measures import cosine
 from orrery.operators import contracts, retrieval, rewrite
 from orrery.plans.base import query, table
 
@@ -46,9 +45,7 @@ def w3_keyword_top_k(spark, sf):
 
 @query(f"select query_id, doc_id, score from {COSINES}")
 def r5_vector_scan(spark, sf):
-    queries, docs = _vectors(spark, sf)
-    pairs = docs.join(queries, F.col("query_id") != F.col("doc_id"))
-    return pairs.select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return retrieval.scores(*_vectors(spark, sf))
 
 
 @query(f"select query_id, doc_id, score, rank from {VECTOR}")

@@ -41,3 +41,25 @@ def test_budget_sees_only_documents_that_may_fit(spark, compared, monkeypatch):
     out, expected = compared("u9_context_budget", documents=f"select i::bigint as doc_id, {text} as text, 'l' || (i % 4) as lang from range(400) t(i)")
     assert out == expected and len(out) > 20
     assert seen[0].count() < 60
+
+
+def test_all_scores_in_blocks(spark, compared, monkeypatch):
+    """Queries and vectors that meet in several blocks, null and zero vectors and repeated ids among them; before, a zero vector failed the query and each pair was a row of two vectors."""
+    from orrery.operators import retrieval
+
+    for name, n in (("VECTORS", 100), ("QUERIES", 3), ("AT_ONCE", 32), ("TOLD", 2)):
+        monkeypatch.setattr(retrieval, name, n)
+    vector = "case when i % 60 = 7 then null when i in (50, 61) then [0.0, 0.0, 0.0] else [sin(i * i), cos(i * 3), sin(i + 2)] end"
+    out, expected = compared("r5_vector_scan", embeddings=f"select (i % 350)::bigint as vec_id, ({vector})::float[] as embedding from range(353) t(i)", documents="select i::bigint as doc_id from range(340) t(i)")
+    assert out == expected and len(out) > 2000
+    assert "NestedLoop" not in retrieval.scores(spark.range(60).selectExpr("id query_id", "array(id, 1) q"), spark.range(9).selectExpr("id doc_id", "array(id, 1) embedding"))._jdf.queryExecution().toString()
+
+
+def test_scores_of_uneven_vectors(spark):
+    from orrery.operators import retrieval
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [2.0]), (3, [4.0]), (4, None), (5, []), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    out = {(r.query_id, r.doc_id): r.score for r in retrieval.scores(df.where("doc_id < 7").selectExpr("doc_id query_id", "embedding q"), df).collect()}
+    assert len(out) == 7 * 9 - 7 and {k for k, v in out.items() if v is not None and v == v} == {(0, 1), (1, 0), (2, 3), (3, 2)}
+    assert out[0, 1] == 0.707107 and out[2, 3] == 1.0 and out[0, 7] != out[0, 7] and out[0, 8] is None
