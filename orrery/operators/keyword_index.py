@@ -2,8 +2,9 @@
 
 A document that holds a term holds each of the term's trigrams; shorter terms are looked up whole, for which one- and
 two-character grams have lists too. Grams are hashed to 32 bits: a collision adds candidates, which verification drops again, and loses none.
-Posting lists are cut into blocks of about ``BLOCK`` documents each, so that a gram that nearly all documents hold is many short lists. A term
-is sought by its ``RAREST`` rarest grams.
+Documents are dealt to blocks of about ``BLOCK`` by the hash of their id. A posting list is one of a block, as places in it or as a bit for each
+place, whichever is shorter; so a task indexes a block by itself, and no gram of a document is shuffled. A term is sought by its ``RAREST``
+rarest grams. A search brings the lists of these and the texts of a block together, where terms are verified and counted.
 
 ``top`` is for batches of queries that grow with the corpus, of which no list of all matches can be kept: documents and queries meet
 in blocks, and of a block only the best documents of each query go on.
@@ -17,81 +18,286 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from orrery.operators.lineage import ship
+from orrery.operators.lineage import cut, ship
 from orrery.operators.retrieval import keyword_matches, ranked
 
-#: Documents of a block, grams that a term is sought by, folders of posting lists.
-BLOCK, RAREST, FOLDERS = 4096, 4, 16
+#: Documents (below 65,536) and characters of a block, grams that a term is sought by, folders of posting lists.
+BLOCK, LETTERS, RAREST, FOLDERS = 4096, 1 << 24, 4, 16
+#: Characters whose grams are made at once, queries that are counted together and those whose counts go into one batch.
+GRAMMED, PIECE, TOLD = 1 << 20, 2048, 64
 #: Queries and documents that meet in one task, documents and characters that it searches at once, and queries counted at once.
 QUERIES, DOCUMENTS, AT_ONCE, CHARACTERS, COUNTED = 131_072, 32_768, 1024, 1 << 22, 2048
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings: (folder, gram, block, ids). grams: (gram, n), how many documents hold each."""
+    """postings: (folder, gram, block, n, dense, bits), of n places each. grams: (gram, n), how many documents hold each. blocks: (block, blocks, ids), the ids by place."""
 
     postings: DataFrame
     grams: DataFrame
+    blocks: DataFrame
 
 
-def _grams(low: Column, lengths: tuple[int, ...]) -> Column:
-    """The distinct hashed grams of the lengths given."""
-    letters = F.filter(F.split(low, ""), lambda c: c != "")
+def _codes(texts: list[str]):
+    """The letters of the texts as numbers, and the number of each letter's text."""
+    import numpy as np
+
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    return np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+
+
+def _grams(texts: list[str], lengths: tuple[int, ...]):
+    """The distinct hashed grams, of the lengths given, of each text after the other, and how many each text has."""
+    import numpy as np
+
+    letters, of = _codes(texts)
+    sizes = np.bincount(of, minlength=len(texts))
+    keys, rolled = np.zeros(len(letters), np.uint64), []
+    for n in range(1, max(lengths) + 1):
+        keys = _rolled(keys[: max(0, len(letters) - n + 1)], letters[n - 1 :])
+        if n in lengths:
+            rolled.append((n, ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)))
+    out = []
+    for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist()):  # a text's grams are sorted faster than those of many
+        own = np.concatenate([np.zeros(0, np.uint32), *(r[end - size : end - n + 1] for n, r in rolled if size >= n)])
+        own.sort()
+        out.append(own[np.diff(own, prepend=~own[:1]) != 0])
+    return np.concatenate(out), np.array([len(x) for x in out])
+
+
+def _signed(grams):
+    import numpy as np
+
+    return np.ascontiguousarray(grams, np.uint32).view(np.int32)
 
-    def of(n: int) -> Column:
-        ends = F.greatest(F.size("letters") - n, F.lit(-1))
-        at = F.when(ends >= 0, F.sequence(F.lit(0), ends)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda k: F.hash(F.lit(n), *(F.get("letters", k + j) for j in range(n))))
 
-    return letters, F.array_distinct(F.concat(*map(of, lengths)))
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
     """Writes the index of the texts below path. Rows without an id or text are in no list."""
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(key).alias("doc_id"), F.lower(text).alias("low")).where("doc_id is not null and low <> ''")
-    blocks = max(1, -(-rows.count() // BLOCK))
-    letters, grams = _grams(F.col("low"), (1, 2, 3))
-    held = rows.select("doc_id", letters.alias("letters")).select("doc_id", F.explode(grams).alias("gram"))
-    lists = held.groupBy("gram", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("doc_id").alias("ids"))
-    lists.withColumn("folder", F.pmod("gram", F.lit(FOLDERS))).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    n, letters = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("low")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-letters // LETTERS))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    _postings(spark, path, kind).groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
+    dealt = rows.select(_block("doc_id", blocks).alias("block"), "doc_id", "low")
+    dealt.select("block", "doc_id").groupBy("block").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")).withColumn("blocks", F.lit(blocks)).write.mode("overwrite").parquet(f"{path}/blocks")
+    met = dealt.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "doc_id")
+    met.mapInArrow(_listed, "gram int, block int, n int, dense boolean, bits binary").withColumn("folder", F.pmod("gram", F.lit(FOLDERS))).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    _postings(spark, path).groupBy("gram").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{path}/grams")
     return read(spark, path, kind)
 
 
-def _postings(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(f"gram int, block int, ids array<{kind}>, folder int").parquet(f"{path}/postings")
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The posting lists of blocks of documents, which come by block and id."""
+    import numpy as np
+
+    at, last, place, shared, found, texts, places, letters = None, None, -1, False, [], [], [], 0
+
+    def gram() -> None:
+        nonlocal texts, places, letters
+        if texts:
+            grams, n = _grams(texts, (1, 2, 3))
+            found.append((grams.astype(np.uint64) << np.uint64(16)) + np.repeat(np.array(places, np.uint64), n))
+        texts, places, letters = [], [], 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        gram()
+        if not found:
+            return
+        pairs = np.concatenate(found)
+        pairs.sort()
+        if shared:
+            pairs = np.unique(pairs)
+        grams, own = (pairs >> np.uint64(16)).astype(np.uint32), (pairs & np.uint64(0xFFFF)).astype(np.uint16)
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        known, n = grams[first], np.diff(first, append=len(grams))
+        width = -(-(place + 1) // 8)
+        dense = 2 * n > width
+        kept = np.repeat(~dense, n)
+        ends = np.concatenate([[0], np.cumsum(2 * n[~dense])]).astype(np.int32)
+        yield batch_of(known[~dense], n[~dense], False, pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(own[kept])]))
+        for a in range(0, len(some := np.flatnonzero(dense)), 1024):
+            g = some[a : a + 1024]
+            bits = np.zeros((len(g), width * 8), bool)
+            row = np.repeat(np.arange(len(g)), n[g])
+            bits[row, own[np.repeat(first[g] - np.cumsum(n[g]) + n[g], n[g]) + np.arange(len(row))]] = True
+            yield batch_of(known[g], n[g], True, pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary()))
+
+    def batch_of(grams, n, dense, bits) -> pa.RecordBatch:
+        columns = [pa.array(_signed(grams)), pa.array(np.full(len(n), at, np.int32)), pa.array(n.astype(np.int32)), pa.array(np.full(len(n), dense)), bits]
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "block", "n", "dense", "bits"])
+
+    for x in batches:
+        for r in (r for j in range(0, x.num_rows, 256) for r in x.slice(j, 256).to_pylist()):
+            if r["block"] != at:
+                yield from told()
+                at, last, place, shared, found = r["block"], None, -1, False, []
+            if r["doc_id"] != last:  # rows that share an id share a place
+                last, place = r["doc_id"], place + 1
+            else:
+                shared = True
+            texts.append(r["low"])
+            places.append(place)
+            letters += len(r["low"])
+            if letters >= GRAMMED:
+                gram()
+    yield from told()
+
+
+def _postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("gram int, block int, n int, dense boolean, bits binary, folder int").parquet(f"{path}/postings")
 
 
 def read(spark: SparkSession, path: str, kind: str = "long") -> Index:
     """The index below path, of documents whose ids are of the kind given."""
-    return Index(_postings(spark, path, kind), spark.read.schema("gram int, n long").parquet(f"{path}/grams"))
+    return Index(_postings(spark, path), spark.read.schema("gram int, n long").parquet(f"{path}/grams"), spark.read.schema(f"block int, blocks int, ids array<{kind}>").parquet(f"{path}/blocks"))
 
 
-def candidates(terms: DataFrame, index: Index) -> DataFrame:
-    """(term, doc_id): documents that hold the rarest grams of each distinct term, which is in lower case."""
-    letters, three = _grams(F.col("term"), (3,))
-    whole = F.when(F.size("letters") == 1, F.array(F.hash(F.lit(1), F.get("letters", F.lit(0))))).otherwise(F.array(F.hash(F.lit(2), F.get("letters", F.lit(0)), F.get("letters", F.lit(1)))))
-    cut = terms.select("term", letters.alias("letters")).select("term", F.explode(F.when(F.size("letters") >= 3, three).otherwise(whole)).alias("gram"))
-    known = cut.join(index.grams, "gram", "left").groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
+def _term_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, gram): a term's trigrams, or a shorter term's own gram."""
+    import numpy as np
+
+    for x in batches:
+        terms = x.column("term").to_pylist()
+        for n in {min(len(t), 3) for t in terms}:
+            own = [t for t in terms if min(len(t), 3) == n]
+            grams, each = _grams(own, (n,))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()).take(pa.array(np.repeat(np.arange(len(own)), each))), pa.array(_signed(grams))], names=["term", "gram"])
+
+
+def sought(terms: DataFrame, index: Index) -> DataFrame:
+    """(folder, gram, term, need): the rarest grams of each distinct term, which is in lower case, and how many they are."""
+    grams = terms.select("term").mapInArrow(_term_grams, "term string, gram int")
+    known = grams.join(index.grams, "gram", "left").groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
     known = known.where(F.col("grams")[0]["n"] > 0)  # a gram that no document holds rules its term out
-    sought = known.select("term", F.slice("grams", 1, RAREST).alias("grams")).select("term", F.size("grams").alias("need"), F.explode("grams.gram").alias("gram")).withColumn("folder", F.pmod("gram", F.lit(FOLDERS)))
-    met = index.postings.join(sought, ["folder", "gram"]).groupBy("term", "need", "block").agg(F.collect_list("ids").alias("lists"))
-    both = F.aggregate(F.slice("lists", 2, F.col("need")), F.col("lists")[0], F.array_intersect)
-    return met.where(F.size("lists") == F.col("need")).select("term", F.explode(both).alias("doc_id"))
+    rare = known.select("term", F.slice("grams", 1, RAREST).alias("grams"))
+    return rare.select("term", F.size("grams").alias("need"), F.explode("grams.gram").alias("gram")).withColumn("folder", F.pmod("gram", F.lit(FOLDERS)))
 
 
 def matches(docs: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
     """(query_id, doc_id, match_count, len): how many terms (query_id, term) each document holds, whatever their case.
 
-    Each text that is a candidate at all is read and lowered once, for all of its terms.
+    A block's texts meet the terms whose grams it has lists of, each with its queries, some ``PIECE`` of them at a time.
+    A text is read and lowered once, for all of its terms.
     """
-    wanted = terms.select("query_id", F.lower("term").alias("term")).where("term <> ''").distinct()
-    found = candidates(wanted.select("term").distinct(), index).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    read_once = docs.where("doc_id is not null").select("doc_id", F.lower("text").alias("low"), F.length("text").alias("len")).join(found, "doc_id")
-    held = read_once.select("doc_id", "len", F.explode(F.filter("terms", lambda t: F.expr("low").contains(t))).alias("term"))
-    return held.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("match_count"), F.min("len").alias("len"))
+    spark = docs.sparkSession
+    ship(spark)
+    wanted = terms.select("query_id", F.lower("term").alias("term")).where("term <> '' and query_id is not null").distinct()
+    kind, asking = index.blocks.schema["ids"].dataType.elementType.simpleString(), wanted.schema["query_id"].dataType.simpleString()
+    own = docs.schema["doc_id"].dataType.simpleString()
+    first = index.blocks.select("blocks").first()
+    blocks = first["blocks"] if first else 1
+    # written, so that their size is known and the lists need no shuffle to be joined with few of them
+    rare = cut(sought(wanted.select("term").distinct(), index))
+    lists = index.postings.join(rare, ["folder", "gram"]).groupBy("block", "term", "need").agg(F.collect_list(F.struct("dense", "bits")).alias("lists")).where(F.size("lists") == F.col("need"))
+    pieces = max(1, -(-wanted.select("query_id").distinct().count() // PIECE))
+    asked = cut(wanted.groupBy("term", F.pmod(F.xxhash64("query_id"), F.lit(pieces)).cast("int").alias("piece")).agg(F.collect_list("query_id").alias("queries")))
+    columns = {"kind": "int", "piece": "int", "id": kind, "len": "int", "text": "string", "ids": f"array<{kind}>", "lists": "array<struct<dense:boolean,bits:binary>>", "queries": f"array<{asking}>"}
+    row = lambda df, **known: df.select("block", *(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
+    texts = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast(kind).alias("id"), F.length("text").alias("len"), F.lower("text").alias("text"))
+    met = row(index.blocks, kind=F.lit(0), ids=F.col("ids"))
+    met = met.unionAll(row(texts.withColumn("block", _block("id", blocks)), kind=F.lit(1), id=F.col("id"), len=F.col("len"), text=F.col("text")))
+    met = met.unionAll(row(lists.join(asked, "term"), kind=F.lit(2), piece=F.col("piece"), text=F.col("term"), lists=F.col("lists"), queries=F.col("queries")))
+    met = met.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind", "piece")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, piece = None, None, None
+        for x in batches:
+            types = x.schema.field("id").type, x.schema.field("queries").type.value_type
+            for r in (r for j in range(0, x.num_rows, 256) for r in x.slice(j, 256).to_pylist()):
+                if (r["block"], r["piece"]) != (at, piece):
+                    if block:
+                        yield from block.told()
+                    if r["block"] != at:
+                        block = _Texts(*types)
+                    at, piece = r["block"], r["piece"]
+                block.add(r)
+        if block:
+            yield from block.told()
+
+    found = met.mapInArrow(run, f"query_id {asking}, doc_id {kind}, match_count long, len int")
+    return found.withColumn("doc_id", F.col("doc_id").cast(own))
+
+
+class _Texts:
+    """A block: the ids of its places, its texts, then the terms that its lists may hold, by pieces of the queries that ask for them."""
+
+    def __init__(self, id_type: pa.DataType, query_type: pa.DataType) -> None:
+        self.types, self.place, self.rows, self.texts, self.verified, self.counts = (id_type, query_type), {}, [], None, {}, None
+
+    def add(self, r: dict) -> None:
+        if r["kind"] == 0:
+            self.place = {d: i for i, d in enumerate(r["ids"])}
+        elif r["kind"] == 1:
+            if (p := self.place.get(r["id"])) is not None:
+                self.rows.append((p, r["id"], r["len"], r["text"]))
+        elif self.rows:
+            self._count(r)
+
+    def _start(self) -> None:
+        import numpy as np
+
+        self.rows.sort(key=lambda x: x[0])
+        self.at = np.array([x[0] for x in self.rows])
+        self.first = np.flatnonzero(np.diff(self.at, prepend=-1))  # the first row of each id
+        self.lens = np.array([x[2] for x in self.rows], np.int32)
+        self.ids = pa.array([self.rows[i][1] for i in self.first], self.types[0])
+        self.texts = [x[3] for x in self.rows]
+
+    def _held(self, term: str, lists: list[dict]):
+        """Which rows hold the term."""
+        import numpy as np
+
+        may = np.ones(-(-len(self.place) // 8) * 8, bool)
+        for x in lists:
+            if x["dense"]:
+                may &= np.unpackbits(np.frombuffer(x["bits"], np.uint8)).view(bool)
+            else:
+                only = np.zeros(len(may), bool)
+                only[np.frombuffer(x["bits"], np.uint16)] = True
+                may &= only
+        some = np.flatnonzero(may[self.at])
+        texts = self.texts
+        held = np.zeros(len(texts), bool)
+        held[[i for i in some.tolist() if term in texts[i]]] = True
+        return held
+
+    def _count(self, r: dict) -> None:
+        import numpy as np
+
+        if self.counts is None:
+            if self.texts is None:
+                self._start()
+            self.number, self.counts = {}, []
+        held = self.verified.get(r["text"])
+        if held is None:
+            held = self.verified[r["text"]] = np.packbits(self._held(r["text"], r["lists"]))
+        for q in r["queries"]:
+            self.counts.append((self.number.setdefault(q, len(self.number)), held))
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        """The counts of the piece's queries."""
+        import numpy as np
+
+        if not self.counts:
+            return
+        queries, n = pa.array(list(self.number), self.types[1]), len(self.texts)
+        terms = [[] for _ in self.number]
+        for q, held in self.counts:
+            terms[q].append(held)
+        self.counts = None
+        for a in range(0, len(terms), TOLD):
+            count = np.stack([np.unpackbits(np.stack(own), axis=1, count=n).sum(0, dtype=np.int64) for own in terms[a : a + TOLD]])
+            lens = np.broadcast_to(self.lens, count.shape)
+            if len(self.first) < n:  # of rows that share an id, the terms of all and the least length of those that hold any
+                lens = np.minimum.reduceat(np.where(count > 0, lens, np.iinfo(np.int32).max), self.first, axis=1)
+                count = np.add.reduceat(count, self.first, axis=1)
+            q, d = np.nonzero(count)
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(a + q)), self.ids.take(pa.array(d)), pa.array(count[q, d]), pa.array(lens[q, d])], names=["query_id", "doc_id", "match_count", "len"])
 
 
 def top(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
@@ -180,8 +386,7 @@ class _Block:
         """(term, document) of every term that a text holds."""
         import numpy as np
 
-        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-        letters, doc = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        letters, doc = _codes(texts)
         keys, n, found = np.zeros(len(letters), np.uint64), 0, []
         for size, own, numbers, spelled, sieve in self.by_length:
             while n < size:

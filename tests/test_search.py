@@ -84,6 +84,28 @@ def test_odd_texts_and_terms(spark, monkeypatch):
     assert keyword_index.matches(docs, asked, keyword_index.build(docs.limit(0), place(spark, "test"))).count() == 0
 
 
+def test_keyword_index_of_shared_ids_in_pieces(spark, monkeypatch):
+    """Rows that share an id, ids that are texts, queries of several pieces; no row for each gram of a document is made, and a block's lists stay short."""
+    for name, n in (("BLOCK", 15), ("PIECE", 3), ("TOLD", 2), ("GRAMMED", 64), ("RAREST", 2)):
+        monkeypatch.setattr(keyword_index, name, n)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abÄ𝄞") for _ in range(r.randint(1, 5)))
+    rows = [(f"d{r.randint(0, 150)}", r.choice([None, "", " ".join(word() for _ in range(r.randint(1, 30)))])) for k in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    terms = spark.createDataFrame([(f"q{q}", word().upper()) for q in range(20) for _ in range(9)], "query_id string, term string")
+    index = keyword_index.build(docs, place(spark, "test"))
+    out = keyword_index.matches(docs, terms, index)
+    row = lambda r: (r.query_id, r.doc_id, r.match_count, r.len)
+    expected = sorted(map(row, retrieval.keyword_matches(docs, terms).collect()))
+    assert sorted(map(row, out.collect())) == expected and len(expected) > 500
+    assert index.blocks.count() > 3 and index.postings.where("dense").count() and index.postings.where("not dense").count()
+    lists = index.postings.selectExpr("count(*) lists", "sum(n) n", "max(length(bits)) longest").first()
+    assert lists.lists * 2 < lists.n and lists.longest <= 20
+    few = docs.where("doc_id < 'd2'")  # documents that have gone since, and ones that came since
+    assert sorted(map(row, keyword_index.matches(few, terms, index).collect())) == [x for x in expected if x[1] < "d2"]
+    assert keyword_index.matches(docs, terms, keyword_index.build(few, place(spark, "test"))).count() == sum(x[1] < "d2" for x in expected)
+
+
 def test_best_documents_of_many_queries(spark, monkeypatch):
     """In blocks of any size, with ties, shared ids, long terms and letters beyond the first plane, as the list of all matches says; no such list is made."""
     r = random.Random(3)
