@@ -56,14 +56,20 @@ def _segment(n: Column, i: int, pieces: int, shift: int) -> Column:
 
 
 def segment_keys(edits: int = EDITS) -> Column:
-    """Keys of a line's index and probe rows, an array of (k, own). A line of length n looks for lines of length n - d."""
+    """Keys of a line's index and probe rows, an array of numbers whose lowest bit tells a line's own. A line of length n looks for lines of length n - d.
+
+    Two edits between lines of one length that leave neither end segment whole are one in each, so each line holds the other's middle, moved by opposite
+    steps; one direction is enough.
+    """
     out = []
     for d in range(edits + 1):
         n = F.col("n") - d
         for i in range(edits + 1):
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
+                if edits == 2 and d == 0 and shift < 0:
+                    continue
                 key = F.xxhash64(n, F.lit(i), F.lit(edits), _segment(n, i, edits + 1, shift))
-                out.append(F.struct(key.alias("k"), F.lit(d == 0 and shift == 0).alias("own")))
+                out.append(key.bitwiseOR(F.lit(1)) if d == 0 and shift == 0 else key.bitwiseAND(F.lit(-2)))
     return F.array(*out)
 
 
@@ -151,12 +157,12 @@ def _joined(side: DataFrame, edits: int) -> DataFrame:
 def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST, one: int = ONE, hot: int = HOT) -> DataFrame:
     """(a, ag, b, bg): the hashes of different lines within the edits allowed, each pair once. ``lines`` has (h, g, line), each line once."""
     lines = lines.withColumn("n", F.length("line")).where(F.col("n") >= min(one, least))
-    none = F.array().cast("array<struct<k:bigint,own:boolean>>")
+    none = F.array().cast("array<bigint>")
     own = F.when(F.col("n") >= least, segment_keys(edits)).otherwise(none)
     if one < least:  # lines of just ``least`` characters also look for shorter ones
         own = F.concat(own, F.when(F.col("n") <= least, segment_keys(1)).otherwise(none))
     # one shuffle by key, read twice: for the keys that lines share, then for these keys' lines
-    keys = lines.select("h", F.explode(own).alias("s")).select("h", F.col("s.k").alias("k"), F.col("s.own").alias("own")).repartition("k")
+    keys = lines.select("h", F.explode(own).alias("s")).select("h", F.shiftright("s", 1).alias("k"), (F.col("s").bitwiseAND(F.lit(1)) == 1).alias("own")).repartition("k")
     shared = keys.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("own").alias("own"), F.count("*").alias("m")).where("x <> y and own").select("k", "m")
     members = saved(keys.join(shared.hint("shuffle_hash"), "k").groupBy("k", "h").agg(F.max("own").alias("own"), F.max("m").alias("m")), "members")
     wanted = saved(members.groupBy("h").agg(F.max("m").alias("m")), "wanted")

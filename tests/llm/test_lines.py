@@ -52,6 +52,24 @@ def test_against_brute_force(spark):
     assert {x.doc_id: x.text for x in out} == expected
 
 
+def test_keys_of_two_edits_at_the_ends(spark):
+    """Plain numbers, eleven a line, are the keys; a letter taken from either end segment and one put into the other are found, wherever they are."""
+    r = random.Random(4)
+    pairs = []
+    for n in (30, 31, 32, 45):
+        for _ in range(60):
+            a = "".join(r.choice("abcdé") for _ in range(n))
+            x, y = sorted(r.sample(range(n), 2))
+            b = r.choice([a[:x] + r.choice("abé") + a[x:y] + a[y + 1 :], a[:x] + a[x + 1 : y] + r.choice("abé") + a[y:]])
+            pairs += [(a, b)] if a != b else []
+    df = spark.createDataFrame([(t,) for t in sorted({t for p in pairs for t in p})], "line string").select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), "line")
+    keys = df.withColumn("n", F.length("line")).select(lines.segment_keys().alias("k"))
+    assert keys.schema["k"].dataType.elementType.simpleString() == "bigint" and {len(r.k) for r in keys.collect()} == {11}
+    names = {r.h: r.line for r in df.collect()}
+    found = {frozenset((names[r.a], names[r.b])) for r in lines.near_pairs(df).select("a", "b").collect()}
+    assert len(pairs) > 200 and {frozenset(p) for p in pairs} <= found
+
+
 def test_hot_keys_against_brute_force(spark):
     """Lines that share much: pairs found by two segments of four are those that one of three finds."""
     r = random.Random(9)
