@@ -46,31 +46,50 @@ def occurrences(df: DataFrame, text: str, key: str) -> DataFrame:
     return lines.select("row", "at", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"))
 
 
-def _cut(n: Column, i: int, pieces: int) -> Column:
+def _cut(n: Column, i: int | Column, pieces: int | Column) -> Column:
     return F.floor(n * i / pieces).cast("int")
 
 
-def _segment(n: Column, i: int, pieces: int, shift: int) -> Column:
-    start = _cut(n, i, pieces)
-    return F.substring("line", start + 1 + shift, _cut(n, i + 1, pieces) - start)
-
-
-def segment_keys(edits: int = EDITS) -> Column:
-    """Keys of a line's index and probe rows, an array of numbers whose lowest bit tells a line's own. A line of length n looks for lines of length n - d.
+def segment_cases(edits: int = EDITS) -> list[Column]:
+    """(e, d, i, x): a line of length n looks for lines of length n - d, with e edits, by its own text at their segment i, moved by x.
 
     Two edits between lines of one length that leave neither end segment whole are one in each, so each line holds the other's middle, moved by opposite
     steps; one direction is enough.
     """
     out = []
     for d in range(edits + 1):
-        n = F.col("n") - d
         for i in range(edits + 1):
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
                 if edits == 2 and d == 0 and shift < 0:
                     continue
-                key = F.xxhash64(n, F.lit(i), F.lit(edits), _segment(n, i, edits + 1, shift))
-                out.append(key.bitwiseOR(F.lit(1)) if d == 0 and shift == 0 else key.bitwiseAND(F.lit(-2)))
-    return F.array(*out)
+                out.append(F.struct(*(F.lit(v).alias(k) for k, v in zip("edix", (edits, d, i, shift)))))
+    return out
+
+
+def segment_key(c: Column) -> Column:
+    """The key of a line's case, a number whose lowest bit tells a line's own."""
+    n, pieces = F.col("n") - c["d"], c["e"] + 1
+    start = _cut(n, c["i"], pieces)
+    key = F.xxhash64(n, c["i"], c["e"], F.substring("line", start + 1 + c["x"], _cut(n, c["i"] + 1, pieces) - start))
+    return key.bitwiseAND(F.lit(-2)).bitwiseOR(((c["d"] == 0) & (c["x"] == 0)).cast("long"))
+
+
+def segment_keys(edits: int = EDITS) -> Column:
+    """Keys of a line's index and probe rows, as one array."""
+    return F.array(*(segment_key(c) for c in segment_cases(edits)))
+
+
+def keyed(lines: DataFrame, edits: int = EDITS, least: int = LEAST, one: int = ONE) -> DataFrame:
+    """(h, k, own): the segment keys of lines (h, line, n), a row each.
+
+    Cases become rows before their keys are computed. As elements of one array their code is one method, too long for the JVM to compile.
+    """
+    cases = F.array(*segment_cases(edits))
+    if one < least:  # lines of just ``least`` characters also look for shorter ones
+        shorter = F.array(*segment_cases(1))
+        cases = F.when(F.col("n") > least, cases).when(F.col("n") == least, F.concat(cases, shorter)).otherwise(shorter)
+    found = lines.select("h", "line", "n", F.explode(cases).alias("c")).select("h", segment_key(F.col("c")).alias("s"))
+    return found.select("h", F.shiftright("s", 1).alias("k"), (F.col("s").bitwiseAND(F.lit(1)) == 1).alias("own"))
 
 
 def pair_keys(edits: int = EDITS) -> Column:
@@ -157,12 +176,8 @@ def _joined(side: DataFrame, edits: int) -> DataFrame:
 def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST, one: int = ONE, hot: int = HOT) -> DataFrame:
     """(a, ag, b, bg): the hashes of different lines within the edits allowed, each pair once. ``lines`` has (h, g, line), each line once."""
     lines = lines.withColumn("n", F.length("line")).where(F.col("n") >= min(one, least))
-    none = F.array().cast("array<bigint>")
-    own = F.when(F.col("n") >= least, segment_keys(edits)).otherwise(none)
-    if one < least:  # lines of just ``least`` characters also look for shorter ones
-        own = F.concat(own, F.when(F.col("n") <= least, segment_keys(1)).otherwise(none))
     # one shuffle by key, read twice: for the keys that lines share, then for these keys' lines
-    keys = lines.select("h", F.explode(own).alias("s")).select("h", F.shiftright("s", 1).alias("k"), (F.col("s").bitwiseAND(F.lit(1)) == 1).alias("own")).repartition("k")
+    keys = keyed(lines, edits, least, one).repartition("k")
     shared = keys.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("own").alias("own"), F.count("*").alias("m")).where("x <> y and own").select("k", "m")
     members = saved(keys.join(shared.hint("shuffle_hash"), "k").groupBy("k", "h").agg(F.max("own").alias("own"), F.max("m").alias("m")), "members")
     wanted = saved(members.groupBy("h").agg(F.max("m").alias("m")), "wanted")

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -70,6 +71,21 @@ def test_keys_of_two_edits_at_the_ends(spark):
     assert len(pairs) > 200 and {frozenset(p) for p in pairs} <= found
 
 
+def test_keys_are_compiled(spark, capsys):
+    """Keys as rows are those of the arrays, below, at and above the length from which two edits are allowed, and no method that makes them exceeds the 8000 bytes that the JVM compiles."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdé😀") for _ in range(n)) for n in (15, 16, 29, 30, 30, 31, 32, 45, 400)]
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "h long, line string, n int")
+    arrays = df.select("h", "n", lines.segment_keys().alias("two"), lines.segment_keys(1).alias("one")).collect()
+    expected = sorted((x.h, k >> 1, k & 1 == 1) for x in arrays for k in (x.two if x.n >= 30 else []) + (x.one if x.n <= 30 else []))
+    assert sorted(tuple(x) for x in lines.keyed(df).collect()) == expected
+    assert spark.conf.get("spark.sql.codegen.wholeStage") == "true"
+    capsys.readouterr()
+    lines.keyed(df).explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
 def test_hot_keys_against_brute_force(spark):
     """Lines that share much: pairs found by two segments of four are those that one of three finds."""
     r = random.Random(9)
