@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: What counts as an identifier, a word, a number.
@@ -27,6 +29,11 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once a row, however often it is used; within a lambda it would be for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def keywords(c: Column, limit: int = 8) -> Column:
     """Search terms by priority: identifiers, Latin words, numbers, CJK pairs; each once whatever its case."""
     if limit <= 0:
@@ -36,9 +43,8 @@ def keywords(c: Column, limit: int = 8) -> Column:
     every = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
     pairs = F.flatten(F.transform(every(rest, CJK), lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda k: F.substring(run, k, F.lit(2)))))
     terms = F.concat(every(text, IDENTIFIER), every(rest, LATIN), every(rest, DIGITS), pairs)
-    low = F.transform(terms, F.lower)
-    first = F.filter(terms, lambda t, k: F.array_position(low, F.lower(t)) == k + 1)
-    return F.slice(first, 1, limit)
+    first = lambda t, low: F.transform(F.slice(F.array_distinct(low), 1, limit), lambda x: F.get(t, F.array_position(low, x).cast("int") - 1))
+    return once(terms, lambda t: once(F.transform(t, F.lower), lambda low: first(t, low)))
 
 
 def embedding_text(path: Column, content: Column) -> Column:

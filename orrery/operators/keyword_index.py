@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,7 +27,9 @@ BLOCK, LETTERS, RAREST, FOLDERS = 4096, 1 << 24, 4, 16
 #: Characters whose grams are made at once, queries that are counted together and those whose counts go into one batch.
 GRAMMED, PIECE, TOLD = 1 << 20, 2048, 64
 #: Queries and documents that meet in one task, documents and characters that it searches at once, and queries counted at once.
-QUERIES, DOCUMENTS, AT_ONCE, CHARACTERS, COUNTED = 131_072, 32_768, 1024, 1 << 22, 2048
+QUERIES, DOCUMENTS, AT_ONCE, CHARACTERS, COUNTED = 262_144, 65_536, 1024, 1 << 22, 256
+#: Documents that are counted over at once, bytes of a table of terms by documents, words that a task remembers, and a byte that is in no text.
+SPAN, CELLS, WORDS, GAP = 8192, 1 << 26, 1 << 19, b"\xff"
 
 
 @dataclass(frozen=True)
@@ -320,7 +323,7 @@ def top(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     once = rows.join(repeated, "doc_id", "left_anti") if shared else rows
     left = asked.select(dealt("query_id", chunks).alias("chunk"), every(buckets).alias("bucket"), F.col("query_id").alias("id"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("string").alias("low"), "terms")
     right = once.select(every(chunks).alias("chunk"), dealt("doc_id", buckets).alias("bucket"), F.col("doc_id").cast("long").alias("id"), F.length("text").alias("len"), F.lower("text").alias("low"), F.lit(None).cast("array<string>").alias("terms"))
-    met = left.unionAll(right).repartition(chunks * buckets, "chunk", "bucket").sortWithinPartitions("chunk", "bucket", F.col("len").asc_nulls_first(), "id")
+    met = left.unionAll(right).repartitionById(chunks * buckets, F.col("chunk") * buckets + F.col("bucket")).sortWithinPartitions("chunk", "bucket", F.col("len").asc_nulls_first(), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at = None, None
@@ -340,110 +343,186 @@ def top(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     return ranked(found, k, F.desc("match_count"), F.col("len"), F.col("doc_id"))
 
 
+class _Words(dict):
+    """Numbers by their words; a new word takes the next."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Block:
-    """Queries, then documents by length and id: the first k of each query by the number of its terms that they hold."""
+    """Queries, then documents by length and id: the first k of each query by the number of its terms that they hold.
+
+    A term lies within a run of bytes that terms are made of. Such words come again and again, so a text is cut into them and each is
+    searched for terms once. Which of a span's documents hold a term is a row of bits; a query's rows are added up bit by bit of the
+    sums, for 64 documents at a time, and of the largest sums the first documents are taken.
+    """
 
     def __init__(self, k: int) -> None:
-        self.k, self.queries, self.terms, self.ready, self.held, self.characters = k, [], [], False, [], 0
+        self.k, self.queries, self.known, self.terms, self.ready, self.held, self.characters = k, [], _Words(), [], False, [], 0
 
     def add(self, row: dict) -> None:
         if row["low"] is None:
             self.queries.append(row["id"])
-            self.terms.append(row["terms"])
+            self.terms.append([self.known[t] for t in row["terms"]])
         elif self.queries:
+            if not self.ready:
+                self._start()
             self.held.append(row)
             self.characters += len(row["low"])
-            if len(self.held) >= AT_ONCE or self.characters >= CHARACTERS:
+            if len(self.held) >= self.at_once or self.characters >= CHARACTERS or self.placed + len(self.held) >= self.span:
                 self._search()
 
     def _start(self) -> None:
         import numpy as np
 
-        known = sorted({t for ts in self.terms for t in ts}, key=lambda t: (len(t), t))
-        number = {t: i for i, t in enumerate(known)}
-        width = max(map(len, self.terms))
+        known = [t.encode("utf-8", "surrogatepass") for t in self.known]
         # queries as rows of numbers of terms; the last number is no term's
-        self.asked = np.full((len(self.terms), width), len(known), np.int32)
+        self.asked = np.full((len(self.terms), max(map(len, self.terms))), len(known), np.int32)
         for i, ts in enumerate(self.terms):
-            self.asked[i, : len(ts)] = [number[t] for t in ts]
-        self.known, self.by_length, self.ready = len(known), [], True
-        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in known]
-        lengths = np.array([len(c) for c in codes])
+            self.asked[i, : len(ts)] = ts
+        self.known, self.terms, self.by_length, self.ready = None, [], {}, True
+        lengths = np.array([len(t) for t in known])
         for n in np.unique(lengths).tolist():
             numbers = np.flatnonzero(lengths == n)
-            letters = np.stack([codes[i] for i in numbers])
+            spelled = np.frombuffer(b"".join(known[i] for i in numbers), np.uint8).reshape(-1, n)
             keys = np.zeros(len(numbers), np.uint64)
             for j in range(n):
-                keys = _rolled(keys, letters[:, j])
+                keys = _rolled(keys, spelled[:, j])
             order = np.argsort(keys, kind="stable")
             sieve = np.zeros(1 << 20, bool)
             sieve[_slot(keys)] = True
-            self.by_length.append((n, keys[order], numbers[order], letters[order], sieve))
-        shape = (len(self.terms), self.k)
+            self.by_length[n] = keys[order], numbers[order], spelled[order], sieve
+        letters = set(b"".join(known))
+        self.table = bytes(x if x in letters else GAP[0] for x in range(256))
+        self.span = max(64, min(SPAN, CELLS * 8 // (len(known) + 1)) // 64 * 64)
+        self.at_once = max(1, min(AT_ONCE, CELLS // (len(known) + 1)))
+        self.bits = np.zeros((len(known) + 1, self.span // 64), np.uint64)
+        self.placed, self.places = 0, []
+        shape = (len(self.queries), self.k)
         self.counts, self.ids, self.lens = np.zeros(shape, np.int32), np.zeros(shape, np.int64), np.zeros(shape, np.int32)
+        self._forget()
 
-    def _held_terms(self, texts: list[str]):
-        """(term, document) of every term that a text holds."""
+    def _forget(self) -> None:
         import numpy as np
 
-        letters, doc = _codes(texts)
-        keys, n, found = np.zeros(len(letters), np.uint64), 0, []
-        for size, own, numbers, spelled, sieve in self.by_length:
-            while n < size:
-                n += 1
-                keys = _rolled(keys[: max(0, len(letters) - n + 1)], letters[n - 1 :])
-            at = np.flatnonzero(sieve[_slot(keys)])
-            at = at[doc[at] == doc[at + size - 1]]
-            first, last = np.searchsorted(own, keys[at]), np.searchsorted(own, keys[at], side="right")
+        # the words so far; of each, where its terms begin and how many they are; the terms
+        self.words, self.first, self.n, self.found, self.letters = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+
+    def _held_terms(self, words: list[bytes]):
+        """(word, term) of every term that a word holds, by word."""
+        import numpy as np
+
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.array([len(w) for w in words])
+        of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        at, keys, found = np.arange(len(letters)), np.zeros(len(letters), np.uint64), [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for size in range(1, max(self.by_length) + 1):
+            if not (within := at + size <= ends).all():
+                at, keys, ends = at[within], keys[within], ends[within]
+            keys = _rolled(keys, letters[at + (size - 1)])
+            if size not in self.by_length:
+                continue
+            own, numbers, spelled, sieve = self.by_length[size]
+            some = np.flatnonzero(sieve[_slot(keys)])
+            first, last = np.searchsorted(own, keys[some]), np.searchsorted(own, keys[some], side="right")
             for step in range(int((last - first).max(initial=0))):  # terms with equal keys, rarely more than one
-                some = first + step < last
-                term, place = (first + step)[some], at[some]
-                pair, where = np.unique(term * len(texts) + doc[place], return_index=True)
-                term, place = term[where], place[where]
-                # equal keys don't prove equal letters; where the first place fails all are tried
-                same = (letters[place[:, None] + np.arange(size)] == spelled[term]).all(1)
-                for m in np.flatnonzero(~same).tolist():
-                    every = at[some][((first + step)[some] == term[m]) & (doc[at[some]] == pair[m] % len(texts))]
-                    same[m] = (letters[every[:, None] + np.arange(size)] == spelled[term[m]]).all(1).any()
-                pair, term = pair[same], term[same]
-                found.append((numbers[term], pair % len(texts)))
-        return np.concatenate([f[0] for f in found]) if found else np.zeros(0, int), np.concatenate([f[1] for f in found]) if found else np.zeros(0, int)
+                more = first + step < last
+                place, term = at[some[more]], (first + step)[more]
+                same = (letters[place[:, None] + np.arange(size)] == spelled[term]).all(1)  # equal keys don't prove equal letters
+                found.append((of[place[same]], numbers[term[same]].astype(np.int32)))
+        word, term = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(word, kind="stable")
+        return word[order], term[order]
 
     def _search(self) -> None:
+        """Sets the bits of the documents at hand."""
         import numpy as np
 
-        if not self.ready:
-            self._start()
         rows, self.held, self.characters = self.held, [], 0
-        ids, lens = np.array([r["id"] for r in rows], np.int64), np.array([r["len"] for r in rows], np.int32)
-        term, doc = self._held_terms([r["low"] for r in rows])
-        # a row for each term that is held at all; row 0 for all others
-        used, row = np.unique(term, return_inverse=True)
-        place = np.zeros(self.known + 1, np.int32)
-        place[used] = np.arange(1, len(used) + 1)
-        holds = np.zeros((len(used) + 1, len(rows)), np.uint8)
-        holds[row + 1, doc] = 1
-        kind = np.uint8 if self.asked.shape[1] < 256 else np.int32
-        for a in range(0, len(self.asked), COUNTED):
-            asked = place[self.asked[a : a + COUNTED]]
-            count = np.zeros((len(asked), len(rows)), kind)
-            for j in range(asked.shape[1]):
-                count += holds[asked[:, j]]
-            # documents come by length and id, so only one with more terms than the k-th so far takes a place
-            better = np.flatnonzero(count.max(axis=1) > self.counts[a : a + COUNTED, -1])
-            if not len(better):
-                continue
-            key = count[better].astype(np.int64) * len(rows) + np.arange(len(rows) - 1, -1, -1)
-            most = min(self.k, len(rows))
-            best = np.argpartition(key, len(rows) - most, axis=1)[:, len(rows) - most :]
-            key = np.take_along_axis(key, best, axis=1)
-            best = np.take_along_axis(best, np.argsort(-key, axis=1), axis=1)
-            both = lambda old, new: np.concatenate([old[a + better], new], axis=1)
-            counts = both(self.counts, np.take_along_axis(count[better], best, axis=1).astype(np.int32))
+        if len(self.words) > WORDS or self.letters > LETTERS:
+            self._forget()
+        known, number = len(self.words), self.words.__getitem__
+        own = [list(map(number, set(r["low"].encode("utf-8", "surrogatepass").translate(self.table).split(GAP)))) for r in rows]
+        if new := list(islice(self.words, known, None)):
+            word, term = self._held_terms(new)
+            n = np.bincount(word, minlength=len(new))
+            self.first = np.concatenate([self.first, len(self.found) + np.cumsum(n) - n])
+            self.n, self.found, self.letters = np.concatenate([self.n, n]), np.concatenate([self.found, term]), self.letters + sum(map(len, new))
+        word, doc = np.concatenate([np.array(x) for x in own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        n = self.n[word]
+        term = self.found[np.repeat(self.first[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        place = np.zeros(len(self.bits), np.int32)
+        place[term] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        low, high = self.placed // 64, -(-(self.placed + len(rows)) // 64)
+        holds = np.zeros((len(used), (high - low) * 64), bool)
+        holds[place[term], np.repeat(doc + (self.placed - low * 64), n)] = True
+        self.bits[used, low:high] |= np.packbits(holds, axis=1, bitorder="little").view("<u8")
+        self.places += [(r["id"], r["len"]) for r in rows]
+        self.placed += len(rows)
+        if self.placed >= self.span:
+            self._count()
+
+    def _count(self) -> None:
+        """Takes the best documents of the span that ends here."""
+        import numpy as np
+
+        bits, places = self.bits[:, : -(-self.placed // 64)], np.array(self.places, np.int64)
+        # documents come by length and id, so only one with more terms than the k-th so far takes a place
+        most = bits.any(axis=1)[self.asked].sum(axis=1)
+        some = np.flatnonzero(most > self.counts[:, -1])
+        for a in range(0, len(some), COUNTED):
+            rows = some[a : a + COUNTED]
+            counts, at = self._best(bits, self.asked[rows], self.counts[rows, -1], int(most[rows].max()))
+            new = np.flatnonzero(counts[:, 0])
+            rows, counts, at = rows[new], counts[new], at[new]
+            counts = np.concatenate([self.counts[rows], counts], axis=1)
             order = np.argsort(-counts, axis=1, kind="stable")[:, : self.k]
-            for name, new in (("ids", ids[best]), ("lens", lens[best])):
-                getattr(self, name)[a + better] = np.take_along_axis(both(getattr(self, name), new), order, axis=1)
-            self.counts[a + better] = np.take_along_axis(counts, order, axis=1)
+            self.counts[rows] = np.take_along_axis(counts, order, axis=1)
+            for name, column in (("ids", 0), ("lens", 1)):
+                both = np.concatenate([getattr(self, name)[rows], places[at, column]], axis=1)
+                getattr(self, name)[rows] = np.take_along_axis(both, order, axis=1)
+        self.bits[:], self.placed, self.places = 0, 0, []
+
+    def _best(self, bits, asked, floor, most: int):
+        """The counts, and places in the span, of each query's first k documents by count and place, of those with more terms than its floor."""
+        import numpy as np
+
+        sums = []  # a digit of the sums each
+        for j in range(asked.shape[1]):
+            carry = bits[asked[:, j]]
+            for digit in sums:
+                over = digit & carry
+                digit ^= carry
+                carry = over
+            if j + 1 >> len(sums):
+                sums.append(carry)
+        shape = (len(asked), self.k)
+        counts, at, taken, left = np.zeros(shape, np.int32), np.zeros(shape, np.int64), np.zeros(len(asked), np.int64), np.arange(len(asked))
+        for count in range(most, 0, -1):
+            left = left[(taken[left] < self.k) & (floor[left] < count)]
+            equal = None
+            for b, digit in enumerate(sums):
+                x = digit[left] if len(left) < len(asked) else digit
+                x = x if count >> b & 1 else ~x
+                equal = x if equal is None else equal & x
+            own = np.flatnonzero(equal.any(axis=1))
+            own, equal = left[own], equal[own]
+            while len(own):
+                word = (equal != 0).argmax(axis=1)
+                value = equal[np.arange(len(own)), word]
+                lowest = value & (~value + np.uint64(1))
+                counts[own, taken[own]] = count
+                at[own, taken[own]] = word * 64 + np.bitwise_count(lowest - np.uint64(1))
+                taken[own] += 1
+                equal[np.arange(len(own)), word] = value ^ lowest
+                more = np.flatnonzero((taken[own] < self.k) & equal.any(axis=1))
+                own, equal = own[more], equal[more]
+        return counts, at
 
     def result(self) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -451,6 +530,8 @@ class _Block:
         if self.held:
             self._search()
         if self.ready:
+            if self.placed:
+                self._count()
             q, j = np.nonzero(self.counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(self.queries, np.int64)[q]), pa.array(self.ids[q, j]), pa.array(self.counts[q, j].astype(np.int64)), pa.array(self.lens[q, j])], names=["query_id", "doc_id", "match_count", "len"])
 

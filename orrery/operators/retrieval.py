@@ -226,8 +226,8 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, terms: DataF
 
 def lexical_score(query: Column, content: Column) -> Column:
     """A deterministic stand-in for a rerank model: the share of the query's words that the content holds."""
-    words = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
-    return F.round(F.size(F.array_intersect(words(query), words(content))) / F.size(words(query)), 6)
+    words = lambda c: F.split(F.lower(F.trim(c)), r"\s+")
+    return F.round(F.size(F.array_intersect(words(query), words(content))) / F.size(F.array_distinct(words(query))), 6)
 
 
 def parsed_results(responses: DataFrame) -> DataFrame:

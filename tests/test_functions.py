@@ -1,6 +1,7 @@
 """Literal expectations for functions and small operators."""
 
 import json
+import time
 import uuid
 from datetime import datetime
 
@@ -33,6 +34,16 @@ def test_keywords(spark, t, check):
     assert one(spark, text.keywords(F.col("t"), 0), t=t) == []
 
 
+def test_keywords_of_long_texts(spark):
+    """A text is read a few times, not once for each of its words."""
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100 % 6]}x" for k in range(600)]
+    t = " ".join(words * 8)
+    began = time.perf_counter()
+    assert one(spark, text.keywords(F.col("t")), t=t) == words[:8]
+    assert time.perf_counter() - began < 10
+    assert one(spark, text.keywords(F.col("t"), 700), t=t.upper()) == [w.upper() for w in words]
+
+
 def test_like_and_scalars(spark):
     assert [text.like_escaped(s) for s in ("ERR_4012", "100%", "a\\b")] == ["%ERR\\_4012%", "%100\\%%", "%a\\\\b%"]
     assert one(spark, text.paragraphs(F.col("t")), t="第一段。\r\n\r\n第二段。\n \n\n") == ["第一段。", "第二段。"]

@@ -133,6 +133,33 @@ def test_best_documents_of_many_queries(spark, monkeypatch):
     assert keyword_index.top(docs.limit(0), terms, 4).count() == 0 and keyword_index.top(docs, terms.limit(0), 4).count() == 0
 
 
+def test_words_of_documents_are_searched_once(monkeypatch):
+    """However often its words come again in documents; results are those of brute force, for terms of any letters, spans of any size and words forgotten on the way."""
+    r = random.Random(4)
+    known = ["".join(r.choice("abÄ𝄞é") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    docs = sorted((len(t), k, t) for k in range(400) for t in [" ".join(r.choice(known) for _ in range(r.randint(0, 25)))])
+    searched, found = [], keyword_index._Block._held_terms
+    monkeypatch.setattr(keyword_index._Block, "_held_terms", lambda self, texts: searched.append(sum(map(len, texts))) or found(self, texts))
+
+    def best(asked):
+        block = keyword_index._Block(4)
+        for q, terms in enumerate(asked):
+            block.add({"id": q, "len": None, "low": None, "terms": terms})
+        for n, k, t in docs:
+            block.add({"id": k, "len": n, "low": t, "terms": None})
+        expected = [(q, k, m, n) for q, terms in enumerate(asked) for m, n, k in sorted(((sum(x in t for x in terms), n, k) for n, k, t in docs), key=lambda x: (-x[0], x[1:]))[:4] if m]
+        got = [tuple(x.values()) for b in block.result() for x in b.to_pylist()]
+        assert sorted(got) == sorted(expected) and expected
+
+    words = [list({r.choice(known)[: r.randint(1, 7)] for _ in range(r.randint(1, 20))}) for _ in range(70)]
+    best(words)
+    assert sum(searched) <= sum(len(t.encode()) for t in known)
+    for name, n in (("SPAN", 64), ("AT_ONCE", 9), ("COUNTED", 7), ("WORDS", 20), ("LETTERS", 200)):
+        monkeypatch.setattr(keyword_index, name, n)
+    best(words)
+    best([w + [f"{r.choice(known)} {r.choice(known)}", "zzz"] for w in words])
+
+
 def test_exact_scan_in_blocks(spark, monkeypatch):
     """Blocks of any size give the nearest vectors, ties to the smaller id; vectors without a cosine are left out; no plan has a nested loop."""
     r = np.random.default_rng(8)
