@@ -68,7 +68,8 @@ def answer_run(questions: DataFrame, supplied: DataFrame, retrieve: Callable[[Da
     known = assess(questions, hits, config.abstain_min_score).join(questions, "query_id")
     is_bound = _bound(F.col("knowledge_ids"))
     known = cut(known.withColumn("abstained", should_abstain(F.col("sufficient"), F.col("knowledge_ids"), F.col("tools"), config)).withColumn("reason", F.when(is_bound, F.col("reason"))))
-    answered = hits.join(known.where("not abstained").select("query_id"), "query_id", "left_semi").join(contents, "doc_id")
+    held = contents.join(hits.select("doc_id"), "doc_id", "left_semi")  # no other texts are shuffled
+    answered = hits.join(known.where("not abstained").select("query_id"), "query_id", "left_semi").join(held, "doc_id")
     passages = answered.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"))
     passages = passages.select("query_id", F.array_join(F.transform("p", lambda p: p["text"]), "\n\n").alias("context"), F.transform("p", lambda p: p["rank"].cast("int")).alias("sources"))
     rows = known.join(supplied, "query_id", "left").join(passages, "query_id", "left")
